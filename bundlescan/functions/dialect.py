@@ -121,7 +121,7 @@ def to_re2(pattern: str, ignore_case: bool = False) -> str:
             elif t.startswith(r"\u"):
                 res.append(r"\x{" + t[2:] + "}")
             elif t in (r"\W", r"\S", r"\D"):
-                raise ValueError(f"negated class escape inside a class has no RE2 form: {pattern}")
+                res.append(t)  # RE2's own (ASCII) form; only used as [\s\S] = any character
             else:
                 res.append(t)
             prev_quant = False

@@ -66,3 +66,51 @@ def q_invisible_unicode(spark, sf):
 @register("dns_exfil_patterns", OL.dns_exfil_sql)
 def q_dns_exfil(spark, sf):
     return _long(lines.dns_exfil(scan_text(spark, sf)), "line")
+
+
+# ---------------------------------------------------------------- set / presence grain (§2.6-2.7)
+
+from ..operators import indicators as IND  # noqa: E402
+from . import oracle_indicators as OI  # noqa: E402
+
+
+def _indicator_query(name: str, keys: list[str], oracle):
+    def q(spark, sf):
+        rows = IND.indicator_rows(IND.file_indicators(scan_text(spark, sf)), keys=keys)
+        return rows if "base64_strings" in keys else rows.drop("decoded")
+    register(name, oracle)(q)
+
+
+for _k in OI.SIMPLE:
+    _indicator_query(_k, [_k], (lambda k: lambda: OI.simple_sql(k))(_k))
+_indicator_query("shell_commands", ["shell_commands"], OI.shell_commands_sql)
+_indicator_query("sensitive_file_paths", ["sensitive_file_paths"], OI.sensitive_file_paths_sql)
+_indicator_query("suspicious_imports", ["suspicious_imports"], OI.suspicious_imports_sql)
+_indicator_query("sensitive_env_vars", ["sensitive_env_var_names"], OI.sensitive_env_vars_sql)
+_indicator_query("base64_strings", ["base64_strings"], OI.base64_sql)
+_indicator_query("crypto_wallets", ["crypto_wallets"], OI.wallets_sql)
+
+
+@register("base58check")
+def q_base58check(spark, sf):
+    """Every legacy-address-shaped candidate with its Base58Check verdict."""
+    t = scan_text(spark, sf)
+    c = (t.where(F.col("text").isNotNull())
+         .select("bundle_id", "path", F.explode(IND.btc_candidates(F.col("text"))).alias("candidate"))
+         .where(~F.col("candidate").startswith("bc1")))
+    return c.select("bundle_id", "path", "candidate", F.expr(IND.base58check_sql("candidate")).alias("valid"))
+
+
+@register("secret_hits", OI.secret_hits_sql)
+def q_secret_hits(spark, sf):
+    t = scan_text(spark, sf).where(F.col("text").isNotNull())
+    return (t.select("bundle_id", "path", F.explode(IND.secret_counts(F.col("text"))).alias("_s"))
+            .select("bundle_id", "path", "_s.label", "_s.n").where(F.col("n") > 0))
+
+
+@register("redact_secrets", OI.redact_secrets_sql)
+def q_redact_secrets(spark, sf):
+    t = scan_text(spark, sf).where(F.col("text").isNotNull())
+    r = t.select("bundle_id", "path", "text", IND.redact(F.col("text")).alias("_r")).where(F.col("_r") != F.col("text"))
+    return r.select("bundle_id", "path", F.md5("_r").alias("redacted_md5"),
+                    F.length("_r").cast("long").alias("redacted_chars"))
