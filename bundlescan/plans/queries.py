@@ -114,3 +114,104 @@ def q_redact_secrets(spark, sf):
     r = t.select("bundle_id", "path", "text", IND.redact(F.col("text")).alias("_r")).where(F.col("_r") != F.col("text"))
     return r.select("bundle_id", "path", F.md5("_r").alias("redacted_md5"),
                     F.length("_r").cast("long").alias("redacted_chars"))
+
+
+# ---------------------------------------------------------------- file layer (§2.1, §2.2, §2.10)
+
+from ..operators import bundle as BND  # noqa: E402
+from ..operators import identity as IDN  # noqa: E402
+from ..sources import files as SRC  # noqa: E402
+from ..sources.fixtures import corpus_files  # noqa: E402
+from . import oracle_files as OF  # noqa: E402
+
+
+def _entries(spark, sf):
+    return SRC.entries(corpus_files(spark, sf))
+
+
+@register("file_inventory", OF.inventory_sql)
+def q_file_inventory(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", "size_bytes", "mime_type", "sha256", "md5", "is_archive",
+                                      "extracted_from", F.col("depth").cast("long").alias("depth"))
+
+
+@register("mime_type", lambda: OF.with_entries("SELECT bundle_id, path, mime_type FROM entries"))
+def q_mime_type(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", "mime_type")
+
+
+@register("is_text", OF.is_text_sql)
+def q_is_text(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path",
+                                      SRC.is_text(F.col("mime_type"), F.col("suffix")).alias("is_text"))
+
+
+@register("archive_kind", OF.archive_kind_sql)
+def q_archive_kind(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", SRC.archive_extension(F.col("path")).alias("archive_extension"),
+                                      "is_archive")
+
+
+@register("script_classify", lambda: OF.with_entries("SELECT bundle_id, path, suffix, is_script FROM entries"))
+def q_script_classify(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", "suffix", "is_script")
+
+
+@register("read_text", lambda: OF.with_entries(
+    "SELECT bundle_id, path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars "
+    "FROM entries WHERE text IS NOT NULL"))
+def q_read_text(spark, sf):
+    e = _entries(spark, sf).where(F.col("text").isNotNull())
+    return e.select("bundle_id", "path", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
+
+
+@register("line_count", lambda: OF.with_entries("SELECT bundle_id, path, line_count FROM entries"))
+def q_line_count(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", "line_count")
+
+
+@register("file_hashes", lambda: OF.with_entries("SELECT bundle_id, path, sha256, md5 FROM entries"))
+def q_file_hashes(spark, sf):
+    return _entries(spark, sf).select("bundle_id", "path", "sha256", "md5")
+
+
+# ---------------------------------------------------------------- bundle roll-ups (§2.4, §2.10, §2.11)
+
+@register("bundle_totals", OF.bundle_totals_sql)
+def q_bundle_totals(spark, sf):
+    return BND.bundle_stats(_entries(spark, sf)).select(
+        "bundle_id", "total_files", "total_size_bytes", "script_count", "total_lines", "archives_extracted")
+
+
+@register("hidden_dotfiles", OF.hidden_dotfiles_sql)
+def q_hidden_dotfiles(spark, sf):
+    return BND.bundle_stats(_entries(spark, sf)).select("bundle_id", F.explode("hidden_dotfiles").alias("name"))
+
+
+@register("package_file_match", OF.package_files_sql)
+def q_package_file_match(spark, sf):
+    return BND.bundle_stats(_entries(spark, sf)).select("bundle_id", F.explode("package_files_found").alias("name"))
+
+
+@register("has_skill_md", OF.has_files_sql)
+def q_has_skill_md(spark, sf):
+    return BND.bundle_stats(_entries(spark, sf)).select("bundle_id", "has_skill_md", "has_readme")
+
+
+@register("frontmatter", OF.frontmatter_sql)
+def q_frontmatter(spark, sf):
+    files = corpus_files(spark, sf)
+    m = files.where(F.col("path") == "SKILL.md").select("bundle_id", BND.meta_text(F.col("content")).alias("t"))
+    return m.select("bundle_id", *BND.frontmatter_cols(F.col("t")))
+
+
+@register("install_hooks", OF.install_hooks_sql)
+def q_install_hooks(spark, sf):
+    meta = BND.bundle_meta(corpus_files(spark, sf))
+    return meta.select("bundle_id", F.posexplode("install_hooks_found").alias("pos", "hook")).select(
+        "bundle_id", (F.col("pos") + 1).cast("long").alias("pos"), "hook")
+
+
+@register("bundle_fingerprint", OF.fingerprint_sql)
+def q_bundle_fingerprint(spark, sf):
+    return IDN.bundle_fingerprint(_entries(spark, sf))
