@@ -158,7 +158,9 @@ def file_indicators(df: DataFrame, keep=None) -> DataFrame:
     keep = list(KEEP if keep is None else keep)
     t = F.col("text")
     reads, assigns = env_reads(t), env_assignments(t)
-    df = df.where(t.isNotNull()).select(*keep, "suffix", "text", btc_candidates(t).alias("_btc"))
+    # no Filter on the text: null text gives null arrays and no exploded rows, and a
+    # Filter would be pushed below (and re-evaluate) the projection that decodes it
+    df = df.select(*keep, "suffix", "text", btc_candidates(t).alias("_btc"))
     return df.select(
         *keep, is_script(F.col("suffix")).alias("is_script"),
         extract_set(t, rules.URL).alias("urls"),

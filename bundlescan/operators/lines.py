@@ -30,8 +30,12 @@ def _gate(d: rules.Detector, suffix: Column) -> Column:
     return F.lit(True) if d.gate is None else suffix.isin(*d.gate)
 
 
-def _lines(df: DataFrame, keep: list[str], extra: list[str]) -> DataFrame:
-    return df.select(*keep, *extra, F.posexplode(F.split(F.col("text"), "\n", -1)).alias("_pos", "_line"))
+def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> DataFrame:
+    """Lines of the files for which ``when`` holds. The condition sits inside the
+    generator instead of a Filter, so Catalyst cannot push it below the projection that
+    computes it (which would evaluate the whole-file gate twice)."""
+    parts = F.when(when, F.split(F.col("text"), "\n", -1))
+    return df.select(*keep, *extra, F.posexplode(parts).alias("_pos", "_line"))
 
 
 def detector_hits(df: DataFrame, detectors=None, keep=None) -> DataFrame:
@@ -44,8 +48,8 @@ def detector_hits(df: DataFrame, detectors=None, keep=None) -> DataFrame:
         F.when(_gate(d, suffix) & text.rlike(to_java(d.pattern, d.ignore_case, multiline=True)), F.lit(i))
         for i, d in enumerate(detectors)
     ]))
-    files = df.where(text.isNotNull()).select(*keep, "text", fired.alias("_fired")).where(F.size("_fired") > 0)
-    lines = _lines(files, keep, ["_fired"])
+    files = df.select(*keep, "text", fired.alias("_fired"))
+    lines = _lines(files, keep, ["_fired"], F.size("_fired") > 0)
     line = F.col("_line")
     hits = F.array_compact(F.array(*[
         F.when(F.array_contains("_fired", i) & line.rlike(to_java(d.pattern, d.ignore_case)),
@@ -67,8 +71,8 @@ def invisible_unicode(df: DataFrame, keep=None) -> DataFrame:
     """Every zero-width / BOM character: line, ``U+XXXX``, 0-based code-point position."""
     keep = list(KEEP if keep is None else keep)
     pat = to_java(rules.INVISIBLE_UNICODE)
-    files = df.where(F.col("text").rlike(pat)).select(*keep, "text")
-    lines = _lines(files, keep, []).where(F.col("_line").rlike(pat))
+    files = df.select(*keep, "text")
+    lines = _lines(files, keep, [], F.col("text").rlike(pat)).where(F.col("_line").rlike(pat))
     chars = lines.select(*keep, (F.col("_pos") + 1).alias("line"),
                          F.posexplode(F.split(F.col("_line"), "", -1)).alias("position", "_ch"))
     return (chars.where(F.col("_ch").rlike(pat))
@@ -80,7 +84,7 @@ def dns_exfil(df: DataFrame, keep=None) -> DataFrame:
     keep = list(KEEP if keep is None else keep)
     gate = to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)
     pat = to_java(rules.DNS_EXFIL, ignore_case=True)
-    files = df.where(F.col("text").rlike(gate)).select(*keep, "text")
-    lines = _lines(files, keep, []).where(F.col("_line").rlike(pat))
+    files = df.select(*keep, "text")
+    lines = _lines(files, keep, [], F.col("text").rlike(gate)).where(F.col("_line").rlike(pat))
     return lines.select(*keep, (F.col("_pos") + 1).alias("line"),
                         F.substring(F.regexp_extract("_line", pat, 0), 1, rules.LINE_MATCH_CHARS).alias("match"))

@@ -17,7 +17,7 @@ SCRIPT_LIST = ", ".join(sql_str(s) for s in rules.SCRIPT_EXTENSIONS)
 
 
 def _files() -> str:
-    return (f"WITH {corpus_sql()},\nfiles AS (SELECT bundle_id, path, suffix, text, "
+    return (f"WITH {corpus_sql()},\ntfiles AS (SELECT bundle_id, path, suffix, text, "
             f"coalesce(suffix IN ({SCRIPT_LIST}), false) AS is_script FROM scan_text WHERE text IS NOT NULL)")
 
 
@@ -29,7 +29,7 @@ def _key(key: str) -> str:
 
 def _extract(key: str, pat: str, group: int = 0) -> str:
     return (f"SELECT DISTINCT bundle_id, path, key, value FROM (SELECT bundle_id, path, {_key(key)} AS key, "
-            f"unnest(regexp_extract_all(text, {sql_str(pat)}, {group})) AS value FROM files)")
+            f"unnest(regexp_extract_all(text, {sql_str(pat)}, {group})) AS value FROM tfiles)")
 
 
 SIMPLE = {
@@ -52,7 +52,7 @@ def simple_sql(key: str) -> str:
 
 def shell_commands_sql() -> str:
     branches = "\nUNION ALL\n".join(
-        f"SELECT bundle_id, path, {_key('shell_commands')} AS key, {sql_str(name)} AS value FROM files "
+        f"SELECT bundle_id, path, {_key('shell_commands')} AS key, {sql_str(name)} AS value FROM tfiles "
         f"WHERE regexp_matches(lower(text), {sql_str(to_re2(p))})" for p, name in rules.SHELL_COMMANDS)
     return f"{_files()}\n{branches}"
 
@@ -74,14 +74,14 @@ def sensitive_file_paths_sql() -> str:
         else:
             cond = f"regexp_matches(text, {sql_str(_path_re2(sp))})"
         branches.append(f"SELECT bundle_id, path, {_key('sensitive_file_paths')} AS key, {sql_str(sp)} AS value "
-                        f"FROM files WHERE {cond}")
+                        f"FROM tfiles WHERE {cond}")
     return f"{_files()}\n" + "\nUNION ALL\n".join(branches)
 
 
 def suspicious_imports_sql() -> str:
     branches = "\nUNION ALL\n".join(
         f"SELECT bundle_id, path, {_key('suspicious_imports')} AS key, "
-        f"unnest(regexp_extract_all(text, {sql_str(to_re2(p, ic))}, 0)) AS value FROM files"
+        f"unnest(regexp_extract_all(text, {sql_str(to_re2(p, ic))}, 0)) AS value FROM tfiles"
         for p, ic in rules.SUSPICIOUS_IMPORTS)
     return f"{_files()}\nSELECT DISTINCT * FROM (\n{branches}\n)"
 
@@ -92,7 +92,7 @@ def _env_occ() -> str:
     return (f"env_occ AS (SELECT bundle_id, path, is_script, regexp_extract(m, '^[A-Z_]+', 0) AS name, "
             f"m != regexp_extract(m, '^[A-Z_]+', 0) AS assign FROM (SELECT bundle_id, path, is_script, "
             f"unnest(regexp_extract_all(text, {sql_str(r'\b(?:' + names + r')\b(?:' + follow + ')?')}, 0)) AS m "
-            f"FROM files)),\nenv_file AS (SELECT bundle_id, path, is_script, "
+            f"FROM tfiles)),\nenv_file AS (SELECT bundle_id, path, is_script, "
             f"list_distinct(list(name) FILTER (WHERE NOT assign)) AS reads, "
             f"list_distinct(list(name) FILTER (WHERE assign)) AS assigns FROM env_occ GROUP BY ALL)")
 
@@ -122,7 +122,7 @@ _NONPRINT_RE2 = (r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\
 def base64_sql() -> str:
     cand = r"\b([A-Za-z0-9+/]{20,}={0,2})(?:[^A-Za-z0-9+/=]|$)"
     return f"""{_files()},
-cands AS (SELECT DISTINCT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(cand)}, 1)) AS encoded FROM files),
+cands AS (SELECT DISTINCT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(cand)}, 1)) AS encoded FROM tfiles),
 dec AS (SELECT bundle_id, path, encoded,
                CASE WHEN length(encoded) % 4 = 0 THEN TRY(decode(from_base64(encoded))) END AS s FROM cands)
 SELECT bundle_id, path, 'base64_strings' AS key, encoded AS value, left({redact_sql('s')}, {rules.DECODED_CHARS}) AS decoded
@@ -132,7 +132,7 @@ FROM dec WHERE s IS NOT NULL AND (NOT regexp_matches(s, {sql_str(_NONPRINT_RE2)}
 def secret_hits_sql() -> str:
     branches = "\nUNION ALL\n".join(
         f"SELECT bundle_id, path, {sql_str(label)} AS label, "
-        f"CAST(len(regexp_extract_all(text, {sql_str(to_re2(p, ic))}, 0)) AS BIGINT) AS n FROM files"
+        f"CAST(len(regexp_extract_all(text, {sql_str(to_re2(p, ic))}, 0)) AS BIGINT) AS n FROM tfiles"
         for p, label, ic in rules.SECRET_SHAPES)
     return f"{_files()}\nSELECT * FROM (\n{branches}\n) WHERE n > 0"
 
@@ -140,15 +140,15 @@ def secret_hits_sql() -> str:
 def redact_secrets_sql() -> str:
     return (f"{_files()}\nSELECT bundle_id, path, md5(r) AS redacted_md5, "
             f"CAST(length(r) AS BIGINT) AS redacted_chars FROM "
-            f"(SELECT bundle_id, path, text, {redact_sql('text')} AS r FROM files) WHERE r != text")
+            f"(SELECT bundle_id, path, text, {redact_sql('text')} AS r FROM tfiles) WHERE r != text")
 
 
 def wallets_sql() -> str:
     eth = to_re2(rules.ETH_WALLET)
     return (f"{_files()}\nSELECT DISTINCT bundle_id, path, 'crypto_wallets' AS key, value FROM ("
-            f"SELECT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(eth)}, 0)) AS value FROM files "
+            f"SELECT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(eth)}, 0)) AS value FROM tfiles "
             f"UNION ALL SELECT bundle_id, path, unnest(list_filter(regexp_extract_all(text, "
-            f"{sql_str(to_re2(rules.BTC_WALLET))}, 0), lambda a: starts_with(a, 'bc1') OR {base58check_duck('a')})) FROM files)")
+            f"{sql_str(to_re2(rules.BTC_WALLET))}, 0), lambda a: starts_with(a, 'bc1') OR {base58check_duck('a')})) FROM tfiles)")
 
 
 def base58check_duck(c: str) -> str:

@@ -158,10 +158,9 @@ def q_script_classify(spark, sf):
 
 
 @register("read_text", lambda: OF.with_entries(
-    "SELECT bundle_id, path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars "
-    "FROM entries WHERE text IS NOT NULL"))
+    "SELECT bundle_id, path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars FROM entries"))
 def q_read_text(spark, sf):
-    e = _entries(spark, sf).where(F.col("text").isNotNull())
+    e = _entries(spark, sf)  # null text (not text / > 2 MiB) stays as a null row
     return e.select("bundle_id", "path", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
 
 
@@ -215,3 +214,62 @@ def q_install_hooks(spark, sf):
 @register("bundle_fingerprint", OF.fingerprint_sql)
 def q_bundle_fingerprint(spark, sf):
     return IDN.bundle_fingerprint(_entries(spark, sf))
+
+
+# ---------------------------------------------------------------- composed bundle queries (§2.3, §2.4, §2.11)
+
+from ..operators import report as REP  # noqa: E402
+from ..sources.fixtures import reports as fixture_reports  # noqa: E402
+from . import oracle_bundle as OB  # noqa: E402
+from . import scan as SCAN  # noqa: E402
+
+
+@register("finding_counts", OB.finding_counts_sql)
+def q_finding_counts(spark, sf):
+    e = _entries(spark, sf)
+    return BND.finding_counts(SCAN.findings(e), e.select("bundle_id").distinct())
+
+
+@register("bundle_report", OB.bundle_report_sql)
+def q_bundle_report(spark, sf):
+    b = SCAN.bundles(corpus_files(spark, sf))
+    return b.select(
+        "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
+        "archives_extracted",
+        F.aggregate(F.map_values("finding_counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_findings"),
+        F.array_join("hidden_dotfiles", ",").alias("hidden_dotfiles"),
+        F.array_join("package_files_found", ",").alias("package_files_found"),
+        "has_install_hooks", F.array_join("install_hooks_found", ",").alias("install_hooks_found"),
+        "has_skill_md", "has_readme", "name", "version", "author", "description")
+
+
+def _reports(spark, sf, entries):
+    fps = IDN.bundle_fingerprint(entries)
+    return fixture_reports(spark, sf, fps)
+
+
+@register("cache_lookup", OB.cache_lookup_sql)
+def q_cache_lookup(spark, sf):
+    e = _entries(spark, sf)
+    fps = IDN.bundle_fingerprint(e)
+    hits, misses = REP.cache_lookup(fps, _reports(spark, sf, e))
+    return (hits.select("bundle_id", "fingerprint", F.lit("hit").alias("status"), "skill_name", "risk_level")
+            .unionByName(misses.select("bundle_id", "fingerprint", F.lit("miss").alias("status"),
+                                       F.lit(None).cast("string").alias("skill_name"),
+                                       F.lit(None).cast("string").alias("risk_level"))))
+
+
+@register("render_report", OB.render_report_sql)
+def q_render_report(spark, sf):
+    files = corpus_files(spark, sf)
+    e = SRC.entries(files)
+    rep = _reports(spark, sf, e)
+    found = SCAN.report_findings(SCAN.findings(e))
+    meta = BND.bundle_meta(files).select("bundle_id", F.col("name").alias("local_name"))
+    n = F.regexp_extract("bundle_id", "[0-9]+", 0).try_cast("int")
+    r = (rep.join(found, "bundle_id", "left").join(meta, "bundle_id", "left")
+         .withColumn("findings", F.when(n % 4 == 2, F.array()).otherwise(F.col("findings"))))
+    md = REP.render_markdown(F.col("local_name"), F.col("skill_name"), F.col("adjusted_risk_level"),
+                             F.col("risk_level"), F.col("scan_date"), F.col("llm_summary"), F.col("findings"),
+                             F.col("source"))
+    return r.select("bundle_id", md.alias("markdown"))

@@ -33,7 +33,8 @@ def _shape(df: DataFrame) -> DataFrame:
 
 
 def text_files(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("text").isNotNull()).select("bundle_id", "path", "suffix", "text")
+    # null text (binary, > 2 MiB) flows through as null: every extractor yields nothing for it
+    return entries.select("bundle_id", "path", "suffix", "text")
 
 
 def findings(entries: DataFrame) -> DataFrame:

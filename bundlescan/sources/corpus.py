@@ -95,11 +95,30 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(pages).unionByName(conv)
 
 
-def corpus_sql() -> str:
-    """DuckDB twin of :func:`scan_text` as a CTE body named ``scan_text``."""
+_OVERRIDE: list[str] = []
+
+
+class text_source:
+    """Context manager: oracle builders read ``scan_text`` from another CTE chain (e.g.
+    the text of ``entries``) instead of the document corpus."""
+
+    def __init__(self, ctes: str):
+        self.ctes = ctes
+
+    def __enter__(self):
+        _OVERRIDE.append(self.ctes)
+
+    def __exit__(self, *exc):
+        _OVERRIDE.pop()
+
+
+def corpus_sql(name: str = "scan_text") -> str:
+    """DuckDB twin of :func:`scan_text` as a CTE named ``name``."""
+    if name == "scan_text" and _OVERRIDE:
+        return _OVERRIDE[-1]
     exts = "[" + ", ".join(sql_str(e) for e in EXTENSIONS) + "]"
     snips = "[" + ", ".join(sql_str(s) for s in SNIPPETS) + "]"
-    return f"""scan_text AS (
+    return f"""{name} AS (
   SELECT source AS bundle_id,
          'doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path,
          {exts}[doc_id % 6 + 1] AS suffix,

@@ -43,21 +43,26 @@ def _strip_ext(name: Column, ext: Column) -> Column:
     return F.left(name, F.length(name) - F.length(ext))
 
 
-def mime_type(path: Column) -> Column:
-    """``mimetypes.guess_type`` (strict) on the name, default ``application/octet-stream``:
-    suffix aliases (``.tgz`` -> ``.tar.gz``), one compression suffix stripped, then the
-    type of the remaining extension."""
-    name = base_name(path)
-    ext = _splitext_ext(name)
-    alias = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_MAP.items() for x in kv]), F.lower(ext))
-    name1 = F.when(alias.isNotNull(), F.concat(_strip_ext(name, ext), alias)).otherwise(name)
-    ext1 = _splitext_ext(name1)
-    is_enc = ext1.isin(*ENCODINGS) | F.lower(ext1).isin(*[e for e in ENCODINGS if e == e.lower()])
-    name2 = F.when(is_enc, _strip_ext(name1, ext1)).otherwise(name1)
-    ext2 = _splitext_ext(name2)
+def with_mime_type(df: DataFrame, path: str = "path", out: str = "mime_type") -> DataFrame:
+    """Add ``mimetypes.guess_type`` (strict) on the name, default
+    ``application/octet-stream``: suffix aliases (``.tgz`` -> ``.tar.gz``), one compression
+    suffix stripped, then the type of the remaining extension. Built in stages (one
+    column per step) so that no sub-expression is copied into its consumers."""
+    aliases = F.create_map(*[F.lit(x) for kv in SUFFIX_MAP.items() for x in kv])
     types = F.create_map(*[F.lit(x) for kv in TYPES_MAP.items() for x in kv])
-    return F.coalesce(F.element_at(types, ext2), F.element_at(types, F.lower(ext2)),
-                      F.lit("application/octet-stream"))
+    lower_enc = [e for e in ENCODINGS if e == e.lower()]
+    df = df.withColumn("_mn", base_name(F.col(path)))
+    df = df.withColumn("_me", _splitext_ext(F.col("_mn")))
+    df = df.withColumn("_ma", F.element_at(aliases, F.lower(F.col("_me"))))
+    df = df.withColumn("_mn", F.when(F.col("_ma").isNotNull(),
+                                     F.concat(_strip_ext(F.col("_mn"), F.col("_me")), F.col("_ma"))).otherwise(F.col("_mn")))
+    df = df.withColumn("_me", _splitext_ext(F.col("_mn")))
+    df = df.withColumn("_mn", F.when(F.col("_me").isin(*ENCODINGS) | F.lower(F.col("_me")).isin(*lower_enc),
+                                     _strip_ext(F.col("_mn"), F.col("_me"))).otherwise(F.col("_mn")))
+    df = df.withColumn("_me", _splitext_ext(F.col("_mn")))
+    df = df.withColumn(out, F.coalesce(F.element_at(types, F.col("_me")), F.element_at(types, F.lower(F.col("_me"))),
+                                       F.lit("application/octet-stream")))
+    return df.drop("_mn", "_me", "_ma")
 
 
 def is_text(mime: Column, sfx: Column) -> Column:
@@ -89,7 +94,6 @@ def entries(files: DataFrame) -> DataFrame:
     e = files.select(
         "bundle_id", "path", c,
         F.length(c).cast("long").alias("size_bytes"),
-        mime_type(p).alias("mime_type"),
         F.sha2(c, 256).alias("sha256"),
         F.md5(c).alias("md5"),
         (archive_extension(p) != "").alias("is_archive"),
@@ -97,6 +101,7 @@ def entries(files: DataFrame) -> DataFrame:
         dp.cast("int").alias("depth"),
         suffix(p).alias("suffix"),
     )
+    e = with_mime_type(e)
     e = e.withColumn("is_script", F.col("suffix").isin(*rules.SCRIPT_EXTENSIONS))
     e = e.withColumn("text", read_text(c, F.col("size_bytes"), is_text(F.col("mime_type"), F.col("suffix"))))
     return e.withColumn("line_count", line_count(F.col("text"))).drop("content")

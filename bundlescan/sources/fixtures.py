@@ -109,7 +109,7 @@ def files_sql() -> str:
     roots = "\n  UNION ALL\n  ".join(
         f"SELECT bundle_id, {sql_str(path)} AS path, encode({_template_sql(t)}) AS content FROM bundles WHERE {cond}"
         for cond, path, t in ROOT_FILES)
-    return f"""{corpus_sql()},
+    return f"""{corpus_sql("corpus_text")},
 bundles AS (SELECT bundle_id, CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) AS n
             FROM (SELECT DISTINCT source AS bundle_id FROM documents)),
 files AS (
@@ -117,7 +117,7 @@ files AS (
       WHEN TRY_CAST(regexp_extract(path, '^doc_([0-9]+)\\.', 1) AS BIGINT) % 5 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
       WHEN TRY_CAST(regexp_extract(path, '^doc_([0-9]+)\\.', 1) AS BIGINT) % 7 = 2 THEN chr(65279) || text
       ELSE text END) AS content
-  FROM scan_text
+  FROM corpus_text
   UNION ALL
   {roots}
 )"""
