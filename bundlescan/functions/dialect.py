@@ -57,10 +57,51 @@ def _tokens(p: str):
     return out
 
 
+def _top_level_alternation(toks) -> bool:
+    depth = 0
+    for t, in_class in toks:
+        if in_class:
+            continue
+        if t == "(":
+            depth += 1
+        elif t == ")":
+            depth -= 1
+        elif t == "|" and depth == 0:
+            return True
+    return False
+
+
+def _literal_first(toks):
+    """``\bword…`` -> ``word(?<!W word)…``: the same language, but the pattern now starts
+    with a literal, which lets java.util.regex search with Boyer-Moore instead of trying
+    the lookbehind at every position."""
+    if len(toks) < 3 or toks[0][0] != r"\b" or _top_level_alternation(toks):
+        return None
+    k = 1
+    while k < len(toks) and not toks[k][1] and toks[k][0] in _WORDCH:
+        k += 1
+    if k < len(toks) and toks[k][0] in ("?", "*", "+", "{"):
+        k -= 1  # the last character is quantified: not part of the fixed literal
+    lit = "".join(t for t, _ in toks[1:k])
+    if len(lit) < 2:
+        return None
+    return lit, toks[k:]
+
+
 def to_java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     toks = _tokens(pattern)
     res = []
+    lf = _literal_first(toks)
+    if lf is not None:
+        lit, rest = lf
+        res.append(f"{lit}(?<![{_WORD}]{lit})")
+        toks = [(lit[-1], False)] + rest  # keeps the "previous token" of a following \b right
+        skip_first = True
+    else:
+        skip_first = False
     for k, (t, in_class) in enumerate(toks):
+        if skip_first and k == 0:
+            continue
         if in_class:
             if t == r"\w":
                 res.append(_WORD)

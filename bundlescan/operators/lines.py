@@ -38,14 +38,17 @@ def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> Da
     return df.select(*keep, *extra, F.posexplode(parts).alias("_pos", "_line"))
 
 
-def detector_hits(df: DataFrame, detectors=None, keep=None) -> DataFrame:
+def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True) -> DataFrame:
     """``df(bundle_id, path, suffix, text)`` -> one row per (file, line, rule) hit:
-    ``keep.., line, category, pattern_name, description, match``."""
+    ``keep.., line, category, pattern_name, description, match``.
+    ``whole_file_gate=False`` explodes every line of every file (same result; the bench
+    uses it to measure what the gate saves)."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     keep = list(KEEP if keep is None else keep)
     suffix, text = F.col("suffix"), F.col("text")
     fired = F.array_compact(F.array(*[
-        F.when(_gate(d, suffix) & text.rlike(to_java(d.pattern, d.ignore_case, multiline=True)), F.lit(i))
+        F.when(_gate(d, suffix) & (text.rlike(to_java(d.pattern, d.ignore_case, multiline=True))
+                                   if whole_file_gate else text.isNotNull()), F.lit(i))
         for i, d in enumerate(detectors)
     ]))
     files = df.select(*keep, "text", fired.alias("_fired"))

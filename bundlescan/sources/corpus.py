@@ -64,6 +64,18 @@ SNIPPETS = [
 assert len(SNIPPETS) == 33
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Scanning is CPU-bound per row. When a source arrives in fewer partitions than the
+    cluster has cores (e.g. one parquet row group), hash-partition it on its file key so
+    every core gets work; a large input already has more splits than cores and is left
+    alone (no shuffle). Hashing on the file key, not the bundle, splits hot bundles."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,7 +104,7 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".md").alias("suffix"),
         F.col("text"),
     )
-    return d.unionByName(pages).unionByName(conv)
+    return spread(d.unionByName(pages).unionByName(conv), "bundle_id", "path")
 
 
 _OVERRIDE: list[str] = []
