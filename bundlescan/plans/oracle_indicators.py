@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from ..functions import rules
 from ..functions.dialect import sql_str, to_re2
-from ..operators.indicators import sensitive_path_pattern
 from ..sources.corpus import corpus_sql
 
 _W = r"\p{L}\p{N}_"
@@ -58,9 +57,11 @@ def shell_commands_sql() -> str:
 
 
 def _path_re2(sp: str) -> str:
-    pat = sensitive_path_pattern(sp)
-    pat = pat.replace(r"(?<!\w)", f"(?:^|[^{_W}])").replace(r"(?!\w)", f"(?:[^{_W}]|$)")
-    return to_re2(pat)
+    import re
+    lit = re.escape(sp)
+    pre = "" if sp[0] in "/~." else f"(?:^|[^{_W}])"
+    suf = "" if sp.endswith("/") else f"(?:[^{_W}]|$)"
+    return to_re2(pre + lit + suf)
 
 
 def sensitive_file_paths_sql() -> str:

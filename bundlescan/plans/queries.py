@@ -28,6 +28,13 @@ def register(name: str, oracle: Callable[[], str] | None = None):
     return deco
 
 
+def keep_if(df: DataFrame, cond) -> DataFrame:
+    """Filter written as a generator: Catalyst pushes a Filter below the projection that
+    computes its inputs and then evaluates expensive expressions twice; a conditional
+    one-element explode stays above it."""
+    return df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("_keep")).drop("_keep")
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("long"))
@@ -110,8 +117,9 @@ def q_secret_hits(spark, sf):
 
 @register("redact_secrets", OI.redact_secrets_sql)
 def q_redact_secrets(spark, sf):
-    t = scan_text(spark, sf).where(F.col("text").isNotNull())
-    r = t.select("bundle_id", "path", "text", IND.redact(F.col("text")).alias("_r")).where(F.col("_r") != F.col("text"))
+    t = scan_text(spark, sf)
+    r = keep_if(t.select("bundle_id", "path", "text", IND.redact(F.col("text")).alias("_r")),
+                F.col("_r") != F.col("text"))
     return r.select("bundle_id", "path", F.md5("_r").alias("redacted_md5"),
                     F.length("_r").cast("long").alias("redacted_chars"))
 
