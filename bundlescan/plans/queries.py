@@ -281,3 +281,55 @@ def q_render_report(spark, sf):
                              F.col("risk_level"), F.col("scan_date"), F.col("llm_summary"), F.col("findings"),
                              F.col("source"))
     return r.select("bundle_id", md.alias("markdown"))
+
+
+# ---------------------------------------------------------------- archives (§2.1, §2.3)
+
+from ..operators import archives as ARC  # noqa: E402
+from ..sources.fixtures import archive_files, archive_groups_sql  # noqa: E402
+
+
+def _expanded(spark, sf):
+    return ARC.expand_archives(archive_files(spark, sf))
+
+
+@register("expand_archives")
+def q_expand_archives(spark, sf):
+    files, _ = _expanded(spark, sf)
+    e = SRC.entries(files)
+    return e.select("bundle_id", "path", F.col("depth").cast("long").alias("depth"), "size_bytes", "sha256",
+                    "extracted_from", "is_archive")
+
+
+def _guard_sql():
+    return f"""WITH {archive_groups_sql()}
+SELECT bundle_id, 'pack_' || CAST(g AS VARCHAR) || CASE kind WHEN 0 THEN '.zip' WHEN 1 THEN '.tar.gz'
+         WHEN 2 THEN '.tar' ELSE '.zip' END AS path, CAST(0 AS BIGINT) AS depth,
+       CASE WHEN kind = 3 THEN 'escape' ELSE 'ok' END AS status FROM groups
+UNION ALL SELECT bundle_id, 'inner.zip', CAST(1 AS BIGINT), 'ok' FROM groups WHERE kind = 1
+UNION ALL SELECT bundle_id, 'pack_' || CAST(g AS VARCHAR) || '.7z', CAST(0 AS BIGINT), 'unsupported' FROM groups WHERE g % 5 = 0"""
+
+
+@register("archive_guard", _guard_sql)
+def q_archive_guard(spark, sf):
+    _, status = _expanded(spark, sf)
+    return status.select("bundle_id", "path", F.col("depth").cast("long").alias("depth"), "status")
+
+
+def _lineage_sql():
+    exts = "['.py', '.sh', '.js', '.md', '.ps1', '.txt']"
+    return f"""WITH {archive_groups_sql()},
+d AS (SELECT d.doc_id, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g),
+docs AS (SELECT bundle_id, 'docs/doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path, kind, g FROM d)
+SELECT bundle_id, path, CAST(1 AS BIGINT) AS depth,
+       'pack_' || CAST(g AS VARCHAR) || CASE kind WHEN 0 THEN '.zip' ELSE '.tar' END AS parent_path
+FROM docs WHERE kind IN (0, 2)
+UNION ALL SELECT bundle_id, path, CAST(2 AS BIGINT), 'inner.zip' FROM docs WHERE kind = 1
+UNION ALL SELECT bundle_id, 'inner.zip', CAST(1 AS BIGINT), 'pack_' || CAST(g AS VARCHAR) || '.tar.gz' FROM groups WHERE kind = 1
+UNION ALL SELECT bundle_id, 'README.md', CAST(1 AS BIGINT), 'pack_' || CAST(g AS VARCHAR) || '.tar.gz' FROM groups WHERE kind = 1"""
+
+
+@register("archive_lineage", _lineage_sql)
+def q_archive_lineage(spark, sf):
+    files, _ = _expanded(spark, sf)
+    return ARC.archive_lineage(SRC.entries(files))

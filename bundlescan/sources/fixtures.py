@@ -121,3 +121,81 @@ files AS (
   UNION ALL
   {roots}
 )"""
+
+
+# ------------------------------------------------------------------ archives
+
+ARCHIVE_GROUP = 25  # documents per archive (bounded group size)
+_EXTS = [".py", ".sh", ".js", ".md", ".ps1", ".txt"]
+_FIXED_DATE = (2000, 1, 1, 0, 0, 0)
+
+
+def _zip_bytes(members: list[tuple[str, bytes]]) -> bytes:
+    import io
+    import zipfile
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for name, data in members:
+            zf.writestr(zipfile.ZipInfo(name, date_time=_FIXED_DATE), data)
+    return buf.getvalue()
+
+
+def _tar_bytes(members: list[tuple[str, bytes]], links: list[tuple[str, str]] = ()) -> bytes:
+    import io
+    import tarfile
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w", format=tarfile.PAX_FORMAT) as tf:
+        for name, data in members:
+            ti = tarfile.TarInfo(name)
+            ti.size, ti.mtime, ti.mode = len(data), 0, 0o644
+            tf.addfile(ti, io.BytesIO(data))
+        for name, target in links:
+            ti = tarfile.TarInfo(name)
+            ti.type, ti.linkname, ti.mtime = tarfile.SYMTYPE, target, 0
+            tf.addfile(ti)
+    return buf.getvalue()
+
+
+def pack_group(g: int, docs: list[tuple[int, str]]) -> list[tuple[str, str, bytes]]:
+    """(bundle_id, path, content) archives for one group of documents. Kind by g % 4:
+    0 zip; 1 tar.gz holding a zip (two levels) and a README; 2 tar with a symlink;
+    3 zip with a member escaping the destination (rejected whole). Every fifth group also
+    carries a .7z name (unsupported)."""
+    import gzip
+    members = [(f"docs/doc_{i}{_EXTS[i % 6]}", t.encode("utf-8")) for i, t in sorted(docs)]
+    bundle, kind = f"arch{g % 5}", g % 4
+    out = []
+    if kind == 0:
+        out.append((bundle, f"pack_{g}.zip", _zip_bytes(members)))
+    elif kind == 1:
+        inner = _zip_bytes(members)
+        tar = _tar_bytes([("inner.zip", inner), ("README.md", f"# pack {g}\n".encode())])
+        out.append((bundle, f"pack_{g}.tar.gz", gzip.compress(tar, mtime=0)))
+    elif kind == 2:
+        out.append((bundle, f"pack_{g}.tar", _tar_bytes(members, [("docs/latest", members[0][0].split("/")[-1])])))
+    else:
+        out.append((bundle, f"pack_{g}.zip", _zip_bytes(members + [("../evil.sh", b"rm -rf /\n")])))
+    if g % 5 == 0:
+        out.append((bundle, f"pack_{g}.7z", b"7z\xbc\xaf\x27\x1c"))
+    return out
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(bundle_id, path, content) holding archives built from the documents: groups
+    of 25 documents (doc_id div 25) are packed by ``applyInPandas`` (bounded groups)."""
+    import pandas as pd
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["g"].iloc[0])
+        rows = pack_group(g, list(zip(pdf["doc_id"].astype(int), pdf["text"])))
+        return pd.DataFrame(rows, columns=["bundle_id", "path", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "text", F.expr(f"doc_id div {ARCHIVE_GROUP}").alias("g"))
+    return docs.groupBy("g").applyInPandas(pack, "bundle_id string, path string, content binary")
+
+
+def archive_groups_sql() -> str:
+    """CTE ``groups(g, bundle_id, kind)`` twin of the archive fixture layout."""
+    return (f"groups AS (SELECT DISTINCT doc_id // {ARCHIVE_GROUP} AS g, 'arch' || CAST((doc_id // {ARCHIVE_GROUP}) % 5 "
+            f"AS VARCHAR) AS bundle_id, (doc_id // {ARCHIVE_GROUP}) % 4 AS kind FROM documents)")
