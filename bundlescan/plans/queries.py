@@ -333,3 +333,61 @@ UNION ALL SELECT bundle_id, 'README.md', CAST(1 AS BIGINT), 'pack_' || CAST(g AS
 def q_archive_lineage(spark, sf):
     files, _ = _expanded(spark, sf)
     return ARC.archive_lineage(SRC.entries(files))
+
+
+# ---------------------------------------------------------------- embedding data work (§2.12)
+
+from ..operators import chunks as CH  # noqa: E402
+
+_WS_RE2 = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+"
+_DOC_TOKENS = f"list_filter(regexp_split_to_array(text, '{_WS_RE2}'), lambda x: x != '')"
+
+
+def _chunks_sql() -> str:
+    return f"""tok AS (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents),
+st AS (SELECT doc_id, t, len(t) AS n, unnest(CASE WHEN len(t) = 0 THEN []
+          WHEN len(t) <= {CH.WINDOW} THEN [0] ELSE range(0, len(t), {CH.STRIDE}) END) AS start FROM tok),
+ch AS (SELECT doc_id, CAST(start // {CH.STRIDE} AS BIGINT) AS chunk, CAST(start AS BIGINT) AS start,
+              CASE WHEN n <= {CH.WINDOW} THEN t ELSE t[start + 1 : start + {CH.WINDOW}] END AS piece FROM st)"""
+
+
+@register("token_chunks", lambda: f"WITH {_chunks_sql()}\nSELECT doc_id, chunk, start, "
+                                   "CAST(len(piece) AS BIGINT) AS n_tokens, md5(array_to_string(piece, ' ')) AS chunk_md5 FROM ch")
+def q_token_chunks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    c = CH.token_chunks(docs, "doc_id")
+    return c.drop("_k").select("doc_id", "chunk", "start", "n_tokens", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@register("mean_pool", lambda: """SELECT label, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS value
+FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i""")
+def q_mean_pool(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    m = CH.mean_pool(emb, ["label"], "embedding")
+    return m.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _embed_sql() -> str:
+    return f"""WITH {_chunks_sql()},
+cw AS (SELECT doc_id, chunk, len(piece) AS n_tokens, unnest(piece) AS tk FROM ch),
+cv AS (SELECT doc_id, chunk, CAST(('0x' || substr(md5(tk), 1, 8))::UBIGINT % {CH.HASH_DIM} AS BIGINT) AS dim,
+              count(*) / any_value(n_tokens) AS value FROM cw GROUP BY doc_id, chunk, dim),
+k AS (SELECT doc_id, count(*) AS k FROM ch GROUP BY doc_id)
+SELECT cv.doc_id, cv.dim, round(sum(cv.value) / any_value(k.k), 6) AS value
+FROM cv JOIN k USING (doc_id) GROUP BY cv.doc_id, cv.dim"""
+
+
+@register("embed_text", _embed_sql)
+def q_embed_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    v = CH.embed_text(docs, "doc_id")
+    return v.select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+@register("dir_text_files", lambda: OF.with_entries(
+    f"SELECT bundle_id, path, size_bytes FROM entries WHERE suffix IN "
+    f"({', '.join(repr(e) for e in rules.EMBED_DIR_EXTENSIONS)}) AND size_bytes <= {rules.MAX_TEXT_BYTES}"))
+def q_dir_text_files(spark, sf):
+    e = _entries(spark, sf)
+    return e.where(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS) & (F.col("size_bytes") <= rules.MAX_TEXT_BYTES)
+                   ).select("bundle_id", "path", "size_bytes")
