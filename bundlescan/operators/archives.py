@@ -148,7 +148,8 @@ def expand_archives(files: DataFrame, max_depth: int = rules.MAX_ARCHIVE_DEPTH,
     """files(bundle_id, path, content) -> (all files incl. extracted members with
     ``extracted_from`` and ``depth``, archive status rows)."""
     level = files.select("bundle_id", "path", "content",
-                         F.lit(None).cast("string").alias("extracted_from"), F.lit(0).alias("depth"))
+                         F.lit(None).cast("string").alias("extracted_from"), F.lit(0).alias("depth"),
+                         F.lit(None).cast("string").alias("parent_path"))
     outputs, statuses = [level], []
     frontier = level.where(archive_extension(F.col("path")) != "")
     for _ in range(max_depth + 1):
@@ -158,7 +159,7 @@ def expand_archives(files: DataFrame, max_depth: int = rules.MAX_ARCHIVE_DEPTH,
         if checkpoint:
             unpacked = unpacked.checkpoint()
         members = unpacked.where(F.col("kind") == "member").select(
-            "bundle_id", "path", "content", "extracted_from", "depth")
+            "bundle_id", "path", "content", "extracted_from", "depth", F.col("archive_path").alias("parent_path"))
         statuses.append(unpacked.where(F.col("kind") == "status").select(
             "bundle_id", F.col("archive_path").alias("path"), "depth", "status"))
         outputs.append(members)
@@ -174,6 +175,25 @@ def expand_archives(files: DataFrame, max_depth: int = rules.MAX_ARCHIVE_DEPTH,
     return all_files, status
 
 
+def root_normalize(expanded: DataFrame) -> DataFrame:
+    """Uploaded-zip root rule, per top-level zip: when its members have exactly one
+    top-level folder and no top-level SKILL.md, that folder becomes the root (prefix
+    stripped) and loose top-level files are dropped; otherwise members stay as they are.
+    -> bundle_id, archive_path, path."""
+    m = expanded.where((F.col("depth") == 1) & F.lower("parent_path").endswith(".zip"))
+    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1))
+    shape = m.groupBy("bundle_id", "parent_path").agg(
+        F.count_distinct(top).alias("_dirs"), F.max(top).alias("_dir"),
+        F.coalesce(F.bool_or(F.col("path") == "SKILL.md"), F.lit(False)).alias("_skill"))
+    j = m.select("bundle_id", "parent_path", "path").join(shape, ["bundle_id", "parent_path"])
+    single = (F.col("_dirs") == 1) & ~F.col("_skill")
+    prefix = F.concat(F.col("_dir"), F.lit("/"))
+    out = j.where(~single | F.col("path").startswith(prefix)).select(
+        "bundle_id", F.col("parent_path").alias("archive_path"),
+        F.when(single, F.expr("substring(path, length(_dir) + 2)")).otherwise(F.col("path")).alias("path"))
+    return out
+
+
 def archive_lineage(entries: DataFrame) -> DataFrame:
     """child -> parent archive by content hash. Identical archives share a hash, so the
     parent side is reduced to one (bundle, sha256) -> path first (min path)."""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import lines
-from ..sources.corpus import scan_text
+from ..functions.dialect import sql_str, to_re2
+from ..sources.corpus import corpus_sql, scan_text, text_source
 from . import oracle_lines as OL
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -391,3 +392,126 @@ def q_dir_text_files(spark, sf):
     e = _entries(spark, sf)
     return e.where(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS) & (F.col("size_bytes") <= rules.MAX_TEXT_BYTES)
                    ).select("bundle_id", "path", "size_bytes")
+
+
+# ---------------------------------------------------------------- remaining §2 items
+
+@register("root_normalize", lambda: f"""WITH {archive_groups_sql()},
+d AS (SELECT d.doc_id, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g)
+SELECT bundle_id, 'pack_' || CAST(g AS VARCHAR) || '.zip' AS archive_path,
+       'doc_' || CAST(doc_id AS VARCHAR) || ['.py', '.sh', '.js', '.md', '.ps1', '.txt'][doc_id % 6 + 1] AS path
+FROM d WHERE kind = 0""")
+def q_root_normalize(spark, sf):
+    files, _ = _expanded(spark, sf)
+    return ARC.root_normalize(files)
+
+
+ROUTED_OUT = [k for k in rules.FINDING_KEYS if k.replace("_in_docs", "") in rules.ROUTED_KEYS
+              or k == "sensitive_env_var_assignments"]
+
+
+def _route_sql():
+    with_parts = [OI.shell_commands_sql(), OI.sensitive_file_paths_sql(), OI.suspicious_imports_sql(),
+                  OI.sensitive_env_vars_sql(), OI.simple_sql("env_var_references")]
+    body = "\nUNION ALL\n".join(f"SELECT bundle_id, path, key FROM ({q})" for q in with_parts)
+    return f"SELECT bundle_id, path, key, CAST(count(*) AS BIGINT) AS n_values FROM (\n{body}\n) GROUP BY ALL"
+
+
+@register("route_docs", _route_sql)
+def q_route_docs(spark, sf):
+    rows = IND.indicator_rows(IND.file_indicators(scan_text(spark, sf)),
+                              keys=["env_var_references", "shell_commands", "sensitive_file_paths",
+                                    "suspicious_imports", "sensitive_env_var_names"])
+    return rows.groupBy("bundle_id", "path", "key").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+def _gate_count_spark():
+    from ..operators.lines import _gate
+    return sum((F.when(_gate(d, F.col("suffix")), 1).otherwise(0) for d in rules.DETECTORS), F.lit(0))
+
+
+def _gate_count_sql():
+    terms = [("1" if d.gate is None else f"CASE WHEN suffix IN ({', '.join(repr(x) for x in d.gate)}) THEN 1 ELSE 0 END")
+             for d in rules.DETECTORS]
+    return " + ".join(terms)
+
+
+@register("file_type_gate", lambda: f"WITH {corpus_sql()}\nSELECT bundle_id, path, suffix, "
+                                    f"CAST({_gate_count_sql()} AS BIGINT) AS n_detectors FROM scan_text")
+def q_file_type_gate(spark, sf):
+    return scan_text(spark, sf).select("bundle_id", "path", "suffix",
+                                       _gate_count_spark().cast("long").alias("n_detectors"))
+
+
+def _has_any_sql():
+    found = "\n  UNION ALL\n  ".join(OB._found_parts())
+    return (f"WITH {OF.entries_sql()},\nfound AS (\n  {found}\n)\n"
+            "SELECT e.bundle_id, e.path, EXISTS (SELECT 1 FROM found f WHERE f.bundle_id = e.bundle_id "
+            "AND f.path = e.path) AS has_findings FROM entries e")
+
+
+@register("has_any_findings", _has_any_sql)
+def q_has_any_findings(spark, sf):
+    e = _entries(spark, sf)
+    hit = SCAN.findings(e).select("bundle_id", "path").distinct().withColumn("has_findings", F.lit(True))
+    return e.select("bundle_id", "path").join(hit, ["bundle_id", "path"], "left").select(
+        "bundle_id", "path", F.coalesce("has_findings", F.lit(False)).alias("has_findings"))
+
+
+def _projection_sql():
+    return (f"WITH {OB._reports_cte()}\nSELECT skill_name, scan_date, adjusted_risk_level, risk_level, llm_summary, "
+            "CAST(coalesce(len(rf.findings), 0) AS BIGINT) AS n_findings FROM rep LEFT JOIN rf USING (bundle_id)")
+
+
+@register("column_projection", _projection_sql)
+def q_column_projection(spark, sf):
+    e = _entries(spark, sf)
+    rep = _reports(spark, sf, e).join(SCAN.report_findings(SCAN.findings(e)), "bundle_id", "left")
+    # only the six report keys leave; fingerprint and bundle_id are internal
+    return rep.select("skill_name", "scan_date", "adjusted_risk_level", "risk_level", "llm_summary",
+                      F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
+
+
+@register("distinct_sorted", lambda: f"WITH {corpus_sql()}\nSELECT bundle_id, path, string_agg(u, chr(10) ORDER BY u) "
+                                     f"AS urls FROM (SELECT DISTINCT bundle_id, path, unnest(regexp_extract_all(text, "
+                                     f"{sql_str(to_re2(rules.URL))}, 0)) AS u FROM scan_text) GROUP BY ALL")
+def q_distinct_sorted(spark, sf):
+    t = scan_text(spark, sf)
+    u = t.select("bundle_id", "path", IND.extract_set(F.col("text"), rules.URL).alias("u"))
+    return keep_if(u, F.size("u") > 0).select("bundle_id", "path", F.array_join("u", "\n").alias("urls"))
+
+
+def _findings_sql():
+    with text_source(OB._entry_text_ctes()):
+        per_key = [OI.simple_sql(k) for k in OI.SIMPLE] + [
+            OI.shell_commands_sql(), OI.sensitive_file_paths_sql(), OI.suspicious_imports_sql(),
+            OI.sensitive_env_vars_sql(), OI.base64_sql(), OI.wallets_sql()]
+        parts = [f"SELECT bundle_id, path, key, value, CAST(NULL AS BIGINT) AS line FROM ({q})" for q in per_key]
+        parts.append(f"SELECT bundle_id, path, 'security_patterns', match, line FROM ({OL.security_patterns_sql()})")
+        parts.append(f"SELECT bundle_id, path, 'invisible_unicode', char_code, line FROM ({OL.invisible_unicode_sql()})")
+        parts.append(f"SELECT bundle_id, path, 'dns_exfil_patterns', match, line FROM ({OL.dns_exfil_sql()})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("findings", _findings_sql)
+def q_findings(spark, sf):
+    return SCAN.findings(_entries(spark, sf)).select("bundle_id", "path", "key", "value", "line")
+
+
+@register("write_artifact")
+def q_write_artifact(spark, sf):
+    b = SCAN.bundles(corpus_files(spark, sf))
+    return b.select("bundle_id", F.to_json(F.struct(
+        F.col("fingerprint").alias("skill_sha256"),
+        F.struct("name", "version", "author", "description", "total_files", "total_size_bytes", "script_count",
+                 "total_lines", "has_skill_md", "has_readme",
+                 F.struct("has_install_hooks", "install_hooks_found", "package_files_found")
+                 .alias("dependency_metadata")).alias("skill_info"),
+        F.struct(F.col("total_files").alias("total_files_scanned"),
+                 F.col("archives_extracted").alias("total_archives_extracted"), "finding_counts",
+                 "hidden_dotfiles").alias("summary"))).alias("artifact_json"))
+
+
+@register("has_readme", OF.has_files_sql)
+def q_has_readme(spark, sf):
+    return q_has_skill_md(spark, sf)
