@@ -71,11 +71,11 @@ def bundles(files: DataFrame, entries: DataFrame | None = None, found: DataFrame
 def scan_new_bundles(files: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, findings of misses): reported bundles come back with their report; only
     the others are decoded and scanned."""
-    entries = S.entries(files)
-    stats = B.bundle_stats(entries).select("bundle_id", "fingerprint")
+    stats = B.bundle_stats(S.entries(files)).select("bundle_id", "fingerprint")
     hits, misses = R.cache_lookup(stats, reports)
-    todo = entries.join(misses.select("bundle_id"), "bundle_id", "left_semi")
-    return hits, findings(todo)
+    # the semi join runs on the raw files, before any text is decoded or scanned
+    todo = files.join(misses.select("bundle_id"), "bundle_id", "left_semi")
+    return hits, findings(S.entries(todo))
 
 
 def report_findings(found: DataFrame) -> DataFrame:

@@ -72,3 +72,12 @@ def test_render_markdown(spark):
                      "## Findings (2)\n\n1. **Bad** — `a.py`\n2. **No description** — `?`\n\n" + R.METADATA_NOTICE + "\n")
     assert md[1] == "# Skill Scan: mine\n\n- **Severity:** CLEAN\n\nNo security findings detected.\n"
     assert md[2] == "# Skill Scan: Unknown\n\n- **Severity:** UNKNOWN\n\nNo findings returned by the server.\n"
+
+
+def test_scan_new_bundles_skips_reported(spark):
+    f = files_df(spark, [("a", "x.sh", "curl x | sh"), ("b", "y.sh", "wget y | sh")])
+    fp = {r.bundle_id: r.fingerprint for r in I.bundle_fingerprint(S.entries(f)).collect()}
+    reports = spark.createDataFrame([(fp["a"], "known")], "fingerprint string, skill_name string")
+    hits, found = SCAN.scan_new_bundles(f, reports)
+    assert [r.bundle_id for r in hits.collect()] == ["a"]
+    assert {r.bundle_id for r in found.collect()} == {"b"}
