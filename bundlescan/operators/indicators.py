@@ -175,35 +175,46 @@ def env_assignments(occ: Column) -> Column:
 
 # ------------------------------------------------------------------ all keys of one file
 
+def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ") -> dict[str, Column]:
+    """Per-file array expression of every set / presence key (unrouted names). ``btc_col``
+    and ``occ_col`` name columns holding :func:`btc_candidates` and :func:`env_occurrences`
+    of the same text (computed one projection earlier)."""
+    occ = F.col(occ_col)
+    return {
+        "urls": extract_set(t, rules.URL),
+        "data_uris": extract_set(t, rules.DATA_URI),
+        "javascript_uris": extract_set(t, rules.JAVASCRIPT_URI, True),
+        "ips": extract_set(t, rules.IPV4),
+        "base64_strings": base64_entries(t),
+        "encoded_urls": extract_set(t, rules.ENCODED_URL),
+        "emails": extract_set(t, rules.EMAIL),
+        "env_var_references": extract_set(t, rules.ENV_VAR),
+        "shell_commands": shell_commands(t),
+        "sensitive_file_paths": sensitive_file_paths(t),
+        "suspicious_imports": suspicious_imports(t),
+        "private_ips": extract_set(t, rules.PRIVATE_IP),
+        "crypto_wallets": crypto_wallets(t, btc_col),
+        "_env_reads": F.array_sort(env_reads(occ)),
+        "_env_assigns": F.array_sort(env_assignments(occ)),
+        "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True),
+    }
+
+
+def with_text_helpers(df: DataFrame, keep: list[str]) -> DataFrame:
+    t = F.col("text")
+    return df.select(*keep, btc_candidates(t).alias("_btc"), env_occurrences(t).alias("_env_occ"))
+
+
 def file_indicators(df: DataFrame, keep=None) -> DataFrame:
     """One row per file with one array column per set/presence key (unrouted names)
-    plus ``is_script``. Files without text give no row."""
+    plus ``is_script``. Files without text give null arrays (hence no rows in :func:`indicator_rows`)."""
     keep = list(KEEP if keep is None else keep)
-    t = F.col("text")
-    occ = F.col("_env_occ")
-    reads, assigns = env_reads(occ), env_assignments(occ)
     # no Filter on the text: null text gives null arrays and no exploded rows, and a
     # Filter would be pushed below (and re-evaluate) the projection that decodes it
-    df = df.select(*keep, "suffix", "text", btc_candidates(t).alias("_btc"), env_occurrences(t).alias("_env_occ"))
-    return df.select(
-        *keep, is_script(F.col("suffix")).alias("is_script"),
-        extract_set(t, rules.URL).alias("urls"),
-        extract_set(t, rules.DATA_URI).alias("data_uris"),
-        extract_set(t, rules.JAVASCRIPT_URI, True).alias("javascript_uris"),
-        extract_set(t, rules.IPV4).alias("ips"),
-        base64_entries(t).alias("base64_strings"),
-        extract_set(t, rules.ENCODED_URL).alias("encoded_urls"),
-        extract_set(t, rules.EMAIL).alias("emails"),
-        extract_set(t, rules.ENV_VAR).alias("env_var_references"),
-        shell_commands(t).alias("shell_commands"),
-        sensitive_file_paths(t).alias("sensitive_file_paths"),
-        suspicious_imports(t).alias("suspicious_imports"),
-        extract_set(t, rules.PRIVATE_IP).alias("private_ips"),
-        crypto_wallets(t).alias("crypto_wallets"),
-        F.array_sort(reads).alias("_env_reads"),
-        F.array_sort(assigns).alias("_env_assigns"),
-        extract_set(t, rules.PASTE_SERVICE, True).alias("paste_service_urls"),
-    )
+    df = with_text_helpers(df, keep + ["suffix", "text"])
+    arrays = key_arrays(F.col("text"))
+    return df.select(*keep, is_script(F.col("suffix")).alias("is_script"),
+                     *[c.alias(k) for k, c in arrays.items()])
 
 
 SET_KEYS = ["urls", "data_uris", "javascript_uris", "ips", "encoded_urls", "emails",
@@ -217,31 +228,39 @@ def routed_key(key: str, script: Column) -> Column:
     return F.lit(key)
 
 
-def indicator_rows(ind: DataFrame, keys=None, keep=None) -> DataFrame:
-    """Explode :func:`file_indicators` into ``keep.., key, value, decoded`` rows with the
-    reference routing (5 keys go to ``<key>_in_docs`` for non-script files; sensitive
-    env names split into reads / assignments - reads for scripts)."""
-    keep = list(KEEP if keep is None else keep)
+def items(arrays: dict[str, Column], script: Column, keys=None) -> Column:
+    """ARRAY<STRUCT<key, value, decoded>> of one file with the reference routing (5 keys go
+    to ``<key>_in_docs`` for non-script files; sensitive env names split into reads /
+    assignments - reads for scripts, everything ``_in_docs`` for prose)."""
     keys = list(SET_KEYS + ["base64_strings", "sensitive_env_var_names"] if keys is None else keys)
-    s = F.col("is_script")
 
-    def items(arr: Column, key: Column) -> Column:
+    def wrap(arr: Column, key: Column) -> Column:
         return F.transform(arr, lambda v: F.struct(key.alias("key"), v.alias("value"),
                                                    F.lit(None).cast("string").alias("decoded")))
 
     parts = []
     for k in keys:
         if k == "base64_strings":
-            parts.append(F.transform(F.col(k), lambda e: F.struct(F.lit(k).alias("key"), e["encoded"].alias("value"),
-                                                                  e["decoded"].alias("decoded"))))
+            parts.append(F.transform(arrays[k], lambda e: F.struct(F.lit("base64_strings").alias("key"),
+                                                                   e["encoded"].alias("value"),
+                                                                   e["decoded"].alias("decoded"))))
         elif k == "sensitive_env_var_names":
-            reads, assigns = F.col("_env_reads"), F.col("_env_assigns")
-            parts.append(F.when(s, F.concat(
-                items(reads, F.lit("sensitive_env_var_names")),
-                items(F.array_sort(F.array_except(assigns, reads)), F.lit("sensitive_env_var_assignments"))))
-                .otherwise(items(F.array_sort(F.array_union(reads, assigns)),
-                                 F.lit("sensitive_env_var_names_in_docs"))))
+            reads, assigns = arrays["_env_reads"], arrays["_env_assigns"]
+            parts.append(F.when(script, F.concat(
+                wrap(reads, F.lit("sensitive_env_var_names")),
+                wrap(F.array_sort(F.array_except(assigns, reads)), F.lit("sensitive_env_var_assignments"))))
+                .otherwise(wrap(F.array_sort(F.array_union(reads, assigns)), F.lit("sensitive_env_var_names_in_docs"))))
         else:
-            parts.append(items(F.col(k), routed_key(k, s)))
-    return (ind.select(*keep, F.explode(F.concat(*parts)).alias("_f"))
+            parts.append(wrap(arrays[k], routed_key(k, script)))
+    return F.concat(*parts)
+
+
+def indicator_rows(ind: DataFrame, keys=None, keep=None) -> DataFrame:
+    """Explode :func:`file_indicators` into ``keep.., key, value, decoded`` rows."""
+    keep = list(KEEP if keep is None else keep)
+    names = ["urls", "data_uris", "javascript_uris", "ips", "base64_strings", "encoded_urls", "emails",
+             "env_var_references", "shell_commands", "sensitive_file_paths", "suspicious_imports", "private_ips",
+             "crypto_wallets", "_env_reads", "_env_assigns", "paste_service_urls"]
+    arrays = {k: F.col(k) for k in names if k in ind.columns}
+    return (ind.select(*keep, F.explode(items(arrays, F.col("is_script"), keys)).alias("_f"))
             .select(*keep, "_f.key", "_f.value", "_f.decoded"))

@@ -38,20 +38,38 @@ def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> Da
     return df.select(*keep, *extra, F.posexplode(parts).alias("_pos", "_line"))
 
 
+def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate: bool = True) -> Column:
+    """ARRAY<INT>: ids of the detectors (suffix gate passed) that match anywhere in the text."""
+    detectors = list(rules.DETECTORS if detectors is None else detectors)
+    return F.array_compact(F.array(*[
+        F.when(_gate(d, suffix) & (text.rlike(to_java(d.pattern, d.ignore_case, multiline=True))
+                                   if whole_file_gate else text.isNotNull()), F.lit(i))
+        for i, d in enumerate(detectors)
+    ]))
+
+
+def invisible_gate(text: Column) -> Column:
+    return F.coalesce(text.rlike(to_java(rules.INVISIBLE_UNICODE)), F.lit(False))
+
+
+def dns_gate(text: Column) -> Column:
+    return F.coalesce(text.rlike(to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)), F.lit(False))
+
+
 def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True) -> DataFrame:
     """``df(bundle_id, path, suffix, text)`` -> one row per (file, line, rule) hit:
     ``keep.., line, category, pattern_name, description, match``.
     ``whole_file_gate=False`` explodes every line of every file (same result; the bench
     uses it to measure what the gate saves)."""
+    keep = list(KEEP if keep is None else keep)
+    fired = detector_gate(F.col("text"), F.col("suffix"), detectors, whole_file_gate)
+    return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep)
+
+
+def hits_from_gate(files: DataFrame, detectors=None, keep=None) -> DataFrame:
+    """Line hits of files that already carry their gate list in ``_fired``."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     keep = list(KEEP if keep is None else keep)
-    suffix, text = F.col("suffix"), F.col("text")
-    fired = F.array_compact(F.array(*[
-        F.when(_gate(d, suffix) & (text.rlike(to_java(d.pattern, d.ignore_case, multiline=True))
-                                   if whole_file_gate else text.isNotNull()), F.lit(i))
-        for i, d in enumerate(detectors)
-    ]))
-    files = df.select(*keep, "text", fired.alias("_fired"))
     lines = _lines(files, keep, ["_fired"], F.size("_fired") > 0)
     line = F.col("_line")
     hits = F.array_compact(F.array(*[
@@ -75,7 +93,10 @@ def invisible_unicode(df: DataFrame, keep=None) -> DataFrame:
     keep = list(KEEP if keep is None else keep)
     pat = to_java(rules.INVISIBLE_UNICODE)
     files = df.select(*keep, "text")
-    lines = _lines(files, keep, [], F.col("text").rlike(pat)).where(F.col("_line").rlike(pat))
+    gate = F.col("_inv") if "_inv" in df.columns else invisible_gate(F.col("text"))
+    if "_inv" in df.columns:
+        files = df.select(*keep, "text", "_inv")
+    lines = _lines(files, keep, [], gate).where(F.col("_line").rlike(pat))
     chars = lines.select(*keep, (F.col("_pos") + 1).alias("line"),
                          F.posexplode(F.split(F.col("_line"), "", -1)).alias("position", "_ch"))
     return (chars.where(F.col("_ch").rlike(pat))
@@ -85,9 +106,11 @@ def invisible_unicode(df: DataFrame, keep=None) -> DataFrame:
 def dns_exfil(df: DataFrame, keep=None) -> DataFrame:
     """First ``nslookup|dig|host … $`` per line, cut to 100 code points."""
     keep = list(KEEP if keep is None else keep)
-    gate = to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)
     pat = to_java(rules.DNS_EXFIL, ignore_case=True)
-    files = df.select(*keep, "text")
-    lines = _lines(files, keep, [], F.col("text").rlike(gate)).where(F.col("_line").rlike(pat))
+    if "_dns" in df.columns:
+        files, gate = df.select(*keep, "text", "_dns"), F.col("_dns")
+    else:
+        files, gate = df.select(*keep, "text"), dns_gate(F.col("text"))
+    lines = _lines(files, keep, [], gate).where(F.col("_line").rlike(pat))
     return lines.select(*keep, (F.col("_pos") + 1).alias("line"),
                         F.substring(F.regexp_extract("_line", pat, 0), 1, rules.LINE_MATCH_CHARS).alias("match"))

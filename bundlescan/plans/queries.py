@@ -233,10 +233,15 @@ from . import oracle_bundle as OB  # noqa: E402
 from . import scan as SCAN  # noqa: E402
 
 
+def _per_file(spark, sf):
+    """One checkpointed content pass over the corpus files (see ``scan.per_file``)."""
+    return SCAN.per_file(_entries(spark, sf), checkpoint=True)
+
+
 @register("finding_counts", OB.finding_counts_sql)
 def q_finding_counts(spark, sf):
-    e = _entries(spark, sf)
-    return BND.finding_counts(SCAN.findings(e), e.select("bundle_id").distinct())
+    pf = _per_file(spark, sf)
+    return BND.finding_counts(SCAN.findings_from(pf), pf.select("bundle_id").distinct())
 
 
 @register("bundle_report", OB.bundle_report_sql)
@@ -271,9 +276,9 @@ def q_cache_lookup(spark, sf):
 @register("render_report", OB.render_report_sql)
 def q_render_report(spark, sf):
     files = corpus_files(spark, sf)
-    e = SRC.entries(files)
-    rep = _reports(spark, sf, e)
-    found = SCAN.report_findings(SCAN.findings(e))
+    pf = _per_file(spark, sf)
+    rep = fixture_reports(spark, sf, BND.bundle_stats(pf).select("bundle_id", "fingerprint"))
+    found = SCAN.report_findings(SCAN.findings_from(pf))
     meta = BND.bundle_meta(files).select("bundle_id", F.col("name").alias("local_name"))
     n = F.regexp_extract("bundle_id", "[0-9]+", 0).try_cast("int")
     r = (rep.join(found, "bundle_id", "left").join(meta, "bundle_id", "left")
@@ -452,9 +457,9 @@ def _has_any_sql():
 
 @register("has_any_findings", _has_any_sql)
 def q_has_any_findings(spark, sf):
-    e = _entries(spark, sf)
-    hit = SCAN.findings(e).select("bundle_id", "path").distinct().withColumn("has_findings", F.lit(True))
-    return e.select("bundle_id", "path").join(hit, ["bundle_id", "path"], "left").select(
+    pf = _per_file(spark, sf)
+    hit = SCAN.findings_from(pf).select("bundle_id", "path").distinct().withColumn("has_findings", F.lit(True))
+    return pf.select("bundle_id", "path").join(hit, ["bundle_id", "path"], "left").select(
         "bundle_id", "path", F.coalesce("has_findings", F.lit(False)).alias("has_findings"))
 
 
@@ -465,8 +470,9 @@ def _projection_sql():
 
 @register("column_projection", _projection_sql)
 def q_column_projection(spark, sf):
-    e = _entries(spark, sf)
-    rep = _reports(spark, sf, e).join(SCAN.report_findings(SCAN.findings(e)), "bundle_id", "left")
+    pf = _per_file(spark, sf)
+    rep = fixture_reports(spark, sf, BND.bundle_stats(pf).select("bundle_id", "fingerprint")).join(
+        SCAN.report_findings(SCAN.findings_from(pf)), "bundle_id", "left")
     # only the six report keys leave; fingerprint and bundle_id are internal
     return rep.select("skill_name", "scan_date", "adjusted_risk_level", "risk_level", "llm_summary",
                       F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
@@ -495,7 +501,7 @@ def _findings_sql():
 
 @register("findings", _findings_sql)
 def q_findings(spark, sf):
-    return SCAN.findings(_entries(spark, sf)).select("bundle_id", "path", "key", "value", "line")
+    return SCAN.findings_from(_per_file(spark, sf)).select("bundle_id", "path", "key", "value", "line")
 
 
 @register("write_artifact")

@@ -32,32 +32,56 @@ def _shape(df: DataFrame) -> DataFrame:
                        for c in FINDING_COLS])
 
 
-def text_files(entries: DataFrame) -> DataFrame:
-    # null text (binary, > 2 MiB) flows through as null: every extractor yields nothing for it
-    return entries.select("bundle_id", "path", "suffix", "text")
-
-
-def findings(entries: DataFrame) -> DataFrame:
-    """Long findings table over all 24 keys (three grains kept apart by ``key``)."""
-    t = text_files(entries)
-    sets = IND.indicator_rows(IND.file_indicators(t))
-    sec = L.detector_hits(t).select("bundle_id", "path", F.lit("security_patterns").alias("key"),
-                                    F.col("match").alias("value"), "line", "category", "pattern_name", "description")
-    inv = L.invisible_unicode(t).select("bundle_id", "path", F.lit("invisible_unicode").alias("key"),
-                                        F.col("char_code").alias("value"), "line", "position")
-    dns = L.dns_exfil(t).select("bundle_id", "path", F.lit("dns_exfil_patterns").alias("key"),
-                                F.col("match").alias("value"), "line")
+ENTRY_COLS = ["bundle_id", "path", "size_bytes", "mime_type", "sha256", "md5", "is_archive", "extracted_from",
+              "depth", "suffix", "is_script", "line_count"]
+
+
+def per_file(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
+    """The single content pass: one row per file with its entry columns, every set /
+    presence finding (``_items``), the line-rule gate (``_fired``), the invisible / DNS
+    gates, and the text only for files whose line gates fired (``text`` is null for the
+    rest — at scale nearly every file). With ``checkpoint`` the result is materialised in
+    the shared checkpoint folder, so findings and roll-ups read this small table instead
+    of decoding the content again, and a lost executor does not restart the scan."""
+    h = IND.with_text_helpers(entries, ENTRY_COLS + ["text"])
+    t = F.col("text")
+    g = h.select(*ENTRY_COLS, "text",
+                 IND.items(IND.key_arrays(t), F.col("is_script")).alias("_items"),
+                 L.detector_gate(t, F.col("suffix")).alias("_fired"),
+                 L.invisible_gate(t).alias("_inv"), L.dns_gate(t).alias("_dns"))
+    keep_text = (F.size("_fired") > 0) | F.col("_inv") | F.col("_dns")
+    out = g.select(*ENTRY_COLS, "_items", "_fired", "_inv", "_dns", F.when(keep_text, F.col("text")).alias("text"))
+    return out.checkpoint() if checkpoint else out
+
+
+def findings_from(pf: DataFrame) -> DataFrame:
+    """Long findings table (all 24 keys, three grains kept apart by ``key``) from
+    :func:`per_file` rows."""
+    sets = (pf.select("bundle_id", "path", F.explode("_items").alias("_f"))
+            .select("bundle_id", "path", "_f.key", "_f.value", "_f.decoded"))
+    sec = L.hits_from_gate(pf.select("bundle_id", "path", "text", "_fired")).select(
+        "bundle_id", "path", F.lit("security_patterns").alias("key"), F.col("match").alias("value"), "line",
+        "category", "pattern_name", "description")
+    inv = L.invisible_unicode(pf.select("bundle_id", "path", "text", "_inv")).select(
+        "bundle_id", "path", F.lit("invisible_unicode").alias("key"), F.col("char_code").alias("value"), "line",
+        "position")
+    dns = L.dns_exfil(pf.select("bundle_id", "path", "text", "_dns")).select(
+        "bundle_id", "path", F.lit("dns_exfil_patterns").alias("key"), F.col("match").alias("value"), "line")
     return _shape(sets).unionByName(_shape(sec)).unionByName(_shape(inv)).unionByName(_shape(dns))
 
 
-def bundles(files: DataFrame, entries: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+def findings(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
+    """Long findings table of ``entries`` (works on streaming input with ``checkpoint=False``)."""
+    return findings_from(per_file(entries, checkpoint))
+
+
+def bundles(files: DataFrame, checkpoint: bool = True) -> DataFrame:
     """One flat row per bundle: totals, identity, metadata, dotfiles, package files and the
-    24 finding counts as ``MAP<STRING,BIGINT>``."""
-    entries = S.entries(files) if entries is None else entries
-    found = findings(entries) if found is None else found
-    stats = B.bundle_stats(entries)
+    24 finding counts as ``MAP<STRING,BIGINT>``. File contents are decoded and scanned once."""
+    pf = per_file(S.entries(files), checkpoint)
+    stats = B.bundle_stats(pf)
     meta = B.bundle_meta(files)
-    counts = B.finding_counts_map(B.finding_counts(found, stats.select("bundle_id")))
+    counts = B.finding_counts_map(B.finding_counts(findings_from(pf), stats.select("bundle_id")))
     out = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left")
     return out.select(
         "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
