@@ -193,3 +193,116 @@ def to_re2(pattern: str, ignore_case: bool = False) -> str:
 def sql_str(s: str) -> str:
     """Quote a Python string as a SQL string literal (DuckDB / Spark SQL)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+# ------------------------------------------------------------------ required literals
+
+_SPECIAL = set(".^$*+?{}[]()|\\")
+# characters outside ASCII whose simple case mapping lands on an ASCII letter; folding them
+# first makes lower-cased substring tests a superset of Unicode case-insensitive matching
+FOLD_FROM = "ſıİK"
+FOLD_TO = "sIIk"
+
+
+def _split_top(toks):
+    alts, cur, depth = [], [], 0
+    for t, in_class in toks:
+        if not in_class and t == "(":
+            depth += 1
+        elif not in_class and t == ")":
+            depth -= 1
+        if not in_class and depth == 0 and t == "|":
+            alts.append(cur)
+            cur = []
+        else:
+            cur.append((t, in_class))
+    alts.append(cur)
+    return alts
+
+
+def _literal_group(toks) -> list[str] | None:
+    """Alternatives of a group whose every branch is a plain literal (``\\b`` ignored)."""
+    inner = toks[1:-1]
+    if inner[:2] == [("?", False), (":", False)]:
+        inner = inner[2:]
+    elif inner and inner[0] == ("?", False):
+        return None
+    lits = []
+    for alt in _split_top(inner):
+        chars = []
+        for t, in_class in alt:
+            if in_class or t == r"\b":
+                if in_class:
+                    return None
+                continue
+            if len(t) == 1 and t not in _SPECIAL:
+                chars.append(t)
+            elif len(t) == 2 and t[0] == "\\" and not t[1].isalnum():
+                chars.append(t[1])
+            else:
+                return None
+        if not chars:
+            return None
+        lits.append("".join(chars))
+    return lits
+
+
+def _best_run(toks) -> tuple[str, list[str] | None]:
+    """(longest literal run, any-of literal group) at the top level of one alternative that
+    every match must contain; quantified characters / groups and quantifier bounds end a run."""
+    best, run, group, depth, i = "", "", None, 0, 0
+    while i < len(toks):
+        t, in_class = toks[i]
+        if not in_class and t == "{" and depth == 0:
+            while i < len(toks) and toks[i][0] != "}":
+                i += 1
+            best, run = max(best, run, key=len), ""
+            i += 1
+            continue
+        if not in_class and t == "(" and depth == 0:
+            j, d = i, 0
+            while j < len(toks):
+                if not toks[j][1] and toks[j][0] == "(":
+                    d += 1
+                elif not toks[j][1] and toks[j][0] == ")":
+                    d -= 1
+                    if d == 0:
+                        break
+                j += 1
+            after = toks[j + 1][0] if j + 1 < len(toks) and not toks[j + 1][1] else ""
+            if after not in ("?", "*", "{") and group is None:
+                group = _literal_group(toks[i:j + 1])
+            best, run = max(best, run, key=len), ""
+            i = j + 1
+            continue
+        nxt = toks[i + 1][0] if i + 1 < len(toks) and not toks[i + 1][1] else ""
+        lit = None
+        if not in_class:
+            if len(t) == 1 and t not in _SPECIAL:
+                lit = t
+            elif len(t) == 2 and t[0] == "\\" and not t[1].isalnum():
+                lit = t[1]
+        if lit is not None and nxt not in ("?", "*", "{"):
+            run += lit
+            if nxt == "+":
+                best, run = max(best, run, key=len), ""
+        else:
+            best, run = max(best, run, key=len), ""
+        i += 1
+    return max(best, run, key=len), group
+
+
+def required_literals(pattern: str, max_alternatives: int = 12) -> list[str] | None:
+    """Literals of which every match contains at least one (a run or a literal group per
+    top-level alternative), or None when some alternative has none."""
+    out = []
+    for alt in _split_top(_tokens(pattern)):
+        run, group = _best_run(alt)
+        if len(run) >= 3 or (run and not group):
+            out.append(run)
+        elif group:
+            out.extend(group)
+        else:
+            return None
+    out = sorted(set(out))
+    return out if len(out) <= max_alternatives else None

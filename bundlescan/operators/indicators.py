@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import to_java
+from ..functions.prefilter import folded, may_match
 
 KEEP = ["bundle_id", "path"]
 
@@ -24,8 +25,15 @@ def _j(p: str, ic: bool = False) -> Column:
     return F.lit(to_java(p, ic))
 
 
-def extract_set(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, _j(pattern, ignore_case), F.lit(0))))
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Column | None = None) -> Column:
+    """Sorted distinct matches; the regex runs only on texts holding a required literal."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, _j(pattern, ignore_case), F.lit(0))))
+    gate = may_match(text, fold, pattern, ignore_case)
+    return found if gate is None else F.when(text.isNull(), F.lit(None)).when(gate, found).otherwise(_empty())
 
 
 def is_script(suffix: Column) -> Column:
@@ -35,7 +43,9 @@ def is_script(suffix: Column) -> Column:
 # ------------------------------------------------------------------ redaction (§2.9)
 
 def redact(col: Column) -> Column:
-    """Nine secret shapes, in order, each replaced by ``[REDACTED:<label>]``."""
+    """Nine secret shapes, in order, each replaced by ``[REDACTED:<label>]``. (No literal
+    prefilter here: each step would reference the previous one three times and the
+    expression tree would grow geometrically.)"""
     for pattern, label, ic in rules.SECRET_SHAPES:
         col = F.regexp_replace(col, to_java(pattern, ic), f"[REDACTED:{label}]")
     return col
@@ -44,7 +54,8 @@ def redact(col: Column) -> Column:
 def secret_counts(text: Column) -> Column:
     """map label -> number of matches of that shape in the (unredacted) text."""
     return F.array(*[F.struct(F.lit(label).alias("label"),
-                              F.regexp_count(text, _j(p, ic)).cast("long").alias("n"))
+                              F.when(may_match(text, None, p, ic), F.regexp_count(text, _j(p, ic)))
+                              .otherwise(F.when(text.isNotNull(), 0)).cast("long").alias("n"))
                      for p, label, ic in rules.SECRET_SHAPES])
 
 
@@ -109,20 +120,12 @@ def btc_candidates(text: Column) -> Column:
 
 # ------------------------------------------------------------------ presence (§2.7)
 
-_WHOLE_WORD = re.compile(r"\\b(\w+)\\b")
-
-
-def shell_commands(text: Column) -> Column:
-    """Rule names found in the lower-cased text. A ``\\bword\\b`` rule fires exactly when
-    the word is one of the maximal runs of word characters, so the 21 one-word rules are
-    answered by one split + set intersection; the four multi-token rules stay regexes."""
-    low = F.lower(text)
-    words = [(p, n) for p, n in rules.SHELL_COMMANDS if _WHOLE_WORD.fullmatch(p)]
-    others = [(p, n) for p, n in rules.SHELL_COMMANDS if not _WHOLE_WORD.fullmatch(p)]
-    tokens = F.split(low, r"[^\p{L}\p{N}_]+", -1)
-    hit_words = F.array_intersect(F.array(*[F.lit(n) for _, n in words]), tokens)
-    hit_others = F.array_compact(F.array(*[F.when(low.rlike(to_java(p)), F.lit(n)) for p, n in others]))
-    return F.array_sort(F.concat(hit_words, hit_others))
+def shell_commands(text: Column, low: Column | None = None) -> Column:
+    """Rule names found in the lower-cased text (``low``: a column holding ``lower(text)``);
+    each rule's regex runs only when its required literal occurs."""
+    low = F.lower(text) if low is None else low
+    return F.array_sort(F.array_compact(F.array(*[
+        F.when(may_match(low, None, p) & low.rlike(to_java(p)), F.lit(n)) for p, n in rules.SHELL_COMMANDS])))
 
 
 def sensitive_path_pattern(sp: str) -> str:
@@ -141,12 +144,15 @@ def sensitive_path_pattern(sp: str) -> str:
 
 def sensitive_file_paths(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[
-        F.when(text.rlike(to_java(sensitive_path_pattern(sp))), F.lit(sp)) for sp in rules.SENSITIVE_PATHS])))
+        F.when((F.instr(text, sp) > 0) & text.rlike(to_java(sensitive_path_pattern(sp))), F.lit(sp))
+        for sp in rules.SENSITIVE_PATHS])))
 
 
 def suspicious_imports(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[
-        F.regexp_extract_all(text, _j(p, ic), F.lit(0)) for p, ic in rules.SUSPICIOUS_IMPORTS])))
+        F.when(may_match(text, None, p, ic), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(
+            F.when(text.isNotNull(), _empty()))
+        for p, ic in rules.SUSPICIOUS_IMPORTS])))
 
 
 # ------------------------------------------------------------------ sensitive env names
@@ -175,34 +181,35 @@ def env_assignments(occ: Column) -> Column:
 
 # ------------------------------------------------------------------ all keys of one file
 
-def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ") -> dict[str, Column]:
+def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ", fold_col: str = "_fold") -> dict[str, Column]:
     """Per-file array expression of every set / presence key (unrouted names). ``btc_col``
     and ``occ_col`` name columns holding :func:`btc_candidates` and :func:`env_occurrences`
     of the same text (computed one projection earlier)."""
-    occ = F.col(occ_col)
+    occ, fold = F.col(occ_col), F.col(fold_col)
     return {
         "urls": extract_set(t, rules.URL),
         "data_uris": extract_set(t, rules.DATA_URI),
-        "javascript_uris": extract_set(t, rules.JAVASCRIPT_URI, True),
+        "javascript_uris": extract_set(t, rules.JAVASCRIPT_URI, True, fold),
         "ips": extract_set(t, rules.IPV4),
         "base64_strings": base64_entries(t),
         "encoded_urls": extract_set(t, rules.ENCODED_URL),
         "emails": extract_set(t, rules.EMAIL),
         "env_var_references": extract_set(t, rules.ENV_VAR),
-        "shell_commands": shell_commands(t),
+        "shell_commands": shell_commands(t, F.col("_low")),
         "sensitive_file_paths": sensitive_file_paths(t),
         "suspicious_imports": suspicious_imports(t),
         "private_ips": extract_set(t, rules.PRIVATE_IP),
         "crypto_wallets": crypto_wallets(t, btc_col),
         "_env_reads": F.array_sort(env_reads(occ)),
         "_env_assigns": F.array_sort(env_assignments(occ)),
-        "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True),
+        "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True, fold),
     }
 
 
 def with_text_helpers(df: DataFrame, keep: list[str]) -> DataFrame:
     t = F.col("text")
-    return df.select(*keep, btc_candidates(t).alias("_btc"), env_occurrences(t).alias("_env_occ"))
+    return df.select(*keep, btc_candidates(t).alias("_btc"), env_occurrences(t).alias("_env_occ"),
+                     folded(t).alias("_fold"), F.lower(t).alias("_low"))
 
 
 def file_indicators(df: DataFrame, keep=None) -> DataFrame:

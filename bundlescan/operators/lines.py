@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import to_java
+from ..functions.prefilter import folded, may_match
 
 KEEP = ["bundle_id", "path"]
 
@@ -38,11 +39,16 @@ def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> Da
     return df.select(*keep, *extra, F.posexplode(parts).alias("_pos", "_line"))
 
 
-def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate: bool = True) -> Column:
-    """ARRAY<INT>: ids of the detectors (suffix gate passed) that match anywhere in the text."""
+def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate: bool = True,
+                  fold: Column | None = None) -> Column:
+    """ARRAY<INT>: ids of the detectors (suffix gate passed) that match anywhere in the text.
+    Each regex runs only when the text holds one of the rule's required literals
+    (``fold`` = the folded text column for case-insensitive rules)."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
+    fold = folded(text) if fold is None else fold
     return F.array_compact(F.array(*[
-        F.when(_gate(d, suffix) & (text.rlike(to_java(d.pattern, d.ignore_case, multiline=True))
+        F.when(_gate(d, suffix) & ((may_match(text, fold, d.pattern, d.ignore_case)
+                                    & text.rlike(to_java(d.pattern, d.ignore_case, multiline=True)))
                                    if whole_file_gate else text.isNotNull()), F.lit(i))
         for i, d in enumerate(detectors)
     ]))
@@ -52,8 +58,9 @@ def invisible_gate(text: Column) -> Column:
     return F.coalesce(text.rlike(to_java(rules.INVISIBLE_UNICODE)), F.lit(False))
 
 
-def dns_gate(text: Column) -> Column:
-    return F.coalesce(text.rlike(to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)), F.lit(False))
+def dns_gate(text: Column, fold: Column | None = None) -> Column:
+    return F.coalesce(may_match(text, fold, rules.DNS_EXFIL, True)
+                      & text.rlike(to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)), F.lit(False))
 
 
 def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True) -> DataFrame:
@@ -62,7 +69,8 @@ def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: boo
     ``whole_file_gate=False`` explodes every line of every file (same result; the bench
     uses it to measure what the gate saves)."""
     keep = list(KEEP if keep is None else keep)
-    fired = detector_gate(F.col("text"), F.col("suffix"), detectors, whole_file_gate)
+    df = df.select(*keep, "suffix", "text", folded(F.col("text")).alias("_fold"))
+    fired = detector_gate(F.col("text"), F.col("suffix"), detectors, whole_file_gate, F.col("_fold"))
     return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep)
 
 

@@ -32,3 +32,24 @@ def test_first_match_parity(spark, samples):
         for i, (p, ic) in enumerate(PATTERNS):
             m = re.search(p, row.t, re.IGNORECASE if ic else 0)
             assert (m.group(0) if m else "") == row[f"p{i}"], (p, row.t)
+
+
+def test_required_literals_are_required():
+    """Every match of every rule contains one of its required literals (checked with
+    Python ``re`` on the planted snippets and random strings)."""
+    import random
+
+    from bundlescan.functions.dialect import FOLD_FROM, FOLD_TO, required_literals
+    from bundlescan.sources.corpus import SNIPPETS
+    rnd = random.Random(7)
+    samples = list(SNIPPETS) + ["".join(rnd.choice(ALPHABET) for _ in range(15)) for _ in range(3000)]
+    fold = str.maketrans(FOLD_FROM, FOLD_TO)
+    for p, ic in PATTERNS:
+        lits = required_literals(p)
+        if not lits:
+            continue
+        for s in samples:
+            for m in re.finditer(p, s, re.IGNORECASE if ic else 0):
+                seg = m.group(0).translate(fold).lower() if ic else m.group(0)
+                want = [x.lower() for x in lits] if ic else lits
+                assert any(x in seg for x in want), (p, s, lits)
