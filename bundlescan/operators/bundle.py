@@ -25,6 +25,17 @@ def hidden_name(name: Column) -> Column:
     return name.startswith(".") & ~name.isin(*rules.ALLOWED_DOTFILES)
 
 
+def hidden_dotfiles_long(entries: DataFrame) -> DataFrame:
+    """(bundle_id, name) of hidden dotfiles as a distributed distinct — no per-bundle list."""
+    name = base_name(F.col("path"))
+    return entries.select("bundle_id", name.alias("name")).where(hidden_name(F.col("name"))).distinct()
+
+
+def package_files_long(entries: DataFrame) -> DataFrame:
+    name = base_name(F.col("path"))
+    return entries.select("bundle_id", name.alias("name")).where(F.col("name").isin(*rules.PACKAGE_FILES)).distinct()
+
+
 def bundle_stats(entries: DataFrame) -> DataFrame:
     """One aggregate pass over entries: totals, dotfiles, package files, root flags and
     the fingerprint limb sums."""

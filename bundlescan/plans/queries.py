@@ -99,7 +99,13 @@ _indicator_query("base64_strings", ["base64_strings"], OI.base64_sql)
 _indicator_query("crypto_wallets", ["crypto_wallets"], OI.wallets_sql)
 
 
-@register("base58check")
+def _base58_sql():
+    return (f"{OI._files()}\nSELECT bundle_id, path, candidate, {OI.base58check_duck('candidate')} AS valid FROM "
+            f"(SELECT DISTINCT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(to_re2(rules.BTC_WALLET))}, 0)) "
+            f"AS candidate FROM tfiles) WHERE NOT starts_with(candidate, 'bc1')")
+
+
+@register("base58check", _base58_sql)
 def q_base58check(spark, sf):
     """Every legacy-address-shaped candidate with its Base58Check verdict."""
     t = scan_text(spark, sf)
@@ -193,12 +199,12 @@ def q_bundle_totals(spark, sf):
 
 @register("hidden_dotfiles", OF.hidden_dotfiles_sql)
 def q_hidden_dotfiles(spark, sf):
-    return BND.bundle_stats(_entries(spark, sf)).select("bundle_id", F.explode("hidden_dotfiles").alias("name"))
+    return BND.hidden_dotfiles_long(_entries(spark, sf))
 
 
 @register("package_file_match", OF.package_files_sql)
 def q_package_file_match(spark, sf):
-    return BND.bundle_stats(_entries(spark, sf)).select("bundle_id", F.explode("package_files_found").alias("name"))
+    return BND.package_files_long(_entries(spark, sf))
 
 
 @register("has_skill_md", OF.has_files_sql)
