@@ -30,13 +30,21 @@ def folded(text: Column) -> Column:
 MIN_LITERAL = 4
 
 
+def _distinctive(lit: str) -> bool:
+    """Worth a byte search: long enough, or made of punctuation that prose rarely holds
+    (``@``, ``://``, ``$``) — not common separators."""
+    if len(lit) >= MIN_LITERAL:
+        return True
+    return not any(c.isalnum() for c in lit) and not set(lit) <= set(" .,;:-_'\"()")
+
+
 @lru_cache(maxsize=None)
 def _lits(pattern: str, ignore_case: bool) -> tuple[str, ...] | None:
     """Literals worth a prefilter: all of them distinctive (>= 4 characters), and the regex
     itself unable to search fast — java.util.regex already uses Boyer-Moore when a
     case-sensitive pattern starts with a literal, so those get no prefilter."""
     lits = required_literals(pattern)
-    if not lits or min(len(x) for x in lits) < MIN_LITERAL:
+    if not lits or not all(_distinctive(x) for x in lits):
         return None
     if not ignore_case and re.match(r"[A-Za-z0-9_/~]", to_java(pattern)[len("(?d)"):]):
         return None
