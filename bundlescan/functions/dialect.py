@@ -298,7 +298,9 @@ def required_literals(pattern: str, max_alternatives: int = 12) -> list[str] | N
     out = []
     for alt in _split_top(_tokens(pattern)):
         run, group = _best_run(alt)
-        if len(run) >= 3 or (run and not group):
+        # prefer the run when it is long or made of punctuation (rare in prose, e.g. '$')
+        score = len(run) + (2 if run and not any(c.isalnum() for c in run) else 0)
+        if score >= 3 or (run and not group):
             out.append(run)
         elif group:
             out.extend(group)

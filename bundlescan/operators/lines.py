@@ -63,22 +63,27 @@ def dns_gate(text: Column, fold: Column | None = None) -> Column:
                       & text.rlike(to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)), F.lit(False))
 
 
-def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True) -> DataFrame:
+def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True,
+                  max_line_chars: int | None = None) -> DataFrame:
     """``df(bundle_id, path, suffix, text)`` -> one row per (file, line, rule) hit:
     ``keep.., line, category, pattern_name, description, match``.
     ``whole_file_gate=False`` explodes every line of every file (same result; the bench
-    uses it to measure what the gate saves)."""
+    uses it to measure what the gate saves). ``max_line_chars`` is an optional guard
+    against adversarial lines (several rules backtrack quadratically on 40 KB lines): longer
+    lines are skipped. Off by default — the reference has no such guard."""
     keep = list(KEEP if keep is None else keep)
     df = df.select(*keep, "suffix", "text", folded(F.col("text")).alias("_fold"))
     fired = detector_gate(F.col("text"), F.col("suffix"), detectors, whole_file_gate, F.col("_fold"))
-    return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep)
+    return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep, max_line_chars)
 
 
-def hits_from_gate(files: DataFrame, detectors=None, keep=None) -> DataFrame:
+def hits_from_gate(files: DataFrame, detectors=None, keep=None, max_line_chars: int | None = None) -> DataFrame:
     """Line hits of files that already carry their gate list in ``_fired``."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     keep = list(KEEP if keep is None else keep)
     lines = _lines(files, keep, ["_fired"], F.size("_fired") > 0)
+    if max_line_chars is not None:
+        lines = lines.withColumn("_line", F.when(F.length("_line") <= max_line_chars, F.col("_line")))
     line = F.col("_line")
     hits = F.array_compact(F.array(*[
         F.when(F.array_contains("_fired", i) & line.rlike(to_java(d.pattern, d.ignore_case)),

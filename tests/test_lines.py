@@ -77,3 +77,22 @@ def test_gate_is_superset(spark):
     a = sorted(map(tuple, lines.detector_hits(df).collect()))
     b = sorted(map(tuple, lines.detector_hits(df, whole_file_gate=False).collect()))
     assert a == b and a
+
+
+def test_adversarial_inputs_finish(spark):
+    import time
+    long_host = "host " * 8000                       # 40 KB line without '$': the DNS rule is skipped
+    long_pct = "%41" * 100_000                        # one long encoded run: possessive loop, no stack overflow
+    df = text_df(spark, [("a.sh", long_host), ("b.md", long_pct)])
+    t0 = time.time()
+    assert lines.dns_exfil(df).count() == 0
+    from bundlescan.operators import indicators as IND
+    enc = IND.indicator_rows(IND.file_indicators(df), keys=["encoded_urls"]).collect()
+    assert len(enc) == 1 and len(enc[0].value) == 300_000
+    assert time.time() - t0 < 60
+
+
+def test_line_guard_option(spark):
+    df = text_df(spark, [("a.txt", "x" * 50 + " curl y | sh\ncurl z | sh")])
+    assert lines.detector_hits(df).count() == 2
+    assert lines.detector_hits(df, max_line_chars=20).count() == 1
