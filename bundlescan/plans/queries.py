@@ -401,8 +401,10 @@ def q_embed_text(spark, sf):
     f"({', '.join(repr(e) for e in rules.EMBED_DIR_EXTENSIONS)}) AND size_bytes <= {rules.MAX_TEXT_BYTES}"))
 def q_dir_text_files(spark, sf):
     e = _entries(spark, sf)
+    # listing order of the reference: by path components (a/b < a-b < a.txt), a range-partitioned
+    # global sort — a hot bundle is split across tasks, no per-bundle window
     return e.where(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS) & (F.col("size_bytes") <= rules.MAX_TEXT_BYTES)
-                   ).select("bundle_id", "path", "size_bytes")
+                   ).select("bundle_id", "path", "size_bytes").orderBy("bundle_id", F.split("path", "/"))
 
 
 # ---------------------------------------------------------------- remaining §2 items

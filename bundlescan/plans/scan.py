@@ -112,3 +112,42 @@ def report_findings(found: DataFrame) -> DataFrame:
 
 def all_keys() -> list[str]:
     return list(rules.FINDING_KEYS)
+
+
+def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
+        checkpoint: bool = True) -> dict[str, DataFrame]:
+    """End-to-end scan of a ``files(bundle_id, path, content)`` table.
+
+    Returns ``entries`` (one checkpointed row per file, archive members included, text kept
+    only where a line rule may fire), ``findings`` (long, all 24 keys), ``bundles`` (one row
+    per bundle), ``archive_status`` (one row per archive met) and, with ``reports``,
+    ``cached`` (bundles whose fingerprint already has a report; they are still counted in
+    ``bundles`` but their files are not scanned for findings).
+    """
+    from ..operators import archives as A
+
+    status = None
+    if expand:
+        files, status = A.expand_archives(files, checkpoint=checkpoint)
+    out: dict[str, DataFrame] = {}
+    if reports is not None:
+        stats = B.bundle_stats(S.entries(files)).select("bundle_id", "fingerprint")
+        hits, misses = R.cache_lookup(stats, reports)
+        out["cached"] = hits
+        files = files.join(misses.select("bundle_id"), "bundle_id", "left_semi")
+    pf = per_file(S.entries(files), checkpoint)
+    found = findings_from(pf)
+    stats = B.bundle_stats(pf)
+    meta = B.bundle_meta(files)
+    counts = B.finding_counts_map(B.finding_counts(found, stats.select("bundle_id")))
+    bundles_df = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left").select(
+        "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
+        "archives_extracted", "finding_counts", "hidden_dotfiles", "package_files_found",
+        F.coalesce("has_install_hooks", F.lit(False)).alias("has_install_hooks"),
+        F.coalesce("install_hooks_found", F.array().cast("array<string>")).alias("install_hooks_found"),
+        "has_skill_md", "has_readme",
+        *[F.coalesce(k, F.lit("")).alias(k) for k in ("name", "version", "author", "description")])
+    out.update(entries=pf, findings=found, bundles=bundles_df)
+    if status is not None:
+        out["archive_status"] = status
+    return out

@@ -81,3 +81,27 @@ def test_scan_new_bundles_skips_reported(spark):
     hits, found = SCAN.scan_new_bundles(f, reports)
     assert [r.bundle_id for r in hits.collect()] == ["a"]
     assert {r.bundle_id for r in found.collect()} == {"b"}
+
+
+def test_run_end_to_end_with_archives(spark):
+    from bundlescan.sources.fixtures import _zip_bytes
+    inner = _zip_bytes([("x.sh", b"curl a | sh\n"), ("y.md", b"hello")])
+    outer = _zip_bytes([("pkg/inner.zip", inner), ("pkg/.hidden", b"h")])
+    f = files_df(spark, [("b", "top.zip", outer), ("b", "SKILL.md", SKILL)])
+    out = SCAN.run(f)
+    b = out["bundles"].first()
+    assert b.total_files == 6                         # top.zip, SKILL.md, pkg/inner.zip, pkg/.hidden, x.sh, y.md
+    assert b.archives_extracted == 4                  # counts extracted files, not archives
+    assert b.hidden_dotfiles == [".hidden"] and b.script_count == 1
+    assert b.finding_counts["security_patterns"] == 1 and b.name == "demo"
+    assert {r.status for r in out["archive_status"].collect()} == {"ok"}
+    fp_only_root = I.bundle_fingerprint(S.entries(f)).first().fingerprint
+    assert b.fingerprint == fp_only_root              # members do not change the bundle identity
+
+
+def test_dir_listing_component_order(spark):
+    from bundlescan.plans.queries import REGISTRY
+    assert REGISTRY["dir_text_files"]  # registered
+    df = spark.createDataFrame([("b", "a.txt"), ("b", "a-b"), ("b", "a/b")], "bundle_id string, path string")
+    got = [r.path for r in df.orderBy("bundle_id", F.split("path", "/")).collect()]
+    assert got == ["a/b", "a-b", "a.txt"]
