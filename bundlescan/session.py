@@ -15,8 +15,11 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # rows can hold whole files: keep Arrow batches small for the byte stages
+    # rows can hold whole files (an archive up to 500 MiB): bound Arrow batches by bytes both
+    # ways for the Python stages (archive unpacking, optional encoder), not only by rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerOutputBatch": str(64 * 1024 * 1024),
 }
 
 
