@@ -2,7 +2,7 @@
 
 Plan shape (all narrow, no shuffle):
 
-1. whole-file gate — per file, the ids of the rules that match *anywhere* in the text
+1. whole-file gate — per file, the flags of the rules that match *anywhere* in the text
    (rule compiled in ``(?m)`` mode). A whole-text match is a superset of the line
    matches, so a file with an empty gate list can never produce a hit and is never
    exploded into lines. At scale almost every file is clean; this keeps the line
@@ -41,17 +41,27 @@ def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> Da
 
 def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate: bool = True,
                   fold: Column | None = None) -> Column:
-    """ARRAY<INT>: ids of the detectors (suffix gate passed) that match anywhere in the text.
-    Each regex runs only when the text holds one of the rule's required literals
-    (``fold`` = the folded text column for case-insensitive rules)."""
+    """STRING of one flag per detector ('1' = its suffix gate passed and it matches
+    anywhere in the text). A flag string, unlike an ``array_compact``-ed id list, is plain
+    string code, so the gate stays inside whole-stage codegen. Each regex runs only when the
+    text holds one of the rule's required literals (``fold`` = the folded text column for
+    case-insensitive rules)."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     fold = folded(text) if fold is None else fold
-    return F.array_compact(F.array(*[
+    return F.concat(*[
         F.when(_gate(d, suffix) & ((may_match(text, fold, d.pattern, d.ignore_case)
                                     & text.rlike(to_java(d.pattern, d.ignore_case, multiline=True)))
-                                   if whole_file_gate else text.isNotNull()), F.lit(i))
-        for i, d in enumerate(detectors)
-    ]))
+                                   if whole_file_gate else text.isNotNull()), F.lit("1")).otherwise(F.lit("0"))
+        for d in detectors
+    ])
+
+
+def any_fired(fired: Column) -> Column:
+    return F.instr(fired, "1") > 0
+
+
+def fired_at(fired: Column, i: int) -> Column:
+    return F.substring(fired, i + 1, 1) == "1"
 
 
 def invisible_gate(text: Column) -> Column:
@@ -81,12 +91,12 @@ def hits_from_gate(files: DataFrame, detectors=None, keep=None, max_line_chars:
     """Line hits of files that already carry their gate list in ``_fired``."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     keep = list(KEEP if keep is None else keep)
-    lines = _lines(files, keep, ["_fired"], F.size("_fired") > 0)
+    lines = _lines(files, keep, ["_fired"], any_fired(F.col("_fired")))
     if max_line_chars is not None:
         lines = lines.withColumn("_line", F.when(F.length("_line") <= max_line_chars, F.col("_line")))
     line = F.col("_line")
     hits = F.array_compact(F.array(*[
-        F.when(F.array_contains("_fired", i) & line.rlike(to_java(d.pattern, d.ignore_case)),
+        F.when(fired_at(F.col("_fired"), i) & line.rlike(to_java(d.pattern, d.ignore_case)),
                F.struct(F.lit(d.category).alias("category"), F.lit(d.name).alias("pattern_name"),
                         F.lit(d.description).alias("description"),
                         F.substring(F.regexp_extract(line, to_java(d.pattern, d.ignore_case), 0),

@@ -49,7 +49,7 @@ def per_file(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
                  IND.items(IND.key_arrays(t), F.col("is_script")).alias("_items"),
                  L.detector_gate(t, F.col("suffix"), fold=F.col("_fold")).alias("_fired"),
                  L.invisible_gate(t).alias("_inv"), L.dns_gate(t, F.col("_fold")).alias("_dns"))
-    keep_text = (F.size("_fired") > 0) | F.col("_inv") | F.col("_dns")
+    keep_text = L.any_fired(F.col("_fired")) | F.col("_inv") | F.col("_dns")
     out = g.select(*ENTRY_COLS, "_items", "_fired", "_inv", "_dns", F.when(keep_text, F.col("text")).alias("text"))
     return out.checkpoint() if checkpoint else out
 
