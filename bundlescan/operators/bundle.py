@@ -48,8 +48,8 @@ def bundle_stats(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("is_script")).alias("script_count"),
         F.sum("line_count").cast("long").alias("total_lines"),
         F.count_if(F.col("extracted_from").isNotNull()).alias("archives_extracted"),
-        F.array_sort(F.collect_set(F.when(hidden_name(name), name))).alias("hidden_dotfiles"),
-        F.array_sort(F.collect_set(F.when(name.isin(*rules.PACKAGE_FILES), name))).alias("package_files_found"),
+        F.sort_array(F.collect_set(F.when(hidden_name(name), name))).alias("hidden_dotfiles"),
+        F.sort_array(F.collect_set(F.when(name.isin(*rules.PACKAGE_FILES), name))).alias("package_files_found"),
         F.coalesce(F.bool_or(root & (F.col("path") == "SKILL.md")), F.lit(False)).alias("has_skill_md"),
         F.coalesce(F.bool_or(root & F.col("path").isin(*rules.README_NAMES)), F.lit(False)).alias("has_readme"),
         *identity.fingerprint_aggs(F.col("path"), F.col("sha256"), member),
@@ -90,7 +90,7 @@ def install_hooks_col(pkg_text: Column) -> Column:
     scripts = F.get_json_object(pkg_text, "$.scripts")
     keys = (F.when(scripts.startswith("{"), F.json_object_keys(scripts))
             .when(scripts.startswith("["), F.from_json(scripts, "array<string>")))
-    return F.array_sort(F.array_intersect(keys, F.array(*[F.lit(h) for h in rules.INSTALL_HOOKS])))
+    return F.sort_array(F.array_intersect(keys, F.array(*[F.lit(h) for h in rules.INSTALL_HOOKS])))
 
 
 def bundle_meta(files: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def mean_pool(df: DataFrame, group_cols: list[str], vec_col: str) -> DataFrame:
 
 def as_vectors(long: DataFrame, group_cols: list[str], dim_col: str = "dim", value_col: str = "value") -> DataFrame:
     """Long (group.., dim, value) -> group.., vector ARRAY<DOUBLE> ordered by dim."""
-    agg = long.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct(dim_col, value_col))).alias("_p"))
+    agg = long.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct(dim_col, value_col))).alias("_p"))
     return agg.select(*group_cols, F.transform("_p", lambda s: s[value_col]).alias("vector"))
 
 

@@ -1,7 +1,7 @@
 """Per-file indicator extractors (set grain and presence grain) and secret redaction.
 
 Each extractor is one JVM expression over the whole text: ``regexp_extract_all`` ->
-``array_distinct`` -> ``array_sort`` (byte order of UTF-8 = code-point order, as
+``array_distinct`` -> ``sort_array`` (byte order of UTF-8 = code-point order, as
 Python's ``sorted``). :func:`file_indicators` evaluates all of them in a single
 projection and :func:`indicator_rows` explodes them into the long ``findings`` shape
 with one generator, so the text is read once and nothing is shuffled.
@@ -31,7 +31,7 @@ def _empty() -> Column:
 
 def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Column | None = None) -> Column:
     """Sorted distinct matches; the regex runs only on texts holding a required literal."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, _j(pattern, ignore_case), F.lit(0))))
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(pattern, ignore_case), F.lit(0))))
     gate = may_match(text, fold, pattern, ignore_case)
     return found if gate is None else F.when(text.isNull(), F.lit(None)).when(gate, found).otherwise(_empty())
 
@@ -111,11 +111,11 @@ def crypto_wallets(text: Column, btc_col: str = "_btc") -> Column:
     names a column holding :func:`btc_candidates` (SQL lambdas need a named input)."""
     eth = F.regexp_extract_all(text, _j(rules.ETH_WALLET), F.lit(0))
     btc_ok = F.expr(f"filter({btc_col}, a -> startswith(a, 'bc1') OR {base58check_sql('a')})")
-    return F.array_sort(F.array_union(F.array_distinct(eth), btc_ok))
+    return F.sort_array(F.array_union(F.array_distinct(eth), btc_ok))
 
 
 def btc_candidates(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, _j(rules.BTC_WALLET), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(rules.BTC_WALLET), F.lit(0))))
 
 
 # ------------------------------------------------------------------ presence (§2.7)
@@ -124,7 +124,7 @@ def shell_commands(text: Column, low: Column | None = None) -> Column:
     """Rule names found in the lower-cased text (``low``: a column holding ``lower(text)``);
     each rule's regex runs only when its required literal occurs."""
     low = F.lower(text) if low is None else low
-    return F.array_sort(F.array_compact(F.array(*[
+    return F.sort_array(F.array_compact(F.array(*[
         F.when(may_match(low, None, p) & low.rlike(to_java(p)), F.lit(n)) for p, n in rules.SHELL_COMMANDS])))
 
 
@@ -143,13 +143,13 @@ def sensitive_path_pattern(sp: str) -> str:
 
 
 def sensitive_file_paths(text: Column) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[
+    return F.sort_array(F.array_compact(F.array(*[
         F.when((F.instr(text, sp) > 0) & text.rlike(to_java(sensitive_path_pattern(sp))), F.lit(sp))
         for sp in rules.SENSITIVE_PATHS])))
 
 
 def suspicious_imports(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*[
+    return F.sort_array(F.array_distinct(F.concat(*[
         F.when(may_match(text, None, p, ic), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(
             F.when(text.isNotNull(), _empty()))
         for p, ic in rules.SUSPICIOUS_IMPORTS])))
@@ -200,8 +200,8 @@ def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ", fold
         "suspicious_imports": suspicious_imports(t),
         "private_ips": extract_set(t, rules.PRIVATE_IP),
         "crypto_wallets": crypto_wallets(t, btc_col),
-        "_env_reads": F.array_sort(env_reads(occ)),
-        "_env_assigns": F.array_sort(env_assignments(occ)),
+        "_env_reads": F.sort_array(env_reads(occ)),
+        "_env_assigns": F.sort_array(env_assignments(occ)),
         "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True, fold),
     }
 
@@ -255,8 +255,8 @@ def items(arrays: dict[str, Column], script: Column, keys=None) -> Column:
             reads, assigns = arrays["_env_reads"], arrays["_env_assigns"]
             parts.append(F.when(script, F.concat(
                 wrap(reads, F.lit("sensitive_env_var_names")),
-                wrap(F.array_sort(F.array_except(assigns, reads)), F.lit("sensitive_env_var_assignments"))))
-                .otherwise(wrap(F.array_sort(F.array_union(reads, assigns)), F.lit("sensitive_env_var_names_in_docs"))))
+                wrap(F.sort_array(F.array_except(assigns, reads)), F.lit("sensitive_env_var_assignments"))))
+                .otherwise(wrap(F.sort_array(F.array_union(reads, assigns)), F.lit("sensitive_env_var_names_in_docs"))))
         else:
             parts.append(wrap(arrays[k], routed_key(k, script)))
     return F.concat(*parts)

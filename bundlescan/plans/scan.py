@@ -106,7 +106,7 @@ def report_findings(found: DataFrame) -> DataFrame:
     """Per bundle: one finding per hit category (description, first file) — at most 16."""
     per = (found.where(F.col("key") == "security_patterns").groupBy("bundle_id", "category")
            .agg(F.min("path").alias("file")))
-    return per.groupBy("bundle_id").agg(F.array_sort(F.collect_list(
+    return per.groupBy("bundle_id").agg(F.sort_array(F.collect_list(
         F.struct(F.concat(F.lit("Detected "), F.col("category")).alias("description"), F.col("file")))).alias("findings"))
 
 
