@@ -14,6 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # scanning is CPU-bound (~150 regex passes per file): smaller input splits give shorter,
+    # better balanced tasks and cheaper recomputation when an executor is lost
+    "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows can hold whole files (an archive up to 500 MiB): bound Arrow batches by bytes both
     # ways for the Python stages (archive unpacking, optional encoder), not only by rows
