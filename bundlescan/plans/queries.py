@@ -270,9 +270,10 @@ def _reports(spark, sf, entries):
 
 @register("cache_lookup", OB.cache_lookup_sql)
 def q_cache_lookup(spark, sf):
-    e = _entries(spark, sf)
-    fps = IDN.bundle_fingerprint(e)
-    hits, misses = REP.cache_lookup(fps, _reports(spark, sf, e))
+    # fingerprints are one row per bundle; materialised once because both sides of the
+    # lookup (bundles and the fixture's earlier reports) are derived from them
+    fps = IDN.bundle_fingerprint(_entries(spark, sf)).checkpoint()
+    hits, misses = REP.cache_lookup(fps, fixture_reports(spark, sf, fps))
     return (hits.select("bundle_id", "fingerprint", F.lit("hit").alias("status"), "skill_name", "risk_level")
             .unionByName(misses.select("bundle_id", "fingerprint", F.lit("miss").alias("status"),
                                        F.lit(None).cast("string").alias("skill_name"),
