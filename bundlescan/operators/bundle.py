@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import to_java
-from ..sources.files import base_name
+from ..sources.files import META_FILES, base_name, meta_text
 from . import identity
 
 
@@ -60,15 +60,6 @@ def bundle_stats(entries: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ metadata
 
-META_FILES = ["SKILL.md", "package.json", "setup.py"]
-
-
-def meta_text(content: Column) -> Column:
-    """Text as the reference reads metadata files: UTF-8 with replacement, universal newlines,
-    no size or type gate."""
-    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
-
-
 def _scalar(block: Column, key: str) -> Column:
     raw = F.regexp_extract(block, f"(?md)^{key}:[ \\t]*(.*?)[ \\t]*$", 1)
     dq = F.regexp_extract(raw, r'^"(.*)"$', 1)
@@ -99,6 +90,18 @@ def bundle_meta(files: DataFrame) -> DataFrame:
     ef = F.col("extracted_from") if "extracted_from" in files.columns else F.lit(None).cast("string")
     m = files.where(ef.isNull() & F.col("path").isin(*META_FILES)).select(
         "bundle_id", "path", meta_text(F.col("content")).alias("t"))
+    return meta_from_text(m)
+
+
+def bundle_meta_from_entries(entries: DataFrame) -> DataFrame:
+    """Same as :func:`bundle_meta`, from the ``_meta_text`` that ``entries`` / ``per_file``
+    captured during the content pass (no second read of the files)."""
+    return meta_from_text(entries.where(F.col("_meta_text").isNotNull())
+                          .select("bundle_id", "path", F.col("_meta_text").alias("t")))
+
+
+def meta_from_text(m: DataFrame) -> DataFrame:
+    """(bundle_id, path, t) rows of root metadata files -> metadata per bundle."""
     cmd = to_java(r"cmdclass\s*=")
     agg = m.groupBy("bundle_id").agg(
         F.first(F.when(F.col("path") == "SKILL.md", F.col("t")), ignorenulls=True).alias("_skill"),

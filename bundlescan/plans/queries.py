@@ -215,7 +215,7 @@ def q_has_skill_md(spark, sf):
 @register("frontmatter", OF.frontmatter_sql)
 def q_frontmatter(spark, sf):
     files = corpus_files(spark, sf)
-    m = files.where(F.col("path") == "SKILL.md").select("bundle_id", BND.meta_text(F.col("content")).alias("t"))
+    m = files.where(F.col("path") == "SKILL.md").select("bundle_id", SRC.meta_text(F.col("content")).alias("t"))
     return m.select("bundle_id", *BND.frontmatter_cols(F.col("t")))
 
 
@@ -282,11 +282,10 @@ def q_cache_lookup(spark, sf):
 
 @register("render_report", OB.render_report_sql)
 def q_render_report(spark, sf):
-    files = corpus_files(spark, sf)
     pf = _per_file(spark, sf)
     rep = fixture_reports(spark, sf, BND.bundle_stats(pf).select("bundle_id", "fingerprint"))
     found = SCAN.report_findings(SCAN.findings_from(pf))
-    meta = BND.bundle_meta(files).select("bundle_id", F.col("name").alias("local_name"))
+    meta = BND.bundle_meta_from_entries(pf).select("bundle_id", F.col("name").alias("local_name"))
     n = F.regexp_extract("bundle_id", "[0-9]+", 0).try_cast("int")
     r = (rep.join(found, "bundle_id", "left").join(meta, "bundle_id", "left")
          .withColumn("findings", F.when(n % 4 == 2, F.array()).otherwise(F.col("findings"))))

@@ -33,7 +33,7 @@ def _shape(df: DataFrame) -> DataFrame:
 
 
 ENTRY_COLS = ["bundle_id", "path", "size_bytes", "mime_type", "sha256", "md5", "is_archive", "extracted_from",
-              "depth", "suffix", "is_script", "line_count"]
+              "depth", "suffix", "is_script", "line_count", "_meta_text"]
 
 
 def per_file(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
@@ -80,7 +80,7 @@ def bundles(files: DataFrame, checkpoint: bool = True) -> DataFrame:
     24 finding counts as ``MAP<STRING,BIGINT>``. File contents are decoded and scanned once."""
     pf = per_file(S.entries(files), checkpoint)
     stats = B.bundle_stats(pf)
-    meta = B.bundle_meta(files)
+    meta = B.bundle_meta_from_entries(pf)
     counts = B.finding_counts_map(B.finding_counts(findings_from(pf), stats.select("bundle_id")))
     out = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left")
     return out.select(
@@ -138,7 +138,7 @@ def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
     pf = per_file(S.entries(files), checkpoint)
     found = findings_from(pf)
     stats = B.bundle_stats(pf)
-    meta = B.bundle_meta(files)
+    meta = B.bundle_meta_from_entries(pf)
     counts = B.finding_counts_map(B.finding_counts(found, stats.select("bundle_id")))
     bundles_df = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left").select(
         "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",

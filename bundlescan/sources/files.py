@@ -81,6 +81,15 @@ def read_text(content: Column, size: Column, text_ok: Column) -> Column:
     return F.when((size <= rules.MAX_TEXT_BYTES) & text_ok, decoded)
 
 
+META_FILES = ["SKILL.md", "package.json", "setup.py"]
+
+
+def meta_text(content: Column) -> Column:
+    """Text as the reference reads bundle metadata files: UTF-8 with replacement,
+    universal newlines, no size or type gate."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
+
+
 def line_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(F.split(text, "\n", -1))).otherwise(0).cast("long")
 
@@ -104,4 +113,7 @@ def entries(files: DataFrame) -> DataFrame:
     e = with_mime_type(e)
     e = e.withColumn("is_script", F.col("suffix").isin(*rules.SCRIPT_EXTENSIONS))
     e = e.withColumn("text", read_text(c, F.col("size_bytes"), is_text(F.col("mime_type"), F.col("suffix"))))
+    # root metadata files keep their text here, so bundle metadata never re-reads the content
+    e = e.withColumn("_meta_text", F.when(F.col("extracted_from").isNull() & F.col("path").isin(*META_FILES),
+                                          meta_text(c)))
     return e.withColumn("line_count", line_count(F.col("text"))).drop("content")
