@@ -121,8 +121,8 @@ def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
     Returns ``entries`` (one checkpointed row per file, archive members included, text kept
     only where a line rule may fire), ``findings`` (long, all 24 keys), ``bundles`` (one row
     per bundle), ``archive_status`` (one row per archive met) and, with ``reports``,
-    ``cached`` (bundles whose fingerprint already has a report; they are still counted in
-    ``bundles`` but their files are not scanned for findings).
+    ``cached`` (bundles whose fingerprint already has a report, joined to it; their files are
+    not scanned and they do not appear in ``findings`` or ``bundles``).
     """
     from ..operators import archives as A
 

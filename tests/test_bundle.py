@@ -105,3 +105,13 @@ def test_dir_listing_component_order(spark):
     df = spark.createDataFrame([("b", "a.txt"), ("b", "a-b"), ("b", "a/b")], "bundle_id string, path string")
     got = [r.path for r in df.orderBy("bundle_id", F.split("path", "/")).collect()]
     assert got == ["a/b", "a-b", "a.txt"]
+
+
+def test_run_with_reports_skips_cached(spark):
+    f = files_df(spark, [("a", "x.sh", "curl a | sh"), ("b", "y.sh", "wget b | sh")])
+    fp = {r.bundle_id: r.fingerprint for r in I.bundle_fingerprint(S.entries(f)).collect()}
+    reports = spark.createDataFrame([(fp["a"], "known", "HIGH")], "fingerprint string, skill_name string, risk_level string")
+    out = SCAN.run(f, reports=reports, expand=False)
+    assert [(r.bundle_id, r.skill_name) for r in out["cached"].collect()] == [("a", "known")]
+    assert {r.bundle_id for r in out["findings"].collect()} == {"b"}
+    assert {r.bundle_id for r in out["bundles"].collect()} == {"b"}
