@@ -529,3 +529,26 @@ def q_write_artifact(spark, sf):
 @register("has_readme", OF.has_files_sql)
 def q_has_readme(spark, sf):
     return q_has_skill_md(spark, sf)
+
+
+def _members_sql():
+    exts = "['.py', '.sh', '.js', '.md', '.ps1', '.txt']"
+    return f"""WITH {archive_groups_sql()},
+d AS (SELECT d.doc_id, d.text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g)
+SELECT bundle_id, 'docs/doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path,
+       CAST(CASE WHEN kind = 1 THEN 2 ELSE 1 END AS BIGINT) AS depth,
+       CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(encode(text)) AS sha256
+FROM d WHERE kind IN (0, 1, 2)
+UNION ALL
+SELECT bundle_id, 'README.md', CAST(1 AS BIGINT), CAST(octet_length(encode(r)) AS BIGINT), sha256(encode(r))
+FROM (SELECT bundle_id, '# pack ' || CAST(g AS VARCHAR) || chr(10) AS r FROM groups WHERE kind = 1)"""
+
+
+@register("archive_members", _members_sql)
+def q_archive_members(spark, sf):
+    """Extracted non-archive members of the archive fixture (exact oracle; the containers'
+    own hashes are checked by ``expand_archives`` rows and the lineage query)."""
+    files, _ = _expanded(spark, sf)
+    e = SRC.entries(files)
+    return keep_if(e, F.col("extracted_from").isNotNull() & ~F.col("is_archive")).select(
+        "bundle_id", "path", F.col("depth").cast("long").alias("depth"), "size_bytes", "sha256")
