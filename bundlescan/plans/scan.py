@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..operators import bundle as B
 from ..operators import indicators as IND
 from ..operators import lines as L
@@ -110,10 +109,6 @@ def report_findings(found: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("Detected "), F.col("category")).alias("description"), F.col("file")))).alias("findings"))
 
 
-def all_keys() -> list[str]:
-    return list(rules.FINDING_KEYS)
-
-
 def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
         checkpoint: bool = True) -> dict[str, DataFrame]:
     """End-to-end scan of a ``files(bundle_id, path, content)`` table.
