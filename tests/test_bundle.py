@@ -115,3 +115,15 @@ def test_run_with_reports_skips_cached(spark):
     assert [(r.bundle_id, r.skill_name) for r in out["cached"].collect()] == [("a", "known")]
     assert {r.bundle_id for r in out["findings"].collect()} == {"b"}
     assert {r.bundle_id for r in out["bundles"].collect()} == {"b"}
+
+
+def test_write_artifact_json_shape(spark):
+    import json
+
+    from bundlescan.plans.queries import REGISTRY
+    rows = REGISTRY["write_artifact"][0](spark, "/root/testdata/sf0.001").collect()
+    art = json.loads(next(r.artifact_json for r in rows if r.bundle_id == "src0"))
+    assert set(art) == {"skill_sha256", "skill_info", "summary"}
+    assert art["skill_info"]["name"] == "skill-0" and art["skill_info"]["version"] == "1.0"
+    assert len(art["summary"]["finding_counts"]) == 24
+    assert art["skill_info"]["dependency_metadata"]["install_hooks_found"] == ["postinstall", "prepare", "cmdclass"]
