@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,14 +42,31 @@ def get_spark(master: str | None = None, app: str = "bundlescan", **conf) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Unset, a scratch
+    folder of this machine serves, in local mode only: on a cluster executors could not see it."""
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        return configured or current
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: functions of its modules
+    are pickled by reference, and executors need not have the package installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bundlescan_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{package.name}-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._bundlescan_shipped = True
