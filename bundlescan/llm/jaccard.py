@@ -40,7 +40,7 @@ from bundlescan.llm.tokens import SPACED, Words, grams, groups
 
 _BITS = 22  # of the table of counts
 _SLICES = 64
-_FILTER_BITS = 23
+_FILTER_BITS = 20
 _EPS = 1e-9
 
 
@@ -138,35 +138,18 @@ def _postings(docs: DataFrame, n: int, t: Fraction, order: np.ndarray) -> DataFr
     return docs.mapInArrow(stage, "token bigint, doc_id bigint, n int, pos int")
 
 
-def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in reps. A bit table of fixed size drops most others before the
-    exchange; the join is exact."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
-
-    table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    for r in reps.select(bucket.alias("b")).distinct().coalesce(16).mapInArrow(pack, "bits binary").toLocalIterator():
-        table |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table).view(bool))
-
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = shared.value[batch.column("b").to_numpy()]
-            if keep.any():
-                yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
-
-    near = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bucket.alias("b")).mapInArrow(stage, "doc_id bigint, text string")
-    return near.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ids. Most others go before the exchange, by a table of the
+    ids' hash buckets, of which there are at most 1 << _FILTER_BITS; the join that follows is exact."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("bucket")
+    near = docs.select("doc_id", "text", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
+    return near.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(lo, hi, both, n_lo, n_hi): the exact overlap of each pair's sets."""
+    ids = written(pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct(), "ids")
+    texts = written(_texts(docs, ids), "texts")
     rows = (pairs.join(texts.select(F.col("doc_id").alias("hi"), F.col("text").alias("text_hi")), "hi")
             .join(texts.select(F.col("doc_id").alias("lo"), F.col("text").alias("text_lo")), "lo")
             .select("lo", "hi", "text_lo", "text_hi"))
@@ -218,14 +201,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = (members.join(pivots, ["token", "block"]).filter(F.col("rep") != F.col("pivot"))
              .filter(fits(F.col("n"), F.col("p_n"), F.col("room"), F.col("p_room")))
              .select(F.least("rep", "pivot").alias("lo"), F.greatest("rep", "pivot").alias("hi")).distinct())
-    in_lists = members.select("token", "rep").distinct().groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("token")
-    wanted = members.join(in_lists, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(_texts(own, wanted), "texts")
     distance = 1 - F.col("both") / (F.col("n_lo") + F.col("n_hi") - F.col("both"))
     is_link = 100 * F.col("both") >= percent * (F.col("n_lo") + F.col("n_hi") - F.col("both"))
 
     def answers(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, texts, n).withColumn("d", distance).withColumn("link", is_link), "answers")
+        pairs = written(pairs, "pairs")
+        return written(_verified(pairs, own, n).withColumn("d", distance).withColumn("link", is_link), "answers")
 
     known = answers(first)
     roots = components(known.filter("link"), "lo", "hi")
@@ -248,9 +229,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = held.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     room = ((100 * F.col("n_max") >= percent * F.col("n_2")) & (100 * F.col("n_max_2") >= percent * F.col("n"))
             & ((100 + percent) * F.least("room", "room_2") >= percent * (F.col("n") + F.col("n_2"))))
-    between = written(left.join(right, ["token", "block"]).filter(F.col("root") < F.col("root_2")).filter(room)
-                      .select(F.col("root").alias("lo"), F.col("root_2").alias("hi")).distinct(), "between")
-    asked = between.join(known.select("lo", "hi", "d", "link"), ["lo", "hi"], "left")
+    shared = written(left.join(right, ["token", "block"]).filter(F.col("root") < F.col("root_2")).filter(room)
+                     .select("token", F.col("root").alias("lo"), F.col("root_2").alias("hi")).distinct(), "shared")
+    asked = shared.select("lo", "hi").distinct().join(known.select("lo", "hi", "d", "link"), ["lo", "hi"], "left")
     asked = written(asked, "asked")
     new = answers(asked.filter(F.col("d").isNull()).select("lo", "hi"))
     root_answers = asked.filter(F.col("d").isNotNull()).unionByName(new.select("lo", "hi", "d", "link"))
@@ -259,11 +240,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .join(radius.select(F.col("root").alias("lo"), F.col("radius").alias("r_lo")), "lo")
              .join(radius.select(F.col("root").alias("hi"), F.col("radius").alias("r_hi")), "hi")
              .filter((F.col("r_lo") + F.col("r_hi") > 0) & (F.col("d") <= slack + F.col("r_lo") + F.col("r_hi")))
-             .select(F.col("lo").alias("root"), F.col("hi").alias("root_2"), F.col("d").alias("d_roots")))
-    other = placed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "room", "root", "away")))
-    left_pairs = (placed.join(open_, "root").join(other, ["token", "root_2"])
+             .select("lo", "hi", F.col("d").alias("d_roots"), "r_hi"))
+    slots = shared.join(open_, ["lo", "hi"])
+    mine = placed.select("token", "rep", "n", "room", F.col("root").alias("lo"), "away")
+    other = placed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "room", "away")), F.col("root").alias("hi"))
+    left_pairs = (slots.join(mine, ["token", "lo"]).filter(F.col("d_roots") <= slack + F.col("away") + F.col("r_hi"))
+                  .join(other, ["token", "hi"]).filter(F.col("d_roots") <= slack + F.col("away") + F.col("away_2"))
                   .filter(fits(F.col("n"), F.col("n_2"), F.col("room"), F.col("room_2")))
-                  .filter(F.col("d_roots") <= slack + F.col("away") + F.col("away_2"))
                   .select(F.least("rep", "rep_2").alias("lo"), F.greatest("rep", "rep_2").alias("hi")).distinct())
     last = answers(left_pairs.join(known.select("lo", "hi"), ["lo", "hi"], "left_anti"))
 
