@@ -186,7 +186,7 @@ class Codec:
     """Encodes batches of texts. Ids of pre-tokens are kept for reuse, and all forgotten once there
     are more than memo of them; that changes no result."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 600_000):
+    def __init__(self, path: str, pattern: str, memo: int = 400_000):
         self.vocabulary = Vocabulary(path)
         self.find = regex.compile(pattern).findall
         self.memo = memo
