@@ -183,6 +183,7 @@ def score(block: Block, has_article: bool) -> float:
     s = e.score - 0.3 + min(words, 60) / 15
     s += 1.0 if block.text[-1] in ".!?…\"”»'" else 0.0
     s += 1.5 if tag in ("p", "blockquote", "pre") else 1.0 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
+    s += 0.6 if tag in ("li", "dd", "td") and not block.link else 0.0
     s -= 5.0 * min(1.0, block.link / len(block.text)) * (0.3 if e.article and words > 3 and tag == "p" else 1.0)
     s += 3.0 if e.article else -5.0 if has_article else 0.0
     return s
