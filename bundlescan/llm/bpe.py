@@ -186,7 +186,7 @@ class Codec:
     """Encodes batches of texts. Ids of pre-tokens are kept for reuse, and all forgotten once there
     are more than memo of them; that changes no result."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000):
+    def __init__(self, path: str, pattern: str, memo: int = 200_000):
         self.vocabulary = Vocabulary(path)
         self.find = regex.compile(pattern).findall
         self.memo = memo
@@ -245,15 +245,18 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids",
-           keep: list[str] | None = None) -> DataFrame:
-    """df with the packed ids of the column text. path: rank file, at the same place on every node."""
+           decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df with the packed ids of the column text, and in the column decoded, if it is named, the bytes
+    that these ids decode to. path: rank file, at the same place on every node."""
     prepare(df.sparkSession)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         own = codec(path, pattern)
-        return [pa.array(own.encode(batch.column(text).to_pylist()), pa.binary())]
+        packed = own.encode(batch.column(text).to_pylist())
+        out = [packed] if decoded is None else [packed, [own.decode(x) for x in packed]]
+        return [pa.array(x, pa.binary()) for x in out]
 
-    return with_columns(df, make, f"`{ids}` binary", keep)
+    return with_columns(df, make, f"`{ids}` binary" + (f", `{decoded}` binary" if decoded else ""), keep)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded",

@@ -21,8 +21,7 @@ def tokenizer() -> tuple[str, str]:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, *tokenizer(), keep=["doc_id"])
-    back = bpe.decode(coded, *tokenizer())
+    back = bpe.encode(docs, *tokenizer(), decoded="decoded", keep=["doc_id"])
     return back.select("doc_id", F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -46,8 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids as little-endian unsigned 32-bit integers, and the digest of what they
     decode to."""
-    coded = bpe.encode(docs, *tokenizer(), keep=["doc_id", "lang", "source"])
-    back = bpe.decode(coded, *tokenizer())
+    back = bpe.encode(docs, *tokenizer(), decoded="decoded", keep=["doc_id", "lang", "source"])
     return back.select("doc_id", "lang", "source", "token_ids", F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -55,6 +55,8 @@ def test_bpe_is_tiktoken_and_round_trips(spark):
     texts = ODD + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["ab" * 20_000, "a" * 30_000]
     df = frame(spark, texts).withColumn("token_ids", F.lit(1)).withColumn("decoded", F.lit("clash"))
     out = bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN)
+    both = bpe.encode(df, path, P.PATTERN, decoded="decoded")
+    assert both.columns == out.columns and sorted(map(repr, both.collect())) == sorted(map(repr, out.collect()))
     assert out.columns == ["doc_id", "text", "token_ids", "decoded"]
     for r in out.collect():
         assert np.frombuffer(r.token_ids, "<u4").tolist() == other.encode_ordinary(r.text or "")
