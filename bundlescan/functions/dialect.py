@@ -147,6 +147,41 @@ def to_java(pattern: str, ignore_case: bool = False, multiline: bool = False) ->
     return f"(?{flags})" + "".join(res)
 
 
+def linear_forms(pattern: str) -> list[str]:
+    """For rules that search ``A.*B`` on a line: one pattern for each top-level alternative, with two
+    groups, what stands before the first match and the match. Empty for other rules.
+
+    A plain search tries every A and looks for B to the line's end from each. But if the first A
+    finds no B after it, no later A can. So the form is tied to the line's start, goes to the first
+    A in an atomic group, and takes the match from there; in ``A.*B.*C`` the first B will do as well,
+    because the match ends with the line's last C either way. Alternatives without ``.*`` keep their
+    search, behind a lazy start."""
+    forms = []
+    for alternative in _split_top(_tokens(pattern)):
+        parts: list[list[str]] = [[]]
+        depth, k = 0, 0
+        while k < len(alternative):
+            t, in_class = alternative[k]
+            if not in_class:
+                depth += (t == "(") - (t == ")")
+            if depth == 0 and not in_class and t == "." and k + 1 < len(alternative) and alternative[k + 1][0] == "*":
+                lazy = k + 2 < len(alternative) and alternative[k + 2] == ("?", False)
+                parts.append(["?" if lazy else ""])
+                k += 3 if lazy else 2
+                continue
+            parts[-1].append(t)
+            k += 1
+        first, rest = "".join(parts[0]), parts[1:]
+        if not rest:
+            return []
+        body = first
+        for i, part in enumerate(rest):
+            tail = "".join(part[1:])
+            body += f".*{part[0]}{tail}" if i == len(rest) - 1 else f"(?>.*?{tail})"
+        forms.append(f"^((?>.*?(?={first})))({body})")
+    return forms
+
+
 def to_re2(pattern: str, ignore_case: bool = False) -> str:
     toks = _tokens(pattern)
     res = []

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import FOLD_FROM, FOLD_TO, required_literals, to_java
+from .dialect import FOLD_FROM, FOLD_TO, linear_forms, required_literals, to_java
 
 
 ENABLED = True  # switch for A/B measurements
@@ -42,11 +42,12 @@ def _distinctive(lit: str) -> bool:
 def _lits(pattern: str, ignore_case: bool) -> tuple[str, ...] | None:
     """Literals worth a prefilter: all of them distinctive (>= 4 characters), and the regex
     itself unable to search fast — java.util.regex already uses Boyer-Moore when a
-    case-sensitive pattern starts with a literal, so those get no prefilter."""
+    case-sensitive pattern starts with a literal, so those get no prefilter (but the ones searched
+    by their linear form do, which starts at the line)."""
     lits = required_literals(pattern)
     if not lits or not all(_distinctive(x) for x in lits):
         return None
-    if not ignore_case and re.match(r"[A-Za-z0-9_/~]", to_java(pattern)[len("(?d)"):]):
+    if not ignore_case and not linear_forms(pattern) and re.match(r"[A-Za-z0-9_/~]", to_java(pattern)[len("(?d)"):]):
         return None
     return tuple(sorted({x.lower() for x in lits})) if ignore_case else tuple(lits)
 

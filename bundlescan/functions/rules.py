@@ -17,12 +17,10 @@ from dataclasses import dataclass
 # FIXED VALUES: file classification
 # --------------------------------------------------------------------------------------
 
-MAX_TEXT_BYTES = 2 * 1024 * 1024
+# refusals of archive_guard, each a parameter of archives.Limits
 MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
 MAX_ARCHIVE_ENTRIES = 10_000
 MAX_ARCHIVE_DEPTH = 10
-LINE_MATCH_CHARS = 100
-DECODED_CHARS = 500
 
 ARCHIVE_EXTENSIONS = [".zip", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar", ".7z", ".rar"]
 
@@ -124,6 +122,17 @@ SENSITIVE_PATHS = [
     "~/.config/", "~/.netrc", "~/.bashrc", "~/.zshrc", "~/.profile", "~/.bash_history", "/proc/self/",
     "/dev/tcp/", "/dev/udp/", "id_rsa", "id_ed25519", "credentials.json", "service_account.json", ".env",
 ]
+# what may not stand before or after a path: (path, words or classes before, patterns after);
+# paths that are not listed have no guard
+SENSITIVE_PATH_GUARDS = [
+    ("/etc/passwd", [], [r"\w"]), ("/etc/shadow", [], [r"\w"]), ("/etc/hosts", [], [r"\w"]),
+    ("/etc/sudoers", [], [r"\w"]), ("~/.netrc", [], [r"\w"]), ("~/.bashrc", [], [r"\w"]),
+    ("~/.zshrc", [], [r"\w"]), ("~/.profile", [], [r"\w"]), ("~/.bash_history", [], [r"\w"]),
+    ("id_rsa", [r"\w"], [r"\w"]), ("id_ed25519", [r"\w"], [r"\w"]), ("credentials.json", [r"\w"], [r"\w"]),
+    ("service_account.json", [r"\w"], [r"\w"]),
+    (".env", ["process", "meta", "Deno", "deno", "window", "this", "self", "globalThis", "Bun", "bun"],
+     [r"\.example", r"\w"]),
+]
 # words that make a following ".env" a member access rather than a file name
 ENV_MEMBER_OWNERS = ["process", "meta", "Deno", "deno", "window", "this", "self", "globalThis", "Bun", "bun"]
 

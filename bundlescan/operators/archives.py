@@ -1,43 +1,65 @@
-"""Nested archive expansion as a bounded frontier loop of Spark stages.
-
-Level 0 is the input ``files`` table. Each level takes the archive rows of the level
-before (``is_archive`` by name) and unpacks them with ``mapInPandas`` — the standard
-library's ``zipfile`` / ``tarfile`` working on the bytes in memory, no local folders —
-into child rows (``extracted_from`` = SHA-256 of the archive, ``depth`` + 1, path
-relative to that archive). Every archive also yields one status row
-(``ok / too_many / too_big / escape / corrupt / unsupported / too_deep``); the non-``ok``
-ones are the warnings table. Children exist up to depth 10; archives at depth 10 are
-reported ``too_deep``. Each level is checkpointed (reliable checkpoint in the shared
-``spark.checkpoint.dir``) so lineage stays short and a lost executor recomputes one
-level, not the whole chain. The loop stops early when a level has no archives.
-
-Guards keep the reference's rules: an archive is rejected whole when it declares more
-than 10,000 entries or more than 500 MiB, when a zip member escapes the destination,
-or when a tar member fails the standard ``data`` extraction filter; a tar that fails
-midway yields no children at all. Zip members that are symlinks become regular files
-holding the link text; tar symlinks are extracted but not walked (no row); duplicate
-names keep the last member.
+"""Nested archive expansion in one pass.
+
+Each archive row (by name) is unpacked by one ``mapInPandas`` stage, the standard library's
+``zipfile`` / ``tarfile`` working on the bytes in memory, without local folders, and archives found
+inside are unpacked in turn (``extracted_from`` = SHA-256 of the archive, ``depth`` + 1, path relative
+to that archive). Members leave as they are read, in frames bounded by bytes, and are then spread
+over the cluster by archive and path, so one large archive is scanned by many tasks. Nothing is
+checkpointed: a lost executor unpacks its archives again.
+
+Every archive has a status, one of ``ok / too_many / too_big / escape / corrupt / unsupported /
+too_deep``, which comes from its listing and, for damage, from one reading without keeping.
+
+Refusals keep the reference's rules, as parameters (``Limits``): an archive is refused whole, and
+visibly, when it declares more than 10,000 entries or more than 500 MiB, when a zip member escapes
+the destination, or when a tar member fails the standard ``data`` extraction filter; a tar that fails
+midway yields no children at all; archives at depth 10 are ``too_deep``. Zip members that are symlinks
+become regular files holding the link text; tar symlinks are extracted but not walked (no row);
+duplicate names keep the last member.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import ship_package
 from ..sources.files import archive_extension
 
-UNPACK_SCHEMA = ("bundle_id string, path string, content binary, extracted_from string, depth int, "
-                 "kind string, status string, archive_path string")
+MEMBER = "bundle_id string, path string, content binary, extracted_from string, depth int, parent_path string"
+STATUS = "bundle_id string, path string, depth int, status string"
+FOLDER = "bundle_id string, archive_path string, path string"
 
 _FAKE_DEST = "/__bundlescan_dest__"
+_FRAME_BYTES = 8 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What an archive may declare before it is refused; None: anything."""
+
+    entries: int | None = rules.MAX_ARCHIVE_ENTRIES
+    total_bytes: int | None = rules.MAX_ARCHIVE_BYTES
+    depth: int = rules.MAX_ARCHIVE_DEPTH
+
+    def refuses(self, entries: int, total_bytes: int) -> str | None:
+        if self.entries is not None and entries > self.entries:
+            return "too_many"
+        return "too_big" if self.total_bytes is not None and total_bytes > self.total_bytes else None
+
+
+#: A listing: status, member name -> reader of its bytes, folder names.
+Listing = tuple[str, dict[str, Callable[[], bytes]], set[str]]
 
 
 def _longest_ext(name: str) -> str:
@@ -48,158 +70,180 @@ def _longest_ext(name: str) -> str:
     return ""
 
 
-def _zip_members(data: bytes) -> tuple[str, dict[str, bytes]]:
-    try:
-        zf = zipfile.ZipFile(io.BytesIO(data))
-        infos = zf.infolist()
-        if len(infos) > rules.MAX_ARCHIVE_ENTRIES:
-            return "too_many", {}
-        if sum(i.file_size for i in infos) > rules.MAX_ARCHIVE_BYTES:
-            return "too_big", {}
-        for i in infos:
-            target = posixpath.normpath(posixpath.join(_FAKE_DEST, i.filename))
-            if not (target.startswith(_FAKE_DEST + "/") or target == _FAKE_DEST):
-                return "escape", {}
-        out: dict[str, bytes] = {}
-        for i in infos:
-            # zipfile drops empty, '.' and '..' parts when it writes the member
-            parts = [p for p in i.filename.split("/") if p not in ("", ".", "..")]
-            if not parts or i.is_dir():
-                continue
-            out["/".join(parts)] = zf.read(i)
-        return _check_tree(out)
-    except Exception:  # noqa: BLE001 - a broken archive is a warning, never a job failure
-        return "corrupt", {}
-
-
-def _tar_members(data: bytes) -> tuple[str, dict[str, bytes]]:
-    try:
-        tf = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
-        members = tf.getmembers()
-        if len(members) > rules.MAX_ARCHIVE_ENTRIES:
-            return "too_many", {}
-        if sum(m.size for m in members if m.isfile()) > rules.MAX_ARCHIVE_BYTES:
-            return "too_big", {}
-        out: dict[str, bytes] = {}
-        for m in members:
-            try:
-                m = tarfile.data_filter(m, _FAKE_DEST)
-            except tarfile.FilterError:
-                return "escape", {}
-            name = posixpath.normpath(m.name)
-            if m.isfile():
-                f = tf.extractfile(m)
-                out[name] = f.read() if f is not None else b""
-            elif m.islnk():
-                src = posixpath.normpath(m.linkname)
-                if src not in out:
-                    return "corrupt", {}
-                out[name] = out[src]
-            elif m.issym():
-                out.pop(name, None)  # extracted as a link, never walked
-        return _check_tree(out)
-    except Exception:  # noqa: BLE001
-        return "corrupt", {}
-
-
-def _check_tree(files: dict[str, bytes]) -> tuple[str, dict[str, bytes]]:
+def _drain(stream) -> None:
+    while stream.read(1 << 20):
+        pass
+
+
+def _zip_listing(data: bytes, limits: Limits) -> Listing:
+    zf = zipfile.ZipFile(io.BytesIO(data))
+    infos = zf.infolist()
+    refused = limits.refuses(len(infos), sum(i.file_size for i in infos))
+    if refused:
+        return refused, {}, set()
+    members, folders = {}, set()
+    for i in infos:
+        target = posixpath.normpath(posixpath.join(_FAKE_DEST, i.filename))
+        if not (target.startswith(_FAKE_DEST + "/") or target == _FAKE_DEST):
+            return "escape", {}, set()
+        # zipfile drops empty, '.' and '..' parts when it writes the member
+        parts = [p for p in i.filename.split("/") if p not in ("", ".", "..")]
+        if parts and i.is_dir():
+            folders.add("/".join(parts))
+        elif parts:
+            members["/".join(parts)] = i
+    for i in members.values():
+        with zf.open(i) as stream:
+            _drain(stream)  # damage shows before the first member leaves
+    return _checked({n: (lambda i=i: zf.read(i)) for n, i in members.items()}, folders)
+
+
+def _tar_listing(data: bytes, limits: Limits) -> Listing:
+    tf = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
+    infos = tf.getmembers()
+    refused = limits.refuses(len(infos), sum(m.size for m in infos if m.isfile()))
+    if refused:
+        return refused, {}, set()
+    members, folders = {}, set()
+    for m in infos:
+        try:
+            m = tarfile.data_filter(m, _FAKE_DEST)
+        except tarfile.FilterError:
+            return "escape", {}, set()
+        name = posixpath.normpath(m.name)
+        if m.isfile():
+            stream = tf.extractfile(m)
+            if stream is not None:
+                _drain(stream)
+            members[name] = m
+        elif m.islnk():
+            src = posixpath.normpath(m.linkname)
+            if src not in members:
+                return "corrupt", {}, set()
+            members[name] = members[src]
+        elif m.issym():
+            members.pop(name, None)  # extracted as a link, never walked
+        elif m.isdir() and name != ".":
+            folders.add(name)
+
+    def read(m) -> bytes:
+        stream = tf.extractfile(m)
+        return stream.read() if stream is not None else b""
+
+    return _checked({n: (lambda m=m: read(m)) for n, m in members.items()}, folders)
+
+
+def _checked(members: dict[str, Callable[[], bytes]], folders: set[str]) -> Listing:
     """A path that is a file and also a parent folder cannot be written to disk: the
     reference's extraction would fail, so the archive yields nothing."""
-    dirs = {posixpath.dirname(p) for p in files}
-    prefixes = set()
-    for d in dirs:
-        while d:
-            prefixes.add(d)
-            d = posixpath.dirname(d)
-    if prefixes & set(files):
-        return "corrupt", {}
-    return "ok", files
-
-
-def unpack_archive(name: str, data: bytes) -> tuple[str, dict[str, bytes]]:
-    ext = _longest_ext(name)
-    if ext == ".zip":
-        return _zip_members(data)
-    if ext in (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar"):
-        return _tar_members(data)
-    return "unsupported", {}
+    parents = set(folders)
+    for path in members:
+        while path := posixpath.dirname(path):
+            parents.add(path)
+    return ("corrupt", {}, set()) if parents & set(members) else ("ok", members, parents)
 
 
-def _unpack_batches(max_depth: int):
+def listing(name: str, data: bytes, limits: Limits) -> Listing:
+    ext = _longest_ext(name)
+    if ext not in (".zip", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar"):
+        return "unsupported", {}, set()
+    try:
+        return (_zip_listing if ext == ".zip" else _tar_listing)(data, limits)
+    except Exception:  # noqa: BLE001 - a broken archive is a warning, never a job failure
+        return "corrupt", {}, set()
+
+
+def _walk(bundle: str, path: str, data: bytes, depth: int, limits: Limits, emit: str) -> Iterator[tuple]:
+    """Rows of an archive and the archives in it: its members, its statuses or its folders."""
+    if depth + 1 > limits.depth:
+        if emit == "status":
+            yield bundle, path, depth, "too_deep"
+        return
+    status, members, folders = listing(path.rsplit("/", 1)[-1], data, limits)
+    if emit == "status":
+        yield bundle, path, depth, status
+    elif emit == "folder":
+        yield from ((bundle, path, f) for f in sorted(folders))
+        return
+    own = hashlib.sha256(data).hexdigest()
+    for name in sorted(members):
+        nested = _longest_ext(name.rsplit("/", 1)[-1]) != ""
+        if emit == "member" or nested:
+            content = members[name]()
+            if emit == "member":
+                yield bundle, name, content, own, depth + 1, path
+            if nested:
+                yield from _walk(bundle, name, content, depth + 1, limits, emit)
+
+
+def _stage(limits: Limits, emit: str, columns: list[str]):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                child_depth = int(row.depth) + 1
-                if child_depth > max_depth:
-                    status, members = "too_deep", {}
-                else:
-                    status, members = unpack_archive(row.path.rsplit("/", 1)[-1], bytes(row.content))
-                rows = [(row.bundle_id, p, c, row.sha256, child_depth, "member", None, row.path)
-                        for p, c in sorted(members.items())]
-                rows.append((row.bundle_id, row.path, None, row.extracted_from, int(row.depth), "status", status,
-                             row.path))
-                yield pd.DataFrame(rows, columns=["bundle_id", "path", "content", "extracted_from", "depth",
-                                                  "kind", "status", "archive_path"])
+                held, size = [], 0
+                for out in _walk(row.bundle_id, row.path, bytes(row.content), 0, limits, emit):
+                    held.append(out)
+                    size += len(out[2]) if emit == "member" else 64
+                    if size >= _FRAME_BYTES:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
     return fn
 
 
-def expand_archives(files: DataFrame, max_depth: int = rules.MAX_ARCHIVE_DEPTH,
-                    checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
-    """files(bundle_id, path, content) -> (all files incl. extracted members with
-    ``extracted_from`` and ``depth``, archive status rows)."""
-    level = files.select("bundle_id", "path", "content",
-                         F.lit(None).cast("string").alias("extracted_from"), F.lit(0).alias("depth"),
-                         F.lit(None).cast("string").alias("parent_path"))
-    outputs, statuses = [level], []
-    frontier = level.where(archive_extension(F.col("path")) != "")
-    for _ in range(max_depth + 1):
-        work = frontier.select("bundle_id", "path", "content", "extracted_from", "depth",
-                               F.sha2("content", 256).alias("sha256"))
-        unpacked = work.mapInPandas(_unpack_batches(max_depth), UNPACK_SCHEMA)
-        if checkpoint:
-            unpacked = unpacked.checkpoint()
-        members = unpacked.where(F.col("kind") == "member").select(
-            "bundle_id", "path", "content", "extracted_from", "depth", F.col("archive_path").alias("parent_path"))
-        statuses.append(unpacked.where(F.col("kind") == "status").select(
-            "bundle_id", F.col("archive_path").alias("path"), "depth", "status"))
-        outputs.append(members)
-        frontier = members.where(archive_extension(F.col("path")) != "")
-        if frontier.isEmpty():
-            break
-    all_files = outputs[0]
-    for o in outputs[1:]:
-        all_files = all_files.unionByName(o)
-    status = statuses[0]
-    for s in statuses[1:]:
-        status = status.unionByName(s)
-    return all_files, status
-
-
-def root_normalize(expanded: DataFrame) -> DataFrame:
-    """Uploaded-zip root rule, per top-level zip: when its members have exactly one
-    top-level folder and no top-level SKILL.md, that folder becomes the root (prefix
-    stripped) and loose top-level files are dropped; otherwise members stay as they are.
-    -> bundle_id, archive_path, path."""
-    m = expanded.where((F.col("depth") == 1) & F.lower("parent_path").endswith(".zip"))
-    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1))
-    shape = m.groupBy("bundle_id", "parent_path").agg(
-        F.count_distinct(top).alias("_dirs"), F.max(top).alias("_dir"),
-        F.coalesce(F.bool_or(F.col("path") == "SKILL.md"), F.lit(False)).alias("_skill"))
-    j = m.select("bundle_id", "parent_path", "path").join(shape, ["bundle_id", "parent_path"])
-    single = (F.col("_dirs") == 1) & ~F.col("_skill")
-    prefix = F.concat(F.col("_dir"), F.lit("/"))
-    out = j.where(~single | F.col("path").startswith(prefix)).select(
-        "bundle_id", F.col("parent_path").alias("archive_path"),
-        F.when(single, F.expr("substring(path, length(_dir) + 2)")).otherwise(F.col("path")).alias("path"))
-    return out
-
-
-def archive_lineage(entries: DataFrame) -> DataFrame:
-    """child -> parent archive by content hash. Identical archives share a hash, so the
-    parent side is reduced to one (bundle, sha256) -> path first (min path)."""
-    parents = (entries.where(F.col("is_archive"))
-               .groupBy("bundle_id", "sha256").agg(F.min("path").alias("parent_path")))
-    kids = entries.where(F.col("extracted_from").isNotNull()).select(
-        "bundle_id", "path", "depth", F.col("extracted_from").alias("sha256"))
-    return kids.join(parents, ["bundle_id", "sha256"], "left").select(
+def _unpacked(files: DataFrame, limits: Limits, emit: str, schema: str) -> DataFrame:
+    ship_package(files.sparkSession)
+    archives = files.where(archive_extension(F.col("path")) != "").select("bundle_id", "path", "content")
+    return archives.mapInPandas(_stage(limits, emit, [c.split()[0] for c in schema.split(", ")]), schema)
+
+
+def archive_status(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(bundle_id, path, depth, status) of every archive met; members' bytes are read only where an
+    archive is nested."""
+    return _unpacked(files, limits, "status", STATUS)
+
+
+def expand_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """files(bundle_id, path, content) with the extracted members: ``extracted_from``, ``depth`` and
+    ``parent_path``, the path of the archive a member came from."""
+    own = files.select("bundle_id", "path", "content", F.lit(None).cast("string").alias("extracted_from"),
+                       F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_path"))
+    return own.unionByName(_unpacked(files, limits, "member", MEMBER).repartition("extracted_from", "path"))
+
+
+def archive_folders(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(bundle_id, archive_path, path) of the folders in the top-level archives, empty ones too."""
+    return _unpacked(files, limits, "folder", FOLDER)
+
+
+def root_normalize(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Uploaded-zip root rule, per top-level zip: when it has exactly one top-level folder (an empty
+    one counts) and no top-level SKILL.md, that folder becomes the root (prefix stripped) and loose
+    top-level files are dropped; otherwise members stay as they are.
+    -> bundle_id, archive_path, path, content: the bundles that zips stand for."""
+    zips = files.where(F.lower("path").endswith(".zip"))
+    m = expand_archives(zips, limits).where(F.col("depth") == 1)
+    tops = (archive_folders(zips, limits).where(~F.col("path").contains("/"))
+            .groupBy("bundle_id", "archive_path").agg(F.count(F.lit(1)).alias("_dirs"), F.max("path").alias("_dir")))
+    skill = (m.where(F.col("path") == "SKILL.md").select("bundle_id", F.col("parent_path").alias("archive_path"))
+             .distinct().withColumn("_skill", F.lit(True)))
+    j = (m.select("bundle_id", F.col("parent_path").alias("archive_path"), "path", "content")
+         .join(tops, ["bundle_id", "archive_path"], "left").join(skill, ["bundle_id", "archive_path"], "left"))
+    single = F.coalesce((F.col("_dirs") == 1) & F.col("_skill").isNull(), F.lit(False))
+    return j.where(~single | F.col("path").startswith(F.concat("_dir", F.lit("/")))).select(
+        "bundle_id", "archive_path", F.when(single, F.expr("substring(path, length(_dir) + 2)")).otherwise(F.col("path")).alias("path"),
+        "content")
+
+
+def zip_targets(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """files(bundle_id, path, content) of zips that are scan targets themselves: each top-level zip is
+    a bundle of its own, ``<bundle>/<zip path>``, with the normalised root as its files."""
+    return root_normalize(files, limits).select(F.concat_ws("/", "bundle_id", "archive_path").alias("bundle_id"), "path", "content")
+
+
+def archive_lineage(expanded: DataFrame) -> DataFrame:
+    """(bundle_id, path, depth, parent_path): each member with the archive it came from; a member of
+    two equal archives has a row for either."""
+    return expanded.where(F.col("extracted_from").isNotNull()).select(
         "bundle_id", "path", F.col("depth").cast("long").alias("depth"), "parent_path")

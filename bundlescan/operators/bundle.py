@@ -37,12 +37,10 @@ def package_files_long(entries: DataFrame) -> DataFrame:
 
 
 def bundle_stats(entries: DataFrame) -> DataFrame:
-    """One aggregate pass over entries: totals, dotfiles, package files, root flags and
-    the fingerprint limb sums."""
+    """Totals, dotfiles, package files and root flags of each bundle, and its fingerprint."""
     name = base_name(F.col("path"))
     root = is_root(F.col("path"), F.col("extracted_from"))
-    member = identity.fingerprint_member(F.col("path"), F.col("extracted_from"))
-    agg = entries.groupBy("bundle_id").agg(
+    return entries.groupBy("bundle_id").agg(
         F.count(F.lit(1)).alias("total_files"),
         F.sum("size_bytes").cast("long").alias("total_size_bytes"),
         F.count_if(F.col("is_script")).alias("script_count"),
@@ -52,21 +50,77 @@ def bundle_stats(entries: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.when(name.isin(*rules.PACKAGE_FILES), name))).alias("package_files_found"),
         F.coalesce(F.bool_or(root & (F.col("path") == "SKILL.md")), F.lit(False)).alias("has_skill_md"),
         F.coalesce(F.bool_or(root & F.col("path").isin(*rules.README_NAMES)), F.lit(False)).alias("has_readme"),
-        *identity.fingerprint_aggs(F.col("path"), F.col("sha256"), member),
     )
-    return agg.withColumn("fingerprint", identity.fingerprint_from_aggs()).drop(
-        "_fp_n", "_fp_0", "_fp_1", "_fp_2", "_fp_3")
+
+
+def rollup(files: DataFrame) -> DataFrame:
+    """One row a bundle from one pass over its files (entries with ``_found``, the array of a file's
+    findings): totals, flags, counts by key, the first file of each category, fingerprint and root
+    metadata. Two aggregates, by (bundle, hash bucket) and then by bundle: a bundle that holds a
+    third of all files is spread over its buckets, and no list grows with its files."""
+    name, keys = base_name(F.col("path")), F.transform("_found", lambda x: x["key"])
+    root = is_root(F.col("path"), F.col("extracted_from"))
+    files = files.withColumn("_keys", keys).withColumn(
+        "_categories", F.transform(F.filter("_found", lambda x: x["category"].isNotNull()), lambda x: x["category"]))
+    yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    text_of = lambda p: F.first(F.when(root & (F.col("path") == p), F.col("_meta_text")), ignorenulls=True)
+    sums = {"total_files": F.lit(1), "total_size_bytes": F.col("size_bytes"), "script_count": F.col("is_script").cast("int"),
+            "total_lines": F.col("line_count"), "archives_extracted": F.col("extracted_from").isNotNull().cast("int"),
+            "n_hidden_dotfiles": hidden_name(name).cast("int")}
+    sums |= {f"_n_{k}": F.size("_keys") - F.size(F.array_remove("_keys", k)) for k in rules.FINDING_KEYS}
+    flags = {"has_skill_md": root & (F.col("path") == "SKILL.md"), "has_readme": root & F.col("path").isin(*rules.README_NAMES)}
+    flags |= {f"_package_{i}": name == p for i, p in enumerate(rules.PACKAGE_FILES)}
+    firsts = {f"_first_{c}": F.when(F.array_contains("_categories", c), F.col("path")) for c in rules.CATEGORIES}
+    metas = {"_skill": "SKILL.md", "_pkg": "package.json", "_setup": "setup.py"}
+    parts = identity.buckets(files, *[F.sum(c).cast("long").alias(k) for k, c in sums.items()], *[yes(c).alias(k) for k, c in flags.items()],
+                             *[F.min(c).alias(k) for k, c in firsts.items()], *[text_of(p).alias(k) for k, p in metas.items()])
+    whole = parts.groupBy("bundle_id").agg(
+        identity.from_buckets().alias("fingerprint"), *[F.sum(k).alias(k) for k in sums], *[yes(F.col(k)).alias(k) for k in flags],
+        *[F.min(k).alias(k) for k in firsts], *[F.first(k, ignorenulls=True).alias(k) for k in metas])
+    counts = F.create_map(*[x for k in rules.FINDING_KEYS for x in (F.lit(k), F.col(f"_n_{k}"))])
+    packages = F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"_package_{i}"), F.lit(p)) for i, p in enumerate(rules.PACKAGE_FILES)])))
+    firsts_ = F.sort_array(F.array_compact(F.array(*[
+        F.when(F.col(f"_first_{c}").isNotNull(), F.struct(F.lit(f"Detected {c}").alias("description"), F.col(f"_first_{c}").alias("file")))
+        for c in rules.CATEGORIES])))
+    hooks = hooks_of(F.col("_pkg"), F.col("_setup"))
+    return whole.select(
+        "bundle_id", "fingerprint", *[k for k in sums if not k.startswith("_")], counts.alias("finding_counts"),
+        packages.alias("package_files_found"), hooks.alias("install_hooks_found"), (F.size(hooks) > 0).alias("has_install_hooks"),
+        "has_skill_md", "has_readme", *frontmatter_cols(F.col("_skill")), firsts_.alias("findings"))
 
 
 # ------------------------------------------------------------------ metadata
 
+def _block_scalar(block: Column, key: str) -> Column:
+    """A literal (|) or folded (>) block scalar: the indented lines after the key, without their
+    common indent; folded, a single line feed is a space and each further one stays; then the
+    chomping sign: ``-`` drops line feeds at the end, ``+`` keeps them, else one stays."""
+    found = f"(?sd)(?:^|\\n){key}:[ \\t]*([|>])([+-]?)[0-9]?[ \\t]*(?:#[^\\n]*)?\\n(?=[ \\n])(.*?)(?=\\n[^ \\n]|\\z)"
+    style, chomp = F.regexp_extract(block, found, 1), F.regexp_extract(block, found, 2)
+    body = F.concat(F.regexp_extract(block, found, 3), F.lit("\n"))
+    indent = F.length(F.regexp_extract(body, "^\\n*( *)", 1)).cast("string")
+    body = F.regexp_replace(body, F.concat(F.lit("(?md)^ {0,"), indent, F.lit("}")), F.lit(""))
+    end = F.regexp_extract(body, "(?d)\\n*\\z", 0)
+    core = F.regexp_replace(body, "(?d)\\n*\\z", "")
+    folded = F.regexp_replace(F.regexp_replace(core, "(?d)(?<!\\n)\\n(?![\\n ])", " "), "(?d)(?<!\\n)\\n(\\n+)(?! )", "$1")
+    core = F.when(style == ">", folded).otherwise(core)
+    return F.when(style != "", F.concat(core, F.when((chomp == "-") | (core == ""), F.lit("")).when(chomp == "+", end).otherwise(F.lit("\n"))))
+
+
 def _scalar(block: Column, key: str) -> Column:
+    """The value of a top-level key: quoted, plain (up to `` #``, a comment) or a block scalar; ''
+    for a flow collection, which is no scalar, and for a key that is missing."""
     raw = F.regexp_extract(block, f"(?md)^{key}:[ \\t]*(.*?)[ \\t]*$", 1)
-    dq = F.regexp_extract(raw, r'^"(.*)"$', 1)
-    sq = F.regexp_extract(raw, r"^'(.*)'$", 1)
-    return (F.when(raw.rlike(r'^".*"$'), dq)
-            .when(raw.rlike(r"^'.*'$"), F.replace(sq, F.lit("''"), F.lit("'")))
-            .otherwise(raw))
+    dq, sq = r'(?d)^"((?:[^"\\]|\\.)*+)"[ \t]*(?:#.*)?$', r"(?d)^'((?:[^']|'')*+)'[ \t]*(?:#.*)?$"
+    plain = F.regexp_replace(raw, r"(?d)(?:^|[ \t]+)#.*$", "")
+    double = F.regexp_extract(raw, dq, 1)
+    for escaped, char in ((r"\\n", "\n"), (r"\\t", "\t"), (r'\\"', '"'), (r"\\\\", r"\\")):
+        double = F.regexp_replace(double, escaped, char)
+    return (F.when(raw.rlike(r"^[|>]"), F.coalesce(_block_scalar(block, key), F.lit("")))
+            .when(raw.rlike(dq), double)
+            .when(raw.rlike(sq), F.replace(F.regexp_extract(raw, sq, 1), F.lit("''"), F.lit("'")))
+            .when(raw.rlike(r"^[\[{]"), F.lit(""))
+            .otherwise(plain))
 
 
 def frontmatter_cols(text: Column) -> list[Column]:
@@ -78,12 +132,23 @@ def frontmatter_cols(text: Column) -> list[Column]:
 
 
 def install_hooks_col(pkg_text: Column) -> Column:
-    scripts = F.get_json_object(pkg_text, "$.scripts")
+    """Hook names among the keys of ``scripts``. The whole text must be one JSON value; of repeated
+    keys the last counts."""
+    strict = {"allowSingleQuotes": "false"}
+    whole = F.size(F.from_json(F.concat(F.lit("["), pkg_text, F.lit("]")), "array<string>", strict)) == 1
+    scripts = F.when(whole, F.from_json(pkg_text, "scripts string", strict)["scripts"])
     keys = (F.when(scripts.startswith("{"), F.json_object_keys(scripts))
             .when(scripts.startswith("["), F.from_json(scripts, "array<string>")))
     return F.sort_array(F.array_intersect(keys, F.array(*[F.lit(h) for h in rules.INSTALL_HOOKS])))
 
 
+def hooks_of(package_json: Column, setup_py: Column) -> Column:
+    """Install hooks of the two files' texts (null: no such file)."""
+    hooks = F.coalesce(install_hooks_col(package_json), F.array().cast("array<string>"))
+    return F.concat(hooks, F.when(F.coalesce(setup_py.rlike(to_java(r"cmdclass\s*=")), F.lit(False)), F.array(F.lit("cmdclass")))
+                    .otherwise(F.array().cast("array<string>")))
+
+
 def bundle_meta(files: DataFrame) -> DataFrame:
     """files(bundle_id, path, content[, extracted_from]) -> one row per bundle that has
     any root metadata file: name, version, author, description, install hooks."""
@@ -93,40 +158,9 @@ def bundle_meta(files: DataFrame) -> DataFrame:
     return meta_from_text(m)
 
 
-def bundle_meta_from_entries(entries: DataFrame) -> DataFrame:
-    """Same as :func:`bundle_meta`, from the ``_meta_text`` that ``entries`` / ``per_file``
-    captured during the content pass (no second read of the files)."""
-    return meta_from_text(entries.where(F.col("_meta_text").isNotNull())
-                          .select("bundle_id", "path", F.col("_meta_text").alias("t")))
-
-
 def meta_from_text(m: DataFrame) -> DataFrame:
     """(bundle_id, path, t) rows of root metadata files -> metadata per bundle."""
-    cmd = to_java(r"cmdclass\s*=")
-    agg = m.groupBy("bundle_id").agg(
-        F.first(F.when(F.col("path") == "SKILL.md", F.col("t")), ignorenulls=True).alias("_skill"),
-        F.first(F.when(F.col("path") == "package.json", install_hooks_col(F.col("t"))), ignorenulls=True).alias("_hooks"),
-        F.coalesce(F.bool_or((F.col("path") == "setup.py") & F.col("t").rlike(cmd)), F.lit(False)).alias("_cmdclass"),
-    )
-    hooks = F.coalesce(F.col("_hooks"), F.array().cast("array<string>"))
-    hooks = F.when(F.col("_cmdclass") & ~F.array_contains(hooks, "cmdclass"),
-                   F.concat(hooks, F.array(F.lit("cmdclass")))).otherwise(hooks)
-    return agg.select("bundle_id", *frontmatter_cols(F.col("_skill")),
-                      hooks.alias("install_hooks_found")).withColumn(
+    agg = m.groupBy("bundle_id").agg(*[F.first(F.when(F.col("path") == p, F.col("t")), ignorenulls=True).alias(p) for p in META_FILES])
+    return agg.select("bundle_id", *frontmatter_cols(F.col("`SKILL.md`")),
+                      hooks_of(F.col("`package.json`"), F.col("`setup.py`")).alias("install_hooks_found")).withColumn(
         "has_install_hooks", F.size("install_hooks_found") > 0)
-
-
-# ------------------------------------------------------------------ finding counts
-
-def finding_counts(findings: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Long (bundle_id, key, n) for all 24 keys, zero-filled for every bundle in
-    ``bundles``. Pivot values are given, so no extra job discovers them."""
-    piv = findings.groupBy("bundle_id").pivot("key", rules.FINDING_KEYS).count()
-    full = bundles.select("bundle_id").join(piv, "bundle_id", "left")
-    stack = ", ".join(f"'{k}', coalesce(`{k}`, 0L)" for k in rules.FINDING_KEYS)
-    return full.select("bundle_id", F.expr(f"stack({len(rules.FINDING_KEYS)}, {stack}) AS (key, n)"))
-
-
-def finding_counts_map(counts_long: DataFrame) -> DataFrame:
-    return counts_long.groupBy("bundle_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("finding_counts"))

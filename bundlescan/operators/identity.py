@@ -1,23 +1,22 @@
 """Content identity of files and bundles.
 
-``bundle_fingerprint`` identifies a bundle by the multiset of (path, sha256) of its own
-files (archive members, ``__pycache__`` folders and ``*.pyc`` excluded, as the reference
-packer does). Instead of sorting every path of a bundle into one row (one bundle may
-hold a third of all files), each file contributes SHA-256(path NUL sha256) split into
-four 64-bit limbs; the limbs are summed per bundle (partial aggregation, skew safe)
-and reduced mod 2^64. The same content gives the same fingerprint on any partitioning.
+``bundle_fingerprint`` identifies a bundle by the set of (path, sha256) of its own files
+(archive members, ``__pycache__`` folders and ``*.pyc`` excluded, as the reference packer
+does). Each file gives h = SHA-256(path NUL sha256). One bundle may hold a third of all
+files, so its hashes are not sorted into one row: they fall into 65,536 buckets by their
+first four hex digits, each bucket is the SHA-256 of its sorted hashes, and the
+fingerprint the SHA-256 of the count and the sorted bucket hashes. Two bundles with one
+fingerprint would be a collision of SHA-256, and the order of files does not matter.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import base_name
 
-TWO64 = Decimal(2 ** 64)
+BUCKET_DIGITS = 4
 
 
 def file_hashes(content: Column) -> tuple[Column, Column]:
@@ -30,26 +29,22 @@ def fingerprint_member(path: Column, extracted_from: Column) -> Column:
     return extracted_from.isNull() & ~path.rlike(r"(^|/)__pycache__(/|$)") & ~pyc
 
 
-def fingerprint_limbs(path: Column, sha256: Column) -> list[Column]:
-    h = F.sha2(F.concat_ws("\u0000", path, sha256), 256)
-    return [F.conv(F.substring(h, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
-
-
-def fingerprint_aggs(path: Column, sha256: Column, member: Column) -> list[Column]:
-    """Aggregate expressions (count + 4 limb sums) to put in a bundle ``groupBy``."""
-    limbs = fingerprint_limbs(path, sha256)
-    return ([F.count_if(member).alias("_fp_n")]
-            + [F.sum(F.when(member, l)).alias(f"_fp_{i}") for i, l in enumerate(limbs)])
+def buckets(entries: DataFrame, *more: Column) -> DataFrame:
+    """(bundle_id, _bucket, _files, _hash) of a bundle's own files, and the aggregates in more over all
+    files of the bucket; files that don't take part in the identity are in a bucket of their own."""
+    h = F.when(fingerprint_member(F.col("path"), F.col("extracted_from")),
+               F.sha2(F.concat_ws("\u0000", "path", "sha256"), 256))
+    hashed = entries.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    return hashed.groupBy("bundle_id", "_bucket").agg(
+        F.count("_h").alias("_files"), F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_hash"), *more)
 
 
-def fingerprint_from_aggs() -> Column:
-    parts = [F.col("_fp_n").cast("string")] + [
-        F.coalesce(F.pmod(F.col(f"_fp_{i}"), F.lit(TWO64)).cast("decimal(20,0)").cast("string"), F.lit("0"))
-        for i in range(4)]
-    return F.sha2(F.concat_ws(":", *parts), 256)
+def from_buckets() -> Column:
+    """The aggregate of a bundle's buckets that is its fingerprint."""
+    own = F.collect_list(F.when(F.col("_bucket").isNotNull(), F.col("_hash")))
+    return F.sha2(F.concat_ws(":", F.sum("_files").cast("string"), F.array_join(F.sort_array(own), "")), 256)
 
 
 def bundle_fingerprint(entries: DataFrame) -> DataFrame:
-    member = fingerprint_member(F.col("path"), F.col("extracted_from"))
-    agg = entries.groupBy("bundle_id").agg(*fingerprint_aggs(F.col("path"), F.col("sha256"), member))
-    return agg.select("bundle_id", fingerprint_from_aggs().alias("fingerprint"))
+    """(bundle_id, fingerprint) for every bundle, also one without files of its own."""
+    return buckets(entries.select("bundle_id", "path", "extracted_from", "sha256")).groupBy("bundle_id").agg(from_buckets().alias("fingerprint"))

@@ -66,7 +66,7 @@ _NONPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 
 def base64_entries(text: Column) -> Column:
     """array<struct<encoded, decoded>>: strict decode, < 15 % U+FFFD, printable or
-    multi-line; decoded text redacted, then cut to 500 code points."""
+    multi-line; the whole decoded text, redacted."""
     cands = extract_set(text, rules.BASE64)
 
     def decode(c):
@@ -82,7 +82,7 @@ def base64_entries(text: Column) -> Column:
 
     return F.transform(F.filter(F.transform(cands, decode), keep),
                        lambda e: F.struct(e["encoded"].alias("encoded"),
-                                          F.substring(redact(e["_s"]), 1, rules.DECODED_CHARS).alias("decoded")))
+                                          redact(e["_s"]).alias("decoded")))
 
 
 # ------------------------------------------------------------------ wallets (§2.6)
@@ -128,24 +128,23 @@ def shell_commands(text: Column, low: Column | None = None) -> Column:
         F.when(may_match(low, None, p) & low.rlike(to_java(p)), F.lit(n)) for p, n in rules.SHELL_COMMANDS])))
 
 
-def sensitive_path_pattern(sp: str) -> str:
-    """Boundary rule: a leading non-word guard unless the entry starts with / ~ . ;
-    a trailing one unless it ends with / ; ``.env`` also refuses member access and
-    ``.example``. Guards that look back are written after the literal (``lit(?<!Xlit)``)
-    so the pattern starts with the literal and Java can search it with Boyer-Moore."""
-    lit = re.escape(sp)
-    behind = [] if sp[0] in "/~." else [r"\w"]
-    suf = "" if sp.endswith("/") else r"(?!\w)"
-    if sp == ".env":
-        behind = [re.escape(w) for w in rules.ENV_MEMBER_OWNERS]
-        suf = r"(?!\.example)" + suf
-    return lit + "".join(f"(?<!{b}{lit})" for b in behind) + suf
+def guarded(literal: str, before: list[str], after: list[str]) -> str:
+    """A pattern for a literal with none of the given patterns right before or right after it.
+    What stands before is looked at once the literal is found, so that a search can skip to it."""
+    found = re.escape(literal)
+    return found + "".join(f"(?<!{x}{found})" for x in before) + "".join(f"(?!{x})" for x in after)
 
 
 def sensitive_file_paths(text: Column) -> Column:
-    return F.sort_array(F.array_compact(F.array(*[
-        F.when((F.instr(text, sp) > 0) & text.rlike(to_java(sensitive_path_pattern(sp))), F.lit(sp))
-        for sp in rules.SENSITIVE_PATHS])))
+    """Paths of the catalogue that the text names, within their guards. A path without guards
+    needs no pattern."""
+    guards = {path: (before, after) for path, before, after in rules.SENSITIVE_PATH_GUARDS}
+
+    def there(path: str) -> Column:
+        holds = F.instr(text, path) > 0
+        return holds & text.rlike(to_java(guarded(path, *guards[path]))) if path in guards else holds
+
+    return F.sort_array(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in rules.SENSITIVE_PATHS])))
 
 
 def suspicious_imports(text: Column) -> Column:

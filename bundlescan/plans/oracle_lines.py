@@ -19,7 +19,7 @@ def _detector_branch(d: rules.Detector) -> str:
     gate = "" if d.gate is None else f" AND suffix IN ({', '.join(sql_str(s) for s in d.gate)})"
     return (f"SELECT bundle_id, path, line_no AS line, {sql_str(d.category)} AS category, "
             f"{sql_str(d.name)} AS pattern_name, {sql_str(d.description)} AS description, "
-            f"left(regexp_extract(line, {sql_str(pat)}, {grp}), {rules.LINE_MATCH_CHARS}) AS match "
+            f"regexp_extract(line, {sql_str(pat)}, {grp}) AS match "
             f"FROM lines WHERE regexp_matches(line, {sql_str(pat)}){gate}")
 
 
@@ -60,5 +60,5 @@ def dns_exfil_sql() -> str:
     pat = to_re2(rules.DNS_EXFIL, ignore_case=True)
     return f"""WITH {corpus_sql()},
 {LINES_CTE}
-SELECT bundle_id, path, line_no AS line, left(regexp_extract(line, {sql_str(pat)}, 0), {rules.LINE_MATCH_CHARS}) AS match
+SELECT bundle_id, path, line_no AS line, regexp_extract(line, {sql_str(pat)}, 0) AS match
 FROM lines WHERE regexp_matches(line, {sql_str(pat)})"""

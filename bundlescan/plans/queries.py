@@ -7,6 +7,7 @@ both sides; arrays are emitted as long rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import lines
 from ..functions.dialect import sql_str, to_re2
+from ..session import ensure_checkpoint_dir
 from ..sources.corpus import corpus_sql, scan_text, text_source
 from . import oracle_lines as OL
 
@@ -175,7 +177,7 @@ def q_script_classify(spark, sf):
 @register("read_text", lambda: OF.with_entries(
     "SELECT bundle_id, path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars FROM entries"))
 def q_read_text(spark, sf):
-    e = _entries(spark, sf)  # null text (not text / > 2 MiB) stays as a null row
+    e = _entries(spark, sf)  # null text (not a text type) stays as a null row
     return e.select("bundle_id", "path", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
 
 
@@ -239,15 +241,9 @@ from . import oracle_bundle as OB  # noqa: E402
 from . import scan as SCAN  # noqa: E402
 
 
-def _per_file(spark, sf):
-    """One checkpointed content pass over the corpus files (see ``scan.per_file``)."""
-    return SCAN.per_file(_entries(spark, sf), checkpoint=True)
-
-
 @register("finding_counts", OB.finding_counts_sql)
 def q_finding_counts(spark, sf):
-    pf = _per_file(spark, sf)
-    return BND.finding_counts(SCAN.findings_from(pf), pf.select("bundle_id").distinct())
+    return SCAN.bundles(corpus_files(spark, sf)).select("bundle_id", F.explode("finding_counts").alias("key", "n"))
 
 
 @register("bundle_report", OB.bundle_report_sql)
@@ -257,22 +253,14 @@ def q_bundle_report(spark, sf):
         "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
         "archives_extracted",
         F.aggregate(F.map_values("finding_counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_findings"),
-        F.array_join("hidden_dotfiles", ",").alias("hidden_dotfiles"),
-        F.array_join("package_files_found", ",").alias("package_files_found"),
+        "n_hidden_dotfiles", F.array_join("package_files_found", ",").alias("package_files_found"),
         "has_install_hooks", F.array_join("install_hooks_found", ",").alias("install_hooks_found"),
         "has_skill_md", "has_readme", "name", "version", "author", "description")
 
 
-def _reports(spark, sf, entries):
-    fps = IDN.bundle_fingerprint(entries)
-    return fixture_reports(spark, sf, fps)
-
-
 @register("cache_lookup", OB.cache_lookup_sql)
 def q_cache_lookup(spark, sf):
-    # fingerprints are one row per bundle; materialised once because both sides of the
-    # lookup (bundles and the fixture's earlier reports) are derived from them
-    fps = IDN.bundle_fingerprint(_entries(spark, sf)).checkpoint()
+    fps = IDN.bundle_fingerprint(_entries(spark, sf))
     hits, misses = REP.cache_lookup(fps, fixture_reports(spark, sf, fps))
     return (hits.select("bundle_id", "fingerprint", F.lit("hit").alias("status"), "skill_name", "risk_level")
             .unionByName(misses.select("bundle_id", "fingerprint", F.lit("miss").alias("status"),
@@ -282,14 +270,8 @@ def q_cache_lookup(spark, sf):
 
 @register("render_report", OB.render_report_sql)
 def q_render_report(spark, sf):
-    pf = _per_file(spark, sf)
-    rep = fixture_reports(spark, sf, BND.bundle_stats(pf).select("bundle_id", "fingerprint"))
-    found = SCAN.report_findings(SCAN.findings_from(pf))
-    meta = BND.bundle_meta_from_entries(pf).select("bundle_id", F.col("name").alias("local_name"))
-    n = F.regexp_extract("bundle_id", "[0-9]+", 0).try_cast("int")
-    r = (rep.join(found, "bundle_id", "left").join(meta, "bundle_id", "left")
-         .withColumn("findings", F.when(n % 4 == 2, F.array()).otherwise(F.col("findings"))))
-    md = REP.render_markdown(F.col("local_name"), F.col("skill_name"), F.col("adjusted_risk_level"),
+    r = fixture_reports(spark, sf, SCAN.bundles(corpus_files(spark, sf)))
+    md = REP.render_markdown(F.col("name"), F.col("skill_name"), F.col("adjusted_risk_level"),
                              F.col("risk_level"), F.col("scan_date"), F.col("llm_summary"), F.col("findings"),
                              F.col("source"))
     return r.select("bundle_id", md.alias("markdown"))
@@ -305,12 +287,21 @@ def _expanded(spark, sf):
     return ARC.expand_archives(archive_files(spark, sf))
 
 
-@register("expand_archives")
+def _expanded_sql():
+    return f"""WITH {archive_groups_sql()},
+m AS ({_members_sql()})
+SELECT bundle_id, path, depth, size_bytes, sha256, false AS is_archive FROM m
+UNION ALL SELECT bundle_id, path, depth, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), true FROM ({_guard_sql()})"""
+
+
+@register("expand_archives", lambda: _expanded_sql())
 def q_expand_archives(spark, sf):
-    files, _ = _expanded(spark, sf)
-    e = SRC.entries(files)
-    return e.select("bundle_id", "path", F.col("depth").cast("long").alias("depth"), "size_bytes", "sha256",
-                    "extracted_from", "is_archive")
+    """All files of the archive fixture with their members. A container's size and hash depend on
+    the packer, so they are left out."""
+    own = F.when(~F.col("is_archive"), F.lit(True))
+    return SRC.entries(_expanded(spark, sf)).select(
+        "bundle_id", "path", F.col("depth").cast("long").alias("depth"), F.when(own, F.col("size_bytes")).alias("size_bytes"),
+        F.when(own, F.col("sha256")).alias("sha256"), "is_archive")
 
 
 def _guard_sql():
@@ -324,8 +315,7 @@ UNION ALL SELECT bundle_id, 'pack_' || CAST(g AS VARCHAR) || '.7z', CAST(0 AS BI
 
 @register("archive_guard", _guard_sql)
 def q_archive_guard(spark, sf):
-    _, status = _expanded(spark, sf)
-    return status.select("bundle_id", "path", F.col("depth").cast("long").alias("depth"), "status")
+    return ARC.archive_status(archive_files(spark, sf)).select("bundle_id", "path", F.col("depth").cast("long").alias("depth"), "status")
 
 
 def _lineage_sql():
@@ -343,8 +333,7 @@ UNION ALL SELECT bundle_id, 'README.md', CAST(1 AS BIGINT), 'pack_' || CAST(g AS
 
 @register("archive_lineage", _lineage_sql)
 def q_archive_lineage(spark, sf):
-    files, _ = _expanded(spark, sf)
-    return ARC.archive_lineage(SRC.entries(files))
+    return ARC.archive_lineage(_expanded(spark, sf))
 
 
 # ---------------------------------------------------------------- embedding data work (§2.12)
@@ -398,13 +387,12 @@ def q_embed_text(spark, sf):
 
 @register("dir_text_files", lambda: OF.with_entries(
     f"SELECT bundle_id, path, size_bytes FROM entries WHERE suffix IN "
-    f"({', '.join(repr(e) for e in rules.EMBED_DIR_EXTENSIONS)}) AND size_bytes <= {rules.MAX_TEXT_BYTES}"))
+    f"({', '.join(repr(e) for e in rules.EMBED_DIR_EXTENSIONS)})"))
 def q_dir_text_files(spark, sf):
     e = _entries(spark, sf)
     # listing order of the reference: by path components (a/b < a-b < a.txt), a range-partitioned
     # global sort — a hot bundle is split across tasks, no per-bundle window
-    return e.where(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS) & (F.col("size_bytes") <= rules.MAX_TEXT_BYTES)
-                   ).select("bundle_id", "path", "size_bytes").orderBy("bundle_id", F.split("path", "/"))
+    return e.where(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS)).select("bundle_id", "path", "size_bytes").orderBy("bundle_id", F.split("path", "/"))
 
 
 # ---------------------------------------------------------------- remaining §2 items
@@ -415,8 +403,7 @@ SELECT bundle_id, 'pack_' || CAST(g AS VARCHAR) || '.zip' AS archive_path,
        'doc_' || CAST(doc_id AS VARCHAR) || ['.py', '.sh', '.js', '.md', '.ps1', '.txt'][doc_id % 6 + 1] AS path
 FROM d WHERE kind = 0""")
 def q_root_normalize(spark, sf):
-    files, _ = _expanded(spark, sf)
-    return ARC.root_normalize(files)
+    return ARC.root_normalize(archive_files(spark, sf)).drop("content")
 
 
 ROUTED_OUT = [k for k in rules.FINDING_KEYS if k.replace("_in_docs", "") in rules.ROUTED_KEYS
@@ -465,10 +452,7 @@ def _has_any_sql():
 
 @register("has_any_findings", _has_any_sql)
 def q_has_any_findings(spark, sf):
-    pf = _per_file(spark, sf)
-    hit = SCAN.findings_from(pf).select("bundle_id", "path").distinct().withColumn("has_findings", F.lit(True))
-    return pf.select("bundle_id", "path").join(hit, ["bundle_id", "path"], "left").select(
-        "bundle_id", "path", F.coalesce("has_findings", F.lit(False)).alias("has_findings"))
+    return SCAN.scanned(_entries(spark, sf)).select("bundle_id", "path", (F.size("_found") > 0).alias("has_findings"))
 
 
 def _projection_sql():
@@ -478,9 +462,7 @@ def _projection_sql():
 
 @register("column_projection", _projection_sql)
 def q_column_projection(spark, sf):
-    pf = _per_file(spark, sf)
-    rep = fixture_reports(spark, sf, BND.bundle_stats(pf).select("bundle_id", "fingerprint")).join(
-        SCAN.report_findings(SCAN.findings_from(pf)), "bundle_id", "left")
+    rep = fixture_reports(spark, sf, SCAN.bundles(corpus_files(spark, sf)))
     # only the six report keys leave; fingerprint and bundle_id are internal
     return rep.select("skill_name", "scan_date", "adjusted_risk_level", "risk_level", "llm_summary",
                       F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
@@ -495,35 +477,60 @@ def q_distinct_sorted(spark, sf):
     return keep_if(u, F.size("u") > 0).select("bundle_id", "path", F.array_join("u", "\n").alias("urls"))
 
 
+def _findings_by_key():
+    per_key = [OI.simple_sql(k) for k in OI.SIMPLE] + [
+        OI.shell_commands_sql(), OI.sensitive_file_paths_sql(), OI.suspicious_imports_sql(),
+        OI.sensitive_env_vars_sql(), OI.base64_sql(), OI.wallets_sql()]
+    parts = [f"SELECT bundle_id, path, key, value, CAST(NULL AS BIGINT) AS line FROM ({q})" for q in per_key]
+    parts.append(f"SELECT bundle_id, path, 'security_patterns', match, line FROM ({OL.security_patterns_sql()})")
+    parts.append(f"SELECT bundle_id, path, 'invisible_unicode', char_code, line FROM ({OL.invisible_unicode_sql()})")
+    parts.append(f"SELECT bundle_id, path, 'dns_exfil_patterns', match, line FROM ({OL.dns_exfil_sql()})")
+    return "\nUNION ALL\n".join(parts)
+
+
 def _findings_sql():
     with text_source(OB._entry_text_ctes()):
-        per_key = [OI.simple_sql(k) for k in OI.SIMPLE] + [
-            OI.shell_commands_sql(), OI.sensitive_file_paths_sql(), OI.suspicious_imports_sql(),
-            OI.sensitive_env_vars_sql(), OI.base64_sql(), OI.wallets_sql()]
-        parts = [f"SELECT bundle_id, path, key, value, CAST(NULL AS BIGINT) AS line FROM ({q})" for q in per_key]
-        parts.append(f"SELECT bundle_id, path, 'security_patterns', match, line FROM ({OL.security_patterns_sql()})")
-        parts.append(f"SELECT bundle_id, path, 'invisible_unicode', char_code, line FROM ({OL.invisible_unicode_sql()})")
-        parts.append(f"SELECT bundle_id, path, 'dns_exfil_patterns', match, line FROM ({OL.dns_exfil_sql()})")
-    return "\nUNION ALL\n".join(parts)
+        return _findings_by_key()
 
 
 @register("findings", _findings_sql)
 def q_findings(spark, sf):
-    return SCAN.findings_from(_per_file(spark, sf)).select("bundle_id", "path", "key", "value", "line")
+    return SCAN.findings(_entries(spark, sf)).select("bundle_id", "path", "key", "value", "line")
+
 
+def _artifact_sql():
+    found = "\n  UNION ALL\n  ".join(OB._found_parts())
+    return (f"WITH {OF.entries_sql()},\nfound AS (\n  {found}\n),\nfp AS ({OF.fingerprint_sql()}),\n"
+            f"tot AS ({OF.bundle_totals_sql()})\n"
+            "SELECT e.bundle_id, fp.fingerprint AS skill_sha256, tot.total_files, e.path, e.size_bytes, e.sha256, "
+            "(SELECT count(*) FROM found f WHERE f.bundle_id = e.bundle_id AND f.path = e.path) AS n_findings "
+            "FROM entries e JOIN fp USING (bundle_id) JOIN tot USING (bundle_id)")
 
-@register("write_artifact")
+
+@register("write_artifact", _artifact_sql)
 def q_write_artifact(spark, sf):
-    b = SCAN.bundles(corpus_files(spark, sf))
-    return b.select("bundle_id", F.to_json(F.struct(
-        F.col("fingerprint").alias("skill_sha256"),
-        F.struct("name", "version", "author", "description", "total_files", "total_size_bytes", "script_count",
-                 "total_lines", "has_skill_md", "has_readme",
-                 F.struct("has_install_hooks", "install_hooks_found", "package_files_found")
-                 .alias("dependency_metadata")).alias("skill_info"),
-        F.struct(F.col("total_files").alias("total_files_scanned"),
-                 F.col("archives_extracted").alias("total_archives_extracted"), "finding_counts",
-                 "hidden_dotfiles").alias("summary"))).alias("artifact_json"))
+    """The artifact written to the shared folder and read back: a row a file, with its bundle's."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifact-{uuid.uuid4().hex}"
+    SCAN.write_artifact(corpus_files(spark, sf), path)
+    files = spark.read.parquet(f"{path}/files").select("bundle_id", "path", "size_bytes", "sha256", F.size("_found").cast("long").alias("n_findings"))
+    whole = spark.read.parquet(f"{path}/bundles").select("bundle_id", "skill_sha256", "skill_info.total_files")
+    return files.join(whole, "bundle_id")
+
+
+def _expanded_findings_sql():
+    exts = "['.py', '.sh', '.js', '.md', '.ps1', '.txt']"
+    members = f"""{archive_groups_sql()},
+scan_text AS (SELECT bundle_id, 'docs/doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path, {exts}[doc_id % 6 + 1] AS suffix,
+       regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text
+  FROM (SELECT d.doc_id, d.text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g) WHERE kind IN (0, 1, 2))"""
+    with text_source(members):
+        return _findings_by_key()
+
+
+@register("expanded_findings", lambda: _expanded_findings_sql())
+def q_expanded_findings(spark, sf):
+    """Findings of the archive fixture, in whatever archive the files lie."""
+    return SCAN.run(archive_files(spark, sf))["findings"].select("bundle_id", "path", "key", "value", "line")
 
 
 @register("has_readme", OF.has_files_sql)
@@ -546,9 +553,7 @@ FROM (SELECT bundle_id, '# pack ' || CAST(g AS VARCHAR) || chr(10) AS r FROM gro
 
 @register("archive_members", _members_sql)
 def q_archive_members(spark, sf):
-    """Extracted non-archive members of the archive fixture (exact oracle; the containers'
-    own hashes are checked by ``expand_archives`` rows and the lineage query)."""
-    files, _ = _expanded(spark, sf)
-    e = SRC.entries(files)
+    """Extracted non-archive members of the archive fixture."""
+    e = SRC.entries(_expanded(spark, sf))
     return keep_if(e, F.col("extracted_from").isNotNull() & ~F.col("is_archive")).select(
         "bundle_id", "path", F.col("depth").cast("long").alias("depth"), "size_bytes", "sha256")

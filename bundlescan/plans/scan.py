@@ -1,10 +1,8 @@
 """The end-to-end scan plan: files -> entries -> findings -> bundles -> reports.
 
-    files ──► entries (hashes, MIME, text)          narrow
-       │          ├──► findings (3 grains, unionByName)   narrow
-       │          └──► bundle_stats  (one groupBy)        shuffle on bundle_id
-       └──► bundle_meta (root SKILL.md / package.json / setup.py only)
-    bundles = stats ⋈ meta ⋈ finding counts   (all keyed by bundle_id, one row per bundle)
+    files ──► entries (hashes, MIME, text) ──► scanned (one array of findings a file)     narrow
+                                                  ├──► findings   (explode)               narrow
+                                                  └──► bundles    (by bucket, by bundle)  two shuffles
 
 ``scan_new_bundles`` puts the cache lookup (left anti join on the fingerprint) in
 front of text extraction, so bundles already reported are never read as text.
@@ -15,134 +13,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import archives as A
 from ..operators import bundle as B
+from ..operators import identity as I
 from ..operators import indicators as IND
 from ..operators import lines as L
 from ..operators import report as R
 from ..sources import files as S
 
-FINDING_COLS = ["bundle_id", "path", "key", "value", "line", "category", "pattern_name", "description",
-                "position", "decoded"]
+ENTRY_COLS = ["bundle_id", "path", "size_bytes", "mime_type", "sha256", "md5", "is_archive", "extracted_from",
+              "depth", "suffix", "is_script", "line_count", "_meta_text"]
 
 
-def _shape(df: DataFrame) -> DataFrame:
-    types = {"line": "long", "position": "long"}
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(types.get(c, "string")).alias(c)
-                       for c in FINDING_COLS])
+def scanned(entries: DataFrame) -> DataFrame:
+    """The single content pass: one row per file with its entry columns and ``_found``, the array of
+    all its findings (24 keys, three grains)."""
+    t = F.col("text")
+    gates = IND.with_text_helpers(entries, ENTRY_COLS + ["text"]).select(
+        *ENTRY_COLS, "text", IND.items(IND.key_arrays(t), F.col("is_script")).alias("_items"),
+        L.detector_gate(t, F.col("suffix"), fold=F.col("_fold")).alias("_fired"),
+        L.invisible_gate(t).alias("_inv"), L.dns_gate(t, F.col("_fold")).alias("_dns"))
+    sets = F.transform("_items", lambda x: L.finding(x["key"], x["value"], decoded=x["decoded"]))
+    none = F.array().cast(f"array<{L.FOUND}>")
+    lines = L.line_findings(t, F.col("_fired"), F.col("_inv"), F.col("_dns"))
+    return gates.select(*ENTRY_COLS, F.concat(F.coalesce(sets, none), F.coalesce(lines, none)).alias("_found"))
 
 
-ENTRY_COLS = ["bundle_id", "path", "size_bytes", "mime_type", "sha256", "md5", "is_archive", "extracted_from",
-              "depth", "suffix", "is_script", "line_count", "_meta_text"]
+def findings(entries: DataFrame) -> DataFrame:
+    """Long findings table of ``entries`` (batch or streaming). A file is named by bundle, path, the
+    hash of the archive it came from and its own hash: paths may repeat between archives. (The outer
+    generator keeps the optimizer from testing the array's size below the scan, which would copy
+    the whole pass into a filter.)"""
+    return scanned(entries).select("bundle_id", "path", "extracted_from", "sha256", F.inline_outer("_found")).where(
+        F.col("key").isNotNull())
 
 
-def per_file(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """The single content pass: one row per file with its entry columns, every set /
-    presence finding (``_items``), the line-rule gate (``_fired``), the invisible / DNS
-    gates, and the text only for files whose line gates fired (``text`` is null for the
-    rest — at scale nearly every file). With ``checkpoint`` the result is materialised in
-    the shared checkpoint folder, so findings and roll-ups read this small table instead
-    of decoding the content again, and a lost executor does not restart the scan."""
-    h = IND.with_text_helpers(entries, ENTRY_COLS + ["text"])
-    t = F.col("text")
-    g = h.select(*ENTRY_COLS, "text",
-                 IND.items(IND.key_arrays(t), F.col("is_script")).alias("_items"),
-                 L.detector_gate(t, F.col("suffix"), fold=F.col("_fold")).alias("_fired"),
-                 L.invisible_gate(t).alias("_inv"), L.dns_gate(t, F.col("_fold")).alias("_dns"))
-    keep_text = L.any_fired(F.col("_fired")) | F.col("_inv") | F.col("_dns")
-    out = g.select(*ENTRY_COLS, "_items", "_fired", "_inv", "_dns", F.when(keep_text, F.col("text")).alias("text"))
-    return out.checkpoint() if checkpoint else out
-
-
-def findings_from(pf: DataFrame) -> DataFrame:
-    """Long findings table (all 24 keys, three grains kept apart by ``key``) from
-    :func:`per_file` rows."""
-    sets = (pf.select("bundle_id", "path", F.explode("_items").alias("_f"))
-            .select("bundle_id", "path", "_f.key", "_f.value", "_f.decoded"))
-    sec = L.hits_from_gate(pf.select("bundle_id", "path", "text", "_fired")).select(
-        "bundle_id", "path", F.lit("security_patterns").alias("key"), F.col("match").alias("value"), "line",
-        "category", "pattern_name", "description")
-    inv = L.invisible_unicode(pf.select("bundle_id", "path", "text", "_inv")).select(
-        "bundle_id", "path", F.lit("invisible_unicode").alias("key"), F.col("char_code").alias("value"), "line",
-        "position")
-    dns = L.dns_exfil(pf.select("bundle_id", "path", "text", "_dns")).select(
-        "bundle_id", "path", F.lit("dns_exfil_patterns").alias("key"), F.col("match").alias("value"), "line")
-    return _shape(sets).unionByName(_shape(sec)).unionByName(_shape(inv)).unionByName(_shape(dns))
-
-
-def findings(entries: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """Long findings table of ``entries`` (works on streaming input with ``checkpoint=False``)."""
-    return findings_from(per_file(entries, checkpoint))
-
-
-def bundles(files: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """One flat row per bundle: totals, identity, metadata, dotfiles, package files and the
-    24 finding counts as ``MAP<STRING,BIGINT>``. File contents are decoded and scanned once."""
-    pf = per_file(S.entries(files), checkpoint)
-    stats = B.bundle_stats(pf)
-    meta = B.bundle_meta_from_entries(pf)
-    counts = B.finding_counts_map(B.finding_counts(findings_from(pf), stats.select("bundle_id")))
-    out = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left")
-    return out.select(
-        "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
-        "archives_extracted", "finding_counts", "hidden_dotfiles", "package_files_found",
-        F.coalesce("has_install_hooks", F.lit(False)).alias("has_install_hooks"),
-        F.coalesce("install_hooks_found", F.array().cast("array<string>")).alias("install_hooks_found"),
-        "has_skill_md", "has_readme",
-        *[F.coalesce(k, F.lit("")).alias(k) for k in ("name", "version", "author", "description")])
+def bundles(files: DataFrame) -> DataFrame:
+    """One flat row per bundle: totals, identity, metadata, package files, the 24 finding counts as
+    ``MAP<STRING,BIGINT>`` and the first file of each hit category. Contents are read once."""
+    return B.rollup(scanned(S.entries(files)))
 
 
 def scan_new_bundles(files: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, findings of misses): reported bundles come back with their report; only
     the others are decoded and scanned."""
-    stats = B.bundle_stats(S.entries(files)).select("bundle_id", "fingerprint")
-    hits, misses = R.cache_lookup(stats, reports)
-    # the semi join runs on the raw files, before any text is decoded or scanned
-    todo = files.join(misses.select("bundle_id"), "bundle_id", "left_semi")
+    hits, todo = new_files(files, reports)
     return hits, findings(S.entries(todo))
 
 
-def report_findings(found: DataFrame) -> DataFrame:
-    """Per bundle: one finding per hit category (description, first file) — at most 16."""
-    per = (found.where(F.col("key") == "security_patterns").groupBy("bundle_id", "category")
-           .agg(F.min("path").alias("file")))
-    return per.groupBy("bundle_id").agg(F.sort_array(F.collect_list(
-        F.struct(F.concat(F.lit("Detected "), F.col("category")).alias("description"), F.col("file")))).alias("findings"))
+def new_files(files: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, files of the bundles without a report). The semi join is on the raw files, before any
+    text is decoded; Spark splits a bundle that is too large for one of its tasks."""
+    hits, misses = R.cache_lookup(I.bundle_fingerprint(S.entries(files)), reports)
+    return hits, files.join(misses.select("bundle_id"), "bundle_id", "left_semi")
 
 
-def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
-        checkpoint: bool = True) -> dict[str, DataFrame]:
+def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True) -> dict[str, DataFrame]:
     """End-to-end scan of a ``files(bundle_id, path, content)`` table.
 
-    Returns ``entries`` (one checkpointed row per file, archive members included, text kept
-    only where a line rule may fire), ``findings`` (long, all 24 keys), ``bundles`` (one row
-    per bundle), ``archive_status`` (one row per archive met) and, with ``reports``,
-    ``cached`` (bundles whose fingerprint already has a report, joined to it; their files are
-    not scanned and they do not appear in ``findings`` or ``bundles``).
+    Returns ``entries`` (one row per file, archive members included, with its findings),
+    ``findings`` (long, all 24 keys), ``bundles`` (one row per bundle), ``archive_status`` (one row
+    per archive met) and, with ``reports``, ``cached`` (bundles whose fingerprint already has a
+    report, joined to it; their files are not scanned and they do not appear in ``findings`` or
+    ``bundles``).
     """
-    from ..operators import archives as A
-
-    status = None
-    if expand:
-        files, status = A.expand_archives(files, checkpoint=checkpoint)
     out: dict[str, DataFrame] = {}
     if reports is not None:
-        stats = B.bundle_stats(S.entries(files)).select("bundle_id", "fingerprint")
-        hits, misses = R.cache_lookup(stats, reports)
-        out["cached"] = hits
-        files = files.join(misses.select("bundle_id"), "bundle_id", "left_semi")
-    pf = per_file(S.entries(files), checkpoint)
-    found = findings_from(pf)
-    stats = B.bundle_stats(pf)
-    meta = B.bundle_meta_from_entries(pf)
-    counts = B.finding_counts_map(B.finding_counts(found, stats.select("bundle_id")))
-    bundles_df = stats.join(meta, "bundle_id", "left").join(counts, "bundle_id", "left").select(
-        "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
-        "archives_extracted", "finding_counts", "hidden_dotfiles", "package_files_found",
-        F.coalesce("has_install_hooks", F.lit(False)).alias("has_install_hooks"),
-        F.coalesce("install_hooks_found", F.array().cast("array<string>")).alias("install_hooks_found"),
-        "has_skill_md", "has_readme",
-        *[F.coalesce(k, F.lit("")).alias(k) for k in ("name", "version", "author", "description")])
-    out.update(entries=pf, findings=found, bundles=bundles_df)
-    if status is not None:
-        out["archive_status"] = status
-    return out
+        out["cached"], files = new_files(files, reports)
+    if expand:
+        out["archive_status"] = A.archive_status(files)
+        files = A.expand_archives(files)
+    entries = S.entries(files)
+    return out | {"entries": scanned(entries), "findings": findings(entries), "bundles": bundles(files)}
+
+
+def write_artifact(files: DataFrame, path: str) -> None:
+    """The scan's artifact as two Parquet datasets below path: ``bundles`` (skill information, summary,
+    scan metadata) and ``files`` (a row a file with its findings). The bundles are added up from the
+    written files, so contents are read once. Run time is not part of it."""
+    scanned(S.entries(files)).write.parquet(f"{path}/files")
+    info = ["name", "version", "author", "description"]
+    B.rollup(files.sparkSession.read.parquet(f"{path}/files")).select(
+        "bundle_id", F.col("fingerprint").alias("skill_sha256"),
+        F.struct(F.current_timestamp().alias("timestamp"), F.lit(VERSION).alias("scanner_version")).alias("scan_metadata"),
+        F.struct(*info, F.struct(*info).alias("frontmatter"), "total_files", "total_size_bytes", "script_count", "total_lines",
+                 "has_skill_md", "has_readme",
+                 F.struct("has_install_hooks", "install_hooks_found", "package_files_found").alias("dependency_metadata")).alias("skill_info"),
+        F.struct(F.col("total_files").alias("total_files_scanned"), F.col("archives_extracted").alias("total_archives_extracted"),
+                 "finding_counts", "n_hidden_dotfiles").alias("summary")).write.parquet(f"{path}/bundles")
+
+
+VERSION = "2"

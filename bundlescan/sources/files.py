@@ -2,25 +2,17 @@
 
 All columns are JVM expressions on the path and the bytes (no Python per row):
 base name, suffix, MIME type from the name, text test, archive kind, hashes and the
-decoded text (size <= 2 MiB and a text type; UTF-8 with U+FFFD for bad bytes; CRLF and
+decoded text (of every text type, whatever its size; UTF-8 with U+FFFD for bad bytes; CRLF and
 lone CR -> LF; a BOM is kept).
 """
 
 from __future__ import annotations
 
-import mimetypes
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-
-# The MIME table is the Python standard library's built-in one (independent of the host's
-# /etc/mime.types); it is derived here, not transcribed.
-_MT = mimetypes.MimeTypes(filenames=())
-TYPES_MAP: dict[str, str] = dict(sorted(_MT.types_map[True].items()))
-SUFFIX_MAP: dict[str, str] = dict(_MT.suffix_map)
-ENCODINGS: list[str] = sorted(_MT.encodings_map)
+from ..functions.mime import ENCODINGS, SUFFIX_MAP, TYPES_MAP
 
 
 def base_name(path: Column) -> Column:
@@ -76,9 +68,8 @@ def archive_extension(path: Column) -> Column:
     return F.coalesce(*[F.when(low.endswith(e), F.lit(e)) for e in exts], F.lit(""))
 
 
-def read_text(content: Column, size: Column, text_ok: Column) -> Column:
-    decoded = F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
-    return F.when((size <= rules.MAX_TEXT_BYTES) & text_ok, decoded)
+def read_text(content: Column, text_ok: Column) -> Column:
+    return F.when(text_ok, F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n"))
 
 
 META_FILES = ["SKILL.md", "package.json", "setup.py"]
@@ -112,7 +103,7 @@ def entries(files: DataFrame) -> DataFrame:
     )
     e = with_mime_type(e)
     e = e.withColumn("is_script", F.col("suffix").isin(*rules.SCRIPT_EXTENSIONS))
-    e = e.withColumn("text", read_text(c, F.col("size_bytes"), is_text(F.col("mime_type"), F.col("suffix"))))
+    e = e.withColumn("text", read_text(c, is_text(F.col("mime_type"), F.col("suffix"))))
     # root metadata files keep their text here, so bundle metadata never re-reads the content
     e = e.withColumn("_meta_text", F.when(F.col("extracted_from").isNull() & F.col("path").isin(*META_FILES),
                                           meta_text(c)))

@@ -7,7 +7,8 @@
   generated from the bundle's number, one small set per bundle, so they grow with the
   number of bundles.
 * ``reports``: earlier scan reports for half of the document bundles, keyed by the
-  bundle fingerprint; the input of ``cache_lookup`` and ``render_report``.
+  bundle fingerprint; the input of ``cache_lookup`` and ``render_report``. A kit has no
+  findings, so reports with and without them occur.
 
 Each builder has a DuckDB twin with the same rows.
 """
@@ -22,27 +23,33 @@ from .corpus import corpus_sql, scan_text
 
 # (condition on bundle number n, path, content template with {n}) — FIXED fixture rows
 ROOT_FILES = [
-    ("n % 2 = 0", "SKILL.md",
+    ("n % 4 = 0", "SKILL.md",
      '---\nname: skill-{n}\nversion: "1.{n}"\nauthor: team {n}\ndescription: scans --- every file\n---\n'
      "# Skill {n}\n\nUse with care.\n"),
+    ("n % 4 = 2", "SKILL.md",
+     "---\nname: skill-{n} # a note\nversion: '1.{n}'\nauthor: {{name: team}}\ndescription: >-\n  scans\n  every file\n\n  again\n---\n"
+     "# Skill {n}\n"),
     ("n % 3 = 0", "package.json",
      '{{"name": "b{n}", "scripts": {{"test": "jest", "postinstall": "node setup.js", "prepare": "tsc"}}}}'),
-    ("n = 7", "package.json", '{{"name": "b{n}", "scripts": ["postinstall", "test"]}}'),
+    ("n % 6 = 1", "package.json", '{{"name": "b{n}", "scripts": ["postinstall", "test"]}}'),
+    ("n % 6 = 5", "package.json", '{{"scripts": {{"postinstall": "x"}}}} garbage'),
     ("n % 5 = 0", "setup.py", 'from setuptools import setup\nsetup(name="b{n}", cmdclass = {{"install": Hook}})\n'),
     ("n % 4 = 1", "requirements.txt", "requests==2.0\n"),
-    ("n = 1", ".hidden", "x=1\n"),
-    ("n = 1", ".gitignore", "*.pyc\n"),
-    ("n = 1", "conf/.secret_rc", "token=abc\n"),
-    ("n = 2", "sub/README.md", "# sub\n"),
-    ("n = 4", "README.md", "# readme\n"),
-    ("n = 3", "__pycache__/mod.cpython-313.pyc", "\x00\x01compiled"),
+    ("n % 20 = 1", ".hidden", "x=1\n"),
+    ("n % 20 = 1", ".gitignore", "*.pyc\n"),
+    ("n % 20 = 1", "conf/.secret_rc", "token=abc\n"),
+    ("n % 20 = 2", "sub/README.md", "# sub\n"),
+    ("n % 20 = 4", "README.md", "# readme\n"),
+    ("n % 20 = 3", "__pycache__/mod.cpython-313.pyc", "\x00\x01compiled"),
 ]
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources, and a kit of root files for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return (docs.select(F.col("source").alias("bundle_id")).distinct()
-            .withColumn("n", F.regexp_extract("bundle_id", "[0-9]+", 0).cast("int")))
+    sources = docs.select(F.col("source").alias("bundle_id")).distinct()
+    kits = docs.select(F.concat(F.lit("kit"), F.col("doc_id").cast("string")).alias("bundle_id"))
+    return sources.unionByName(kits).withColumn("n", F.regexp_extract("bundle_id", "[0-9]+", 0).cast("int"))
 
 
 def _template(t: str) -> Column:
@@ -75,12 +82,12 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str, fingerprints: DataFrame) -> DataFrame:
-    """Earlier reports for even-numbered document bundles. ``fingerprints(bundle_id,
-    fingerprint)`` ties them to content; findings list one file per hit category."""
-    b = fingerprints.where(F.col("bundle_id").rlike("^src[0-9]+$")).withColumn(
-        "n", F.regexp_extract("bundle_id", "[0-9]+", 0).cast("int")).where(F.col("n") % 2 == 0)
+    """Earlier reports for even-numbered sources and kits. ``fingerprints(bundle_id,
+    fingerprint, ...)`` ties them to content; its other columns stay."""
+    b = fingerprints.withColumn("n", F.when(F.col("bundle_id").rlike("^(src|kit)[0-9]+$"), F.regexp_extract("bundle_id", "[0-9]+", 0))
+                                .cast("int")).where(F.col("n") % 2 == 0)
     return b.select(
-        "fingerprint", "bundle_id",
+        *fingerprints.columns,
         F.when(F.col("n") % 6 == 0, F.col("fingerprint")).otherwise(F.concat(F.lit("bundle-"), F.col("n").cast("string")))
         .alias("skill_name"),
         F.concat(F.lit("2026-01-"), F.lpad(((F.col("n") % 28) + 1).cast("string"), 2, "0")).alias("scan_date"),
@@ -111,7 +118,7 @@ def files_sql() -> str:
         for cond, path, t in ROOT_FILES)
     return f"""{corpus_sql("corpus_text")},
 bundles AS (SELECT bundle_id, CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) AS n
-            FROM (SELECT DISTINCT source AS bundle_id FROM documents)),
+            FROM (SELECT DISTINCT source AS bundle_id FROM documents UNION ALL SELECT 'kit' || CAST(doc_id AS VARCHAR) FROM documents)),
 files AS (
   SELECT bundle_id, path, encode(CASE
       WHEN TRY_CAST(regexp_extract(path, '^doc_([0-9]+)\\.', 1) AS BIGINT) % 5 = 1 THEN replace(text, chr(10), chr(13) || chr(10))

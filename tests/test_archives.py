@@ -5,7 +5,6 @@ import tarfile
 import zipfile
 
 from bundlescan.operators import archives as A
-from bundlescan.sources import files as S
 from bundlescan.sources.fixtures import _tar_bytes, _zip_bytes
 
 
@@ -14,8 +13,9 @@ def files_df(spark, rows):
 
 
 def expand(spark, rows, **kw):
-    f, st = A.expand_archives(files_df(spark, rows), **kw)
-    return sorted((r.path, r.depth) for r in f.collect()), {(r.path, r.depth): r.status for r in st.collect()}
+    f = files_df(spark, rows)
+    return (sorted((r.path, r.depth) for r in A.expand_archives(f, **kw).collect()),
+            {(r.path, r.depth): r.status for r in A.archive_status(f, **kw).collect()})
 
 
 def test_nested_zip_in_tar_gz(spark):
@@ -81,7 +81,7 @@ def test_symlinks_and_duplicates(spark):
         link = zipfile.ZipInfo("sym")
         link.external_attr = 0o120777 << 16
         zf.writestr(link, "target.txt")
-    f, _ = A.expand_archives(files_df(spark, [("t.tar", t), ("z.zip", zbuf.getvalue())]))
+    f = A.expand_archives(files_df(spark, [("t.tar", t), ("z.zip", zbuf.getvalue())]))
     got = {r.path: bytes(r.content) for r in f.collect() if r.depth == 1}
     assert "l.txt" not in got and got["a.txt"] == b"1"           # tar symlink extracted but not walked
     assert got["d.txt"] == b"new" and got["sym"] == b"target.txt"  # last duplicate wins; zip link = file
@@ -89,14 +89,45 @@ def test_symlinks_and_duplicates(spark):
 
 def test_lineage_identical_archives(spark):
     z = _zip_bytes([("m.txt", b"x")])
-    f, _ = A.expand_archives(files_df(spark, [("a/one.zip", z), ("b/two.zip", z)]))
-    lin = A.archive_lineage(S.entries(f)).collect()
-    assert len(lin) == 2 and {r.parent_path for r in lin} == {"a/one.zip"}
+    f = A.expand_archives(files_df(spark, [("a/one.zip", z), ("b/two.zip", z)]))
+    lin = A.archive_lineage(f).collect()
+    assert len(lin) == 2 and {r.parent_path for r in lin} == {"a/one.zip", "b/two.zip"}
+
+
+def test_limits_are_parameters(spark):
+    data = _zip_bytes([(f"f{i}", b"x") for i in range(5)])
+    got, st = expand(spark, [("m.zip", data)], limits=A.Limits(entries=4))
+    assert got == [("m.zip", 0)] and st == {("m.zip", 0): "too_many"}
+    got, st = expand(spark, [("m.zip", data)], limits=A.Limits(entries=None, total_bytes=None))
+    assert len(got) == 6 and st == {("m.zip", 0): "ok"}
 
 
 def test_root_normalize(spark):
     single = _zip_bytes([("skill/SKILL.md", b"x"), ("skill/run.py", b"y"), ("loose.txt", b"z")])
     with_skill = _zip_bytes([("SKILL.md", b"x"), ("skill/run.py", b"y")])
-    f, _ = A.expand_archives(files_df(spark, [("u1.zip", single), ("u2.zip", with_skill)]))
+    empty_folder = _zip_bytes([("skill/SKILL.md", b"x"), ("other/", b"")])
+    f = files_df(spark, [("u1.zip", single), ("u2.zip", with_skill), ("u3.zip", empty_folder)])
     got = sorted((r.archive_path, r.path) for r in A.root_normalize(f).collect())
-    assert got == [("u1.zip", "SKILL.md"), ("u1.zip", "run.py"), ("u2.zip", "SKILL.md"), ("u2.zip", "skill/run.py")]
+    assert got == [("u1.zip", "SKILL.md"), ("u1.zip", "run.py"), ("u2.zip", "SKILL.md"), ("u2.zip", "skill/run.py"), ("u3.zip", "skill/SKILL.md")]
+    from bundlescan.plans import scan as SCAN
+    flags = {r.bundle_id: r.has_skill_md for r in SCAN.bundles(A.zip_targets(f)).collect()}
+    assert flags == {"b/u1.zip": True, "b/u2.zip": True, "b/u3.zip": False}
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """Started from another folder, with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from bundlescan.session import get_spark
+spark = get_spark("local-cluster[1,1,1024]", **{{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+from bundlescan.operators import archives as A
+from bundlescan.sources.fixtures import _zip_bytes
+f = spark.createDataFrame([("b", "a.zip", _zip_bytes([("x", b"1")]))], "bundle_id string, path string, content binary")
+assert A.expand_archives(f).count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=240)

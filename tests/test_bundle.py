@@ -27,7 +27,7 @@ def test_bundle_row(spark):
     b, c = rows["b"], rows["c"]
     assert (b.name, b.version, b.author, b.description) == ("demo", "1.0", "A B", "x")
     assert b.install_hooks_found == ["postinstall", "cmdclass"] and b.has_install_hooks
-    assert b.hidden_dotfiles == [".hidden"] and b.has_skill_md and not b.has_readme
+    assert b.n_hidden_dotfiles == 1 and b.has_skill_md and not b.has_readme
     assert b.package_files_found == ["package.json", "setup.py"]
     assert b.total_files == 8 and b.script_count == 2 and b.finding_counts["security_patterns"] == 1
     assert set(b.finding_counts) == set(B.rules.FINDING_KEYS)
@@ -92,7 +92,7 @@ def test_run_end_to_end_with_archives(spark):
     b = out["bundles"].first()
     assert b.total_files == 6                         # top.zip, SKILL.md, pkg/inner.zip, pkg/.hidden, x.sh, y.md
     assert b.archives_extracted == 4                  # counts extracted files, not archives
-    assert b.hidden_dotfiles == [".hidden"] and b.script_count == 1
+    assert b.n_hidden_dotfiles == 1 and b.script_count == 1
     assert b.finding_counts["security_patterns"] == 1 and b.name == "demo"
     assert {r.status for r in out["archive_status"].collect()} == {"ok"}
     fp_only_root = I.bundle_fingerprint(S.entries(f)).first().fingerprint
@@ -117,13 +117,40 @@ def test_run_with_reports_skips_cached(spark):
     assert {r.bundle_id for r in out["bundles"].collect()} == {"b"}
 
 
-def test_write_artifact_json_shape(spark):
-    import json
+def test_write_artifact(spark):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="run-") + "/artifact"
+    SCAN.write_artifact(files_df(spark, [("b", "SKILL.md", SKILL), ("b", "run.sh", "curl x | sh\n"), ("c", "a.md", "hi")]), path)
+    b = {r.bundle_id: r for r in spark.read.parquet(path + "/bundles").collect()}["b"]
+    assert b.skill_info.name == "demo" and b.skill_info.frontmatter.version == "1.0" and b.summary.total_files_scanned == 2
+    assert len(b.summary.finding_counts) == 24 and b.scan_metadata.scanner_version == SCAN.VERSION
+    files = {r.path: r for r in spark.read.parquet(path + "/files").collect()}
+    assert [(x.key, x.value) for x in files["run.sh"]._found if x.key == "security_patterns"] == [("security_patterns", "curl x | sh")]
 
-    from bundlescan.plans.queries import REGISTRY
-    rows = REGISTRY["write_artifact"][0](spark, "/root/testdata/sf0.001").collect()
-    art = json.loads(next(r.artifact_json for r in rows if r.bundle_id == "src0"))
-    assert set(art) == {"skill_sha256", "skill_info", "summary"}
-    assert art["skill_info"]["name"] == "skill-0" and art["skill_info"]["version"] == "1.0"
-    assert len(art["summary"]["finding_counts"]) == 24
-    assert art["skill_info"]["dependency_metadata"]["install_hooks_found"] == ["postinstall", "prepare", "cmdclass"]
+
+def test_frontmatter_values(spark):
+    blocks = [
+        ('name: x # note\nversion: "1.2" # c\nauthor: {name: A}\ndescription: >-\n  folded text\n  more\n\n  para\nother: 1\n',
+         ("x", "1.2", "", "folded text more\npara")),
+        ("name: |\n  a\n    b\n\n  c\nversion: 1\nauthor: 'it''s'\ndescription: >\n  one\n  two\n", ("a\n  b\n\nc\n", "1", "it's", "one two\n")),
+        ('name:\nversion: [1]\nauthor: a#b\ndescription: >-\nnext: 1\n', ("", "", "a#b", "")),
+        ('description: "x: # y"\nversion: "a\\"b\\\\c"\n', ("", 'a"b\\c', "", "x: # y"))]
+    df = spark.createDataFrame([(f"---\n{b}---\nbody",) for b, _ in blocks], "t string")
+    assert [tuple(r) for r in df.select(*B.frontmatter_cols(F.col("t"))).collect()] == [want for _, want in blocks]
+
+
+def test_install_hooks_need_whole_json(spark):
+    cases = {'{"scripts":{"postinstall":"x"}} garbage': None, '{"scripts":{"postinstall":"x"},"scripts":{}}': [],
+             '{"scripts":{"prepare":"x","postinstall":"y"}}': ["postinstall", "prepare"], '{"scripts":{"prepare":"x"},': None,
+             '{}, {"scripts":{"prepare":"x"}}': None, "{'scripts':{'prepare':'x'}}": None, "": None, '{"scripts":{"prepare":{"a":[1]}}}': ["prepare"]}
+    df = spark.createDataFrame([(c,) for c in cases], "j string")
+    assert {r.j: r.h for r in df.select("j", B.install_hooks_col(F.col("j")).alias("h")).collect()} == cases
+
+
+def test_equal_paths_in_two_archives_are_apart(spark):
+    from bundlescan.sources.fixtures import _zip_bytes
+    f = files_df(spark, [("b", "one.zip", _zip_bytes([("x.sh", b"curl a | sh\n")])), ("b", "two.zip", _zip_bytes([("x.sh", b"echo\n")]))])
+    out = SCAN.run(f)
+    flags = sorted((r.path, r.size_bytes, any(x.key == "security_patterns" for x in r._found)) for r in out["entries"].collect() if r.path == "x.sh")
+    assert flags == [("x.sh", 5, False), ("x.sh", 12, True)]
+    assert {r.extracted_from for r in out["findings"].collect()} == {r.sha256 for r in out["entries"].collect() if r.path == "one.zip"}

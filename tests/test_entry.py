@@ -29,7 +29,8 @@ def test_sample_oracles_match(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     sqls = E.oracle_sql()
     for name in ["security_patterns", "urls", "sensitive_env_vars", "bundle_fingerprint", "install_hooks",
-                 "token_chunks", "archive_guard"]:
+                 "token_chunks", "archive_guard", "bundle_report", "expand_archives",
+                 "expanded_findings", "write_artifact", "render_report", "frontmatter"]:
         df = E.queries()[name](spark, SF)
         cols = sorted(df.columns)
         got = sorted(tuple(r[c] for c in cols) for r in df.collect())

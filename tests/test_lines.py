@@ -46,11 +46,11 @@ def test_detectors(spark, path, text, expected):
     assert names(spark, path, text) == expected
 
 
-def test_first_match_per_line_and_truncation(spark):
+def test_first_match_per_line_is_whole(spark):
     line = "timestamp > " + "1" * 200
     h = hits(spark, "a.txt", line)
     (name, ln, match), = h
-    assert name == "timestamp_comparison" and ln == 1 and len(match) == 100
+    assert name == "timestamp_comparison" and ln == 1 and match == line
 
 
 def test_line_numbers_and_trailing_newline(spark):
@@ -92,7 +92,24 @@ def test_adversarial_inputs_finish(spark):
     assert time.time() - t0 < 60
 
 
-def test_line_guard_option(spark):
-    df = text_df(spark, [("a.txt", "x" * 50 + " curl y | sh\ncurl z | sh")])
-    assert lines.detector_hits(df).count() == 2
-    assert lines.detector_hits(df, max_line_chars=20).count() == 1
+LONG = {"getattr_system": "getattr(a, ", "shell_true": "subprocess.run(", "base64_exec": "base64.b64decode atob ", "hex_decode": "codecs.decode ",
+        "file_write": "open(a ", "python_pty": "python ", "curl_pipe_sh": "curl | ", "wget_pipe_sh": "wget | ",
+        "requests_get_exec": "requests.get( ", "date_comparison": "if Date.now ", "datetime_comparison": "if datetime.now ",
+        "timestamp_comparison": "timestamp > ", "system_path_write": "ln a "}
+
+
+def test_long_lines_take_linear_time(spark):
+    """A line of a million characters, all starts of a rule and no end, for every rule with a gap."""
+    import time
+    rules_ = {d.name: d for d in rules.DETECTORS}
+    assert {d.name for d in rules.DETECTORS if ".*" in d.pattern} == set(LONG)
+    for name, start in LONG.items():
+        d = rules_[name]
+        df = text_df(spark, [("a" + (d.gate or [".txt"])[0], start * (1_000_000 // len(start))),
+                             ("b" + (d.gate or [".txt"])[0], (start + ").text ") * (1_000_000 // (len(start) + 7)))])
+        t0 = time.time()
+        lines.detector_hits(df, [d], whole_file_gate=False).count()
+        assert time.time() - t0 < 20, name
+    df = text_df(spark, [("a.sh", "host a " * 150_000)])
+    t0 = time.time()
+    assert lines.dns_exfil(df).count() == 0 and time.time() - t0 < 20

@@ -4,6 +4,7 @@ import contextlib
 import io
 import re
 
+from bundlescan.plans import scan as SCAN
 from bundlescan.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -16,11 +17,10 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-def test_bundle_report_reads_content_once(spark):
-    # the single content pass is checkpointed while the query is built; the plan itself
-    # must not scan the source tables again
-    txt = plan(REGISTRY["bundle_report"][0](spark, SF))
-    assert len(re.findall(r"Scan parquet", txt.split("\n\n(1)")[0])) == 0
+def test_bundles_are_one_pass_and_two_shuffles(spark):
+    files = spark.createDataFrame([("b", "a.sh", b"curl x | sh")], "bundle_id string, path string, content binary")
+    txt = plan(SCAN.bundles(files)).split("\n\n(1)")[0]
+    assert len(re.findall(r"Scan", txt)) == 1 and len(re.findall(r"Exchange", txt)) == 2
 
 
 def test_scans_are_pruned(spark):

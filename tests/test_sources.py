@@ -6,7 +6,6 @@ import mimetypes
 import pytest
 from pyspark.sql import functions as F
 
-from bundlescan.functions import rules
 from bundlescan.sources import files as S
 
 
@@ -30,16 +29,14 @@ def test_suffix_and_mime_match_python(spark, name):
 
 
 def test_text_rules(spark):
-    big = b"a" * (rules.MAX_TEXT_BYTES + 1)
-    exact = b"a" * rules.MAX_TEXT_BYTES
+    big = b"curl a | sh\n" * 250_000
     e = entries_of(spark, [
         (".env", b"A=1"), ("Dockerfile", b"FROM x"), ("x.txt.gz", b"\x1f\x8b bytes"),
-        ("big.txt", big), ("exact.txt", exact), ("crlf.md", b"a\r\nb\rc\n"), ("bom.md", b"\xef\xbb\xbfhi"),
+        ("big.txt", big), ("crlf.md", b"a\r\nb\rc\n"), ("bom.md", b"\xef\xbb\xbfhi"),
         ("bad.md", b"ok\xff\xfeend"), ("empty.md", b""), ("x.cjs", b"fs.symlink(a)"), ("x.pyc", b"\x00\x01")])
     assert e[".env"].text is None and e["Dockerfile"].text is None   # suffix '' -> never scanned
     assert e["x.txt.gz"].text is not None                            # guessed text/plain
-    assert e["big.txt"].text is None and e["big.txt"].line_count == 0
-    assert e["exact.txt"].text is not None
+    assert e["big.txt"].text == big.decode() and e["big.txt"].line_count == 250_001  # no size is too large
     assert e["crlf.md"].text == "a\nb\nc\n" and e["crlf.md"].line_count == 4
     assert e["bom.md"].text == "﻿hi"
     assert e["bad.md"].text == b"ok\xff\xfeend".decode("utf-8", errors="replace")
