@@ -6,8 +6,9 @@ bundle with one snippet appended (positives and near misses), ``pages`` become `
 files of one large bundle (a deliberately hot key) and ``conversations`` become ``.md``
 turns. The DuckDB oracles build the very same rows with :func:`corpus_sql`.
 
-Everything is a projection: the snippet is picked with ``element_at`` over a literal
-array, so no join or shuffle is involved and the corpus grows with the tables.
+The snippet is picked with ``element_at`` over a literal array, without a join, and the
+corpus grows with the tables. Files are dealt over the shuffle partitions by bundle and
+path, always, so that a hot bundle or a table of one row group is scanned by many tasks.
 """
 
 from __future__ import annotations
@@ -92,7 +93,9 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".md").alias("suffix"),
         F.col("text"),
     )
-    return d.unionByName(pages).unionByName(conv)
+    # scanning is bound by CPU, and a table may come as one large row group: always deal by file
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return d.unionByName(pages).unionByName(conv).repartition(n, "bundle_id", "path")
 
 
 _OVERRIDE: list[str] = []
