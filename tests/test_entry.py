@@ -33,7 +33,7 @@ def test_sample_oracles_match(spark):
                  "expanded_findings", "write_artifact", "render_report", "frontmatter"]:
         df = E.queries()[name](spark, SF)
         cols = sorted(df.columns)
-        got = sorted(tuple(r[c] for c in cols) for r in df.collect())
+        got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
         res = con.sql(sqls[name])
-        want = sorted(tuple(dict(zip(res.columns, r))[c] for c in cols) for r in res.fetchall())
+        want = sorted((tuple(dict(zip(res.columns, r))[c] for c in cols) for r in res.fetchall()), key=repr)
         assert got == want, name
