@@ -3,9 +3,11 @@
 A vector is split into halves, and each half is coded by a codebook of its own (k-means on a bounded
 sample), so the two codes name a cell of a product grid. A query visits cells in the order of the
 summed distances of its halves to the two centroids, by multi-sequence traversal; how many it visits
-is read off a bounded sample of queries whose neighbours are found by brute force: the fewest cells
-that reach the target recall. Vectors in the cells visited are verified by their cosine in double
-precision.
+is read off a sample of queries whose neighbours are found by brute force: the fewest cells that reach
+the target recall, as the mean over queries and as the mean over groups of linked queries. The sample
+grows until it holds enough groups. If it does not, each query visits all cells that can hold a vector
+of the wanted cosine, and no link is lost. Vectors in the cells visited are verified by their cosine in
+double precision.
 
 Only vectors with equal labels and equal lengths are compared. Equal vectors are one entry with a
 count. The members of a cell, and the queries that visit it, are cut into blocks, and a block of
@@ -105,6 +107,17 @@ class Grid:
             out.append(cells)
         return out
 
+    def reach(self, units: np.ndarray, cosine: float) -> list[list[int]]:
+        """Of each vector, all cells that can hold one of this cosine with it. A member of a cell is
+        nearest to its centroids, so it lies beyond the bisectors between them and all others."""
+        least = []
+        for d, book in zip(self.distances(units), self.books):
+            gap = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))
+            gap[gap == 0] = np.inf
+            least.append(np.maximum(((d[:, :, None] - d[:, None, :]) / (2 * gap)).max(2), 0) ** 2)
+        near = least[0][:, :, None] + least[1][:, None, :] <= 2 - 2 * cosine + 1e-9
+        return [np.flatnonzero(x).tolist() for x in near.reshape(len(units), -1)]
+
 
 def _sampled(entries: DataFrame, rows: int, seed: str) -> DataFrame:
     """About twice rows entries, spread by a hash of the id (all, if there are fewer)."""
@@ -113,43 +126,73 @@ def _sampled(entries: DataFrame, rows: int, seed: str) -> DataFrame:
     return entries.filter(F.xxhash64("rep", F.lit(seed)) / F.lit(float(2 ** 64)) + 0.5 < share)
 
 
-def calibrate(entries: DataFrame, grid: Grid, cosine: float, recall: float, queries: int) -> int:
-    """The fewest visits that find the share recall of the sampled queries' neighbours."""
+def calibrate(entries: DataFrame, grid: Grid, cosine: float, recall: float, queries: int, groups: int = 64) -> int | None:
+    """The fewest visits that find the share recall of the sampled queries' neighbours. The sample is
+    enlarged up to 16 times until its linked queries come to so many groups; None: they do not."""
+    n = entries.count()
+    for size in (queries, 4 * queries, 16 * queries):
+        places = _places(entries, grid, cosine, size)
+        if n <= 2 * size or sum(r["group"] for r in places) >= groups:
+            return max((_reached([(r["place"], r[c]) for r in places], recall) for c in ("query", "group")), default=1)
+    return None
+
+
+def _reached(places: list[tuple[int, float]], recall: float) -> int:
+    total, so_far = sum(w for _, w in places), 0.0
+    for place, w in places:
+        so_far += w
+        if so_far >= recall * total - 1e-9:
+            return place + 1
+    return 1
+
+
+def _places(entries: DataFrame, grid: Grid, cosine: float, queries: int) -> list:
+    """Of each place in the order of visits, the share of neighbours there: summed over the sampled
+    queries that have any, and with those linked to each other weighing 1 together."""
     sample = _sampled(entries, queries, "query").select("label", "dim", "rep", "unit").limit(2 * queries).toPandas()
-    if not len(sample):
-        return 1
-    rows = [(k, g["rep"].to_numpy(), np.stack([np.frombuffer(u, np.float64) for u in g["unit"]]))
-            for k, g in sample.groupby(["label", "dim"])]
-    held = {}
-    for key, reps, units in rows:
-        a, b = grid.distances(units)
-        total = (a[:, :, None] + b[:, None, :]).reshape(len(units), -1)
-        place = np.empty_like(total, np.int64)
-        np.put_along_axis(place, total.argsort(1, kind="stable"), np.arange(total.shape[1])[None, :], 1)
-        held[key] = (reps, units, place)
+    held, first = {}, 0
+    for key, g in sample.groupby(["label", "dim"]):
+        units = np.stack([np.frombuffer(u, np.float64) for u in g["unit"]])
+        place = np.empty((len(units), grid.size), np.int32)
+        weight = np.empty(len(units))
+        for lo in range(0, len(units), _ROWS):
+            part = units[lo:lo + _ROWS]
+            a, b = grid.distances(part)
+            total = (a[:, :, None] + b[:, None, :]).reshape(len(part), -1)
+            np.put_along_axis(place[lo:lo + _ROWS], total.argsort(1, kind="stable"), np.arange(grid.size, dtype=np.int32)[None, :], 1)
+            weight[lo:lo + _ROWS] = 1 / np.maximum((part @ units.T >= cosine).sum(1), 1)
+        held[key] = (first, g["rep"].to_numpy(), units, place, weight)
+        first += len(units)
     shared = entries.sparkSession.sparkContext.broadcast(held)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(grid.size, np.int64)
+        counts: dict[object, np.ndarray] = {}
         for batch in batches:
             frame = batch.to_pandas()
             for key, g in frame.groupby(["label", "dim"]):
                 if key in shared.value:
-                    reps, units, place = shared.value[key]
+                    _, reps, units, place, _ = shared.value[key]
                     own = np.stack([np.frombuffer(u, np.float64) for u in g["unit"]])
-                    q, m = np.nonzero((units @ own.T >= cosine) & (reps[:, None] != g["rep"].to_numpy()[None, :]))
-                    np.add.at(counts, place[q, g["cell"].to_numpy()[m]], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "n"])
-
-    found = (entries.select("label", "dim", "rep", "unit", "cell").mapInArrow(stage, "place bigint, n bigint")
-             .groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect())
-    total, so_far = sum(r["n"] for r in found), 0
-    for r in found:
-        so_far += r["n"]
-        if so_far >= recall * total:
-            return r["place"] + 1
-    return 1
+                    ids, cell = g["rep"].to_numpy(), g["cell"].to_numpy()
+                    for lo in range(0, len(units), _ROWS):
+                        q, m = np.nonzero((units[lo:lo + _ROWS] @ own.T >= cosine) & (reps[lo:lo + _ROWS, None] != ids[None, :]))
+                        if len(q):
+                            if key not in counts:
+                                counts[key] = np.zeros(place.shape, np.int32)
+                            np.add.at(counts[key], (lo + q, place[lo + q, cell[m]]), 1)
+        for key, count in counts.items():
+            start, _, _, _, weight = shared.value[key]
+            q, at = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(start + q), pa.array(weight[q]), pa.array(at), pa.array(count[q, at].astype(np.int64))],
+                                             ["query", "weight", "place", "n"])
+
+    found = (entries.select("label", "dim", "rep", "unit", "cell").mapInArrow(stage, "query bigint, weight double, place bigint, n bigint")
+             .groupBy("query", "weight", "place").agg(F.sum("n").alias("n")))
+    found = written(found, "places")
+    total = found.groupBy("query").agg(F.sum("n").alias("total"))
+    share = F.col("n") / F.col("total")
+    return (found.join(total, "query").groupBy("place")
+            .agg(F.sum(share).alias("query"), F.sum(share * F.col("weight")).alias("group")).orderBy("place").collect())
 
 
 def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
@@ -207,8 +250,8 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
                     cosine: float = 0.93, recall: float = 0.99, codebook: int = 32, sample_rows: int = 4096,
                     sample_queries: int = 256, block: int = 1024) -> DataFrame:
-    """One row a vector: vec_id, n_links, component_id. sample_rows and sample_queries bound the rows
-    that fit the codebooks and that measure the recall."""
+    """One row a vector: vec_id, n_links, component_id. sample_rows bounds the rows that fit the
+    codebooks; the recall is measured on sample_queries first, and on up to 16 times as many."""
     spark = df.sparkSession
     prepare(spark)
     own = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"),
@@ -237,11 +280,19 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     n_visits = calibrate(entries, grid, cosine, recall, sample_queries)
 
     def visits(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = [grid.visits(np.frombuffer(u, np.float64).reshape(1, d), n_visits)[0]
-               for u, d in zip(batch.column("unit").to_pylist(), batch.column("dim").to_pylist())]
+        out = []
+        for u, d in zip(batch.column("unit").to_pylist(), batch.column("dim").to_pylist()):
+            unit = np.frombuffer(u, np.float64).reshape(1, d)
+            out.append((grid.reach(unit, cosine) if n_visits is None else grid.visits(unit, n_visits))[0])
         return [pa.array(out, pa.list_(pa.int32()))]
 
-    entries = written(with_columns(entries, visits, "visits array<int>"), "entries")
+    visited = with_columns(entries, visits, "visits array<int>")
+    if n_visits is None:  # most cells may be in reach: successive ones are joined to at least a block of members each
+        size = entries.groupBy("label", "dim").agg(F.least(F.lit(grid.size), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("size"))
+        at = lambda c: F.floor(c * F.col("size") / grid.size).cast("int")
+        visited = (visited.join(size, ["label", "dim"]).withColumn("cell", at(F.col("cell")))
+                   .withColumn("visits", F.array_distinct(F.transform("visits", at))).drop("size"))
+    entries = written(visited, "entries")
     members = entries.withColumn("at", F.col("cell")).withColumn("is_query", F.lit(False))
     queries = entries.withColumn("at", F.explode("visits")).withColumn("is_query", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>"))
     place = ["label", "dim", "at"]

@@ -228,6 +228,37 @@ def test_near_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rare_links_across_cells_are_found(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(1500, 16))
+    base /= np.sqrt((base ** 2).sum(1))[:, None]
+    side = rnd.normal(size=(30, 16))
+    side -= (side * base[:30]).sum(1)[:, None] * base[:30]
+    side /= np.sqrt((side ** 2).sum(1))[:, None]
+    every = np.concatenate([base, 0.935 * base[:30] + np.sqrt(1 - 0.935 ** 2) * side])
+    link = every @ every.T >= 0.93
+    np.fill_diagonal(link, False)
+    tight = np.concatenate([every, base[99] + 1e-4 * rnd.normal(size=(700, 16))])  # a third of the rows in one group
+    for rows, size in ((every, 1530), (tight, 2230)):
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, sample_queries=8, block=256).collect()}
+        unit = rows / np.sqrt((rows ** 2).sum(1))[:, None]
+        assert got == dict(enumerate(((unit @ unit.T >= 0.93).sum(1) - 1).tolist())) and len(got) == size
+    assert link.sum() >= 60
+
+
+def test_reach_holds_every_near_vector():
+    rnd = np.random.default_rng(5)
+    units = rnd.normal(size=(3000, 4))
+    units /= np.sqrt((units ** 2).sum(1))[:, None]
+    grid = vectors.Grid(units[:500], 8)
+    cells = grid.cells(units)
+    reach = grid.reach(units[:200], 0.93)
+    for k, own in enumerate(reach):
+        assert set(cells[units @ units[k] >= 0.93].tolist()) <= set(own)
+    assert np.mean([len(x) for x in reach]) < grid.size / 2
+
+
 def test_traversal_visits_nearest_cells_first():
     rnd = np.random.default_rng(1)
     grid = vectors.Grid(rnd.normal(size=(200, 6)), 5)
