@@ -1,11 +1,15 @@
 """Substring dedup by hashing text units.
 
-Units are sentences, cut at line breaks and after sentence ends. A unit is normalised (lower case,
-runs of anything but letters and digits become one space) and hashed; units of fewer than
-``unit_words`` words are not hashed and do not interrupt a run. Digests are grouped over all
-documents; the occurrence with the smallest (doc_id, place) is the earliest and is kept. Runs of
-successive later occurrences that come to ``run_words`` words are removed, with their offsets in the
-original text retained.
+Units are lines, paragraphs (lines up to an empty one) and sentences, cut at line breaks and after
+sentence ends. A unit is normalised (lower case, runs of anything but letters and digits become one
+space) and hashed. Digests are grouped over all documents; the occurrence with the smallest
+(doc_id, start) is the earliest and is kept.
+
+Every later occurrence of a line or paragraph of ``line_chars`` code points, normalised, is removed.
+For passages inside other text, runs of successive later sentences that come to ``run_words`` words or
+``run_chars`` code points go too; sentences of fewer than ``unit_words`` words and ``unit_chars`` code
+points are not hashed and do not interrupt a run. Code points count where words are not set apart by
+spaces. What is removed is merged to spans, with their offsets in the original text retained.
 
 Defined results: a null or empty text has no units; rows with a null id keep their text and are not
 compared; rows that repeat an id with the same text are one document; other columns stay, except
@@ -15,6 +19,7 @@ those that clash with new names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -23,52 +28,93 @@ from pyspark.sql import functions as F
 
 from bundlescan.llm.common import prepare, with_columns, written
 
-_UNIT = re.compile(r"\S[^\n]*?(?:[.!?](?=\s)|(?=\n)|\Z)")
+_UNIT = re.compile(r"\S[^\n]*?(?:[.!?](?=\s)|[。！？｡]|(?=\n)|\Z)")
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
 _WORD = re.compile(r"[^\W_]+")
-_UNITS = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
-                             ("words", pa.int32()), ("digest", pa.int64())]))
+_PIECES = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("word", pa.int32()), ("word_stop", pa.int32()),
+                              ("words", pa.int32()), ("chars", pa.int32()), ("whole", pa.bool_()), ("digest", pa.int64())]))
+
 
+def _unit(text: str, start: int, stop: int) -> dict:
+    words = _WORD.findall(text[start:stop].lower())
+    plain = " ".join(words)
+    digest = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass"))
+    return {"start": start, "stop": stop, "words": len(words), "chars": len(plain), "digest": digest - (1 << 63)}
 
-def units(text: str | None, unit_words: int) -> list[dict]:
-    """The hashed units of a text, numbered in order, with offsets in code points."""
+
+def units(text: str | None, unit_words: int, unit_chars: int = 20) -> list[dict]:
+    """The hashed sentences of a text, numbered in order, with offsets in code points."""
     out = []
     for m in _UNIT.finditer(text or ""):
-        words = _WORD.findall(m[0].lower())
-        if len(words) >= unit_words:
-            digest = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-            out.append({"place": len(out), "start": m.start(), "stop": m.end(), "words": len(words),
-                        "digest": digest - (1 << 63)})
+        u = _unit(text, *m.span())
+        if u["words"] >= unit_words or u["chars"] >= unit_chars:
+            out.append({"place": len(out), **u})
+    return out
+
+
+def _lines(text: str) -> list[tuple[int, int]]:
+    """The lines that are not empty, and the paragraphs of several lines."""
+    lines = [m.span() for m in _LINE.finditer(text)]
+    first, out = 0, list(lines)
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or text.count("\n", lines[i - 1][1], lines[i][0]) > 1:
+            if i - first > 1:
+                out.append((lines[first][0], lines[i - 1][1]))
+            first = i
     return out
 
 
+def pieces(text: str | None, unit_words: int, unit_chars: int, line_chars: int) -> list[dict]:
+    """The sentences (with a place), lines and paragraphs (whole) of a text, with the numbers of their
+    words; a sentence that is a line is one piece."""
+    out = [{**u, "whole": False} for u in units(text, unit_words, unit_chars)]
+    there = {(u["start"], u["digest"]): u for u in out}
+    for start, stop in _lines(text or ""):
+        if stop - start >= line_chars and (u := _unit(text, start, stop))["chars"] >= line_chars:
+            there.setdefault((start, u["digest"]), {"place": None, **u})["whole"] = True
+    starts = [m.start() for m in _WORD.finditer(text or "")] if there else []
+    return [{**u, "word": bisect_left(starts, u["start"]), "word_stop": bisect_left(starts, u["stop"])} for u in there.values()]
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit_words: int = 4,
-            run_words: int = 20) -> DataFrame:
-    """(doc_id, start, stop, n_words, kept_in): the runs to remove, as code point offsets, and the
-    document that holds the earliest occurrence of the run's first unit."""
+            run_words: int = 20, unit_chars: int = 20, run_chars: int = 100, line_chars: int = 40) -> DataFrame:
+    """(doc_id, start, stop, n_words, kept_in): the spans to remove, as code point offsets, the words in
+    them, and the document that holds the earliest occurrence of the span's first unit."""
     prepare(docs.sparkSession)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([units(t, unit_words) for t in batch.column("text").to_pylist()], _UNITS)]
+        return [pa.array([pieces(t, unit_words, unit_chars, line_chars) for t in batch.column("text").to_pylist()], _PIECES)]
 
     own = docs.filter(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     every = written(
-        with_columns(own, make, "units array<struct<place:int,start:int,stop:int,words:int,digest:bigint>>", ["doc_id"])
+        with_columns(own, make, "units array<struct<place:int,start:int,stop:int,word:int,word_stop:int,words:int,chars:int,"
+                                "whole:boolean,digest:bigint>>", ["doc_id"])
         .select("doc_id", F.inline("units")), "units")
-    first = (every.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = (every.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") > 1).select("digest", "first"))
-    later = (every.join(first, "digest").filter(F.struct("doc_id", "place") > F.col("first"))
-             .select("doc_id", "place", "start", "stop", "words", F.col("first.doc_id").alias("kept_in")).distinct())
+    later = written(every.join(first, "digest").filter(F.struct("doc_id", "start") > F.col("first"))
+                    .select(*(c for c in every.columns if c != "digest"), F.col("first.doc_id").alias("kept_in")).distinct(), "later")
     run = F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
-    return (later.withColumn("run", run).groupBy("doc_id", "run")
+    runs = (later.filter(F.col("place").isNotNull()).withColumn("run", run).groupBy("doc_id", "run")
+            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("word_stop").alias("word_stop"),
+                 F.min_by("kept_in", "place").alias("kept_in"), F.sum("words").alias("words"), F.sum("chars").alias("chars"))
+            .filter((F.col("words") >= run_words) | (F.col("chars") >= run_chars)))
+    cols = ["doc_id", "start", "stop", "word", "word_stop", "kept_in"]
+    both = later.filter("whole").select(*cols).unionByName(runs.select(*cols))
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"), "kept_in")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return (both.withColumn("end", F.max("stop").over(before)).withColumn("word_end", F.max("word_stop").over(before))
+            .withColumn("span", F.sum((F.col("end").isNull() | (F.col("start") > F.col("end"))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("doc_id", "span")
             .agg(F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
-                 F.sum("words").alias("n_words"), F.min_by("kept_in", "place").alias("kept_in"))
-            .filter(F.col("n_words") >= run_words).drop("run"))
+                 F.sum(F.greatest(F.lit(0), F.col("word_stop") - F.greatest("word", F.coalesce("word_end", F.lit(0))))).alias("n_words"),
+                 F.min_by("kept_in", F.struct("start", -F.col("stop"), "kept_in")).alias("kept_in")).drop("span"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit_words: int = 4,
-          run_words: int = 20) -> DataFrame:
+          run_words: int = 20, unit_chars: int = 20, run_chars: int = 100, line_chars: int = 40) -> DataFrame:
     """docs with the text that is left and removed_spans, the offsets in the original text."""
-    spans = (repeats(docs, doc_id, text, unit_words, run_words).groupBy(F.col("doc_id").alias("_span_id"))
+    spans = (repeats(docs, doc_id, text, unit_words, run_words, unit_chars, run_chars, line_chars).groupBy(F.col("doc_id").alias("_span_id"))
              .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans")))
     joined = docs.join(spans, docs[f"`{doc_id}`"] == spans["_span_id"], "left").drop("_span_id")
 

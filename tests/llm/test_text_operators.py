@@ -201,6 +201,23 @@ def test_substring_units_against_brute_force(spark):
     assert got == want and got
 
 
+def test_repeated_lines_and_paragraphs_go(spark):
+    footer = "Licensed under the terms of the public licence, version two."
+    poem = "roses are red\nviolets are blue\nsugar is sweet\nand so are you"
+    thai = "การทดสอบภาษาไทย" * 8
+    han = "".join(chr(0x4e00 + (i * 37) % 3000) for i in range(120))
+    docs = [(1, f"First text here.\n{footer}\n\n{poem}\n\n{thai}\n{han}"), (2, f"Second text is here.\n{footer.upper()} \nGo on"),
+            (3, f"Third one\n \n{poem}\n\nroses are red"), (4, f"{thai}\nnothing like this before\n{footer}\n{footer}"), (5, f"一二。{han}。三四五"), (6, f"{han}")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    texts = dict(docs)
+    got = sorted((r.doc_id, texts[r.doc_id][r.start:r.stop].strip(), r.kept_in, r.n_words) for r in substrings.repeats(df).collect())
+    n = len(substrings._WORD.findall(thai))
+    assert got == sorted([(2, footer.upper(), 1, 10), (3, poem, 1, 13), (4, thai, 1, n), (4, f"{footer}\n{footer}", 1, 20),
+                          (5, f"{han}。", 1, 1), (6, han, 1, 1)])
+    left = {r.doc_id: r.text for r in substrings.dedup(df).collect()}
+    assert left[1] == texts[1] and left[4].strip() == "nothing like this before" and left[3].split("\n")[-1] == "roses are red"
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 def brute_groups(docs, percent, n=3):
