@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlescan.llm import bpe, decontaminate, html, jaccard, language, line_dedup, ngram_lm, oracles, substrings, vectors, warc
+from bundlescan.llm import bpe, decontaminate, html, jaccard, language, line_dedup, ngram_lm, oracles, packed_ids, substrings, vectors, warc
 from bundlescan.llm.common import mounted, scratch
 
 
@@ -77,6 +77,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    folder = scratch(spark, "ids8b")
+    packed_ids.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_ids.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
 REGISTRY = {f.__name__: (f, oracles.SQL.get(f.__name__)) for f in (
     op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op4_ngram_lm, op5_language_id, op6_main_text, op7_warc,
-    op8_near_vectors, op9_line_dedup, op10_jaccard_join)}
+    op8_near_vectors, op9_line_dedup, op10_jaccard_join, op11_packed_ids)}
