@@ -73,4 +73,42 @@ c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, len(sh) AS n_shingles, component_id FROM s JOIN c ON doc_id = node
 """
 
-SQL = {"op2_decontaminate": _OP2, "op7_warc": _OP7, "op8_near_vectors": _OP8, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10}
+_TERMS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace({_LOWER.format('text')}, '{_TERMS}', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, x, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+m AS (SELECT doc_id, 100 - 75 + ((75 * len(w) * s.n) // s.l) AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT item_id, unnest(list_filter(string_split(regexp_replace({_LOWER.format('text')}, '{_TERMS}', ' ', 'g'), ' '), lambda w: w <> '')) AS x FROM benchmark),
+q AS (SELECT item_id, x, count(*) AS times FROM i GROUP BY ALL),
+v AS (SELECT x, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s WHERE x IN (SELECT x FROM q) GROUP BY x, s.n),
+r AS (SELECT item_id, doc_id, CAST(sum(q.times * v.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN v USING (x) JOIN t USING (x) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS l FROM p),
+one AS (SELECT lang, x AS a, count(*) AS f FROM (SELECT lang, unnest(l) AS x FROM w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, a, b, count(*) AS f FROM (SELECT lang, unnest(l[1:len(l) - 1]) AS a, unnest(l[2:]) AS b FROM w WHERE len(l) > 1) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, a, b, c, count(*) AS f FROM (SELECT lang, unnest(l[1:len(l) - 2]) AS a, unnest(l[2:len(l) - 1]) AS b, unnest(l[3:]) AS c FROM w WHERE len(l) > 2)
+          GROUP BY ALL HAVING count(*) >= 10),
+above AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL),
+cuts AS (SELECT t.lang, t.a || ' ' || t.b AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k FROM two t JOIN one x ON x.lang = t.lang AND x.a = t.a
+           JOIN one y ON y.lang = t.lang AND y.a = t.b LEFT JOIN above u ON u.lang = t.lang AND u.a = t.a AND u.b = t.b WHERE u.f IS NULL OR 100 * u.f < 50 * t.f
+         UNION ALL SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 1 FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a
+           JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+         UNION ALL SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 2 FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b
+           JOIN one y ON y.lang = t.lang AND y.a = t.c),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
+SQL = {"op2_decontaminate": _OP2, "op7_warc": _OP7, "op8_near_vectors": _OP8, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10,
+       "op12_ranked_search": _OP12, "op13_collocations": _OP13}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlescan.llm import bpe, decontaminate, html, jaccard, language, line_dedup, ngram_lm, oracles, packed_ids, substrings, vectors, warc
+from bundlescan.llm import (
+    bpe, collocations, decontaminate, html, jaccard, language, line_dedup, ngram_lm, oracles, packed_ids, ranked_search, substrings,
+    vectors, warc)
 from bundlescan.llm.common import mounted, scratch
 
 
@@ -84,6 +86,15 @@ def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 REGISTRY = {f.__name__: (f, oracles.SQL.get(f.__name__)) for f in (
     op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op4_ngram_lm, op5_language_id, op6_main_text, op7_warc,
-    op8_near_vectors, op9_line_dedup, op10_jaccard_join, op11_packed_ids)}
+    op8_near_vectors, op9_line_dedup, op10_jaccard_join, op11_packed_ids,
+    op12_ranked_search, op13_collocations)}
