@@ -123,19 +123,16 @@ SENSITIVE_PATHS = [
     "/dev/tcp/", "/dev/udp/", "id_rsa", "id_ed25519", "credentials.json", "service_account.json", ".env",
 ]
 # what may not stand before or after a path: (path, words or classes before, patterns after);
-# paths that are not listed have no guard
+# paths that are not listed have no guard. A following ".env" is a member access after these words:
+ENV_MEMBER_OWNERS = ["process", "meta", "Deno", "deno", "window", "this", "self", "globalThis", "Bun", "bun"]
 SENSITIVE_PATH_GUARDS = [
     ("/etc/passwd", [], [r"\w"]), ("/etc/shadow", [], [r"\w"]), ("/etc/hosts", [], [r"\w"]),
     ("/etc/sudoers", [], [r"\w"]), ("~/.netrc", [], [r"\w"]), ("~/.bashrc", [], [r"\w"]),
     ("~/.zshrc", [], [r"\w"]), ("~/.profile", [], [r"\w"]), ("~/.bash_history", [], [r"\w"]),
     ("id_rsa", [r"\w"], [r"\w"]), ("id_ed25519", [r"\w"], [r"\w"]), ("credentials.json", [r"\w"], [r"\w"]),
     ("service_account.json", [r"\w"], [r"\w"]),
-    (".env", ["process", "meta", "Deno", "deno", "window", "this", "self", "globalThis", "Bun", "bun"],
-     [r"\.example", r"\w"]),
+    (".env", ENV_MEMBER_OWNERS, [r"\.example", r"\w"]),
 ]
-# words that make a following ".env" a member access rather than a file name
-ENV_MEMBER_OWNERS = ["process", "meta", "Deno", "deno", "window", "this", "self", "globalThis", "Bun", "bun"]
-
 # (pattern, case-insensitive)
 SUSPICIOUS_IMPORTS = [
     (r"\bimport\s+subprocess\b", False),
@@ -296,7 +293,7 @@ DETECTORS = [
 
     _D("privilege_escalation", "sudo_usage", "sudo command usage", (".sh", ".bash", ".py"), r"(?:^|[;&|]\s*)sudo\s"),
     _D("privilege_escalation", "chmod_dangerous", "dangerous chmod (world-writable or setuid)", None,
-       r"chmod\s+(?:777|[0-7]*7[0-7]*|\+s)\s"),
+       r"chmod\s+(?:777|[0-6]*+7[0-7]*+|\+s)\s"),
     _D("privilege_escalation", "chown_root", "changing ownership to root", None, r"chown\s+root\b"),
     _D("privilege_escalation", "system_path_write", "writing to system paths", None,
        r"(?:cp|mv|install|ln)\s+.*(?:/usr/(?:local/)?bin/|/usr/sbin/|/etc/|/opt/)"),

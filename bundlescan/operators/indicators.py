@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import to_java
+from ..functions.linear import form
 from ..functions.prefilter import folded, may_match
 
 KEEP = ["bundle_id", "path"]
@@ -31,7 +32,8 @@ def _empty() -> Column:
 
 def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Column | None = None) -> Column:
     """Sorted distinct matches; the regex runs only on texts holding a required literal."""
-    found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(pattern, ignore_case), F.lit(0))))
+    search = form(pattern, ignore_case)
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(search.java), F.lit(search.match))))
     gate = may_match(text, fold, pattern, ignore_case)
     return found if gate is None else F.when(text.isNull(), F.lit(None)).when(gate, found).otherwise(_empty())
 
@@ -47,14 +49,15 @@ def redact(col: Column) -> Column:
     prefilter here: each step would reference the previous one three times and the
     expression tree would grow geometrically.)"""
     for pattern, label, ic in rules.SECRET_SHAPES:
-        col = F.regexp_replace(col, to_java(pattern, ic), f"[REDACTED:{label}]")
+        search = form(pattern, ic)
+        col = F.regexp_replace(col, search.java, search.replacement(label))
     return col
 
 
 def secret_counts(text: Column) -> Column:
     """map label -> number of matches of that shape in the (unredacted) text."""
     return F.array(*[F.struct(F.lit(label).alias("label"),
-                              F.when(may_match(text, None, p, ic), F.regexp_count(text, _j(p, ic)))
+                              F.when(may_match(text, None, p, ic), F.regexp_count(text, F.lit(form(p, ic).java)))
                               .otherwise(F.when(text.isNotNull(), 0)).cast("long").alias("n"))
                      for p, label, ic in rules.SECRET_SHAPES])
 
