@@ -25,8 +25,8 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from bundlescan.llm.bpe import Index
 from bundlescan.llm.common import prepare
 
 BLOCK = 1024
-FILE_IDS = 2 << 20
+FILE_IDS = 1 << 20
 PART_BYTES = 64 << 20  # text of a writing task
 MAGIC = b"IDS8B\x00\x01\x00"
 _HEADER = struct.Struct("<8sQQQQQ")
@@ -117,7 +117,9 @@ def _ahead(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, or 61 to 64 for more than 60."""
-    if int(ids.max()) < 1 << 50:  # the exponent of an exact double
+    if int(ids.max()) < 1 << 24:  # the exponent of an exact float
+        return ((ids.astype(np.float32).view(np.uint32) >> np.uint32(23)).astype(np.int16) - 126).clip(0).astype(np.uint8)
+    if int(ids.max()) < 1 << 50:  # or double
         return ((ids.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int64) - 1022).clip(0).astype(np.uint8)
     high = (ids >> np.uint64(50)) > 0
     return np.where(high, np.uint8(50) + _bits(ids >> np.uint64(50)), _bits(ids & np.uint64((1 << 50) - 1)))
@@ -142,11 +144,14 @@ def unpack(words: np.ndarray, first: np.ndarray, escapes: np.ndarray, n: int, bl
         of = np.flatnonzero(chosen == s)
         if len(of):
             count, width = int(COUNTS[s]), int(WIDTHS[s])
-            shift = np.arange(count, dtype=np.uint64) * np.uint64(width)
-            values = own[of, None] >> shift & np.uint64((1 << width) - 1)
-            to = place[of, None] + np.arange(count)
-            inside = to < stop[of, None]  # a block's last word may be part empty
-            out[to[inside]] = values[inside]
+            word, to, room = own[of], place[of], (stop[of] - place[of]).min()
+            for k in range(count):
+                value = word >> np.uint64(width * k) & np.uint64((1 << width) - 1)
+                if k < room:
+                    out[to + k] = value
+                else:  # a block's last word may be part empty
+                    inside = to + k < stop[of]
+                    out[to[inside] + k] = value[inside]
     of = np.flatnonzero(chosen == 0)
     out[place[of]] = escapes[(own[of] & _LOW).astype(np.int64)]
     return out[low - b0 * block:high - b0 * block]
@@ -189,18 +194,19 @@ class File:
 # ------------------------------------------------------------------ ids of texts
 
 _CUT = re.compile(r" (?=\S)")
-_EDGE = re.compile(r"(?:\A|\s)\n|\n(?:\s|\Z)")  # a line feed that no word, or none, is next to
-_TAIL = ".,;:!?)]}\"'"
+# after these letters these marks begin a piece of their own
+_LETTER, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]$", ".,;:!?)]}\"'"
+_END_MARKS = "(?P<marks>[" + re.escape(_MARKS) + "]+)$"
 
 
 class Encoder:
     """Ids of texts by a file of the tokenizers library, without special tokens; their names in a text
     are ordinary text. Where the file splits texts as byte-level BPE does, no piece goes across a
-    space before a word, nor from a letter to a punctuation mark, so each distinct stretch between
-    such places is encoded once and kept, until there are more than memo of them; that changes no
-    result. For other files texts are encoded whole."""
+    space or a single line feed before a word, nor from a letter to a punctuation mark, so each
+    distinct stretch between such places is encoded once and kept, until there are more than memo of
+    them; that changes no result. For other files texts are encoded whole."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
@@ -226,89 +232,94 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # stretches, and the words and marks that they consist of; a name that starts with a space
-        # stands for what follows it, any other for itself with a space before it
-        self.stretches, self.words = Index(), Index()
-        self.stretch_ids = self.word_ids = (np.empty(0, np.uint32), np.zeros(1, np.int64))
+        # a name that starts with a space stands for what follows it, any other for itself with a
+        # space before it
+        self.words = Index()
+        self.word_ids = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        if not self.parts:
+        if not self.parts or not len(texts):
             return [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, at = coded.dictionary, coded.indices.to_numpy()
+        feed = pc.starts_with(names, "\n")  # no space stands before it
+        body = pc.if_else(feed, pc.utf8_slice_codeunits(names, 1), names)
         # a stretch starts with what is no space: other texts are cut in a slower way
-        loose = np.fromiter((not x or x[0].isspace() for x in names), bool, len(names))[at]
+        loose = pc.or_(pc.equal(pc.binary_length(body), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(body, 0, 1))).to_numpy(zero_copy_only=False)[at]
         loose[first[:-1]] = False
-        slow = np.flatnonzero(np.add.reduceat(loose, first[:-1], dtype=np.int64)) if len(texts) else []
-        cuts = {i: _CUT.split(texts[i].as_py()) for i in slow}
-        word = self.stretches.__getitem__
-        number = np.fromiter(map(word, names), np.int64, len(names))
-        numbers = number[at]
-        numbers[first[:-1]] = [word(" " + names[k]) for k in at[first[:-1]].tolist()]  # no space stands before a text's first
-        numbers = np.split(numbers, first[1:-1])
-        for i, parts in cuts.items():
-            numbers[i] = np.fromiter(map(word, [" " + parts[0], *parts[1:]]), np.int64, len(parts))
-        known = len(self.stretch_ids[1]) - 1
-        if len(self.stretches) > known:
-            self._learn(list(islice(self.stretches, known, None)))
-        out = [_gather(*self.stretch_ids, n)[0] for n in numbers]
-        if len(self.stretches) > self.memo:
+        slow = np.flatnonzero(np.add.reduceat(loose, first[:-1], dtype=np.int64))
+        # a stretch is up to three words: a line feed, what it says, and the marks at its end
+        stem = pc.utf8_rtrim(body, characters=_MARKS)
+        cut = pc.and_(pc.less(pc.binary_length(stem), pc.binary_length(body)), pc.match_substring_regex(stem, _LETTER))
+        stem = pc.if_else(cut, stem, body)
+        stem = pc.if_else(feed, _spaced(stem), stem)
+        has_marks = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        marks = pc.struct_field(pc.extract_regex(body.take(pa.array(has_marks)), _END_MARKS), "marks")
+        keys = pa.concat_arrays([stem, _spaced(marks)]).dictionary_encode()
+        word = self.words.__getitem__
+        number = np.fromiter(map(word, keys.dictionary.to_pylist()), np.int64, len(keys.dictionary))[keys.indices.to_numpy()]
+        three = np.full((len(names), 3), -1, np.int64)
+        three[feed.to_numpy(zero_copy_only=False), 0] = word(" \n")
+        three[:, 1] = number[:len(names)]
+        three[has_marks, 2] = number[len(names):]
+        # what starts a text has no space before it, and nothing is cut off it
+        heads = at[first[:-1]]
+        own = np.fromiter((word(" " + x) for x in names.take(pa.array(heads)).to_pylist()), np.int64, len(heads))
+        parts = {i: np.fromiter((word(x) for x in self._slow(texts[i].as_py())), np.int64) for i in slow.tolist()}
+        self._learn()
+        # ids of the stretches, and of the texts
+        used = three.reshape(-1)
+        ids, size = _gather(*self.word_ids, used[used >= 0])
+        per = np.zeros(len(used), np.int64)
+        per[used >= 0] = size
+        stretch_ids = ids, np.concatenate([[0], np.cumsum(per.reshape(-1, 3).sum(1))])
+        out = []
+        for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            if i in parts:
+                out.append(_gather(*self.word_ids, parts[i])[0])
+            else:
+                low, high = self.word_ids[1][own[i]:own[i] + 2]
+                out.append(np.concatenate([self.word_ids[0][low:high], _gather(*stretch_ids, at[a + 1:z])[0]]))
+        if len(self.words) > self.memo:
             self._forget()
         return out
 
-    def _learn(self, names: list[str]) -> None:
-        """Ids of new stretches: of the words, line feeds and marks that they consist of."""
-        word, numbers, parts = self.words.__getitem__, [], []
-        for name in names:
-            lines = name.split("\n") if "\n" in name and not _EDGE.search(name) else (name,)
-            n = len(numbers)
-            for k, part in enumerate(lines):
-                if k:
-                    numbers.append(word(" \n"))
-                    part = " " + part
-                if part.isalpha():
-                    numbers.append(word(part))
-                    continue
-                stem = part.rstrip(_TAIL)
-                if len(stem) < len(part) and stem[-1:].isalpha():
-                    numbers += (word(stem), word(" " + part[len(stem):]))
-                else:
-                    numbers.append(word(part))
-            parts.append(len(numbers) - n)
+    def _slow(self, text: str) -> list[str]:
+        """Names of the stretches of a text with white space beside white space."""
+        head, *parts = _CUT.split(text)
+        return [" " + head, *parts]
+
+    def _learn(self) -> None:
+        """Ids of the words that are new."""
         known = len(self.word_ids[1]) - 1
         fresh = list(islice(self.words, known, None))
-        letters = [w for w in fresh if w.isalpha()]
-        others = [w for w in fresh if not w.isalpha()]
-        if fresh:
-            ids, sizes = self._encode([w[1:] if w[:1] == " " else " " + w for w in others])
-            more, more_sizes = self._encode_letters(letters)
-            # numbers follow the order in which the words came
-            order = np.argsort(np.array([not w.isalpha() for w in fresh]), kind="stable")
-            sizes = np.concatenate([more_sizes, sizes])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            back = np.empty(len(fresh), np.int64)
-            back[order] = np.arange(len(fresh))
-            self.word_ids = _joined(self.word_ids, *_gather(np.concatenate([more, ids]), starts, back))
-        ids, sizes = _gather(*self.word_ids, np.array(numbers, np.int64))
-        self.stretch_ids = _joined(self.stretch_ids, ids, np.add.reduceat(sizes, np.cumsum([0, *parts[:-1]])))
+        if not fresh:
+            return
+        plain = [w.isalpha() for w in fresh]
+        letters, others = list(compress(fresh, plain)), [w for w, p in zip(fresh, plain) if not p]
+        ids, sizes = _in_parts(self._encode, [w[1:] if w[:1] == " " else " " + w for w in others])
+        more, more_sizes = _in_parts(self._encode_letters, letters)
+        # numbers follow the order in which the words came
+        order = np.argsort(~np.array(plain), kind="stable")
+        sizes = np.concatenate([more_sizes, sizes])
+        back = np.empty(len(fresh), np.int64)
+        back[order] = np.arange(len(fresh))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.word_ids = _joined(self.word_ids, *_gather(np.concatenate([more, ids]), starts, back))
 
     def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters alone, each with a space before it, and how many each has: every
         space begins a word, and the id that holds it is the word's first."""
-        if not words:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
         text = " " + " ".join(words)
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, end to end, and how many each has."""
-        if not texts:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
         odd = {i: self.plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(n in t for n in self.names)}
         joined = self.mark.join("" if i in odd else t for i, t in enumerate(texts))
         ids = np.array(self.divided.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
@@ -323,6 +334,19 @@ class Encoder:
         return ids, sizes
 
 
+def _in_parts(encode: Callable, words: list[str], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of words, encoded some at a time: the library holds much about each id."""
+    parts = [encode(words[k:k + size]) for k in range(0, len(words), size)]
+    ids, sizes = zip(*parts) if parts else ((np.empty(0, np.uint32),), (np.empty(0, np.int64),))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Each with a space before it."""
+    kind = pa.large_string()
+    return pc.binary_join_element_wise(pa.scalar(" ", kind), texts.cast(kind), pa.scalar("", kind))
+
+
 def _joined(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([held[0], ids]), np.concatenate([held[1], held[1][-1] + np.cumsum(sizes)])
 
