@@ -38,6 +38,7 @@ from ..sources.files import archive_extension
 
 MEMBER = "bundle_id string, path string, content binary, extracted_from string, depth int, parent_path string"
 STATUS = "bundle_id string, path string, depth int, status string"
+UNPACKED = MEMBER + ", status string"
 FOLDER = "bundle_id string, archive_path string, path string"
 
 _FAKE_DEST = "/__bundlescan_dest__"
@@ -154,24 +155,23 @@ def listing(name: str, data: bytes, limits: Limits) -> Listing:
 
 
 def _walk(bundle: str, path: str, data: bytes, depth: int, limits: Limits, emit: str) -> Iterator[tuple]:
-    """Rows of an archive and the archives in it: its members, its statuses or its folders."""
-    if depth + 1 > limits.depth:
-        if emit == "status":
-            yield bundle, path, depth, "too_deep"
-        return
-    status, members, folders = listing(path.rsplit("/", 1)[-1], data, limits)
+    """Rows of an archive and the archives in it: its members, its statuses, both or its folders."""
+    deep = depth + 1 > limits.depth
+    status, members, folders = ("too_deep", {}, set()) if deep else listing(path.rsplit("/", 1)[-1], data, limits)
     if emit == "status":
         yield bundle, path, depth, status
+    elif emit == "all":
+        yield bundle, path, None, None, depth, None, status
     elif emit == "folder":
         yield from ((bundle, path, f) for f in sorted(folders))
         return
     own = hashlib.sha256(data).hexdigest()
     for name in sorted(members):
         nested = _longest_ext(name.rsplit("/", 1)[-1]) != ""
-        if emit == "member" or nested:
+        if emit in ("member", "all") or nested:
             content = members[name]()
-            if emit == "member":
-                yield bundle, name, content, own, depth + 1, path
+            if emit in ("member", "all"):
+                yield (bundle, name, content, own, depth + 1, path, None)[:None if emit == "all" else -1]
             if nested:
                 yield from _walk(bundle, name, content, depth + 1, limits, emit)
 
@@ -183,7 +183,7 @@ def _stage(limits: Limits, emit: str, columns: list[str]):
                 held, size = [], 0
                 for out in _walk(row.bundle_id, row.path, bytes(row.content), 0, limits, emit):
                     held.append(out)
-                    size += len(out[2]) if emit == "member" else 64
+                    size += len(out[2] or b"") + 64 if emit in ("member", "all") else 64
                     if size >= _FRAME_BYTES:
                         yield pd.DataFrame(held, columns=columns)
                         held, size = [], 0
@@ -198,6 +198,27 @@ def _unpacked(files: DataFrame, limits: Limits, emit: str, schema: str) -> DataF
     return archives.mapInPandas(_stage(limits, emit, [c.split()[0] for c in schema.split(", ")]), schema)
 
 
+def unpack(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Members and statuses of all archives from one pass: a row a member, with its content, and a row
+    an archive met, with its status. Write it once where both are wanted (session.written)."""
+    return _unpacked(files, limits, "all", UNPACKED)
+
+
+def statuses(unpacked: DataFrame) -> DataFrame:
+    return unpacked.where(F.col("status").isNotNull()).select("bundle_id", "path", "depth", "status")
+
+
+def with_members(files: DataFrame, unpacked: DataFrame) -> DataFrame:
+    """files with the members that unpack() found, dealt by archive and path."""
+    members = unpacked.where(F.col("status").isNull()).drop("status")
+    return _own(files).unionByName(members.repartition("extracted_from", "path"))
+
+
+def _own(files: DataFrame) -> DataFrame:
+    return files.select("bundle_id", "path", "content", F.lit(None).cast("string").alias("extracted_from"),
+                        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_path"))
+
+
 def archive_status(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(bundle_id, path, depth, status) of every archive met; members' bytes are read only where an
     archive is nested."""
@@ -207,9 +228,7 @@ def archive_status(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def expand_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """files(bundle_id, path, content) with the extracted members: ``extracted_from``, ``depth`` and
     ``parent_path``, the path of the archive a member came from."""
-    own = files.select("bundle_id", "path", "content", F.lit(None).cast("string").alias("extracted_from"),
-                       F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_path"))
-    return own.unionByName(_unpacked(files, limits, "member", MEMBER).repartition("extracted_from", "path"))
+    return _own(files).unionByName(_unpacked(files, limits, "member", MEMBER).repartition("extracted_from", "path"))
 
 
 def archive_folders(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -242,6 +261,100 @@ def zip_targets(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return root_normalize(files, limits).select(F.concat_ws("/", "bundle_id", "archive_path").alias("bundle_id"), "path", "content")
 
 
+# ------------------------------------------------------------------ listings
+
+LISTED = ("bundle_id string, path string, depth int, member string, size_bytes bigint, is_dir boolean, escapes boolean, "
+          "broken boolean, supported boolean, archive_no bigint")
+
+
+def _listed(bundle: str, path: str, data: bytes, depth: int, number: int, limits: Limits) -> Iterator[tuple]:
+    """A row for each member that an archive's directory or headers name, and one for the archive
+    itself; nested archives are followed. Members' bytes are read only where an archive is nested."""
+    ext = _longest_ext(path.rsplit("/", 1)[-1])
+    supported = ext in (".zip", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar")
+    rows, nested, broken = [], [], False
+    try:
+        if supported and depth < limits.depth:
+            if ext == ".zip":
+                zf = zipfile.ZipFile(io.BytesIO(data))
+                for i in zf.infolist():
+                    target = posixpath.normpath(posixpath.join(_FAKE_DEST, i.filename))
+                    rows.append((i.filename, i.file_size, i.is_dir(), not (target + "/").startswith(_FAKE_DEST + "/")))
+                    if _longest_ext(i.filename.rsplit("/", 1)[-1]) and not i.is_dir():
+                        nested.append((i.filename, lambda i=i: zf.read(i)))
+            else:
+                tf = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
+                for m in tf:
+                    rows.append((m.name, m.size if m.isfile() else 0, m.isdir(), _tar_escapes(m)))
+                    if m.isfile() and _longest_ext(m.name.rsplit("/", 1)[-1]):
+                        nested.append((m.name, lambda m=m: tf.extractfile(m).read()))
+    except Exception:  # noqa: BLE001 - a broken archive is a status, never a job failure
+        rows, nested, broken = [], [], True
+    head = bundle, path, depth
+    yield (*head, None, None, None, None, broken, supported, number)
+    yield from ((*head, *r, None, None, number) for r in rows)
+    whole = not any(r[3] for r in rows) and limits.refuses(len(rows), sum(r[1] for r in rows)) is None
+    for k, (name, read) in enumerate(nested if whole else []):
+        try:
+            inner = read()
+        except Exception:  # noqa: BLE001
+            continue
+        yield from _listed(bundle, name, inner, depth + 1, _number(f"{number}/{k}"), limits)
+
+
+def _number(name: str) -> int:
+    """Tells archives of one bundle, path and depth apart."""
+    return int.from_bytes(hashlib.sha256(name.encode("utf-8", "surrogatepass")).digest()[:7], "big")
+
+
+def _tar_escapes(m: tarfile.TarInfo) -> bool:
+    try:
+        tarfile.data_filter(m, _FAKE_DEST)
+    except tarfile.FilterError:
+        return True
+    return False
+
+
+def archive_listing(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(bundle_id, path, depth, member, size_bytes, is_dir, escapes, broken, supported, archive_no): what
+    central directories and headers declare, a row a member, so that archives are judged before
+    anything is unpacked. A row without a member stands for the archive itself."""
+    ship_package(files.sparkSession)
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                held = []
+                for out in _listed(row.bundle_id, row.path, bytes(row.content), 0, _number(f"{row.bundle_id}\0{row.path}"), limits):
+                    held.append(out)
+                    if len(held) == 50_000:
+                        yield pd.DataFrame(held, columns=columns).astype(_LISTED_TYPES)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=columns).astype(_LISTED_TYPES)
+
+    archives = files.where(archive_extension(F.col("path")) != "").select("bundle_id", "path", "content")
+    return archives.mapInPandas(fn, LISTED)
+
+
+_LISTED_TYPES = {"size_bytes": "Int64", "is_dir": "boolean", "escapes": "boolean", "broken": "boolean", "supported": "boolean"}
+
+
+def listing_status(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(bundle_id, path, depth, status, n_members, declared_bytes) of each archive from its listing alone:
+    one aggregate, combined in the tasks first. Damage that only unpacking shows is not seen here."""
+    every = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    sums = listed.groupBy("bundle_id", "path", "depth", "archive_no").agg(
+        F.count("member").alias("n_members"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("declared_bytes"),
+        every(F.col("escapes")).alias("escapes"), every(F.col("broken")).alias("broken"), every(F.col("supported")).alias("supported"))
+    over = lambda c, most: F.lit(False) if most is None else F.col(c) > most
+    status = (F.when(F.col("depth") + 1 > limits.depth, "too_deep").when(~F.col("supported"), "unsupported").when(F.col("broken"), "corrupt")
+              .when(over("n_members", limits.entries), "too_many").when(over("declared_bytes", limits.total_bytes), "too_big")
+              .when(F.col("escapes"), "escape").otherwise("ok"))
+    return sums.select("bundle_id", "path", "depth", status.alias("status"), "n_members", "declared_bytes")
+
+
 def archive_lineage(expanded: DataFrame) -> DataFrame:
     """(bundle_id, path, depth, parent_path): each member with the archive it came from; a member of
     two equal archives has a row for either."""

@@ -17,6 +17,10 @@ from ..sources.files import META_FILES, base_name, meta_text
 from . import identity
 
 
+#: What a bucket of a dotfile's name begins with; hash buckets are hex digits.
+NAME_BUCKET = "name:"
+
+
 def is_root(path: Column, extracted_from: Column) -> Column:
     return extracted_from.isNull() & ~path.contains("/")
 
@@ -37,7 +41,7 @@ def package_files_long(entries: DataFrame) -> DataFrame:
 
 
 def bundle_stats(entries: DataFrame) -> DataFrame:
-    """Totals, dotfiles, package files and root flags of each bundle, and its fingerprint."""
+    """Totals, package files and root flags of each bundle."""
     name = base_name(F.col("path"))
     root = is_root(F.col("path"), F.col("extracted_from"))
     return entries.groupBy("bundle_id").agg(
@@ -46,7 +50,6 @@ def bundle_stats(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("is_script")).alias("script_count"),
         F.sum("line_count").cast("long").alias("total_lines"),
         F.count_if(F.col("extracted_from").isNotNull()).alias("archives_extracted"),
-        F.sort_array(F.collect_set(F.when(hidden_name(name), name))).alias("hidden_dotfiles"),
         F.sort_array(F.collect_set(F.when(name.isin(*rules.PACKAGE_FILES), name))).alias("package_files_found"),
         F.coalesce(F.bool_or(root & (F.col("path") == "SKILL.md")), F.lit(False)).alias("has_skill_md"),
         F.coalesce(F.bool_or(root & F.col("path").isin(*rules.README_NAMES)), F.lit(False)).alias("has_readme"),
@@ -55,28 +58,33 @@ def bundle_stats(entries: DataFrame) -> DataFrame:
 
 def rollup(files: DataFrame) -> DataFrame:
     """One row a bundle from one pass over its files (entries with ``_found``, the array of a file's
-    findings): totals, flags, counts by key, the first file of each category, fingerprint and root
-    metadata. Two aggregates, by (bundle, hash bucket) and then by bundle: a bundle that holds a
-    third of all files is spread over its buckets, and no list grows with its files."""
-    name, keys = base_name(F.col("path")), F.transform("_found", lambda x: x["key"])
-    root = is_root(F.col("path"), F.col("extracted_from"))
-    files = files.withColumn("_keys", keys).withColumn(
-        "_categories", F.transform(F.filter("_found", lambda x: x["category"].isNotNull()), lambda x: x["category"]))
+    findings): totals, flags, counts by key, distinct dotfile names, the first file of each category,
+    fingerprint and root metadata. Two aggregates, by (bundle, hash bucket) and then by bundle: a
+    bundle that holds a third of all files is spread over its buckets, and no list grows with its
+    files. A hidden dotfile also stands in a bucket of its name, which counts once."""
+    name, root = base_name(F.col("path")), is_root(F.col("path"), F.col("extracted_from"))
+    files = files.withColumn("_keys", F.transform("_found", lambda x: x["key"])).withColumn(
+        "_categories", F.array_distinct(F.transform(F.filter("_found", lambda x: x["category"].isNotNull()), lambda x: x["category"])))
+    files = identity.with_bucket(files).withColumn("_n", F.array(*[F.size("_keys") - F.size(F.array_remove("_keys", k)) for k in rules.FINDING_KEYS]))
+    named = F.concat(F.lit(NAME_BUCKET), name)
+    files = files.withColumn("_bucket", F.explode(F.when(hidden_name(name), F.array("_bucket", named)).otherwise(F.array("_bucket"))))
+    of_name = F.coalesce(F.col("_bucket").startswith(NAME_BUCKET), F.lit(False))
+    own = lambda c: F.when(~of_name, c)
     yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    text_of = lambda p: F.first(F.when(root & (F.col("path") == p), F.col("_meta_text")), ignorenulls=True)
+    text_of = lambda p: F.first(F.when(~of_name & root & (F.col("path") == p), F.col("_meta_text")), ignorenulls=True)
     sums = {"total_files": F.lit(1), "total_size_bytes": F.col("size_bytes"), "script_count": F.col("is_script").cast("int"),
-            "total_lines": F.col("line_count"), "archives_extracted": F.col("extracted_from").isNotNull().cast("int"),
-            "n_hidden_dotfiles": hidden_name(name).cast("int")}
-    sums |= {f"_n_{k}": F.size("_keys") - F.size(F.array_remove("_keys", k)) for k in rules.FINDING_KEYS}
+            "total_lines": F.col("line_count"), "archives_extracted": F.col("extracted_from").isNotNull().cast("int")}
+    sums |= {f"_n_{k}": F.element_at("_n", i + 1) for i, k in enumerate(rules.FINDING_KEYS)}
     flags = {"has_skill_md": root & (F.col("path") == "SKILL.md"), "has_readme": root & F.col("path").isin(*rules.README_NAMES)}
     flags |= {f"_package_{i}": name == p for i, p in enumerate(rules.PACKAGE_FILES)}
     firsts = {f"_first_{c}": F.when(F.array_contains("_categories", c), F.col("path")) for c in rules.CATEGORIES}
     metas = {"_skill": "SKILL.md", "_pkg": "package.json", "_setup": "setup.py"}
-    parts = identity.buckets(files, *[F.sum(c).cast("long").alias(k) for k, c in sums.items()], *[yes(c).alias(k) for k, c in flags.items()],
-                             *[F.min(c).alias(k) for k, c in firsts.items()], *[text_of(p).alias(k) for k, p in metas.items()])
+    parts = identity.by_bucket(files, ~of_name, *[F.sum(own(c)).cast("long").alias(k) for k, c in sums.items()],
+                               *[yes(own(c)).alias(k) for k, c in flags.items()], *[F.min(own(c)).alias(k) for k, c in firsts.items()],
+                               *[text_of(p).alias(k) for k, p in metas.items()])
     whole = parts.groupBy("bundle_id").agg(
-        identity.from_buckets().alias("fingerprint"), *[F.sum(k).alias(k) for k in sums], *[yes(F.col(k)).alias(k) for k in flags],
-        *[F.min(k).alias(k) for k in firsts], *[F.first(k, ignorenulls=True).alias(k) for k in metas])
+        identity.from_buckets(~of_name).alias("fingerprint"), F.count_if(of_name).alias("n_hidden_dotfiles"), *[F.sum(k).alias(k) for k in sums],
+        *[yes(F.col(k)).alias(k) for k in flags], *[F.min(k).alias(k) for k in firsts], *[F.first(k, ignorenulls=True).alias(k) for k in metas])
     counts = F.create_map(*[x for k in rules.FINDING_KEYS for x in (F.lit(k), F.col(f"_n_{k}"))])
     packages = F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"_package_{i}"), F.lit(p)) for i, p in enumerate(rules.PACKAGE_FILES)])))
     firsts_ = F.sort_array(F.array_compact(F.array(*[
@@ -84,7 +92,7 @@ def rollup(files: DataFrame) -> DataFrame:
         for c in rules.CATEGORIES])))
     hooks = hooks_of(F.col("_pkg"), F.col("_setup"))
     return whole.select(
-        "bundle_id", "fingerprint", *[k for k in sums if not k.startswith("_")], counts.alias("finding_counts"),
+        "bundle_id", "fingerprint", *[k for k in sums if not k.startswith("_")], "n_hidden_dotfiles", counts.alias("finding_counts"),
         packages.alias("package_files_found"), hooks.alias("install_hooks_found"), (F.size(hooks) > 0).alias("has_install_hooks"),
         "has_skill_md", "has_readme", *frontmatter_cols(F.col("_skill")), firsts_.alias("findings"))
 

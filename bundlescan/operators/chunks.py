@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 # FIXED VALUES: chunk geometry
 MODEL_MAX_TOKENS = 256
 WINDOW = MODEL_MAX_TOKENS - 2
@@ -38,18 +40,23 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _WS, -1), lambda t: t != "")
 
 
-def token_chunks(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def _ids(id_col: str | list[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def token_chunks(df: DataFrame, id_col: str | list[str], text_col: str = "text") -> DataFrame:
     """-> id, chunk (0-based), start (token offset), n_tokens, chunk_text."""
-    t = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_tok"))
-    t = t.select(id_col, "_tok", F.size("_tok").alias("_n"))
+    ids = _ids(id_col)
+    t = df.select(*ids, tokens(F.col(text_col)).alias("_tok"))
+    t = t.select(*ids, "_tok", F.size("_tok").alias("_n"))
     # no Filter on _n (it would be pushed down and re-tokenise): an empty text has no starts
     starts = (F.when(F.col("_n") == 0, F.lit(None))
               .when(F.col("_n") <= WINDOW, F.array(F.lit(0)))
               .otherwise(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(STRIDE))))
-    c = t.select(id_col, "_tok", F.size(starts).alias("_k"), F.posexplode(starts).alias("chunk", "start"))
+    c = t.select(*ids, "_tok", F.size(starts).alias("_k"), F.posexplode(starts).alias("chunk", "start"))
     piece = F.when(F.size("_tok") <= WINDOW, F.col("_tok")).otherwise(
         F.slice("_tok", F.col("start") + 1, WINDOW))
-    return c.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"),
+    return c.select(*ids, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"),
                     F.size(piece).cast("long").alias("n_tokens"), F.array_join(piece, " ").alias("chunk_text"),
                     F.col("_k").cast("long").alias("_k"))
 
@@ -66,32 +73,51 @@ def as_vectors(long: DataFrame, group_cols: list[str], dim_col: str = "dim", val
     return agg.select(*group_cols, F.transform("_p", lambda s: s[value_col]).alias("vector"))
 
 
-def embed_text(df: DataFrame, id_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
+def embed_text(df: DataFrame, id_col: str | list[str], text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """Long form (id, dim, value): mean over chunks of (bucket counts / chunk length).
     Each token occurrence in a chunk carries weight 1 / (chunk length x number of
     chunks), so a single ``groupBy(id, bucket).sum`` — combined map-side, at most ``dim``
     rows per text leave each task — gives the mean directly. Blank text gives nothing."""
     chunks = token_chunks(df, id_col, text_col)
-    tok = chunks.select(id_col, "n_tokens", "_k", F.explode(tokens(F.col("chunk_text"))).alias("_t"))
+    tok = chunks.select(*_ids(id_col), "n_tokens", "_k", F.explode(tokens(F.col("chunk_text"))).alias("_t"))
     bucket = (F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("long") % dim).cast("long")
     w = F.lit(1.0) / (F.col("n_tokens") * F.col("_k"))
-    return tok.groupBy(id_col, bucket.alias("dim")).agg(F.sum(w).alias("value"))
+    return tok.groupBy(*_ids(id_col), bucket.alias("dim")).agg(F.sum(w).alias("value"))
 
 
 def encode_chunks(chunks: DataFrame, encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]],
                   text_col: str = "chunk_text") -> DataFrame:
     """Pluggable encoder: ``encoder_factory()`` runs once per Python worker and returns a
-    function list[str] -> (n, d) array; chunks are sent in Arrow batches. A failing batch
-    gives null vectors (one bad file never stops the rest)."""
+    function list[str] -> (n, d) array; chunks are sent in Arrow batches. A batch that fails is
+    halved until the texts that make it fail stand alone: those have a null ``vector`` and their
+    error in ``encode_error``, all others their vector."""
 
-    @F.pandas_udf("array<float>")
-    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<vector: array<float>, error: string>")
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = encoder_factory()
         for s in batches:
-            try:
-                out = np.asarray(model(s.tolist()), dtype=np.float32)
-                yield pd.Series([row for row in out])
-            except Exception:  # noqa: BLE001
-                yield pd.Series([None] * len(s), dtype=object)
-
-    return chunks.withColumn("vector", enc(F.col(text_col)))
+            yield pd.DataFrame(encoded(model, s.tolist()), columns=["vector", "error"])
+
+    held = chunks.withColumn("_encoded", enc(F.col(text_col)))
+    return held.withColumn("vector", F.col("_encoded.vector")).withColumn("encode_error", F.col("_encoded.error")).drop("_encoded")
+
+
+def encoded(model: Callable[[list[str]], np.ndarray], texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+    """(vector, error) of each text."""
+    try:
+        out = np.asarray(model(texts), dtype=np.float32) if texts else []
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} vectors for {len(texts)} texts")
+        return [(row, None) for row in out]
+    except Exception as e:  # noqa: BLE001 - one bad text never stops the rest
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return encoded(model, texts[:half]) + encoded(model, texts[half:])
+
+
+def embed_files(entries: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+    """(bundle_id, path, extracted_from, dim, value): the vector of each text file of a bundle that the
+    listing of its folder takes (by suffix), in archives too."""
+    named = entries.select("bundle_id", "path", "extracted_from", F.when(F.col("suffix").isin(*rules.EMBED_DIR_EXTENSIONS), F.col("text")).alias("text"))
+    return embed_text(named, ["bundle_id", "path", "extracted_from"], dim=dim)

@@ -12,7 +12,15 @@ from . import oracle_files as OF
 from . import oracle_indicators as OI
 from . import oracle_lines as OL
 
-ENTRY_TEXT = "scan_text AS (SELECT bundle_id, path, suffix, text FROM entries WHERE text IS NOT NULL)"
+# the path of a member carries the hash of its archive, for equal paths in several archives of a bundle
+ENTRY_PATH = "coalesce(extracted_from || '!', '') || path"
+ENTRY_PATH_OF_E = "coalesce(e.extracted_from || '!', '') || e.path"
+ENTRY_TEXT = f"scan_text AS (SELECT bundle_id, {ENTRY_PATH} AS path, suffix, text FROM entries WHERE text IS NOT NULL)"
+
+
+def apart(select: str) -> str:
+    """A select's rows with the path and the hash of the archive as columns of their own."""
+    return (f"SELECT * REPLACE (regexp_replace(path, '^[0-9a-f]*!', '') AS path), nullif(regexp_extract(path, '^([0-9a-f]*)!', 1), '') AS extracted_from FROM ({select})")
 
 
 def _entry_text_ctes() -> str:
@@ -32,10 +40,10 @@ def _found_parts() -> list[str]:
     return parts
 
 
-def _counts_cte() -> str:
+def _counts_cte(found: str | None = None) -> str:
     keys = ", ".join(f"({sql_str(k)})" for k in rules.FINDING_KEYS)
-    found = "\n  UNION ALL\n  ".join(_found_parts())
-    return f"""found AS (
+    found = found or "\n  UNION ALL\n  ".join(_found_parts())
+    return f"""found AS MATERIALIZED (
   {found}
 ),
 all_bundles AS (SELECT DISTINCT bundle_id FROM ({OF.with_entries('SELECT bundle_id FROM entries')})),
@@ -49,34 +57,34 @@ def finding_counts_sql() -> str:
     return f"WITH {_counts_cte()}\nSELECT bundle_id, key, n FROM counts"
 
 
-def bundle_report_sql() -> str:
-    return f"""WITH {_counts_cte()},
+def bundle_report_sql(found: str | None = None, then: str = "SELECT * FROM report") -> str:
+    return f"""WITH {_counts_cte(found)},
 tot AS ({OF.bundle_totals_sql()}),
 fp AS ({OF.fingerprint_sql()}),
 hf AS ({OF.has_files_sql()}),
 fm AS ({OF.frontmatter_sql()}),
 hk AS (SELECT bundle_id, string_agg(hook, ',' ORDER BY pos) AS hooks FROM ({OF.install_hooks_sql()}) GROUP BY ALL),
-dot AS (SELECT bundle_id, sum(CASE WHEN bundle_id SIMILAR TO '(src|kit)[0-9]+' AND CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) % 20 = 1
-          THEN 1 ELSE 0 END) * 2 AS n_hidden FROM tot GROUP BY ALL),
+dot AS (SELECT bundle_id, count(*) AS n_hidden FROM ({OF.hidden_dotfiles_sql()}) GROUP BY ALL),
 pkg AS (SELECT bundle_id, string_agg(name, ',' ORDER BY name) AS names FROM ({OF.package_files_sql()}) GROUP BY ALL),
-cnt AS (SELECT bundle_id, CAST(sum(n) AS BIGINT) AS n_findings FROM counts GROUP BY ALL)
-SELECT tot.bundle_id, fp.fingerprint, tot.total_files, tot.total_size_bytes, tot.script_count, tot.total_lines,
-       tot.archives_extracted, cnt.n_findings, CAST(dot.n_hidden AS BIGINT) AS n_hidden_dotfiles,
+cnt AS (SELECT bundle_id, CAST(sum(n) AS BIGINT) AS n_findings FROM counts GROUP BY ALL),
+report AS (SELECT tot.bundle_id, fp.fingerprint, tot.total_files, tot.total_size_bytes, tot.script_count, tot.total_lines,
+       tot.archives_extracted, cnt.n_findings, CAST(coalesce(dot.n_hidden, 0) AS BIGINT) AS n_hidden_dotfiles,
        coalesce(pkg.names, '') AS package_files_found, hk.hooks IS NOT NULL AS has_install_hooks,
        coalesce(hk.hooks, '') AS install_hooks_found, hf.has_skill_md, hf.has_readme,
        coalesce(fm.name, '') AS name, coalesce(fm.version, '') AS version, coalesce(fm.author, '') AS author,
        coalesce(fm.description, '') AS description
 FROM tot JOIN fp USING (bundle_id) JOIN hf USING (bundle_id) JOIN cnt USING (bundle_id)
 LEFT JOIN fm USING (bundle_id) LEFT JOIN hk USING (bundle_id) LEFT JOIN dot USING (bundle_id)
-LEFT JOIN pkg USING (bundle_id)"""
+LEFT JOIN pkg USING (bundle_id))
+{then}"""
 
 
-def _reports_cte() -> str:
+def _reports_cte(every: bool = False) -> str:
     with text_source(_entry_text_ctes()):
         sec = OL.security_patterns_sql()
     return f"""fp AS ({OF.fingerprint_sql()}),
 rf AS (SELECT bundle_id, list_sort(list({{'description': 'Detected ' || category, 'file': file}})) AS findings
-       FROM (SELECT bundle_id, category, min(path) AS file FROM ({sec}) GROUP BY ALL) GROUP BY ALL),
+       FROM (SELECT bundle_id, category, min(path) AS file FROM ({apart(sec)}) GROUP BY ALL) GROUP BY ALL),
 rep AS (
   SELECT fingerprint, bundle_id,
          CASE WHEN n % 6 = 0 THEN fingerprint ELSE 'bundle-' || CAST(n AS VARCHAR) END AS skill_name,
@@ -85,9 +93,9 @@ rep AS (
          CASE WHEN n % 4 = 0 THEN 'HIGH' ELSE 'CLEAN' END AS risk_level,
          CASE WHEN n % 4 = 0 THEN 'Bundle ' || CAST(n AS VARCHAR) || ' runs remote code.' END AS llm_summary,
          CASE WHEN n % 3 = 0 THEN 'metadata' ELSE 'full' END AS source
-  FROM (SELECT *, CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER) AS n FROM fp
-        WHERE regexp_matches(bundle_id, '^(src|kit)[0-9]+$'))
-  WHERE n % 2 = 0
+  FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(bundle_id, '[0-9]+', 0) AS INTEGER), 0) AS n FROM fp
+        {"" if every else "WHERE regexp_matches(bundle_id, '^(src|kit)[0-9]+$')"})
+  {"" if every else "WHERE n % 2 = 0"}
 )"""
 
 
@@ -101,7 +109,7 @@ FROM fp LEFT JOIN rep ON rep.fingerprint = fp.fingerprint"""
 def render_report_sql() -> str:
     items = ("list_transform(findings, lambda f, i: CAST(i AS VARCHAR) || '. **' || "
              "coalesce(f.description, 'No description') || '** — `' || coalesce(f.file, '?') || '`')")
-    return f"""WITH {_reports_cte()},
+    return f"""WITH {_reports_cte(every=True)},
 fm AS ({OF.frontmatter_sql()}),
 r AS (SELECT rep.*, rf.findings, fm.name AS local_name FROM rep
       LEFT JOIN rf USING (bundle_id) LEFT JOIN fm USING (bundle_id)),

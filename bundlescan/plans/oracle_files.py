@@ -15,15 +15,33 @@ def _in(xs) -> str:
 _EXT = r"^\.*[^.].*(\.[^.]*)$"
 
 
+_FILES: list[str] = []
+
+
+class files_source:
+    """Context manager: the twins read ``files`` and ``members`` from another CTE chain."""
+
+    def __init__(self, ctes: str):
+        self.ctes = ctes
+
+    def __enter__(self):
+        _FILES.append(self.ctes)
+
+    def __exit__(self, *exc):
+        _FILES.pop()
+
+
 def entries_sql() -> str:
     """CTEs up to ``entries`` (same columns as ``sources.files.entries``)."""
     mimes = ", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in TYPES_MAP.items())
     alias = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in SUFFIX_MAP.items())
     lower_enc = [e for e in ENCODINGS if e == e.lower()]
     arch = " OR ".join(f"lower(name) LIKE {sql_str('%' + e)}" for e in rules.ARCHIVE_EXTENSIONS)
-    return f"""{files_sql()},
+    return f"""{_FILES[-1] if _FILES else files_sql()},
 mimes(ext, mt) AS (VALUES {mimes}),
-f0 AS (SELECT bundle_id, path, content, regexp_extract(path, '[^/]*$', 0) AS name FROM files),
+f0 AS (SELECT *, regexp_extract(path, '[^/]*$', 0) AS name FROM (
+       SELECT bundle_id, path, content, CAST(NULL AS VARCHAR) AS extracted_from, 0 AS depth FROM files
+       UNION ALL SELECT bundle_id, path, content, extracted_from, depth FROM members)),
 f1 AS (SELECT *, regexp_extract(name, {sql_str(_EXT)}, 1) AS e0 FROM f0),
 f2 AS (SELECT *, CASE WHEN (CASE lower(e0) {alias} END) IS NOT NULL
                       THEN left(name, length(name) - length(e0)) || (CASE lower(e0) {alias} END) ELSE name END AS n1 FROM f1),
@@ -35,8 +53,7 @@ f6 AS (SELECT f5.*, coalesce(m1.mt, m2.mt, 'application/octet-stream') AS mime_t
        FROM f5 LEFT JOIN mimes m1 ON m1.ext = f5.e2 LEFT JOIN mimes m2 ON m2.ext = lower(f5.e2)),
 f7 AS (SELECT bundle_id, path, content, CAST(octet_length(content) AS BIGINT) AS size_bytes, mime_type,
               sha256(content) AS sha256, md5(content) AS md5, ({arch}) AS is_archive,
-              CAST(NULL AS VARCHAR) AS extracted_from, 0 AS depth,
-              lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS suffix FROM f6),
+              extracted_from, depth, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS suffix FROM f6),
 entries AS (
   SELECT * EXCLUDE (content), suffix IN {_in(rules.SCRIPT_EXTENSIONS)} AS is_script,
          CAST(CASE WHEN coalesce(length(text), 0) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS line_count

@@ -135,15 +135,18 @@ def q_redact_secrets(spark, sf):
 
 # ---------------------------------------------------------------- file layer (§2.1, §2.2, §2.10)
 
+from ..operators import archives as ARC  # noqa: E402
 from ..operators import bundle as BND  # noqa: E402
 from ..operators import identity as IDN  # noqa: E402
 from ..sources import files as SRC  # noqa: E402
+from ..sources import tree  # noqa: E402
 from ..sources.fixtures import corpus_files  # noqa: E402
 from . import oracle_files as OF  # noqa: E402
 
 
 def _entries(spark, sf):
-    return SRC.entries(corpus_files(spark, sf))
+    """All files, those in archives too."""
+    return SRC.entries(ARC.expand_archives(corpus_files(spark, sf)))
 
 
 @register("file_inventory", OF.inventory_sql)
@@ -243,12 +246,12 @@ from . import scan as SCAN  # noqa: E402
 
 @register("finding_counts", OB.finding_counts_sql)
 def q_finding_counts(spark, sf):
-    return SCAN.bundles(corpus_files(spark, sf)).select("bundle_id", F.explode("finding_counts").alias("key", "n"))
+    return SCAN.bundles(ARC.expand_archives(corpus_files(spark, sf))).select("bundle_id", F.explode("finding_counts").alias("key", "n"))
 
 
 @register("bundle_report", OB.bundle_report_sql)
 def q_bundle_report(spark, sf):
-    b = SCAN.bundles(corpus_files(spark, sf))
+    b = SCAN.bundles(ARC.expand_archives(corpus_files(spark, sf)))
     return b.select(
         "bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines",
         "archives_extracted",
@@ -270,7 +273,7 @@ def q_cache_lookup(spark, sf):
 
 @register("render_report", OB.render_report_sql)
 def q_render_report(spark, sf):
-    r = fixture_reports(spark, sf, SCAN.bundles(corpus_files(spark, sf)))
+    r = fixture_reports(spark, sf, SCAN.bundles(ARC.expand_archives(corpus_files(spark, sf))), every=True)
     md = REP.render_markdown(F.col("name"), F.col("skill_name"), F.col("adjusted_risk_level"),
                              F.col("risk_level"), F.col("scan_date"), F.col("llm_summary"), F.col("findings"),
                              F.col("source"))
@@ -279,8 +282,8 @@ def q_render_report(spark, sf):
 
 # ---------------------------------------------------------------- archives (§2.1, §2.3)
 
-from ..operators import archives as ARC  # noqa: E402
-from ..sources.fixtures import archive_files, archive_groups_sql  # noqa: E402
+from ..sources import fixtures as FIX  # noqa: E402
+from ..sources.fixtures import archive_files, archive_groups_sql, planted_sql  # noqa: E402
 
 
 def _expanded(spark, sf):
@@ -446,23 +449,23 @@ def q_file_type_gate(spark, sf):
 def _has_any_sql():
     found = "\n  UNION ALL\n  ".join(OB._found_parts())
     return (f"WITH {OF.entries_sql()},\nfound AS (\n  {found}\n)\n"
-            "SELECT e.bundle_id, e.path, EXISTS (SELECT 1 FROM found f WHERE f.bundle_id = e.bundle_id "
-            "AND f.path = e.path) AS has_findings FROM entries e")
+            "SELECT e.bundle_id, e.path, e.extracted_from, EXISTS (SELECT 1 FROM found f WHERE f.bundle_id = e.bundle_id "
+            f"AND f.path = {OB.ENTRY_PATH_OF_E}) AS has_findings FROM entries e")
 
 
 @register("has_any_findings", _has_any_sql)
 def q_has_any_findings(spark, sf):
-    return SCAN.scanned(_entries(spark, sf)).select("bundle_id", "path", (F.size("_found") > 0).alias("has_findings"))
+    return SCAN.scanned(_entries(spark, sf)).select("bundle_id", "path", "extracted_from", (F.size("_found") > 0).alias("has_findings"))
 
 
 def _projection_sql():
-    return (f"WITH {OB._reports_cte()}\nSELECT skill_name, scan_date, adjusted_risk_level, risk_level, llm_summary, "
+    return (f"WITH {OB._reports_cte(every=True)}\nSELECT skill_name, scan_date, adjusted_risk_level, risk_level, llm_summary, "
             "CAST(coalesce(len(rf.findings), 0) AS BIGINT) AS n_findings FROM rep LEFT JOIN rf USING (bundle_id)")
 
 
 @register("column_projection", _projection_sql)
 def q_column_projection(spark, sf):
-    rep = fixture_reports(spark, sf, SCAN.bundles(corpus_files(spark, sf)))
+    rep = fixture_reports(spark, sf, SCAN.bundles(ARC.expand_archives(corpus_files(spark, sf))), every=True)
     # only the six report keys leave; fingerprint and bundle_id are internal
     return rep.select("skill_name", "scan_date", "adjusted_risk_level", "risk_level", "llm_summary",
                       F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"))
@@ -490,31 +493,48 @@ def _findings_by_key():
 
 def _findings_sql():
     with text_source(OB._entry_text_ctes()):
-        return _findings_by_key()
+        return OB.apart(_findings_by_key())
 
 
 @register("findings", _findings_sql)
 def q_findings(spark, sf):
-    return SCAN.findings(_entries(spark, sf)).select("bundle_id", "path", "key", "value", "line")
+    return SCAN.findings(_entries(spark, sf)).select("bundle_id", "path", "extracted_from", "key", "value", "line")
 
 
 def _artifact_sql():
-    found = "\n  UNION ALL\n  ".join(OB._found_parts())
-    return (f"WITH {OF.entries_sql()},\nfound AS (\n  {found}\n),\nfp AS ({OF.fingerprint_sql()}),\n"
-            f"tot AS ({OF.bundle_totals_sql()})\n"
-            "SELECT e.bundle_id, fp.fingerprint AS skill_sha256, tot.total_files, e.path, e.size_bytes, e.sha256, "
-            "(SELECT count(*) FROM found f WHERE f.bundle_id = e.bundle_id AND f.path = e.path) AS n_findings "
-            "FROM entries e JOIN fp USING (bundle_id) JOIN tot USING (bundle_id)")
+    with text_source(OB._entry_text_ctes()):
+        found = _findings_by_key()
+    keys = ", ".join(sql_str(k) for k in rules.FINDING_KEYS)
+    return OB.bundle_report_sql(found, f"""SELECT r.* EXCLUDE (n_findings), c.counts, d.dotfiles, e.path, e.extracted_from, e.size_bytes, e.mime_type, e.sha256, e.md5,
+  coalesce(x.n, 0) AS n_findings, coalesce(x.h, md5('')) AS findings_md5
+FROM ({OF.with_entries("SELECT * FROM entries")}) e JOIN report r USING (bundle_id)
+JOIN (SELECT bundle_id, string_agg(key || '=' || CAST(n AS VARCHAR), ',' ORDER BY list_position([{keys}], key)) AS counts FROM counts GROUP BY ALL) c USING (bundle_id)
+LEFT JOIN (SELECT bundle_id, string_agg(name, ',' ORDER BY name) AS dotfiles FROM ({OF.hidden_dotfiles_sql()}) GROUP BY ALL) d USING (bundle_id)
+LEFT JOIN (SELECT bundle_id, path, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM (
+           SELECT bundle_id, path, key || '|' || value || '|' || coalesce(CAST(line AS VARCHAR), '') AS s FROM found) GROUP BY ALL) x
+  ON x.bundle_id = e.bundle_id AND x.path = {OB.ENTRY_PATH_OF_E}""")
 
 
 @register("write_artifact", _artifact_sql)
 def q_write_artifact(spark, sf):
-    """The artifact written to the shared folder and read back: a row a file, with its bundle's."""
+    """The artifact written to the shared folder and read back: a row a file, with all of its bundle's."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifact-{uuid.uuid4().hex}"
     SCAN.write_artifact(corpus_files(spark, sf), path)
-    files = spark.read.parquet(f"{path}/files").select("bundle_id", "path", "size_bytes", "sha256", F.size("_found").cast("long").alias("n_findings"))
-    whole = spark.read.parquet(f"{path}/bundles").select("bundle_id", "skill_sha256", "skill_info.total_files")
-    return files.join(whole, "bundle_id")
+    out = SCAN.read_artifact(spark, path)
+    said = F.transform("_found", lambda x: F.concat_ws("|", x["key"], x["value"], F.coalesce(x["line"].cast("string"), F.lit(""))))
+    files = out["files"].select("bundle_id", "path", "extracted_from", "size_bytes", "mime_type", "sha256", "md5", F.size("_found").cast("long").alias("n_findings"),
+                                F.md5(F.array_join(F.sort_array(said), "\n")).alias("findings_md5"))
+    info, meta = "skill_info.", "skill_info.dependency_metadata."
+    count = lambda k: F.concat(F.lit(f"{k}="), F.col("summary.finding_counts")[k].cast("string"))
+    whole = out["bundles"].select(
+        "bundle_id", F.col("skill_sha256").alias("fingerprint"),
+        *[info + c for c in ("total_files", "total_size_bytes", "script_count", "total_lines", "has_skill_md", "has_readme")],
+        *[info + "frontmatter." + c for c in ("name", "version", "author", "description")],
+        F.col("summary.total_archives_extracted").alias("archives_extracted"), "summary.n_hidden_dotfiles", meta + "has_install_hooks",
+        *[F.array_join(meta + c, ",").alias(c) for c in ("package_files_found", "install_hooks_found")],
+        F.concat_ws(",", *[count(k) for k in rules.FINDING_KEYS]).alias("counts"))
+    names = out["dotfiles"].groupBy("bundle_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("dotfiles"))
+    return files.join(whole, "bundle_id").join(names, "bundle_id", "left")
 
 
 def _expanded_findings_sql():
@@ -522,7 +542,7 @@ def _expanded_findings_sql():
     members = f"""{archive_groups_sql()},
 scan_text AS (SELECT bundle_id, 'docs/doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path, {exts}[doc_id % 6 + 1] AS suffix,
        regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text
-  FROM (SELECT d.doc_id, d.text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g) WHERE kind IN (0, 1, 2))"""
+  FROM (SELECT d.doc_id, {planted_sql()} AS text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g) WHERE kind IN (0, 1, 2))"""
     with text_source(members):
         return _findings_by_key()
 
@@ -541,7 +561,7 @@ def q_has_readme(spark, sf):
 def _members_sql():
     exts = "['.py', '.sh', '.js', '.md', '.ps1', '.txt']"
     return f"""WITH {archive_groups_sql()},
-d AS (SELECT d.doc_id, d.text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g)
+d AS (SELECT d.doc_id, {planted_sql()} AS text, g.* FROM documents d JOIN groups g ON d.doc_id // 25 = g.g)
 SELECT bundle_id, 'docs/doc_' || CAST(doc_id AS VARCHAR) || {exts}[doc_id % 6 + 1] AS path,
        CAST(CASE WHEN kind = 1 THEN 2 ELSE 1 END AS BIGINT) AS depth,
        CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(encode(text)) AS sha256
@@ -557,3 +577,80 @@ def q_archive_members(spark, sf):
     e = SRC.entries(_expanded(spark, sf))
     return keep_if(e, F.col("extracted_from").isNotNull() & ~F.col("is_archive")).select(
         "bundle_id", "path", F.col("depth").cast("long").alias("depth"), "size_bytes", "sha256")
+
+
+# ---------------------------------------------------------------- listings and targets
+
+def _listing_sql():
+    return f"""WITH g AS (SELECT doc_id // {FIX.ARCHIVE_GROUP} AS g, count(*) AS n FROM documents GROUP BY ALL),
+a AS (SELECT g, g % 7 AS kind, n, 'guard' || CAST(g % 3 AS VARCHAR) AS bundle_id, 'pack_' || CAST(g AS VARCHAR) AS name FROM g)
+SELECT bundle_id, name || CASE kind WHEN 5 THEN '.7z' ELSE '.zip' END AS path, CAST(0 AS BIGINT) AS depth,
+       CASE WHEN kind = 1 AND 2 * n > {FIX.GUARD_ENTRIES} THEN 'too_many' WHEN kind = 2 THEN 'too_big' WHEN kind = 3 THEN 'escape' WHEN kind = 4 THEN 'corrupt'
+            WHEN kind = 5 THEN 'unsupported' ELSE 'ok' END AS status,
+       CASE kind WHEN 1 THEN 2 * n WHEN 2 THEN n + 1 WHEN 3 THEN n + 1 WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE n END AS n_members FROM a
+UNION ALL SELECT bundle_id, 'mid.zip', 1, 'ok', 1 FROM a WHERE kind = 6
+UNION ALL SELECT bundle_id, 'low.zip', 2, 'too_deep', 0 FROM a WHERE kind = 6"""
+
+
+@register("archive_listing", _listing_sql)
+def q_archive_listing(spark, sf):
+    """Every refusal, from listings alone."""
+    limits = ARC.Limits(entries=FIX.GUARD_ENTRIES, total_bytes=FIX.GUARD_BYTES, depth=FIX.GUARD_DEPTH)
+    return _long(ARC.listing_status(ARC.archive_listing(FIX.guard_files(spark, sf), limits), limits).drop("declared_bytes"), "depth")
+
+
+@register("archive_refusals", lambda: f"SELECT bundle_id, path, depth, status FROM ({_listing_sql()})")
+def q_archive_refusals(spark, sf):
+    """Every refusal, as unpacking finds it."""
+    limits = ARC.Limits(entries=FIX.GUARD_ENTRIES, total_bytes=FIX.GUARD_BYTES, depth=FIX.GUARD_DEPTH)
+    return _long(ARC.archive_status(FIX.guard_files(spark, sf), limits), "depth")
+
+
+def _targets_sql():
+    with OF.files_source(FIX.uploads_sql()):
+        with text_source(OB._entry_text_ctes()):
+            found = _findings_by_key()
+        return f"""SELECT t.bundle_id, f.fingerprint, t.total_files, t.total_size_bytes, t.script_count, t.total_lines, h.has_skill_md,
+  CASE WHEN g % 3 < 2 THEN 'up-' || g ELSE '' END AS name, CASE WHEN g % 3 < 2 THEN '1.' || g ELSE '' END AS version,
+  CASE WHEN g % 3 < 2 THEN 'postinstall' ELSE '' END AS install_hooks_found, coalesce(x.n, 0) AS n_findings
+FROM (SELECT *, CAST(regexp_extract(bundle_id, '_([0-9]+)', 1) AS INTEGER) AS g FROM ({OF.bundle_totals_sql()})) t
+JOIN ({OF.fingerprint_sql()}) f USING (bundle_id) JOIN ({OF.has_files_sql()}) h USING (bundle_id)
+LEFT JOIN (SELECT bundle_id, count(*) AS n FROM ({found}) GROUP BY ALL) x USING (bundle_id)"""
+
+
+@register("zip_targets", _targets_sql)
+def q_zip_targets(spark, sf):
+    """Zips scanned as bundles of their own: identity, metadata and findings of their content."""
+    none = spark.createDataFrame([], "bundle_id string, path string, content binary")
+    out = SCAN.run(none, targets=FIX.upload_files(spark, sf))["bundles"]
+    return out.select("bundle_id", "fingerprint", "total_files", "total_size_bytes", "script_count", "total_lines", "has_skill_md", "name", "version",
+                      F.array_join("install_hooks_found", ",").alias("install_hooks_found"),
+                      F.aggregate(F.map_values("finding_counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_findings"))
+
+
+def _tree_sql():
+    return """SELECT source AS bundle_id, 'd' || CAST(doc_id % 10 AS VARCHAR) || '/' || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END || 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents
+UNION ALL SELECT 'all', source || '/_' || CAST(doc_id AS VARCHAR), CAST(octet_length(encode(source)) AS BIGINT), sha256(source) FROM documents"""
+
+
+@register("tree_inventory", _tree_sql)
+def q_tree_inventory(spark, sf):
+    """Files of trees that are made from the documents, a root a source and one that holds a file of
+    each document; a third of the names are hidden."""
+    roots = FIX.document_trees(spark, sf)
+    return SRC.entries(tree.read_trees(spark, roots, splits=4)).select("bundle_id", "path", "size_bytes", "sha256")
+
+
+def _embed_files_sql():
+    return f"""WITH {OF.entries_sql()},
+documents AS (SELECT bundle_id || chr(1) || path || chr(1) || coalesce(extracted_from, '') AS doc_id, text FROM entries
+              WHERE suffix IN ({', '.join(repr(e) for e in rules.EMBED_DIR_EXTENSIONS)}) AND text IS NOT NULL),
+v AS ({_embed_sql()})
+SELECT split_part(doc_id, chr(1), 1) AS bundle_id, split_part(doc_id, chr(1), 2) AS path, nullif(split_part(doc_id, chr(1), 3), '') AS extracted_from, dim, value FROM v"""
+
+
+@register("embed_files", _embed_files_sql)
+def q_embed_files(spark, sf):
+    """A vector for each text file of each bundle."""
+    return CH.embed_files(_entries(spark, sf)).withColumn("value", F.round("value", 6))

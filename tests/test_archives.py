@@ -114,6 +114,31 @@ def test_root_normalize(spark):
     assert flags == {"b/u1.zip": True, "b/u2.zip": True, "b/u3.zip": False}
 
 
+def test_listing_tells_what_unpacking_finds(spark):
+    from bundlescan.sources.fixtures import _tar_bytes
+    deep = _zip_bytes([("a.txt", b"x")])
+    for _ in range(3):
+        deep = _zip_bytes([("in.zip", deep)])
+    link = _tar_bytes([("a", b"x")], [("up", "../../x")])
+    cases = {"ok.zip": _zip_bytes([("a", b"x"), ("b/", b"")]), "many.zip": _zip_bytes([(f"f{i}", b"") for i in range(5)]), "big.tar": _tar_bytes([("a", bytes(2000))]),
+             "out.zip": _zip_bytes([("../a", b"x")]), "out.tar": link, "cut.zip": deep[:40], "x.rar": b"Rar!", "deep.zip": deep, "none.zip": _zip_bytes([]), "empty.tar": b""}
+    f = files_df(spark, list(cases.items()))
+    limits = A.Limits(entries=4, total_bytes=1000, depth=2)
+    listed = {(r.path, r.depth): r.status for r in A.listing_status(A.archive_listing(f, limits), limits).collect()}
+    assert listed == {(r.path, r.depth): r.status for r in A.archive_status(f, limits).collect()}
+    assert set(listed.values()) == {"ok", "too_many", "too_big", "escape", "corrupt", "unsupported", "too_deep"}
+    rows = {(r.path, r.member): r.size_bytes for r in A.archive_listing(f).where("member is not null and path = 'ok.zip'").collect()}
+    assert rows == {("ok.zip", "a"): 1, ("ok.zip", "b/"): 0}
+
+
+def test_one_pass_gives_members_and_statuses(spark):
+    f = files_df(spark, [("a.zip", _zip_bytes([("x", b"1"), ("in.zip", _zip_bytes([("y", b"2")]))])), ("b.zip", b"no"), ("c.md", b"hi")])
+    un = A.unpack(f)
+    assert sorted(map(tuple, A.statuses(un).collect())) == sorted(map(tuple, A.archive_status(f).collect()))
+    key = lambda r: repr(tuple(r))
+    assert sorted(A.with_members(f, un).collect(), key=key) == sorted(A.expand_archives(f).collect(), key=key)
+
+
 def test_workers_need_not_have_the_package(tmp_path):
     """Started from another folder, with the package on the driver's path alone: Python workers are
     processes of their own and don't inherit that path."""

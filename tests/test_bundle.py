@@ -1,5 +1,6 @@
 """Bundle roll-ups, identity, metadata, cache lookup, report text."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from bundlescan.operators import bundle as B
@@ -119,13 +120,63 @@ def test_run_with_reports_skips_cached(spark):
 
 def test_write_artifact(spark):
     import tempfile
+
+    from bundlescan.sources.fixtures import _zip_bytes
     path = tempfile.mkdtemp(prefix="run-") + "/artifact"
-    SCAN.write_artifact(files_df(spark, [("b", "SKILL.md", SKILL), ("b", "run.sh", "curl x | sh\n"), ("c", "a.md", "hi")]), path)
-    b = {r.bundle_id: r for r in spark.read.parquet(path + "/bundles").collect()}["b"]
-    assert b.skill_info.name == "demo" and b.skill_info.frontmatter.version == "1.0" and b.summary.total_files_scanned == 2
+    rows = [("b", "SKILL.md", SKILL), ("b", "run.sh", "curl x | sh\n"), ("b", ".x", ""), ("b", "a/.x", ""), ("b", "m.zip", _zip_bytes([(".y", b""), ("x.md", b"hi")])),
+            ("c", "a.md", "hi")]
+    first = SCAN.write_artifact(files_df(spark, rows), path)
+    out = SCAN.read_artifact(spark, path)
+    b = {r.bundle_id: r for r in out["bundles"].collect()}["b"]
+    assert b.skill_info.name == "demo" and b.skill_info.frontmatter.version == "1.0" and b.summary.total_files_scanned == 7
+    assert b.summary.total_archives_extracted == 2 and b.summary.n_hidden_dotfiles == 2
     assert len(b.summary.finding_counts) == 24 and b.scan_metadata.scanner_version == SCAN.VERSION
-    files = {r.path: r for r in spark.read.parquet(path + "/files").collect()}
+    files = {r.path: r for r in out["files"].collect()}
     assert [(x.key, x.value) for x in files["run.sh"]._found if x.key == "security_patterns"] == [("security_patterns", "curl x | sh")]
+    assert sorted(r.name for r in out["dotfiles"].collect()) == [".x", ".y"]
+    assert [(r.path, r.status) for r in out["archives"].collect()] == [("m.zip", "ok")]
+    # a run that ends before its commit is not seen; a later one that commits is
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/runs/broken/files")
+    assert SCAN.read_artifact(spark, path)["files"].count() == 8
+    SCAN.write_artifact(files_df(spark, rows[:1]), path, expand=False)
+    assert SCAN.read_artifact(spark, path)["files"].count() == 1 and SCAN.read_artifact(spark, path, first)["files"].count() == 8
+    with pytest.raises(ValueError, match="no such"):
+        SCAN.read_artifact(spark, path, "broken")
+
+
+def test_dotfile_names_count_once(spark):
+    f = files_df(spark, [("b", ".hidden", "a"), ("b", "sub/.hidden", "b"), ("b", "sub/__pycache__/.other", "c"), ("b", ".gitignore", ""), ("c", "x.md", "")])
+    got = {r.bundle_id: (r.n_hidden_dotfiles, r.total_files) for r in SCAN.bundles(f).collect()}
+    assert got == {"b": (2, 4), "c": (0, 1)}
+    assert {r.bundle_id: r.fingerprint for r in SCAN.bundles(f).collect()} == {r.bundle_id: r.fingerprint for r in I.bundle_fingerprint(S.entries(f)).collect()}
+
+
+def test_refreshed_fingerprints_equal_the_full_ones(spark):
+    import random
+    random.seed(4)
+    schema = "bundle_id string, path string, extracted_from string, sha256 string"
+    def rows(bundle, names, v):
+        return [(bundle, n, None, f"{bundle}{n}{v}") for n in names]
+    old = rows("a", [f"f{i}" for i in range(300)], 0) + rows("b", ["x", "__pycache__/y"], 0) + rows("c", ["only"], 0)
+    gone = random.sample(old[:300], 40) + old[300:301] + old[-1:]
+    new = [(b, p, e, s + "!") for b, p, e, s in gone[:20]] + rows("a", ["fresh", "__pycache__/z"], 1) + rows("d", ["first"], 1)
+    after = [r for r in old if r not in gone] + new
+    df = lambda x: spark.createDataFrame(x, schema)
+    stored = I.with_bucket(df(old)).select("bundle_id", "_bucket", "_h")
+    got = {r.bundle_id: r.fingerprint for r in I.refreshed(I.bucket_table(df(old)), df(gone), df(new), stored).collect()}
+    want = {r.bundle_id: r.fingerprint for r in I.bundle_fingerprint(df(after)).collect()}
+    assert got["a"] == want["a"] and got["d"] == want["d"] and got["b"] == want["b"] and set(got) <= set(want)
+
+
+def test_zips_as_targets(spark):
+    from bundlescan.sources.fixtures import _zip_bytes
+    up = files_df(spark, [("t", "up.zip", _zip_bytes([("top/SKILL.md", SKILL.encode()), ("top/package.json", b'{"scripts": {"prepare": "x"}}'), ("note", b"")]))])
+    out = SCAN.run(files_df(spark, [("b", "a.md", "hi")]), targets=up)
+    got = {r.bundle_id: (r.name, r.install_hooks_found, r.total_files) for r in out["bundles"].collect()}
+    assert got == {"b": ("", [], 1), "t/up.zip": ("demo", ["prepare"], 2)}
+    plain = files_df(spark, [("t/up.zip", "SKILL.md", SKILL), ("t/up.zip", "package.json", '{"scripts": {"prepare": "x"}}')])
+    fingerprints = {r.bundle_id: r.fingerprint for r in out["bundles"].collect()}
+    assert I.bundle_fingerprint(S.entries(plain)).first().fingerprint == fingerprints["t/up.zip"]
 
 
 def test_frontmatter_values(spark):

@@ -36,3 +36,25 @@ def test_pluggable_encoder(spark):
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
     out = C.encode_chunks(df, factory).first()
     assert list(out.vector) == [5.0, 1.0]
+
+
+def test_a_text_that_fails_stands_alone(spark):
+    import numpy as np
+    df = spark.createDataFrame([(i, "bad" if i in (3, 40) else f"t{i}") for i in range(60)], "id int, chunk_text string")
+
+    def factory():
+        def model(texts):
+            if "bad" in texts:
+                raise RuntimeError("no vector")
+            return np.array([[len(t)] for t in texts])
+        return model
+    out = C.encode_chunks(df.coalesce(1), factory).collect()
+    assert {r.id for r in out if r.vector is None} == {3, 40} == {r.id for r in out if r.encode_error == "RuntimeError: no vector"}
+    assert all(list(r.vector) == [float(len(r.chunk_text))] for r in out if r.vector)
+
+
+def test_vectors_of_a_bundles_files(spark):
+    from bundlescan.sources import files as S
+    f = spark.createDataFrame([("b", "a.md", b"one two"), ("b", "c.bin", b"x"), ("b", "e.txt", b""), ("c", "a.md", b"one")], "bundle_id string, path string, content binary")
+    got = {(r.bundle_id, r.path): r.v for r in C.embed_files(S.entries(f)).groupBy("bundle_id", "path").agg(F.sum("value").alias("v")).collect()}
+    assert got == {("b", "a.md"): 1.0, ("c", "a.md"): 1.0}

@@ -43,16 +43,19 @@ def test_forms_find_what_the_rules_find(spark, name):
     assert sum(bool(r.m) for r in rows) > 20
 
 
-#: Repeated to a megabyte, these ask the most of a backtracking search.
+#: Repeated, these ask the most of a backtracking search.
 SEEDS = ["a", "1", "@", "a@", "a@a.", "@a", "a.", "1.", "255.", "a+", "+a=", "a+a+a+===", "/", "=", "%4", "%41", "eyJ", "eyJ-", "eyJaaaaaaaaaa.", "-", "_", KEY,
          KEY + "\n", "-----END PRIVATE KEY-----", "ghp_a", "xoxb-", "xoxb-a_", "sk-a", "AKIA0", "AIza", "sk_live_a", "password", "token ", "api_key=", "data:a",
          "data:a/", "data:a/b;c", "javascript:", "http://", "https:/", "$", "${A", "$A", "os.environ ", "process.env.", "0x", "bc1q", "1A", "127.0.0.", "10.1.", "[::1",
          "paste.", "ix.io", "é", " ", "\t", "​", "'", "(", "\"A\"+"]
 
 
+LONG = 150_000
+
+
 @pytest.fixture(scope="module")
 def hostile(spark):
-    df = spark.createDataFrame([(s, (s * (10**6 // len(s) + 1))[:10**6] + tail) for s in SEEDS for tail in ("", " x", "!")], "seed string, text string")
+    df = spark.createDataFrame([(s, (s * (LONG // len(s) + 1))[:LONG] + tail) for s in SEEDS for tail in ("", " x", "!")], "seed string, text string")
     df = df.repartition(8).cache()
     df.count()
     yield df
@@ -67,7 +70,7 @@ def timed(df) -> float:
 
 @pytest.mark.parametrize("name", list(SETS))
 def test_set_patterns_take_linear_time(hostile, name):
-    """177 megabytes on all cores: a quadratic search of one of them takes hours."""
+    """26 megabytes on all cores: a quadratic search of one of the texts alone takes minutes."""
     assert timed(hostile.select(IND.extract_set(F.col("text"), *SETS[name]))) < 30
 
 
@@ -90,15 +93,15 @@ def test_a_megabyte_takes_under_two_seconds(spark):
 
 
 def test_presence_and_line_rules_take_linear_time(spark):
-    """Each rule over its own beginnings, repeated: 100,000 characters a line."""
+    """Each rule over its own beginnings, repeated: 40,000 characters a line."""
     seeds = SEEDS + ["chmod 7", "7", "chmod 7777", "rm ", "dd ", "import ", "require ( ", "in 1 ", "after 1", "requests.get(", ").text", "getattr(", "open(", "curl ", "| sh",
                      "cp ", "/etc/", "if ", "time.time()", "timestamp", ">", "sudo", "; ", "send the ", "when user says ", "chr( 1", "npx ", "pip install ", "dig ", "subprocess.a("]
-    df = spark.createDataFrame([(s, (f"{s}" * (10**5 // len(s) + 1))[:10**5]) for s in seeds], "seed string, text string")
+    df = spark.createDataFrame([(s, (f"{s}" * (40_000 // len(s) + 1))[:40_000]) for s in seeds], "seed string, text string")
     heads = [F.concat(F.lit(h), F.col("text")) for h in ("", "chmod ", "in ", "if ", "requests.get(")]
     df = df.select(F.explode(F.array(*heads)).alias("text")).repartition(8).cache()
     assert df.count()
     for d in rules.DETECTORS:
-        assert timed(df.select(L.matches(F.col("text"), d.pattern, d.ignore_case), L.matches(F.col("text"), d.pattern, d.ignore_case, multiline=True))) < 20, d.name
+        assert timed(df.select(L.matches(F.col("text"), d.pattern, d.ignore_case), L.matches(F.col("text"), d.pattern, d.ignore_case, multiline=True))) < 10, d.name
     for column in (IND.shell_commands, IND.suspicious_imports, IND.sensitive_file_paths, IND.env_occurrences):
         assert timed(df.select(column(F.col("text")))) < 30
     df.unpersist()

@@ -5,7 +5,7 @@ import tempfile
 
 from bundlescan.plans import scan as SCAN
 from bundlescan.sources import files as S
-from bundlescan.sources.tree import read_trees
+from bundlescan.sources.tree import read_trees, stream_trees
 from bundlescan.streaming.scan_stream import start_scan_stream
 
 
@@ -31,3 +31,36 @@ def test_stream_matches_batch(spark):
     streamed = sorted(tuple(r) for r in spark.read.parquet(os.path.join(sink, "out")).collect())
     batch = sorted(tuple(r) for r in SCAN.findings(S.entries(df)).collect())
     assert streamed == batch and streamed
+
+
+def test_tree_shards_hold_each_file_once(spark):
+    root = tempfile.mkdtemp(prefix="run-")
+    for i in range(200):
+        os.makedirs(f"{root}/d{i % 7}", exist_ok=True)
+        with open(f"{root}/d{i % 7}/.f{i}", "w") as fh:
+            fh.write(str(i))
+    for splits in (1, 5):
+        df = read_trees(spark, {"b": root, "none": root + "/d0/nowhere"}, splits=splits)
+        assert df.rdd.getNumPartitions() == 2 * splits
+        assert sorted(r.path for r in df.collect()) == sorted(f"d{i % 7}/.f{i}" for i in range(200))
+
+
+def test_tree_stream_takes_up_what_changed(spark):
+    root, sink = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
+
+    def put(name, text):
+        with open(f"{root}/{name}", "w") as fh:
+            fh.write(text)
+
+    def run():
+        q = (stream_trees(spark, {"b": root}, splits=2, settle=0).writeStream.format("parquet").option("path", f"{sink}/out")
+             .option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        return sorted((r.path, bytes(r.content).decode()) for r in spark.read.parquet(f"{sink}/out").collect())
+
+    put(".a", "1")
+    put("b", "1")
+    assert run() == [(".a", "1"), ("b", "1")]
+    put("b", "2")
+    put("c", "1")
+    assert run() == [(".a", "1"), ("b", "1"), ("b", "2"), ("c", "1")]
