@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +86,12 @@ def _merged(old: list[dict] | None, new: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _scan(text: str, windows) -> callable:
+def _scan(text: str, windows, earlier: bool) -> Callable:
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         own = windows.value
         texts = batch.column(text).to_pylist()
-        old = {c: batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts)
-               for c in ("hit_items", "_hit_runs")}
+        # what earlier blocks found; a document's own columns of these names are none of that
+        old = {c: batch.column(c).to_pylist() if earlier else [None] * len(texts) for c in ("hit_items", "_hit_runs")}
         n_words, items, runs, hit_words, spans = [], [], [], [], []
         for first, part in groups(texts):
             words = Words(part, ALNUM)
@@ -128,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], width))
-        out = with_columns(out, _scan(text, windows), f"{FOUND}, _hit_runs array<struct<start:int,end:int>>",
+        out = with_columns(out, _scan(text, windows, k > 0), f"{FOUND}, _hit_runs array<struct<start:int,end:int>>",
                            wanted if k == blocks - 1 else None)
         if k < blocks - 1:
             out = written(out, "decontaminate")

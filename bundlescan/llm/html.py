@@ -10,6 +10,16 @@ A block whose terminals differ by more than all its edges together has the bette
 minimum cut, so it is settled first and its edges go to its neighbours' terminals; maximum flow
 runs on the blocks that are left.
 
+What a wrapper's class or id says is evidence, not a verdict: a word that stands alone or beside words
+of place is strong, one in another compound weak, and notes about the page (``has-sidebar``,
+``no-comments``, ``tags-page``) say nothing. A wrapper or form that holds most of the page's text, and
+the page's article if it has one, is no boilerplate; article and main begin anew unless they are
+comments or lie in a nav, aside or footer.
+
+Reading a page takes time in proportion to its length: a page with a tag that no ``>`` ends is read
+on as text, one with a quote that nothing ends without regard to quotes from there. An end tag whose
+element is more than REACH levels up is left out.
+
 Defined results: a null, empty or text-free page gives an empty text. Character references are
 decoded, white space inside a block becomes one space, and content blocks are joined by one line
 feed. Columns that clash with ``text_out`` give way.
@@ -18,7 +28,7 @@ feed. Columns that clash with ``text_out`` give way.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 from math import exp, log1p
 
@@ -48,49 +58,115 @@ BOILER_WORD = frozenset("ad ads adv sponsor sponsored nav navbar navigation menu
                         "hidden".split())
 BOILER_PREFIX = ("advert", "sponsor", "comment", "cookie", "breadcrumb", "newsletter", "sidebar")
 CONTENT_WORD = frozenset("article content post entry story body main text".split())
+COMMENT_WORD = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words of place and shape beside a boilerplate word; words that make a name a note about the page.
+PLACE_WORD = frozenset("site page global top bottom left right main container wrapper wrap area box list bar block section inner outer primary "
+                       "secondary item items group links link posts col column row panel module region zone slot unit content".split())
+NOTE_FIRST = frozenset("has no with without is not single hide show enable disable".split())
+NOTE_LAST = frozenset("page layout template view archive single theme enabled disabled".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""(?>[^>"']|"[^"]*"|'[^']*')*+>""")
+_ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _STRONG = 14.0
+_WEAK = 5.0
 _SMOOTH = 1.5
+REACH = 512
+_HARD = frozenset("nav footer aside menu dialog".split())
+
+
+def evidence(names: str) -> tuple[float, bool, bool]:
+    """(cost, whether it speaks of comments, whether it speaks of content) of a class or id."""
+    cost, comments, content = 0.0, False, False
+    for name in names.split():
+        parts = [w.lower() for w in _NAME.findall(name)]
+        if not parts or len(parts) > 1 and (parts[0] in NOTE_FIRST or parts[-1] in NOTE_LAST):
+            continue
+        bad = [w for w in parts if w in BOILER_WORD or w.startswith(BOILER_PREFIX)]
+        good = [w for w in parts if w in CONTENT_WORD]
+        if not bad:
+            content = content or bool(good)
+        elif bad == ["header"] and good and parts[0] in CONTENT_WORD - {"main", "content"}:
+            cost = max(cost, 1.0)  # an article's own header
+        else:
+            rest = [w for w in parts if w not in bad and not w.isdigit()]
+            cost = max(cost, _STRONG if all(w in PLACE_WORD for w in rest) else _WEAK)
+            comments = comments or any(w in COMMENT_WORD or w.startswith("comment") for w in bad)
+    return cost, comments, content
 
 
 class Element:
-    """An open element: what it adds to the score of the blocks in it."""
+    """An open element and what it says about the blocks in it."""
 
-    __slots__ = ("article", "depth", "hidden", "link", "parent", "score", "tag")
+    __slots__ = ("article", "block", "chars", "comments", "cost", "depth", "gain", "hard", "hidden", "holds_article", "link", "main", "parent", "score",
+                 "starts_article", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.score = parent.score if parent else 0.0
-        self.article = (parent.article if parent else False) or tag in ("article", "main")
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.chars, self.cost, self.gain, self.score = 0, 0.0, 0.0, 0.0
+        self.comments = parent.comments if parent else False
+        self.hard = (parent.hard if parent else False) or tag in _HARD
         self.hidden = (parent.hidden if parent else False) or tag in HIDDEN
         self.link = (parent.link if parent else False) or tag == "a"
+        self.main = tag == "main"
+        self.starts_article = tag in ("article", "main")
         if tag in BOILER_TAG:
-            self.score -= _STRONG
-        elif tag == "header":
-            self.score -= 1.0 if self.article else _STRONG
+            self.cost = _STRONG
         if attributes and tag not in ("html", "body"):
             for m in _ATTR.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _NAME.findall(value)} | {w.lower() for w in value.split()}
-                    if tag not in ("article", "main") and (words & BOILER_WORD or any(w.startswith(BOILER_PREFIX) for w in words)):
-                        self.score -= _STRONG
-                    elif words & CONTENT_WORD:
-                        self.score += 1.5
+                    cost, comments, content = evidence(value)
+                    self.cost = max(self.cost, cost)
+                    self.comments = self.comments or comments
+                    self.gain = max(self.gain, 1.5 * content)
                 elif name == "role":
                     if value.lower() in BOILER_ROLE:
-                        self.score -= _STRONG
+                        self.cost, self.hard = _STRONG, self.hard or value.lower() != "form"
                     elif value.lower() in ("main", "article"):
-                        self.article = True
+                        self.starts_article, self.main = True, self.main or value.lower() == "main"
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     self.hidden = True
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.hidden = True
+        # a comment may be an article of its own, and so may a card in an aside
+        self.starts_article = self.starts_article and not self.comments and not self.hard
+        self.article = (parent.article if parent else False) or self.starts_article
+        self.main = self.main and self.starts_article
+        self.holds_article = False
+
+
+def weigh(elements: list[Element]) -> None:
+    """Scores of elements, in the order in which they were opened, from what they and those around
+    them say and from the share of the page's text that they hold."""
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.chars += e.chars
+    total = elements[0].chars
+    # articles are the page's if they hold much of it, one or all together; else they are cards
+    inside = sum(e.chars for e in elements if e.starts_article and not e.parent.article)
+    for e in elements:
+        e.starts_article = e.starts_article and (e.main or 4 * e.chars >= total or 2 * inside >= total)
+        e.article = e.starts_article or (e.parent is not None and e.parent.article)
+        if e.tag == "header":
+            e.cost = 1.0 if e.article or e.cost == 1.0 else _STRONG
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.holds_article |= e.holds_article or e.starts_article
+    any_article = elements[0].holds_article
+    for e in elements:
+        cost = e.cost
+        most = 2 * e.chars > total
+        if cost and most and not e.hard and not e.comments and (e.holds_article or e.starts_article or not any_article):
+            cost = 0.0
+        base = e.parent.score if e.parent else 0.0
+        if e.starts_article and (base > -_STRONG or e.main or most):
+            base = max(base, 0.0)
+        e.score = base - cost + (e.gain if not cost else 0.0)
 
 
 class Block:
@@ -104,6 +180,7 @@ def blocks(page: str) -> list[Block]:
     """The visible text blocks of a page, in order."""
     out: list[Block] = []
     top = here = Element("", "", None)
+    elements, opened = [top], Counter()
     parts: list[str] = []
     link = 0
 
@@ -112,23 +189,25 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                at = here
-                while at.parent and at.tag not in BLOCK:
-                    at = at.parent
-                out.append(Block(text, link, at))
+                out.append(Block(text, link, here.block))
+                here.block.chars += len(text)
             parts.clear()
         link = 0
 
     def close(tags: set[str], limit: set[str]) -> None:
         """End the innermost open element of these tags, with all in it, unless a limit is nearer."""
         nonlocal here
-        at = here
+        if not any(opened[t] for t in tags):
+            return
+        at, steps = here, 0
         while at.parent and at.tag not in tags:
-            if at.tag in limit:
+            if at.tag in limit or steps == REACH:
                 return
-            at = at.parent
+            at, steps = at.parent, steps + 1
         if at.parent:
-            here = at.parent
+            while here is not at.parent:
+                opened[here.tag] -= 1
+                here = here.parent
 
     def say(text: str) -> None:
         nonlocal link
@@ -138,15 +217,33 @@ def blocks(page: str) -> list[Block]:
             if here.link:
                 link += len(text)
 
-    at, n = 0, len(page)
+    at, n, quotes = 0, len(page), True
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             say(page[at:])
             break
-        say(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        if page.startswith("<!--", start):
+            say(page[at:start])
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        m = _TAG.match(page, start + 1)
+        if m is None and page[start + 1:start + 2] not in ("!", "?", "/"):
+            say(page[at:start + 1])
+            at = start + 1
+            continue
+        end = page.find(">", start + 1)
+        if end < 0:  # no tag ends any more
+            say(page[at:])
+            break
+        if m is not None and quotes:
+            whole = _QUOTED.match(page, m.end())
+            quotes = whole is not None
+            end = whole.end() - 1 if whole else end
+        say(page[at:start])
+        at = end + 1
+        if m is None:
             continue
         tag = m[2].lower()
         if tag in BLOCK:
@@ -166,13 +263,18 @@ def blocks(page: str) -> list[Block]:
             close(*ENDS_AT[tag])
         raw = _RAW_END.get(tag)
         if raw is not None:
-            end = raw.search(page, at)
-            at = end.end() if end else n
+            found = raw.search(page, at)
+            end = page.find(">", found.end()) if found else -1
+            at = end + 1 if end >= 0 else n
             continue
         if tag == "body":
             here = top
-        here = Element(tag, m[3], here)
+            opened.clear()
+        here = Element(tag, page[m.end():end], here)
+        elements.append(here)
+        opened[tag] += 1
     flush()
+    weigh(elements)
     return out
 
 
@@ -184,7 +286,7 @@ def score(block: Block, has_article: bool) -> float:
     s += 1.0 if block.text[-1] in ".!?…\"”»'" else 0.0
     s += 1.5 if tag in ("p", "blockquote", "pre") else 1.0 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
     s += 0.6 if tag in ("li", "dd", "td") and not block.link else 0.0
-    s -= 5.0 * min(1.0, block.link / len(block.text)) * (0.3 if e.article and words > 3 and tag == "p" else 1.0)
+    s -= 5.0 * min(1.0, block.link / len(block.text)) * (0.3 if e.article else 1.0)
     s += 3.0 if e.article else -5.0 if has_article else 0.0
     return s
 
@@ -244,9 +346,9 @@ def _max_flow(nodes: list[int], prefer: list[float], near: list[dict[int, float]
 
 
 def _between(a: Element, b: Element) -> int:
-    """Elements on the way from one to the other."""
+    """Elements on the way from one to the other, 64 at most."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < 64:
         if a.depth >= b.depth:
             a = a.parent
         else:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +131,36 @@ def test_main_text(wrap):
     assert html.main_text(PAGE % wrap) == TEXT
 
 
+WORDS = "<p>" + " ".join(["word"] * 60) + ".</p>"
+BODY = ("<header class='entry-header'><h1>The title</h1></header>" + WORDS + "<p>Short <a href='x'>one</a>.</p>" + WORDS)
+ROUND = """<html><body><nav><a href='x'>Home</a></nav>%s<div class='sidebar'><p>Side text that goes on and on and on.</p></div>
+<div class='related-posts'><article><p>Another text that one could read now.</p></article></div>
+<div class='comments'><article class='comment'><p>I like this text a lot, really a lot.</p></article></div><footer>c</footer></body></html>"""
+
+
+@pytest.mark.parametrize("wrap", [
+    "<div class='layout has-sidebar'><article>%s</article></div>", "<div class='page no-comments'><main>%s</main></div>",
+    "<div id='main-search-results'><article>%s</article></div>", "<div class='tags-page'><main>%s</main></div>",
+    "<div class='post single-post related-post'>%s</div>", "<form id='aspnetForm'><div class='content'>%s</div></form>",
+    "<div class='with-nav not-hidden'><div role='main'>%s</div></div>", "<form><article>%s</article></form>"])
+def test_wrappers_do_not_empty_an_article(wrap):
+    got = html.main_text(ROUND % (wrap % BODY)).split("\n")
+    assert got == ["The title", " ".join(["word"] * 60) + ".", "Short one.", " ".join(["word"] * 60) + "."]
+
+
+def test_linked_items_of_an_article_stay():
+    got = html.main_text("<article><h2>List</h2>" + WORDS + "<ul><li><a href='a'>first thing</a></li><li><a href='b'>second</a></li></ul></article>").split("\n")
+    assert got[2:] == ["first thing", "second"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\"", "</script", "<script", "<!-", "<b>", "<", "<i><div><b></i>", "<p>x</i>", "&", "<td><tr>"])
+def test_broken_pages_take_linear_time(piece):
+    for tail in ("", '">"', ">"):
+        start = time.time()
+        html.main_text("<b>" * 2000 + piece * (10**6 // len(piece)) + tail)
+        assert time.time() - start < 8  # a quadratic reading takes hours
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>One.<p>Two <!-- open"), (4, "u", '<div "a'), (None, "u", "<script>x"), (5, "u", "&amp;&bogus;")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(3))

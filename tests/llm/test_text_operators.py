@@ -158,8 +158,33 @@ def test_line_dedup_is_brute_force(spark, batches, fanout):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_columns_named_like_findings_are_not_findings(spark):
+    docs = spark.createDataFrame([(1, "clean words only", ["a", "b"], [7])], "doc_id int, text string, hit_items array<string>, hit_words array<int>")
+    items = spark.createDataFrame([("a", "other words of an item")], "item_id string, text string")
+    r = decontaminate.verdict(decontaminate.scan(docs, items)).first()
+    assert r.hit_items == [] and r.n_hit == 0 and not r.contaminated
+
+
 # ---------------------------------------------------------------- substrings
 
+def test_lines_that_differ_in_signs_stay(spark):
+    texts = {1: "if (a < b) { return values[index + 1]; } // and so on, to the line's end", 2: "if (a > b) { return values[index - 1]; } // and so on, to the line's end",
+             3: "it was -5.0 degrees on that day, which is little for the season", 4: "it was 5.0 degrees on that day, which is little for the season",
+             5: "हिन्दी में यह एक लम्बी पंक्ति है जो दो बार नहीं आती, की", 6: "हिन्दी में यह एक लम्बी पंक्ति है जो दो बार नहीं आती, के"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    assert {r.doc_id: r.text for r in substrings.dedup(df).collect()} == texts
+    again = df.unionByName(spark.createDataFrame([(7, "IT was  -5.0 degrees on that day,\twhich is little for the season")], "doc_id int, text string"))
+    assert {r.doc_id: r.text for r in substrings.dedup(again).collect()} == texts | {7: ""}
+
+
+def test_texts_of_one_id_are_cut_apart(spark):
+    line = "a line of more than forty characters that stands in two documents"
+    rows = [(1, line), (2, f"before\n{line}"), (2, "A wholly different second text, which has no repeated line in it at all"), (2, f"before\n{line}")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, _spans string")
+    got = sorted((r.doc_id, r.text, r._spans) for r in substrings.dedup(df).collect())
+    assert got == sorted([(1, line, "x"), (2, "before\n", "x"), (2, rows[2][1], "x"), (2, "before\n", "x")])
+
+
 def test_substring_dedup_keeps_the_earliest(spark):
     passage = " ".join(f"Sentence {i} has quite some words in it." for i in range(9))
     rnd = random.Random(2)
