@@ -30,10 +30,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, once."""
-    kept = (jaccard.similar_groups(docs).filter(F.col("doc_id") == F.col("component_id"))
+    """One document of each group of near copies -- five words, similarity 0.8 --, the one with the
+    smallest id. Rows that repeat an id and its text are one; an id's rows with other texts all stay
+    or go with it. The copies are found where the join has put them, without another exchange."""
+    kept = (jaccard.similar_groups(docs, n=5, percent=80).filter(F.col("doc_id") == F.col("component_id"))
             .select("doc_id").distinct())
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
