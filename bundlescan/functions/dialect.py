@@ -256,12 +256,18 @@ def _split_top(toks):
 
 
 def _literal_group(toks) -> list[str] | None:
-    """Alternatives of a group whose every branch is a plain literal (``\\b`` ignored)."""
+    """What every match of a group holds one of: its branches, where they are plain literals (``\\b``
+    ignored), else the best literal of each branch; None if some branch has none."""
     inner = toks[1:-1]
     if inner[:2] == [("?", False), (":", False)]:
         inner = inner[2:]
     elif inner and inner[0] == ("?", False):
         return None
+    lits = _plain_branches(inner)
+    return lits if lits is not None else _alternatives(inner)
+
+
+def _plain_branches(inner) -> list[str] | None:
     lits = []
     for alt in _split_top(inner):
         chars = []
@@ -305,8 +311,10 @@ def _best_run(toks) -> tuple[str, list[str] | None]:
                         break
                 j += 1
             after = toks[j + 1][0] if j + 1 < len(toks) and not toks[j + 1][1] else ""
-            if after not in ("?", "*", "{") and group is None:
-                group = _literal_group(toks[i:j + 1])
+            if after not in ("?", "*", "{"):
+                found = _literal_group(toks[i:j + 1])
+                if found and (group is None or min(map(len, found)) > min(map(len, group))):
+                    group = found  # the one whose shortest literal is longest
             best, run = max(best, run, key=len), ""
             i = j + 1
             continue
@@ -327,11 +335,10 @@ def _best_run(toks) -> tuple[str, list[str] | None]:
     return max(best, run, key=len), group
 
 
-def required_literals(pattern: str, max_alternatives: int = 12) -> list[str] | None:
-    """Literals of which every match contains at least one (a run or a literal group per
-    top-level alternative), or None when some alternative has none."""
+def _alternatives(toks) -> list[str] | None:
+    """For each top-level alternative, a literal (or those of a group) of which every match holds one."""
     out = []
-    for alt in _split_top(_tokens(pattern)):
+    for alt in _split_top(toks):
         run, group = _best_run(alt)
         # prefer the run when it is long or made of punctuation (rare in prose, e.g. '$')
         score = len(run) + (2 if run and not any(c.isalnum() for c in run) else 0)
@@ -341,5 +348,12 @@ def required_literals(pattern: str, max_alternatives: int = 12) -> list[str] | N
             out.extend(group)
         else:
             return None
-    out = sorted(set(out))
-    return out if len(out) <= max_alternatives else None
+    return out
+
+
+def required_literals(pattern: str, max_alternatives: int = 20) -> list[str] | None:
+    """Literals of which every match contains at least one (a run or a literal group per
+    top-level alternative), or None when some alternative has none."""
+    out = _alternatives(_tokens(pattern))
+    out = out and sorted(set(out))
+    return out if out and len(out) <= max_alternatives else None

@@ -1,9 +1,9 @@
-"""Required-literal prefilters: ``instr`` byte searches in front of regexes.
+"""Required-literal prefilters: ``contains`` byte searches in front of regexes.
 
 A regex can only match a text that contains one of its required literals
-(``dialect.required_literals``); ``instr`` finds a literal far faster than
-java.util.regex tries a pattern at every position, so texts that lack them skip the
-regex entirely. Case-insensitive rules search a folded copy of the text
+(``dialect.required_literals``). ``contains`` compares bytes where they lie, while each regex first
+decodes the whole text into a Java string, so texts that lack the literals skip the regex
+entirely. (``instr`` steps from character to character and costs several times as much.) Case-insensitive rules search a folded copy of the text
 (``lower(translate(text, 'ſıİK', 'sIIk'))``): those four characters are the only ones whose
 simple case mapping lands on an ASCII letter, so the folded search never misses a text
 the Unicode case-insensitive regex would match.
@@ -11,44 +11,39 @@ the Unicode case-insensitive regex would match.
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import FOLD_FROM, FOLD_TO, linear_forms, required_literals, to_java
+from .dialect import FOLD_FROM, FOLD_TO, required_literals
 
 
 ENABLED = True  # switch for A/B measurements
 
 
 def folded(text: Column) -> Column:
-    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
+    ascii_only = F.octet_length(text) == F.length(text)  # none of the four is ASCII
+    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)))
 
 
-MIN_LITERAL = 4
+MIN_LITERAL = 3
 
 
 def _distinctive(lit: str) -> bool:
-    """Worth a byte search: long enough, or made of punctuation that prose rarely holds
-    (``@``, ``://``, ``$``) — not common separators."""
-    if len(lit) >= MIN_LITERAL:
+    """Worth a byte search: long enough, or with a sign or digit in it, or made of punctuation that
+    prose rarely holds (``@``, ``://``, ``$``) — not common separators."""
+    if len(lit) >= MIN_LITERAL or len(lit) == 2 and not lit.isalpha():
         return True
     return not any(c.isalnum() for c in lit) and not set(lit) <= set(" .,;:-_'\"()")
 
 
 @lru_cache(maxsize=None)
 def _lits(pattern: str, ignore_case: bool) -> tuple[str, ...] | None:
-    """Literals worth a prefilter: all of them distinctive (>= 4 characters), and the regex
-    itself unable to search fast — java.util.regex already uses Boyer-Moore when a
-    case-sensitive pattern starts with a literal, so those get no prefilter (but the ones searched
-    by their linear form do, which starts at the line)."""
+    """Literals worth a prefilter: all of them distinctive."""
     lits = required_literals(pattern)
     if not lits or not all(_distinctive(x) for x in lits):
         return None
-    if not ignore_case and not linear_forms(pattern) and re.match(r"[A-Za-z0-9_/~]", to_java(pattern)[len("(?d)"):]):
-        return None
     return tuple(sorted({x.lower() for x in lits})) if ignore_case else tuple(lits)
 
 
@@ -60,8 +55,8 @@ def may_match(text: Column, fold: Column | None, pattern: str, ignore_case: bool
     src = fold if ignore_case else text
     if src is None:
         src = folded(text)
-    cond = None
-    for lit in lits:
-        c = F.instr(src, lit) > 0
-        cond = c if cond is None else (cond | c)
-    return cond
+    return any_of(src, lits)
+
+
+def any_of(text: Column, literals) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])

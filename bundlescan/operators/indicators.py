@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.dialect import to_java
 from ..functions.linear import form
-from ..functions.prefilter import folded, may_match
+from ..functions.prefilter import any_of, folded, may_match
 
 KEEP = ["bundle_id", "path"]
 
@@ -45,15 +45,22 @@ def is_script(suffix: Column) -> Column:
 # ------------------------------------------------------------------ redaction (§2.9)
 
 def redact(col: Column) -> Column:
-    """Nine secret shapes, in order, each replaced by ``[REDACTED:<label>]``. (No literal
-    prefilter here: each step would reference the previous one three times and the
-    expression tree would grow geometrically.)"""
+    """Nine secret shapes, in order, each replaced by ``[REDACTED:<label>]``. A shape's pattern runs only
+    on texts that hold one of its literals; a lambda over an array of one binds the text of the step
+    before, which is named three times, so that the expression does not grow with each step."""
     for pattern, label, ic in rules.SECRET_SHAPES:
         search = form(pattern, ic)
-        col = F.regexp_replace(col, search.java, search.replacement(label))
+        col = _redacted(col, pattern, ic, search.java, search.replacement(label))
     return col
 
 
+def _redacted(col: Column, pattern: str, ignore_case: bool, java: str, replacement: str) -> Column:
+    def step(text: Column) -> Column:
+        return F.when(may_match(text, None, pattern, ignore_case), F.regexp_replace(text, java, replacement)).otherwise(text)
+
+    return F.transform(F.array(col), step)[0]
+
+
 def secret_counts(text: Column) -> Column:
     """map label -> number of matches of that shape in the (unredacted) text."""
     return F.array(*[F.struct(F.lit(label).alias("label"),
@@ -112,7 +119,7 @@ def base58check_sql(c: str) -> str:
 def crypto_wallets(text: Column, btc_col: str = "_btc") -> Column:
     """eth addresses + bc1 addresses + legacy addresses passing Base58Check. ``btc_col``
     names a column holding :func:`btc_candidates` (SQL lambdas need a named input)."""
-    eth = F.regexp_extract_all(text, _j(rules.ETH_WALLET), F.lit(0))
+    eth = extract_set(text, rules.ETH_WALLET)
     btc_ok = F.expr(f"filter({btc_col}, a -> startswith(a, 'bc1') OR {base58check_sql('a')})")
     return F.sort_array(F.array_union(F.array_distinct(eth), btc_ok))
 
@@ -144,7 +151,7 @@ def sensitive_file_paths(text: Column) -> Column:
     guards = {path: (before, after) for path, before, after in rules.SENSITIVE_PATH_GUARDS}
 
     def there(path: str) -> Column:
-        holds = F.instr(text, path) > 0
+        holds = text.contains(path)
         return holds & text.rlike(to_java(guarded(path, *guards[path]))) if path in guards else holds
 
     return F.sort_array(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in rules.SENSITIVE_PATHS])))
@@ -164,9 +171,10 @@ _ENV_NAMES = r"\b(?:" + "|".join(rules.SENSITIVE_ENV_NAMES) + r")\b"
 
 def env_occurrences(text: Column) -> Column:
     """Every sensitive name occurrence, with its assignment follower when it has one
-    (one regex pass; the follower is an optional greedy group)."""
-    return F.array_distinct(F.regexp_extract_all(
-        text, _j(_ENV_NAMES + "(?:" + rules.ENV_ASSIGN_FOLLOW + ")?"), F.lit(0)))
+    (one regex pass; the follower is an optional greedy group), in texts that hold the end of a name."""
+    found = F.array_distinct(F.regexp_extract_all(text, _j(_ENV_NAMES + "(?:" + rules.ENV_ASSIGN_FOLLOW + ")?"), F.lit(0)))
+    ends = sorted({"_" + name.rsplit("_", 1)[1] for name in rules.SENSITIVE_ENV_NAMES})
+    return F.when(text.isNull(), F.lit(None)).when(any_of(text, ends), found).otherwise(_empty())
 
 
 def _env_name(m: Column) -> Column:

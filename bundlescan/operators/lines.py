@@ -91,7 +91,7 @@ def _get_exec(line: Column) -> Column:
 def matches(text: Column, pattern: str, ignore_case: bool = False, multiline: bool = False) -> Column:
     """Whether a rule matches somewhere in the text (one line, or with multiline any of its lines)."""
     if pattern == _GET_EXEC:  # for a whole file, all its literals will do as a gate
-        return ((F.instr(text, "requests.get(") > 0) & (F.instr(text, ").text") > 0) & (F.instr(text, "exec") > 0)
+        return (text.contains("requests.get(") & text.contains(").text") & text.contains("exec")
                 if multiline else _get_exec(text) != "")
     found = [text.rlike(to_java(p, ignore_case, multiline)) for p in linear_forms(pattern) or [pattern]]
     return reduce(lambda a, b: a | b, found)
