@@ -113,6 +113,54 @@ def test_language_odd_inputs(spark):
     assert language.predict(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def brute_set(text):
+    plain = "".join(c if c.isalpha() else " " for c in text.lower())
+    plain = " " + " ".join(plain.split()) + " "
+    return {plain[i:i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+
+def test_kernel_and_machines_against_dictionaries(monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 3)
+    random.seed(8)
+    scripts = {"a": "abcdeé", "b": "абвгде", "c": "".join(map(chr, range(0x4e00, 0x4e00 + 1500)))}
+    texts, langs = [], []
+    for k in range(36):
+        lang = "abc"[k % 3]
+        texts.append(" ".join("".join(random.choices(scripts[lang] + "xyz", k=random.randint(1, 6))) for _ in range(30)) + "  12, !")
+        langs.append(lang)
+    for table, piece in ((1 << 24, 1 << 19), (0, 7)):
+        monkeypatch.setattr(language, "_TABLE", table)
+        monkeypatch.setattr(language, "_PIECE", piece)
+        model = language.Model(texts, langs, 9, 1e-2)
+        marks = [texts[i] for lang in "abc" for i in [j for j, x in enumerate(langs) if x == lang][:3]]
+        used = set().union(*map(brute_set, marks))
+        odd = ["", "a", "é  б", "!!", texts[0] + texts[1], texts[2].upper()]
+        want = [[len(brute_set(t) & brute_set(m)) / ((max(1, len(brute_set(t) & used)) * len(brute_set(m))) ** 0.5) for m in marks] for t in texts + odd]
+        assert np.allclose(model.kernel(texts + odd), want, atol=1e-5)
+        # ridge on the Nyström map, each language weighing the same, by a plain least-squares solver
+        k = np.array(want[:len(texts)])
+        value, vector = np.linalg.eigh(np.array([[len(brute_set(a) & brute_set(b)) / (len(brute_set(a)) * len(brute_set(b))) ** 0.5 for a in marks] for b in marks]))
+        root = vector / np.sqrt(value)
+        x, y = k @ root, np.where(np.array(langs)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+        share = np.full(len(texts), 1 / len(texts))[:, None]
+        mx, my = (share * x).sum(0), (share * y).sum(0)
+        left = np.concatenate([np.sqrt(share) * (x - mx), np.sqrt(1e-2) * np.eye(x.shape[1])])
+        w = np.linalg.lstsq(left, np.concatenate([np.sqrt(share) * (y - my), np.zeros((x.shape[1], 3))]), rcond=None)[0]
+        assert np.allclose(model.kernel(texts) @ model.weights + model.constant, (x - mx) @ w + my, atol=1e-3)
+        assert model.predict(texts)[0] == langs
+
+
+def test_every_language_and_script_is_learned(spark):
+    random.seed(9)
+    words = {f"l{k}": ["".join(map(chr, random.sample(range(0x4e00 + 40 * k, 0x4e00 + 40 * k + 40), 3))) for _ in range(30)] for k in range(60)}
+    rows = [(i, " ".join(random.choices(words[f"l{i % 60}"], k=20)), f"l{i % 60}") for i in range(60 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = language.train(docs.filter("doc_id % 2 = 0 or doc_id >= 360"), F.lit(True))
+    assert len(model.langs) == 60
+    out = language.predict(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
+
+
 # ---------------------------------------------------------------- main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
