@@ -27,6 +27,7 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -355,6 +356,101 @@ def listing_status(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return sums.select("bundle_id", "path", "depth", status.alias("status"), "n_members", "declared_bytes")
 
 
+# ------------------------------------------------------------------ archives on a file system
+
+INDEX = "bundle_id string, path string, file string, status string, member string, at bigint, stored bigint, size_bytes bigint, archive_sha256 string"
+
+
+def _index(bundle: str, path: str, file: str, limits: Limits) -> Iterator[tuple]:
+    """A row an archive, with its status, and a row a member, with where its bytes lie: read from the
+    central directory of a zip or by seeking from header to header of a plain tar."""
+    head = bundle, path, file
+    try:
+        with open(file, "rb") as data:
+            own = hashlib.file_digest(data, "sha256").hexdigest()
+            data.seek(0)
+            members: dict[str, tuple[int, int, int]] = {}
+            if _longest_ext(path.rsplit("/", 1)[-1]) == ".zip":
+                with zipfile.ZipFile(data) as zf:
+                    infos = zf.infolist()
+                    names = [(i.filename, i.header_offset, i.compress_size, i.file_size, i.is_dir()) for i in infos]
+                    escapes = any(not (posixpath.normpath(posixpath.join(_FAKE_DEST, n[0])) + "/").startswith(_FAKE_DEST + "/") for n in names)
+                    names = [("/".join(p for p in n[0].split("/") if p not in ("", ".", "..")), *n[1:]) for n in names]
+            else:
+                with tarfile.open(fileobj=data, mode="r:") as tf:
+                    infos = tf.getmembers()
+                    escapes = any(_tar_escapes(m) for m in infos)
+                    if any(m.islnk() for m in infos):
+                        raise ValueError("links are left to expand_archives")
+                    names = [(posixpath.normpath(m.name), m.offset_data, m.size, m.size, not m.isfile()) for m in infos]
+            refused = limits.refuses(len(names), sum(n[3] for n in names if not n[4]))
+            status = refused or ("escape" if escapes else "ok")
+            folders = {n[0] for n in names if n[4]}
+            for name, at, stored, size, other in names:
+                if name and not other:
+                    members[name] = (at, stored, size)
+                    parent = name
+                    while parent := posixpath.dirname(parent):
+                        folders.add(parent)
+            if status == "ok" and folders & set(members):
+                status = "corrupt"
+    except Exception:  # noqa: BLE001 - a broken archive is a status, never a job failure
+        yield (*head, "corrupt", None, None, None, None, None)
+        return
+    yield (*head, status, None, None, None, None, own)
+    if status == "ok":
+        yield from ((*head, None, name, at, stored, size, own) for name, (at, stored, size) in sorted(members.items()))
+
+
+def member_index(paths: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """paths(bundle_id, path, file): zips and plain tars on a file system that all executors see ->
+    a row an archive, with its status, and a row a member, with its place in the file."""
+    ship_package(paths.sparkSession)
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                rows = iter(_index(row.bundle_id, row.path, row.file, limits))
+                while held := list(islice(rows, 50_000)):
+                    yield pd.DataFrame(held, columns=columns).astype({"at": "Int64", "stored": "Int64", "size_bytes": "Int64"})
+
+    return paths.select("bundle_id", "path", "file").mapInPandas(fn, INDEX)
+
+
+def read_members(index: DataFrame, tasks: int) -> DataFrame:
+    """files(bundle_id, path, content, extracted_from, depth, parent_path) of the members of an index. The
+    members of all archives are dealt over the tasks by their place, so one archive that holds nearly
+    all of them is read by many tasks, each of which seeks to its own members."""
+    members = index.where(F.col("member").isNotNull())
+    dealt = members.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at")
+    columns = [c.split()[0] for c in MEMBER.split(", ")]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened, data, zf, places = None, None, None, {}
+        held, size = [], 0
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if row.file != opened:
+                    opened, data = row.file, open(row.file, "rb")  # noqa: SIM115 - kept for the next members
+                    zf = zipfile.ZipFile(data) if _longest_ext(row.path.rsplit("/", 1)[-1]) == ".zip" else None
+                    places = {i.header_offset: i for i in zf.infolist()} if zf else {}
+                if zf:
+                    content = zf.read(places[row.at])
+                else:
+                    data.seek(row.at)
+                    content = data.read(row.stored)
+                held.append((row.bundle_id, row.member, content, row.archive_sha256, 1, row.path))
+                size += len(content)
+                if size >= _FRAME_BYTES:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    return dealt.mapInPandas(fn, MEMBER)
+
+
 def archive_lineage(expanded: DataFrame) -> DataFrame:
     """(bundle_id, path, depth, parent_path): each member with the archive it came from; a member of
     two equal archives has a row for either."""

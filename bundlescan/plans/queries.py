@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import lines
 from ..functions.dialect import sql_str, to_re2
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources.corpus import corpus_sql, scan_text, text_source
 from . import oracle_lines as OL
 
@@ -654,3 +654,20 @@ SELECT split_part(doc_id, chr(1), 1) AS bundle_id, split_part(doc_id, chr(1), 2)
 def q_embed_files(spark, sf):
     """A vector for each text file of each bundle."""
     return CH.embed_files(_entries(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+def _seek_sql():
+    return f"""WITH {FIX.uploads_sql()},
+n AS (SELECT CAST(regexp_extract(bundle_id, '_([0-9]+)', 1) AS INTEGER) AS g, path, content FROM files
+      UNION ALL SELECT g, 'notes.txt', encode('loose') FROM ups WHERE g % 3 = 0)
+SELECT 'up' || CAST(g % 5 AS VARCHAR) AS bundle_id, 'upload_' || CAST(g AS VARCHAR) || '.zip' AS parent_path,
+  CASE WHEN g % 3 = 0 AND path <> 'notes.txt' THEN 'skill-' || CAST(g AS VARCHAR) || '/' ELSE '' END || path AS path,
+  CAST(octet_length(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM n"""
+
+
+@register("archive_seek", _seek_sql)
+def q_archive_seek(spark, sf):
+    """Members of zips on a file system, read by many tasks that seek to them."""
+    index = written(ARC.member_index(FIX.upload_paths(spark, sf)), "member-index")
+    members = ARC.read_members(index, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return members.select("bundle_id", "parent_path", "path", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

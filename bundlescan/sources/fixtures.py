@@ -388,19 +388,22 @@ members AS (SELECT bundle_id, path, content, CAST(NULL AS VARCHAR) AS extracted_
 
 # ------------------------------------------------------------------ trees
 
-def document_trees(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Folders below the shared one, which must be mounted on every node: {bundle: root} with a root
-    for each source and ``all``, whose files are more than any other's. Tasks write the files."""
-    import os
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which must be mounted on every node."""
     import uuid
     from urllib.parse import unquote, urlparse
 
-    import pandas as pd
-
     url = urlparse(ensure_checkpoint_dir(spark))
     if url.scheme not in ("", "file"):
-        raise ValueError("trees need a shared folder that is mounted on every node")
-    top = f"{unquote(url.path).rstrip('/')}/trees-{uuid.uuid4().hex}"
+        raise ValueError(f"{name} need a shared folder that is mounted on every node")
+    return f"{unquote(url.path).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _put_files(rows: DataFrame, top: str) -> None:
+    """Write rows (path, content) as files below top, from the tasks."""
+    import os
+
+    import pandas as pd
 
     def put(batches):
         for pdf in batches:
@@ -410,12 +413,28 @@ def document_trees(spark: SparkSession, sf_dir: str) -> dict[str, str]:
                     out.write(content)
             yield pd.DataFrame({"n": [len(pdf)]})
 
+    rows.select("path", "content").mapInPandas(put, "n bigint").agg(F.sum("n")).collect()
+
+
+def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bundle_id, path, file): the uploads, written as files by the tasks."""
+    from ..session import written
+    top = _shared_folder(spark, "uploads")
+    files = written(upload_files(spark, sf_dir), "uploads").withColumn("name", F.concat("bundle_id", F.lit("/"), "path"))
+    _put_files(files.select(F.col("name").alias("path"), "content"), top)
+    return files.select("bundle_id", "path", F.concat(F.lit(f"{top}/"), "name").alias("file"))
+
+
+def document_trees(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Folders below the shared one, which must be mounted on every node: {bundle: root} with a root
+    for each source and ``all``, whose files are more than any other's. Tasks write the files."""
+    top = _shared_folder(spark, "trees")
     i, source = F.col("doc_id").cast("string"), F.col("source")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hidden = F.when(F.col("doc_id") % 3 == 0, ".").otherwise("")
     rows = docs.select(F.concat(source, F.lit("/d"), (F.col("doc_id") % 10).cast("string"), F.lit("/"), hidden, F.lit("doc_"), i, F.lit(".txt")).alias("path"),
                        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     rows = rows.unionByName(docs.select(F.concat(F.lit("all/"), source, F.lit("/_"), i).alias("path"), F.encode(source, "UTF-8").alias("content")))
-    rows.mapInPandas(put, "n bigint").agg(F.sum("n")).collect()
+    _put_files(rows, top)
     sources = [r[0] for r in docs.select("source").distinct().toLocalIterator()]
     return {x: f"{top}/{x}" for x in [*sources, "all"]}

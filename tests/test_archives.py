@@ -5,6 +5,7 @@ import tarfile
 import zipfile
 
 from bundlescan.operators import archives as A
+from pyspark.sql import functions as F
 from bundlescan.sources.fixtures import _tar_bytes, _zip_bytes
 
 
@@ -139,6 +140,26 @@ def test_one_pass_gives_members_and_statuses(spark):
     assert sorted(A.with_members(f, un).collect(), key=key) == sorted(A.expand_archives(f).collect(), key=key)
 
 
+def test_seeking_reads_what_unpacking_reads(spark, tmp_path):
+    """One zip of many members is read by many tasks; statuses and members are those of the other way."""
+    from bundlescan.sources.fixtures import _tar_bytes
+    cases = {"many.zip": _zip_bytes([(f"d/f{i}.txt", str(i).encode() * 50) for i in range(800)]), "twice.zip": _zip_bytes([("a", b"1"), ("./a", b"2")]),
+             "x.tar": _tar_bytes([("b/c", b"in a tar")]), "cut.zip": _zip_bytes([("a", b"x" * 99)])[:60], "out.zip": _zip_bytes([("../a", b"x")]),
+             "both.zip": _zip_bytes([("a", b"x"), ("a/b", b"y")])}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([("b", n, str(tmp_path / n)) for n in cases], "bundle_id string, path string, file string")
+    index = A.member_index(paths)
+    f = files_df(spark, list(cases.items()))
+    assert {(r.path, r.status) for r in index.where("status is not null").collect()} == {(r.path, r.status) for r in A.archive_status(f).collect()}
+    found = A.read_members(index, 8)
+    want = A.expand_archives(f).where("depth = 1")
+    key = lambda r: repr(tuple(r))
+    assert sorted(found.collect(), key=key) == sorted(want.collect(), key=key)
+    sizes = found.where("parent_path = 'many.zip'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) <= 250
+
+
 def test_workers_need_not_have_the_package(tmp_path):
     """Started from another folder, with the package on the driver's path alone: Python workers are
     processes of their own and don't inherit that path."""
