@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +65,15 @@ def write_file(path: str, parts: Iterator[bytes]) -> None:
     os.replace(part, path)
 
 
+def release() -> None:
+    """Give back to the system what this worker has freed: workers outlive their tasks, and the next
+    stage's need would come on top of the largest of all before it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def named(df: DataFrame, *wanted: str) -> DataFrame:
     """Only these columns; others, whatever their names, are left out."""
     return df.select(*(F.col(f"`{c}`") for c in wanted))
@@ -81,5 +93,6 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]]
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + make(batch), names)
+        release()
 
     return df.mapInArrow(stage, out)

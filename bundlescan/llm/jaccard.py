@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundlescan.llm.common import prepare, written
+from bundlescan.llm.common import prepare, release, written
 from bundlescan.llm.components import components
 from bundlescan.llm.tokens import SPACED, Words, grams, groups
 
@@ -134,6 +134,7 @@ def _postings(docs: DataFrame, n: int, t: Fraction, order: np.ndarray) -> DataFr
                 token, doc, size, pos = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array(pos, pa.int32())],
                                                  ["token", "doc_id", "n", "pos"])
+        release()
 
     return docs.mapInArrow(stage, "token bigint, doc_id bigint, n int, pos int")
 
@@ -165,6 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                     last, left = los[i], next(sets_of([batch.column(2)[i].as_py()], n))
                 out.append((len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right)))
             yield pa.RecordBatch.from_arrays([pa.array(los, pa.int64()), pa.array(his, pa.int64()), *(pa.array(list(c), pa.int64()) for c in zip(*out))], names)
+        release()
 
     return rows.mapInArrow(stage, ", ".join(f"{c} bigint" for c in names))
 

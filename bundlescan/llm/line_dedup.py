@@ -83,9 +83,9 @@ class Runs:
         self.levels[level + 1].append(merged.filter(F.col("n") < self.min_docs))
 
     def finish(self) -> DataFrame:
-        """All runs compacted: (h0, h1, top) of the keys that min_docs documents hold."""
+        """All runs compacted: (h0, h1, n, top) of the keys that min_docs documents hold."""
         runs = [r for level in self.levels for r in level] + ([] if self.settled is None else [self.settled])
-        return self._write(self._merge(runs).filter(F.col("n") >= self.min_docs).select(*KEY, "top"))
+        return self._write(self._merge(runs).filter(F.col("n") >= self.min_docs).select(*KEY, "n", "top"))
 
     def _settle(self, run: DataFrame) -> None:
         self.settled = run if self.settled is None else self.settled.unionByName(run)
@@ -103,7 +103,7 @@ class Runs:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """(h0, h1, top): keys in at least min_docs documents, with the largest id."""
+    """(h0, h1, n, top): keys in at least min_docs documents, with their number and the largest id."""
     edges = lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
     edges = sorted(set(edges))
     runs = Runs(min_docs, fanout)
@@ -124,7 +124,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     prepare(docs.sparkSession)
     lines = written(line_hashes(docs, doc_id, text, min_chars), "lines")
     keys = repeated_keys(lines, min_docs, batches, fanout)
-    drop = (lines.join(keys, KEY).filter(F.col("doc_id") < F.col("top"))
+    # keys that each hold a thousandth of all lines are a thousand at most: they go to the lines, not
+    # the lines to them
+    often = F.col("n") >= F.lit(lines.count() / 1000)
+    hot = F.broadcast(keys.filter(often))
+    found = (lines.join(hot, KEY).unionByName(lines.join(hot.select(*KEY), KEY, "left_anti").join(keys.filter(~often), KEY)))
+    drop = (found.filter(F.col("doc_id") < F.col("top"))
             .groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_list(F.struct(*KEY)).alias("_drop")))
     joined = docs.join(drop, docs[f"`{doc_id}`"] == drop["_drop_id"], "left").drop("_drop_id")
 

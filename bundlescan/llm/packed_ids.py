@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlescan.llm.bpe import Index
-from bundlescan.llm.common import prepare
+from bundlescan.llm.common import prepare, release
 
 BLOCK = 1024
 FILE_IDS = 1 << 20
@@ -412,6 +412,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
                     held, total, number = ([], [], []), 0, number + 1
         if held[0]:
             yield close()
+        release()
 
     files = sorted(tuple(r) for r in dealt.select("doc_id", "text").mapInArrow(stage, MANIFEST).collect())  # a row a file
     before = np.concatenate([[0], np.cumsum([n for _, _, n in files])]).tolist()

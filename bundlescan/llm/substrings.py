@@ -2,7 +2,7 @@
 
 Units are lines, paragraphs (lines up to an empty one) and sentences, cut at line breaks and after
 sentence ends. A unit is normalised (lower case, runs of white space become one space; signs and marks count)
-and hashed to 128 bits. Digests are grouped over all documents; the occurrence with the smallest
+and hashed to 128 bits; the mark that ends a sentence is left off. Digests are grouped over all documents; the occurrence with the smallest
 (doc_id, hash of the text, start) is the earliest and is kept.
 
 Every later occurrence of a line or paragraph of ``line_chars`` code points, normalised, is removed.
@@ -31,13 +31,14 @@ from bundlescan.llm.common import prepare, with_columns, written
 
 _UNIT = re.compile(r"\S[^\n]*?(?:[.!?](?=\s)|[。！？｡]|(?=\n)|\Z)")
 _LINE = re.compile(r"\S(?:[^\n]*\S)?")
+_ENDING = ".!?。！？｡ "  # a passage may be a sentence here and a line there
 _WORD = re.compile(r"[^\W_]+")
 _PIECES = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("word", pa.int32()), ("word_stop", pa.int32()),
                               ("words", pa.int32()), ("chars", pa.int32()), ("whole", pa.bool_()), ("digest", pa.binary())]))
 
 
-def _unit(text: str, start: int, stop: int) -> dict:
-    plain = " ".join(text[start:stop].lower().split())
+def _unit(text: str, start: int, stop: int, ending: str = "") -> dict:
+    plain = " ".join(text[start:stop].lower().split()).rstrip(ending or None)
     digest = xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
     return {"start": start, "stop": stop, "words": len(_WORD.findall(plain)), "chars": len(plain), "digest": digest}
 
@@ -46,7 +47,7 @@ def units(text: str | None, unit_words: int, unit_chars: int = 20) -> list[dict]
     """The hashed sentences of a text, numbered in order, with offsets in code points."""
     out = []
     for m in _UNIT.finditer(text or ""):
-        u = _unit(text, *m.span())
+        u = _unit(text, *m.span(), ending=_ENDING)
         if u["words"] >= unit_words or u["chars"] >= unit_chars:
             out.append({"place": len(out), **u})
     return out

@@ -1,12 +1,14 @@
 """WARC writer and reader with a Zstandard dictionary in each archive.
 
-Each partition becomes one archive: a dictionary is built from its first records, at most
-``sample_bytes`` of them, stored in a leading skippable frame, and every record is a frame of its
-own, compressed with that dictionary. A record whose payload equals that of another is a revisit of
+Each partition becomes archives of about ``archive_bytes`` of records (before compression): a
+dictionary is built from an archive's first records, at most ``sample_bytes`` of them, stored in a
+leading skippable frame, and every record is a frame of its own, compressed with that dictionary.
+A record whose payload equals that of another is a revisit of
 the one with the smallest id.
 
 Archives go to a folder that all nodes share, each written under another name and renamed when it
-is whole; a task that runs again replaces its archive. They are read back with Spark's binary reader.
+is whole; records are in order of id and payload, so a task that runs again replaces its archives by
+the same. They are read back with Spark's binary reader, which takes an archive at a time.
 
 Defined results: a null payload is empty, a null URL leaves the header out, rows with a null id are
 always responses and are read back without an id, rows that repeat an id and payload are all
@@ -99,8 +101,19 @@ def archive(records: Iterator[bytes], level: int, dictionary_bytes: int, sample_
         yield writer.compress(r)
 
 
+def upto(records: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """Records until they come to size bytes; the rest stays."""
+    total = 0
+    for r in records:
+        yield r
+        total += len(r)
+        if total >= size:
+            return
+
+
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
-          min_bytes: int = 0, level: int = 3, dictionary_bytes: int = 32 << 10, sample_bytes: int = 2 << 20) -> DataFrame:
+          min_bytes: int = 0, level: int = 3, dictionary_bytes: int = 32 << 10, sample_bytes: int = 2 << 20,
+          archive_bytes: int = 256 << 20) -> DataFrame:
     """Write the archives into folder, shared by all nodes. Returns (path, n_records); nothing is
     written before that is evaluated. Payloads shorter than min_bytes are never revisits."""
     prepare(pages.sparkSession)
@@ -110,7 +123,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                        F.col(f"`{payload}`").alias("_payload"))
     again = later_copies(pages, page_id, payload, min_bytes)
     rows = (own.join(again, own["_id"] == again["_page"], "left")
-            .select("_id", "_url", "_payload", "_firsts"))
+            .select("_id", "_url", "_payload", "_firsts").sortWithinPartitions("_id", F.xxhash64("_payload"), "_url"))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
@@ -125,12 +138,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                     yield record(page, link, raw, dict(firsts or ()).get(digest), digest)
 
         todo = records()
-        head = next(todo, None)
-        if head is None:
-            return
-        path = f"{target}/part-{TaskContext.get().partitionId():06d}.warc.zst"
-        write_file(path, archive(itertools.chain([head], todo), level, dictionary_bytes, sample_bytes))
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "n_records"])
+        for number in itertools.count():
+            before, head = count, next(todo, None)
+            if head is None:
+                return
+            path = f"{target}/part-{TaskContext.get().partitionId():06d}-{number:05d}.warc.zst"
+            own = upto(itertools.chain([head], todo), archive_bytes)
+            write_file(path, archive(own, level, dictionary_bytes, sample_bytes))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count - before], pa.int64())], ["path", "n_records"])
 
     return rows.mapInArrow(stage, "path string, n_records bigint")
 

@@ -260,6 +260,18 @@ def test_warc_round_trip(spark, min_bytes):
     assert warc.write(df.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def test_archives_roll_at_a_size(spark, tmp_path):
+    rows = [(i, f"u{i}", f"<p>{i % 7}</p>" * 200) for i in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    made = warc.write(df, str(tmp_path), archive_bytes=20_000).collect()
+    assert len(made) > 3 and sum(r.n_records for r in made) == 301
+    assert all(sum(map(len, warc.frames(open(r.path, "rb").read()))) < 24_000 for r in made)
+    out = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.id, r.payload_bytes) for r in out if r.id is not None) == [(i, len(h)) for i, _, h in rows[:-1]]
+    again = warc.write(df, str(tmp_path), archive_bytes=20_000).collect()  # a task that runs again
+    assert sorted(r.path for r in again) == sorted(r.path for r in made) and warc.read(spark, f"file://{tmp_path}").count() == 301
+
+
 def test_warc_frames_are_single_records(spark):
     records = [warc.record(i, "u", b"<p>%d</p>" % i * 20, None, warc.sha1_base32(b"<p>%d</p>" % i * 20)) for i in range(300)]
     raw = b"".join(warc.archive(iter(records), 3, 4096, 20_000))
