@@ -10,7 +10,8 @@ Index skipping: a list is cut into blocks of similar set sizes; blocks too far a
 never joined, and a block whose sizes and positions leave too little room for the overlap is skipped.
 
 Answer skipping: in each block every set is first compared with one pivot, the smallest id. Sets
-linked to one pivot are in one component and need not meet. For sets x, y of different components the
+linked to one pivot are in one component and need not meet. Lists that still hold many components ask
+some further pivots, chosen by hash. For sets x, y of different components the
 answers of their roots A and B are computed once; Jaccard distance is a metric, so d(A, B) above
 1 - t + d(x, A) + d(y, B) rules the pair out, and where it exceeds 1 - t + both radii, all pairs of the two
 components are. Only what is left is compared. So no link between components is lost, and a
@@ -42,6 +43,9 @@ _BITS = 22  # of the table of counts
 _SLICES = 64
 _FILTER_BITS = 20
 _EPS = 1e-9
+#: Lists of more components than CROWD ask up to PIVOT_TURNS further pivots; this saves work and changes
+#: no result.
+CROWD, PIVOT_TURNS = 4, 4
 
 
 def shingles(words: Words, k: int, n: int) -> np.ndarray:
@@ -213,6 +217,23 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = answers(first)
     roots = components(known.filter("link"), "lo", "hi")
 
+    # a large group whose sets are not all linked to its first pivot: lists that still hold many
+    # components ask again, of another pivot each time, before pairs of components are formed
+    for turn in range(PIVOT_TURNS):
+        now = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        by_root = now.groupBy("token", "block", "root").agg(F.min_by(F.struct("rep", "n", "room"), F.xxhash64("rep", F.lit(turn))).alias("p"))
+        crowded = (by_root.groupBy("token", "block").agg(F.count(F.lit(1)).alias("roots"), F.min_by(F.struct("p", "root"), F.xxhash64("root", F.lit(turn))).alias("q"))
+                   .filter(F.col("roots") > CROWD).select("token", "block", F.col("q.p.rep").alias("pivot"), F.col("q.p.n").alias("p_n"),
+                                                          F.col("q.p.room").alias("p_room"), F.col("q.root").alias("p_root")))
+        more = (now.join(crowded, ["token", "block"]).filter(F.col("root") != F.col("p_root"))
+                .filter(fits(F.col("n"), F.col("p_n"), F.col("room"), F.col("p_room")))
+                .select(F.least("rep", "pivot").alias("lo"), F.greatest("rep", "pivot").alias("hi")).distinct())
+        more = written(more.join(known.select("lo", "hi"), ["lo", "hi"], "left_anti"), "more")
+        if more.isEmpty():
+            break
+        known = known.unionByName(answers(more))
+        roots = components(known.filter("link"), "lo", "hi")
+
     # the distance of each set to the root of its component
     to_root = roots.filter("node <> root").select(F.col("root").alias("lo"), F.col("node").alias("hi"))
     to_root = written(to_root.join(known.select("lo", "hi", "d"), ["lo", "hi"], "left"), "roots")

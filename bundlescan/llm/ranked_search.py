@@ -177,19 +177,20 @@ def _index(postings: DataFrame, owner_of: np.ndarray, n: int, total: int) -> Dat
 class Plan:
     """What all tasks know of the queries: for each bundle, the queries and weights of each term."""
 
-    def __init__(self, of: list[Counter], weight: np.ndarray, owner_of: np.ndarray, n_owners: int):
+    def __init__(self, of: list[Counter], weight: np.ndarray, owner_of: np.ndarray, n_owners: int, bundle: int):
+        self.bundle = bundle
         self.bundles: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
         self.sizes = []
         # the most that the owners from each on can give a query
         self.rest = np.zeros((n_owners + 1, len(of)), np.int64)
-        for low in range(0, len(of), BUNDLE):
+        for low in range(0, len(of), bundle):
             by_term: dict[int, list[tuple[int, int]]] = {}
-            for q, counts in enumerate(of[low:low + BUNDLE]):
+            for q, counts in enumerate(of[low:low + bundle]):
                 for t, times in counts.items():
                     by_term.setdefault(t, []).append((q, times * int(weight[t])))
                     self.rest[:owner_of[t] + 1, low + q] += times * int(weight[t]) * _TOP
             self.bundles.append({t: (np.array([q for q, _ in x]), np.array([w for _, w in x], np.int64)) for t, x in by_term.items()})
-            self.sizes.append(min(BUNDLE, len(of) - low))
+            self.sizes.append(min(bundle, len(of) - low))
 
 
 def _advance(plan: Plan, owner: int, least: np.ndarray, held: pa.Table, postings: pa.Table) -> tuple[list, pa.Array | None]:
@@ -202,7 +203,7 @@ def _advance(plan: Plan, owner: int, least: np.ndarray, held: pa.Table, postings
     n_docs = int(max(doc.max(initial=-1), at.max(initial=-1))) + 1
     out = []
     for b, by_term in enumerate(plan.bundles):
-        low, size = b * BUNDLE, plan.sizes[b]
+        low, size = b * plan.bundle, plan.sizes[b]
         mine = (query >= low) & (query < low + size)
         sums = np.zeros((size, n_docs), np.int64)
         live = np.zeros((size, n_docs), bool)
@@ -267,7 +268,7 @@ def _search(docs: DataFrame, texts: list[str], k: int) -> DataFrame:
     owner_of = np.zeros(max(1, len(terms.names)), np.int64)
     owner_of[order] = np.minimum(np.cumsum(df[order]) * OWNERS // max(1, int(df.sum()) + 1), OWNERS - 1)
     index = _index(postings, owner_of, n, total)
-    plan = spark.sparkContext.broadcast(Plan(terms.of, weight, owner_of, OWNERS))
+    plan = spark.sparkContext.broadcast(Plan(terms.of, weight, owner_of, OWNERS, BUNDLE))
     least = np.ones(len(texts), np.int64)
     bundles = spark.createDataFrame([], BUNDLES)
     result = "query bigint, doc_id bigint, score bigint"
