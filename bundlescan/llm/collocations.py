@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bundlescan.llm.common import prepare, written
+from bundlescan.llm.common import prepare, release, written
 from bundlescan.llm.tokens import _codes, mix
 
 AT_LEAST = 10
 SUBSUMED = 50  # percent
 BEST = 2000
 FILTER_BITS = 1 << 27
-CHUNK = 12 << 20  # bytes of text whose stripes a task counts at once
+CHUNK = 8 << 20  # bytes of text whose stripes a task counts at once
 PARTS = 16384  # a prefix's share of all words is cut into so many parts of the whole
 
 #: The bytes of pieces' ends become a line feed, tabs a space.
@@ -248,6 +248,7 @@ def _shared_count(depth: int, known: list, cuts) -> Callable[[Iterator[pa.Record
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _count(depth, *(k.value if k is not None else None for k in held), cuts.value, 1)(batches)
+        release()
 
     return stage
 
