@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bundlescan.session import ensure_checkpoint_dir, ship_package
+from bundlescan.session import ensure_checkpoint_dir, release, ship_package  # noqa: F401 - release: for the operators
 
 #: Arrow batches of the Python stages: rows and bytes, whichever comes first.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
@@ -65,15 +62,6 @@ def write_file(path: str, parts: Iterator[bytes]) -> None:
     os.replace(part, path)
 
 
-def release() -> None:
-    """Give back to the system what this worker has freed: workers outlive their tasks, and the next
-    stage's need would come on top of the largest of all before it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def named(df: DataFrame, *wanted: str) -> DataFrame:
     """Only these columns; others, whatever their names, are left out."""
     return df.select(*(F.col(f"`{c}`") for c in wanted))

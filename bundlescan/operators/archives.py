@@ -1,11 +1,12 @@
 """Nested archive expansion in one pass.
 
-Each archive row (by name) is unpacked by one ``mapInPandas`` stage, the standard library's
+Each archive row (by name) is unpacked by one ``mapInArrow`` stage, the standard library's
 ``zipfile`` / ``tarfile`` working on the bytes in memory, without local folders, and archives found
 inside are unpacked in turn (``extracted_from`` = SHA-256 of the archive, ``depth`` + 1, path relative
 to that archive). Members leave as they are read, in frames bounded by bytes, and are then spread
 over the cluster by archive and path, so one large archive is scanned by many tasks. Nothing is
-checkpointed: a lost executor unpacks its archives again.
+checkpointed: a lost executor unpacks its archives again. A worker holds one batch of archives, the
+archive it reads and one frame, however many archives its task has.
 
 Every archive has a status, one of ``ok / too_many / too_big / escape / corrupt / unsupported /
 too_deep``, which comes from its listing and, for damage, from one reading without keeping.
@@ -27,23 +28,22 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..session import ship_package
+from ..session import bound_batches, release, ship_package, written
 from ..sources.files import archive_extension
 
 MEMBER = "bundle_id string, path string, content binary, extracted_from string, depth int, parent_path string"
 STATUS = "bundle_id string, path string, depth int, status string"
 UNPACKED = MEMBER + ", status string"
-FOLDER = "bundle_id string, archive_path string, path string"
+TOP = "bundle_id string, archive_path string, path string, content binary, is_dir boolean"
 
 _FAKE_DEST = "/__bundlescan_dest__"
-_FRAME_BYTES = 8 << 20
+_FRAME_BYTES, _FRAME_ROWS = 4 << 20, 20_000
 
 
 @dataclass(frozen=True)
@@ -156,15 +156,17 @@ def listing(name: str, data: bytes, limits: Limits) -> Listing:
 
 
 def _walk(bundle: str, path: str, data: bytes, depth: int, limits: Limits, emit: str) -> Iterator[tuple]:
-    """Rows of an archive and the archives in it: its members, its statuses, both or its folders."""
+    """Rows of an archive and the archives in it: its members, its statuses or both; for ``top``, the
+    members and folders of the archive alone."""
     deep = depth + 1 > limits.depth
     status, members, folders = ("too_deep", {}, set()) if deep else listing(path.rsplit("/", 1)[-1], data, limits)
     if emit == "status":
         yield bundle, path, depth, status
     elif emit == "all":
         yield bundle, path, None, None, depth, None, status
-    elif emit == "folder":
-        yield from ((bundle, path, f) for f in sorted(folders))
+    elif emit == "top":
+        yield from ((bundle, path, f, None, True) for f in sorted(folders))
+        yield from ((bundle, path, name, members[name](), False) for name in sorted(members))
         return
     own = hashlib.sha256(data).hexdigest()
     for name in sorted(members):
@@ -177,26 +179,45 @@ def _walk(bundle: str, path: str, data: bytes, depth: int, limits: Limits, emit:
                 yield from _walk(bundle, name, content, depth + 1, limits, emit)
 
 
-def _stage(limits: Limits, emit: str, columns: list[str]):
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                held, size = [], 0
-                for out in _walk(row.bundle_id, row.path, bytes(row.content), 0, limits, emit):
-                    held.append(out)
-                    size += len(out[2] or b"") + 64 if emit in ("member", "all") else 64
-                    if size >= _FRAME_BYTES:
-                        yield pd.DataFrame(held, columns=columns)
-                        held, size = [], 0
-                if held:
-                    yield pd.DataFrame(held, columns=columns)
-    return fn
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The rows of batches, one at a time: only a row's own values become Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [column[i].as_py() for column in batch.columns]
+
+
+def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of rows, bounded by bytes and rows; at the end freed memory is given back."""
+    fields = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in schema.split(", "))])
+    held, size = [], 0
+
+    def frame() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= _FRAME_BYTES or len(held) >= _FRAME_ROWS:
+            yield frame()
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield frame()
+    release()
 
 
 def _unpacked(files: DataFrame, limits: Limits, emit: str, schema: str) -> DataFrame:
     ship_package(files.sparkSession)
+    bound_batches(files.sparkSession)
     archives = files.where(archive_extension(F.col("path")) != "").select("bundle_id", "path", "content")
-    return archives.mapInPandas(_stage(limits, emit, [c.split()[0] for c in schema.split(", ")]), schema)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames((out for bundle, path, content in _rows(batches) for out in _walk(bundle, path, bytes(content), 0, limits, emit)), schema)
+
+    return archives.mapInArrow(stage, schema)
 
 
 def unpack(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -232,27 +253,22 @@ def expand_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return _own(files).unionByName(_unpacked(files, limits, "member", MEMBER).repartition("extracted_from", "path"))
 
 
-def archive_folders(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(bundle_id, archive_path, path) of the folders in the top-level archives, empty ones too."""
-    return _unpacked(files, limits, "folder", FOLDER)
-
-
 def root_normalize(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Uploaded-zip root rule, per top-level zip: when it has exactly one top-level folder (an empty
     one counts) and no top-level SKILL.md, that folder becomes the root (prefix stripped) and loose
-    top-level files are dropped; otherwise members stay as they are.
+    top-level files are dropped; otherwise members stay as they are. Zips are read once: their members
+    and folders are written to the shared folder, where the rule and the contents are read.
     -> bundle_id, archive_path, path, content: the bundles that zips stand for."""
     zips = files.where(F.lower("path").endswith(".zip"))
-    m = expand_archives(zips, limits).where(F.col("depth") == 1)
-    tops = (archive_folders(zips, limits).where(~F.col("path").contains("/"))
-            .groupBy("bundle_id", "archive_path").agg(F.count(F.lit(1)).alias("_dirs"), F.max("path").alias("_dir")))
-    skill = (m.where(F.col("path") == "SKILL.md").select("bundle_id", F.col("parent_path").alias("archive_path"))
-             .distinct().withColumn("_skill", F.lit(True)))
-    j = (m.select("bundle_id", F.col("parent_path").alias("archive_path"), "path", "content")
-         .join(tops, ["bundle_id", "archive_path"], "left").join(skill, ["bundle_id", "archive_path"], "left"))
-    single = F.coalesce((F.col("_dirs") == 1) & F.col("_skill").isNull(), F.lit(False))
-    return j.where(~single | F.col("path").startswith(F.concat("_dir", F.lit("/")))).select(
-        "bundle_id", "archive_path", F.when(single, F.expr("substring(path, length(_dir) + 2)")).otherwise(F.col("path")).alias("path"),
+    found = written(_unpacked(zips, limits, "top", TOP), "zip-members")
+    top = F.col("is_dir") & ~F.col("path").contains("/")
+    skill = ~F.col("is_dir") & (F.col("path") == "SKILL.md")
+    rule = found.where(top | skill).groupBy("bundle_id", "archive_path").agg(
+        F.count_if(top).alias("_dirs"), F.max(F.when(top, F.col("path"))).alias("_dir"), F.bool_or(skill).alias("_skill"))
+    single = rule.where((F.col("_dirs") == 1) & ~F.col("_skill")).select("bundle_id", "archive_path", "_dir")
+    j = found.where(~F.col("is_dir")).join(single, ["bundle_id", "archive_path"], "left")
+    return j.where(F.col("_dir").isNull() | F.col("path").startswith(F.concat("_dir", F.lit("/")))).select(
+        "bundle_id", "archive_path", F.when(F.col("_dir").isNotNull(), F.expr("substring(path, length(_dir) + 2)")).otherwise(F.col("path")).alias("path"),
         "content")
 
 
@@ -321,25 +337,14 @@ def archive_listing(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     central directories and headers declare, a row a member, so that archives are judged before
     anything is unpacked. A row without a member stands for the archive itself."""
     ship_package(files.sparkSession)
-    columns = [c.split()[0] for c in LISTED.split(", ")]
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                held = []
-                for out in _listed(row.bundle_id, row.path, bytes(row.content), 0, _number(f"{row.bundle_id}\0{row.path}"), limits):
-                    held.append(out)
-                    if len(held) == 50_000:
-                        yield pd.DataFrame(held, columns=columns).astype(_LISTED_TYPES)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=columns).astype(_LISTED_TYPES)
-
-    archives = files.where(archive_extension(F.col("path")) != "").select("bundle_id", "path", "content")
-    return archives.mapInPandas(fn, LISTED)
+    bound_batches(files.sparkSession)
 
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames((out for bundle, path, content in _rows(batches)
+                        for out in _listed(bundle, path, bytes(content), 0, _number(f"{bundle}\0{path}"), limits)), LISTED)
 
-_LISTED_TYPES = {"size_bytes": "Int64", "is_dir": "boolean", "escapes": "boolean", "broken": "boolean", "supported": "boolean"}
+    archives = files.where(archive_extension(F.col("path")) != "").select("bundle_id", "path", "content")
+    return archives.mapInArrow(stage, LISTED)
 
 
 def listing_status(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -406,16 +411,11 @@ def member_index(paths: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """paths(bundle_id, path, file): zips and plain tars on a file system that all executors see ->
     a row an archive, with its status, and a row a member, with its place in the file."""
     ship_package(paths.sparkSession)
-    columns = [c.split()[0] for c in INDEX.split(", ")]
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                rows = iter(_index(row.bundle_id, row.path, row.file, limits))
-                while held := list(islice(rows, 50_000)):
-                    yield pd.DataFrame(held, columns=columns).astype({"at": "Int64", "stored": "Int64", "size_bytes": "Int64"})
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames((out for row in _rows(batches) for out in _index(*row, limits)), INDEX)
 
-    return paths.select("bundle_id", "path", "file").mapInPandas(fn, INDEX)
+    return paths.select("bundle_id", "path", "file").mapInArrow(stage, INDEX)
 
 
 def read_members(index: DataFrame, tasks: int) -> DataFrame:
@@ -424,31 +424,25 @@ def read_members(index: DataFrame, tasks: int) -> DataFrame:
     all of them is read by many tasks, each of which seeks to its own members."""
     members = index.where(F.col("member").isNotNull())
     dealt = members.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at")
-    columns = [c.split()[0] for c in MEMBER.split(", ")]
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(rows: Iterator[list]) -> Iterator[tuple]:
         opened, data, zf, places = None, None, None, {}
-        held, size = [], 0
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.file != opened:
-                    opened, data = row.file, open(row.file, "rb")  # noqa: SIM115 - kept for the next members
-                    zf = zipfile.ZipFile(data) if _longest_ext(row.path.rsplit("/", 1)[-1]) == ".zip" else None
-                    places = {i.header_offset: i for i in zf.infolist()} if zf else {}
-                if zf:
-                    content = zf.read(places[row.at])
-                else:
-                    data.seek(row.at)
-                    content = data.read(row.stored)
-                held.append((row.bundle_id, row.member, content, row.archive_sha256, 1, row.path))
-                size += len(content)
-                if size >= _FRAME_BYTES:
-                    yield pd.DataFrame(held, columns=columns)
-                    held, size = [], 0
-        if held:
-            yield pd.DataFrame(held, columns=columns)
-
-    return dealt.mapInPandas(fn, MEMBER)
+        for bundle, path, file, member, at, stored, sha256 in rows:
+            if file != opened:
+                opened, data = file, open(file, "rb")  # noqa: SIM115 - kept for the next members
+                zf = zipfile.ZipFile(data) if _longest_ext(path.rsplit("/", 1)[-1]) == ".zip" else None
+                places = {i.header_offset: i for i in zf.infolist()} if zf else {}
+            if zf:
+                content = zf.read(places[at])
+            else:
+                data.seek(at)
+                content = data.read(stored)
+            yield bundle, member, content, sha256, 1, path
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames(read(_rows(batches)), MEMBER)
+
+    return dealt.select("bundle_id", "path", "file", "member", "at", "stored", "archive_sha256").mapInArrow(stage, MEMBER)
 
 
 def archive_lineage(expanded: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
     """
     out: dict[str, DataFrame] = {}
     if targets is not None:
-        files = files.select("bundle_id", "path", "content").unionByName(A.zip_targets(targets))
+        files = files.select("bundle_id", "path", "content").unionByName(written(A.zip_targets(targets), "targets"))
     if reports is not None:
         out["cached"], files = new_files(files, reports)
     if expand:

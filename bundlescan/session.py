@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +13,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of rows that may hold whole files; one row alone may be larger.
+BATCH_BYTES = 8 * 1024 * 1024
+
 DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -24,7 +30,7 @@ DEFAULTS = {
     # rows can hold whole files (an archive up to 500 MiB): bound Arrow batches by bytes both
     # ways for the Python stages (archive unpacking, optional encoder), not only by rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     "spark.sql.execution.arrow.maxBytesPerOutputBatch": str(64 * 1024 * 1024),
 }
 
@@ -65,6 +71,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (Spark's default is 64 MiB): every worker of an executor holds
+    one, next to what it makes of it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(ValueError):  # a size with a unit, like Spark's default
+        if 0 < int(spark.conf.get(key)) <= BATCH_BYTES:
+            return
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give back to the system what this worker has freed: workers outlive their tasks, and the next
+    stage's need would come on top of the largest of all before it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application: functions of its modules
     are pickled by reference, and executors need not have the package installed."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import sql_str
-from ..session import ensure_checkpoint_dir
+from ..session import bound_batches, ensure_checkpoint_dir, release, ship_package, written
 from .corpus import EXTENSIONS, SNIPPETS, corpus_sql, scan_text
 
 # (condition on bundle number n, path, content template with {n}) — FIXED fixture rows
@@ -291,15 +291,8 @@ def pack_group(g: int, docs: list[tuple[int, str]]) -> list[tuple[str, str, byte
 
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(bundle_id, path, content) holding archives built from the documents: groups
-    of 25 documents (doc_id div 25) are packed by ``applyInPandas`` (bounded groups)."""
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = int(pdf["g"].iloc[0])
-        rows = pack_group(g, list(zip(pdf["doc_id"].astype(int), pdf["text"])))
-        return pd.DataFrame(rows, columns=["bundle_id", "path", "content"])
-
-    return _planted(spark, sf_dir).groupBy("g").applyInPandas(pack, "bundle_id string, path string, content binary")
+    of 25 documents (doc_id div 25) are packed by ``applyInArrow`` (bounded groups)."""
+    return _packed(_planted(spark, sf_dir), lambda g, ids, texts: pack_group(g, list(zip(ids, texts))))
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,19 +352,34 @@ def upload_pack(g: int, docs: list[tuple[int, str]]) -> list[tuple[str, str, byt
 
 def guard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(bundle_id, path, content): an archive for each group of documents, see guard_pack."""
-    return _packed(_planted(spark, sf_dir).select("doc_id", "g"), lambda g, pdf: guard_pack(g, pdf["doc_id"].astype(int).tolist()))
+    return _packed(_planted(spark, sf_dir).select("doc_id", "g"), lambda g, ids: guard_pack(g, ids))
 
 
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(bundle_id, path, content): a zip to scan for each group of documents, see upload_pack."""
-    return _packed(_planted(spark, sf_dir), lambda g, pdf: upload_pack(g, list(zip(pdf["doc_id"].astype(int), pdf["text"]))))
+    return _packed(_planted(spark, sf_dir), lambda g, ids, texts: upload_pack(g, list(zip(ids, texts))))
 
 
 def _packed(docs: DataFrame, pack) -> DataFrame:
-    import pandas as pd
-    columns = ["bundle_id", "path", "content"]
-    return docs.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame(pack(int(pdf["g"].iloc[0]), pdf), columns=columns),
-                                           "bundle_id string, path string, content binary")
+    """pack(g, doc_ids, texts) -> rows, for each group, written to the shared folder: packed once, and
+    never in workers of their own beside those of the stage that unpacks. A worker holds one group at a
+    time."""
+    import pyarrow as pa
+
+    ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    fields = pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+    done = [0]
+
+    def packed(group: pa.Table) -> pa.Table:
+        held = group.to_pydict()
+        rows = pack(int(held.pop("g")[0]), *held.values())
+        done[0] += 1
+        if done[0] % 256 == 0:
+            release()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    return written(docs.groupBy("g").applyInArrow(packed, "bundle_id string, path string, content binary"), "packed")
 
 
 def uploads_sql() -> str:
@@ -418,9 +426,8 @@ def _put_files(rows: DataFrame, top: str) -> None:
 
 def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bundle_id, path, file): the uploads, written as files by the tasks."""
-    from ..session import written
     top = _shared_folder(spark, "uploads")
-    files = written(upload_files(spark, sf_dir), "uploads").withColumn("name", F.concat("bundle_id", F.lit("/"), "path"))
+    files = upload_files(spark, sf_dir).withColumn("name", F.concat("bundle_id", F.lit("/"), "path"))
     _put_files(files.select(F.col("name").alias("path"), "content"), top)
     return files.select("bundle_id", "path", F.concat(F.lit(f"{top}/"), "name").alias("file"))
 

@@ -178,3 +178,42 @@ assert A.expand_archives(f).count() == 2
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=240)
+
+
+def test_frames_are_bounded_by_bytes_and_rows():
+    rows = (("b", f"f{i}", bytes(1 << 20), "h", 1, "a.zip") for i in range(30))
+    frames = list(A._frames(rows, A.MEMBER))
+    assert sum(f.num_rows for f in frames) == 30
+    assert max(f.nbytes for f in frames) <= A._FRAME_BYTES + (1 << 20) + 4096
+    empty = list(A._frames((("b", str(i), 0, "ok") for i in range(2 * A._FRAME_ROWS + 1)), A.STATUS))
+    assert [f.num_rows for f in empty] == [A._FRAME_ROWS, A._FRAME_ROWS, 1]
+
+
+def test_batches_of_archives_are_bounded_in_any_session(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        A.unpack(files_df(spark, [("a.zip", _zip_bytes([("x", b"1")]))]))
+        assert int(spark.conf.get(key)) <= 8 << 20
+        spark.conf.set(key, str(1 << 20))
+        A.unpack(files_df(spark, [("a.zip", _zip_bytes([("x", b"1")]))]))
+        assert int(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_zip_targets_are_unpacked_once(spark):
+    one = _zip_bytes([("top/SKILL.md", b"s"), ("top/a/b.txt", b"1"), ("loose.txt", b"2")])
+    two = _zip_bytes([("one/a.txt", b"1"), ("two/b.txt", b"2"), ("in.zip", one)])
+    flat = _zip_bytes([("SKILL.md", b"s"), ("dir/c.txt", b"3")])
+    rows = [("b", "one.zip", one), ("b", "two.zip", two), ("b", "flat.zip", flat), (None, "one.zip", one),
+            ("same", "x.zip", one), ("same", "x.zip", one), ("b", "cut.zip", one[:40]), ("b", "t.tar", _tar_bytes([("a/x", b"1")]))]
+    out = A.root_normalize(spark.createDataFrame(rows, "bundle_id string, path string, content binary"))
+    assert "MapIn" not in out._jdf.queryExecution().toString()  # the unpacked members are read, not made again
+    got = sorted((r.bundle_id or "", r.archive_path, r.path, bytes(r.content)) for r in out.collect())
+    whole = [("loose.txt", b"2"), ("top/SKILL.md", b"s"), ("top/a/b.txt", b"1")]
+    assert got == sorted([("b", "one.zip", "SKILL.md", b"s"), ("b", "one.zip", "a/b.txt", b"1"),
+                          ("b", "two.zip", "one/a.txt", b"1"), ("b", "two.zip", "two/b.txt", b"2"), ("b", "two.zip", "in.zip", one),
+                          ("b", "flat.zip", "SKILL.md", b"s"), ("b", "flat.zip", "dir/c.txt", b"3"),
+                          *[("", "one.zip", *m) for m in whole], *[("same", "x.zip", *m) for m in whole * 2]])
