@@ -23,8 +23,9 @@ ENABLED = True  # switch for A/B measurements
 
 
 def folded(text: Column) -> Column:
-    ascii_only = F.octet_length(text) == F.length(text)  # none of the four is ASCII
-    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)))
+    beyond_ascii = F.octet_length(text) != F.length(text)  # none of the four is ASCII
+    held = beyond_ascii & any_of(text, [c for c in FOLD_FROM if not c.isascii()])  # translating steps from character to character
+    return F.when(held, F.lower(F.translate(text, FOLD_FROM, FOLD_TO))).otherwise(F.lower(text))
 
 
 MIN_LITERAL = 3
@@ -38,13 +39,24 @@ def _distinctive(lit: str) -> bool:
     return not any(c.isalnum() for c in lit) and not set(lit) <= set(" .,;:-_'\"()")
 
 
+#: Characters of prose, the most frequent first; any other is rarer than these.
+_COMMON = " \netaoinsrhldcumfpgwybvk.,-xjqz"
+
+
+def _rare_start(lit: str) -> str:
+    """The end of a literal, of four characters or more, that begins with its rarest character: a byte
+    search compares further only where the first byte is met."""
+    rank = lambda c: _COMMON.index(c) if c in _COMMON else len(_COMMON)
+    return lit[max(range(max(1, len(lit) - 3)), key=lambda i: rank(lit[i])):]
+
+
 @lru_cache(maxsize=None)
 def _lits(pattern: str, ignore_case: bool) -> tuple[str, ...] | None:
-    """Literals worth a prefilter: all of them distinctive."""
+    """Literals worth a prefilter, all of them distinctive, or what each of them ends with."""
     lits = required_literals(pattern)
     if not lits or not all(_distinctive(x) for x in lits):
         return None
-    return tuple(sorted({x.lower() for x in lits})) if ignore_case else tuple(lits)
+    return tuple(sorted({_rare_start(x.lower() if ignore_case else x) for x in lits}))
 
 
 def may_match(text: Column, fold: Column | None, pattern: str, ignore_case: bool = False) -> Column:
@@ -60,3 +72,8 @@ def may_match(text: Column, fold: Column | None, pattern: str, ignore_case: bool
 
 def any_of(text: Column, literals) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
+
+
+def gated(text: Column, gate: Column, found: Column, none: Column) -> Column:
+    """found where the gate lets the text through, else none; null for a null text."""
+    return F.when(text.isNull(), F.lit(None)).when(gate, found).otherwise(none)

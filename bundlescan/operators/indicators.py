@@ -18,6 +18,7 @@ from ..functions import rules
 from ..functions.dialect import to_java
 from ..functions.linear import form
 from ..functions.prefilter import any_of, folded, may_match
+from ..functions.prefilter import gated as _gated
 
 KEEP = ["bundle_id", "path"]
 
@@ -35,7 +36,9 @@ def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Col
     search = form(pattern, ignore_case)
     found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(search.java), F.lit(search.match))))
     gate = may_match(text, fold, pattern, ignore_case)
-    return found if gate is None else F.when(text.isNull(), F.lit(None)).when(gate, found).otherwise(_empty())
+    if pattern in rules.ROUGH:
+        gate = gate & text.rlike(to_java(rules.ROUGH[pattern]))
+    return _gated(text, gate, found, _empty())
 
 
 def is_script(suffix: Column) -> Column:
@@ -99,21 +102,22 @@ def base64_entries(text: Column) -> Column:
 
 def base58check_sql(c: str) -> str:
     """Spark SQL boolean: ``c`` is a Base58Check string of exactly 25 bytes whose last 4
-    bytes equal the first 4 of SHA-256(SHA-256(first 21)). The 200-bit number is held
-    as 26 base-256 limbs and built with multiply-by-58-and-add per character."""
+    bytes equal the first 4 of SHA-256(SHA-256(first 21)). The number is held as 8 limbs of 32
+    bits, the lowest first, and built from five characters at a time: 58^5 times a limb and
+    the carry fit in 64 bits. As hex, its 25 bytes are the last 50 of 64 digits."""
     alpha = rules.BASE58_ALPHABET
-    digits = f"transform(sequence(1, length({c})), i -> instr('{alpha}', substring({c}, i, 1)) - 1)"
-    step = ("(limbs, d) -> aggregate(reverse(limbs), named_struct('o', cast(array() as array<int>), 'c', d), "
-            "(acc, l) -> named_struct('o', concat(array(cast((l * 58 + acc.c) % 256 as int)), acc.o), "
-            "'c', cast((l * 58 + acc.c) div 256 as int))).o")
-    limbs = f"aggregate({digits}, array_repeat(0, 26), {step})"
-    return (f"(aggregate(array({limbs}), false, (z, L) -> "
-            f"L[0] = 0 "
-            f"AND aggregate(slice(L, 2, 25), named_struct('n', 0, 's', false), "
-            f"(a, x) -> if(a.s OR x != 0, named_struct('n', a.n, 's', true), named_struct('n', a.n + 1, 's', false))).n"
-            f" = length(regexp_extract({c}, '^1*', 0)) "
-            f"AND left(sha2(unhex(sha2(unhex(left(concat_ws('', transform(slice(L, 2, 25), x -> lpad(hex(x), 2, '0'))), 42)), 256)), 256), 8)"
-            f" = lower(right(concat_ws('', transform(slice(L, 2, 25), x -> lpad(hex(x), 2, '0'))), 8))))")
+    chunks = (f"transform(sequence(1, length({c}), 5), i -> substring({c}, i, 5))")
+    values = (f"transform({chunks}, p -> named_struct('v', aggregate(sequence(1, length(p)), 0L, "
+              f"(a, j) -> a * 58L + instr('{alpha}', substring(p, j, 1)) - 1L), 'm', cast(pow(58, length(p)) as bigint)))")
+    step = ("(limbs, e) -> aggregate(limbs, named_struct('o', cast(array() as array<bigint>), 'c', e.v), "
+            "(acc, l) -> named_struct('o', concat(acc.o, array((l * e.m + acc.c) & 4294967295L)), "
+            "'c', shiftrightunsigned(l * e.m + acc.c, 32))).o")
+    limbs = f"aggregate({values}, array_repeat(0L, 8), {step})"
+    number = f"concat_ws('', transform(reverse({limbs}), x -> lpad(hex(x), 8, '0')))"
+    return (f"(aggregate(array({number}), false, (z, h) -> "
+            f"left(h, 14) = '00000000000000' "
+            f"AND length(regexp_extract(right(h, 50), '^(00)*', 0)) = 2 * length(regexp_extract({c}, '^1*', 0)) "
+            f"AND left(sha2(unhex(sha2(unhex(left(right(h, 50), 42)), 256)), 256), 8) = lower(right(h, 8))))")
 
 
 def crypto_wallets(text: Column, btc_col: str = "_btc") -> Column:
@@ -125,7 +129,8 @@ def crypto_wallets(text: Column, btc_col: str = "_btc") -> Column:
 
 
 def btc_candidates(text: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(rules.BTC_WALLET), F.lit(0))))
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(rules.BTC_WALLET), F.lit(0))))
+    return _gated(text, text.contains("bc1") | text.rlike(to_java(rules.ROUGH[rules.BTC_WALLET])), found, _empty())
 
 
 # ------------------------------------------------------------------ presence (§2.7)
@@ -154,14 +159,16 @@ def sensitive_file_paths(text: Column) -> Column:
         holds = text.contains(path)
         return holds & text.rlike(to_java(guarded(path, *guards[path]))) if path in guards else holds
 
-    return F.sort_array(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in rules.SENSITIVE_PATHS])))
+    found = F.sort_array(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in rules.SENSITIVE_PATHS])))
+    return F.when(any_of(text, rules.SENSITIVE_PATH_PARTS), found).otherwise(_empty())
 
 
-def suspicious_imports(text: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.concat(*[
-        F.when(may_match(text, None, p, ic), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(
-            F.when(text.isNotNull(), _empty()))
+def suspicious_imports(text: Column, fold: Column | None = None) -> Column:
+    found = F.sort_array(F.array_distinct(F.concat(*[
+        F.when(may_match(text, fold, p, ic), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(_empty())
         for p, ic in rules.SUSPICIOUS_IMPORTS])))
+    words = any_of(folded(text) if fold is None else fold, rules.SUSPICIOUS_WORDS)
+    return _gated(text, words, found, _empty())
 
 
 # ------------------------------------------------------------------ sensitive env names
@@ -174,7 +181,7 @@ def env_occurrences(text: Column) -> Column:
     (one regex pass; the follower is an optional greedy group), in texts that hold the end of a name."""
     found = F.array_distinct(F.regexp_extract_all(text, _j(_ENV_NAMES + "(?:" + rules.ENV_ASSIGN_FOLLOW + ")?"), F.lit(0)))
     ends = sorted({"_" + name.rsplit("_", 1)[1] for name in rules.SENSITIVE_ENV_NAMES})
-    return F.when(text.isNull(), F.lit(None)).when(any_of(text, ends), found).otherwise(_empty())
+    return _gated(text, any_of(text, ends), found, _empty())
 
 
 def _env_name(m: Column) -> Column:
@@ -207,7 +214,7 @@ def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ", fold
         "env_var_references": extract_set(t, rules.ENV_VAR),
         "shell_commands": shell_commands(t, F.col("_low")),
         "sensitive_file_paths": sensitive_file_paths(t),
-        "suspicious_imports": suspicious_imports(t),
+        "suspicious_imports": suspicious_imports(t, fold),
         "private_ips": extract_set(t, rules.PRIVATE_IP),
         "crypto_wallets": crypto_wallets(t, btc_col),
         "_env_reads": F.sort_array(env_reads(occ)),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import linear_forms, to_java
-from ..functions.prefilter import folded, may_match
+from ..functions.prefilter import any_of, folded, may_match
 
 KEEP = ["bundle_id", "path"]
 
@@ -144,7 +144,7 @@ def fired_at(fired: Column, i: int) -> Column:
 
 
 def invisible_gate(text: Column) -> Column:
-    return F.coalesce(text.rlike(to_java(rules.INVISIBLE_UNICODE)), F.lit(False))
+    return F.coalesce((F.octet_length(text) != F.length(text)) & any_of(text, rules.INVISIBLE_CHARS), F.lit(False))
 
 
 def dns_gate(text: Column, fold: Column | None = None) -> Column:

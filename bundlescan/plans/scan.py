@@ -90,7 +90,10 @@ def run(files: DataFrame, reports: DataFrame | None = None, expand: bool = True,
     """
     out: dict[str, DataFrame] = {}
     if targets is not None:
-        files = files.select("bundle_id", "path", "content").unionByName(written(A.zip_targets(targets), "targets"))
+        # scanning is bound by CPU: contents are dealt over all tasks, not over as few as their bytes fill
+        n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = written(A.zip_targets(targets), "targets").repartition(n, "bundle_id", "path")
+        files = files.select("bundle_id", "path", "content").unionByName(dealt)
     if reports is not None:
         out["cached"], files = new_files(files, reports)
     if expand:

@@ -69,7 +69,7 @@ def archive_extension(path: Column) -> Column:
 
 
 def read_text(content: Column, text_ok: Column) -> Column:
-    return F.when(text_ok, F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n"))
+    return F.when(text_ok, meta_text(content))
 
 
 META_FILES = ["SKILL.md", "package.json", "setup.py"]
@@ -78,11 +78,13 @@ META_FILES = ["SKILL.md", "package.json", "setup.py"]
 def meta_text(content: Column) -> Column:
     """Text as the reference reads bundle metadata files: UTF-8 with replacement,
     universal newlines, no size or type gate."""
-    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
+    bytes_, text = content.cast("string"), F.make_valid_utf8(content.cast("string"))
+    return F.when(bytes_.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def line_count(text: Column) -> Column:
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(F.split(text, "\n", -1))).otherwise(0).cast("long")
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.coalesce(F.octet_length(text), F.lit(0)) > 0, ends + 1).otherwise(0).cast("long")
 
 
 def entries(files: DataFrame) -> DataFrame:

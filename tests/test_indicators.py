@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from bundlescan.functions import rules
+from bundlescan.functions.dialect import to_java
 from bundlescan.operators import indicators as IND
 from bundlescan.sources.corpus import SNIPPETS
 from conftest import text_df
@@ -84,3 +86,58 @@ def test_redact_order(spark):
     df = spark.createDataFrame([("AKIA" + "A" * 16 + " and password: abcdefgh1",)], "t string")
     assert df.select(IND.redact(F.col("t"))).first()[0] == \
         "[REDACTED:aws-access-key] and [REDACTED:credential-assignment]"
+
+
+def _base58check(payload: bytes) -> str:
+    import hashlib
+    raw = payload + hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4]
+    n, out = int.from_bytes(raw, "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        out = rules.BASE58_ALPHABET[d] + out
+    return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + out
+
+
+def test_base58check_of_many_addresses(spark):
+    import random
+    r = random.Random(7)
+    good = [_base58check(bytes([v]) + bytes(z) + r.randbytes(20 - z)) for v in (0, 5) for z in (0, 0, 0, 1, 2) for _ in range(6)]
+    bad = [x[:-1] + ("2" if x[-1] != "2" else "3") for x in good] + ["1" + x for x in good] + ["3" + "z" * 34, "1" * 35, "1" * 26]
+    df = spark.createDataFrame([(x,) for x in good + bad], "c string")
+    got = {x.c: x.ok for x in df.select("c", F.expr(IND.base58check_sql("c")).alias("ok")).collect()}
+    assert all(got[x] for x in good) and not any(got[x] for x in bad if x not in good)
+
+
+def test_rough_searches_let_every_match_through(spark):
+    texts = ["x1.2.3.4", "at 255.255.255.255.", "٣.1.2.3", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa,", "q " + "Ab+/" * 5 + "==", "=" + "a" * 20,
+             "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", "no match at all", "1.2.3", "é" + "A" * 24]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern, rough in rules.ROUGH.items():
+        out = df.select("t", F.col("t").rlike(to_java(pattern)).alias("m"), (F.col("t").rlike(to_java(rough)) | F.col("t").contains("bc1")).alias("r")).collect()
+        assert all(x.r for x in out if x.m) and any(x.m for x in out) and not all(x.r for x in out)
+
+
+def test_literals_are_searched_from_their_rarest_character():
+    from bundlescan.functions.prefilter import _lits
+    assert _lits(r"\bsubprocess\b", False) == ("bprocess",)   # s begins many words of prose, b few
+    assert _lits(r"\beval\s*\(", False) == ("eval",)
+    for d in rules.DETECTORS:
+        assert all(len(x) >= 1 for x in _lits(d.pattern, d.ignore_case) or ())
+
+
+def test_folding_lower_cases_as_translating_does(spark):
+    from bundlescan.functions.prefilter import folded
+    texts = ["ABC", "ſECRET", "İıIK", "Äß İx", "", None, "KELVIN"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.lower(F.translate("t", "ſıİK", "sIIk"))
+    assert all(a == b for a, b in df.select(folded(F.col("t")), old).collect())
+
+
+def test_lines_are_counted_without_splitting(spark):
+    from bundlescan.sources.files import line_count, meta_text
+    texts = [b"", b"a", b"a\n", b"\n", b"a\r\nb\rc\n\nd", b"\xff\r\xfe\n", "é\n中".encode()]
+    df = spark.createDataFrame([(bytearray(t),) for t in texts], "c binary").select(meta_text(F.col("c")).alias("t"))
+    rows = df.select("t", line_count(F.col("t"))).collect()
+    want = [t.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n") for t in texts]
+    assert [r[0] for r in rows] == want
+    assert [r[1] for r in rows] == [len(w.split("\n")) if w else 0 for w in want]
