@@ -26,7 +26,6 @@ import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlescan.llm.bpe import Index
 from bundlescan.llm.common import prepare, release
 
 BLOCK = 1024
 FILE_IDS = 1 << 20
 PART_BYTES = 64 << 20  # text of a writing task
+CALL_BYTES = 16 << 20  # of a call of its encoder
+PIECE_BYTES = 2 << 20  # that is split into words at once
 MAGIC = b"IDS8B\x00\x01\x00"
 _HEADER = struct.Struct("<8sQQQQQ")
 
@@ -61,15 +61,18 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     bits = np.zeros(n_blocks * block, np.uint8)
     bits[:n] = _bits(ids)
     bits = bits.reshape(n_blocks, block)
-    # the fullest selector that fits at each place; past a block's end nothing has to fit
-    best = np.zeros((n_blocks, block), np.int8)
+    # how many selectors fit at each place, past a block's end nothing has to: where one fits, so do all
+    # that are less full
+    fits = np.zeros((n_blocks, block), np.uint8)
     widest = {1: bits}  # of the next so many ids, the widest
     for reach in (1, 2, 4, 8, 16, 32):
         widest[2 * reach] = _ahead(widest[reach], widest[reach], reach)
-    for s in range(len(COUNTS) - 1, 0, -1):
+    for s in range(1, len(COUNTS)):
         count = int(COUNTS[s])
         reach = 1 << count.bit_length() - 1
-        best = np.where((widest[reach] if count == reach else _ahead(widest[reach], widest[reach], count - reach)) <= WIDTHS[s], np.int8(s), best)
+        wide = widest[reach] if count == reach else _ahead(widest[reach], widest[reach], count - reach)
+        fits += (wide <= np.uint8(WIDTHS[s])).view(np.uint8)
+    best = (len(COUNTS) - fits) % len(COUNTS)  # the fullest, or 0
     # all blocks walk from word to word together
     at, row, starts, rows = np.zeros(n_blocks, np.int64), np.arange(n_blocks), [], []
     end = np.full(n_blocks, block)
@@ -94,15 +97,15 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
         own = np.flatnonzero(chosen == s)
         if len(own):
             count, width = int(COUNTS[s]), int(WIDTHS[s])
-            i, room = start[own], (stop[own] - start[own]).min()
-            word = words[own]
+            full = start[own] + count <= stop[own]
+            own, part = own[full], own[~full]
+            word, i = words[own], start[own]
             for k in range(count):
-                if k < room:
-                    word |= ids[i + k] << np.uint64(width * k)
-                else:  # the last word of a block may be part empty
-                    inside = np.flatnonzero(i + k < stop[own])
-                    word[inside] |= ids[i[inside] + k] << np.uint64(width * k)
+                word |= ids[i + k] << np.uint64(width * k)
             words[own] = word
+            for k in range(count if len(part) else 0):  # the last word of a block may be part empty
+                part = part[start[part] + k < stop[part]]
+                words[part] |= ids[start[part] + k] << np.uint64(width * k)
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     return words, first, ids[start[escaped]]
@@ -144,14 +147,14 @@ def unpack(words: np.ndarray, first: np.ndarray, escapes: np.ndarray, n: int, bl
         of = np.flatnonzero(chosen == s)
         if len(of):
             count, width = int(COUNTS[s]), int(WIDTHS[s])
-            word, to, room = own[of], place[of], (stop[of] - place[of]).min()
+            full = place[of] + count <= stop[of]
+            of, part = of[full], of[~full]
+            word, to = own[of], place[of]
             for k in range(count):
-                value = word >> np.uint64(width * k) & np.uint64((1 << width) - 1)
-                if k < room:
-                    out[to + k] = value
-                else:  # a block's last word may be part empty
-                    inside = to + k < stop[of]
-                    out[to[inside] + k] = value[inside]
+                out[to + k] = word >> np.uint64(width * k) & np.uint64((1 << width) - 1)
+            for k in range(count if len(part) else 0):  # a block's last word may be part empty
+                part = part[place[part] + k < stop[part]]
+                out[place[part] + k] = own[part] >> np.uint64(width * k) & np.uint64((1 << width) - 1)
     of = np.flatnonzero(chosen == 0)
     out[place[of]] = escapes[(own[of] & _LOW).astype(np.int64)]
     return out[low - b0 * block:high - b0 * block]
@@ -194,6 +197,8 @@ class File:
 # ------------------------------------------------------------------ ids of texts
 
 _CUT = re.compile(r" (?=\S)")
+# all that some version of Unicode calls white space or a control or format character near it
+_SPACES = r"[\x00-\x20\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}\x{3000}\x{feff}]"
 # after these letters these marks begin a piece of their own
 _LETTER, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]$", ".,;:!?)]}\"'"
 _END_MARKS = "(?P<marks>[" + re.escape(_MARKS) + "]+)$"
@@ -203,10 +208,11 @@ class Encoder:
     """Ids of texts by a file of the tokenizers library, without special tokens; their names in a text
     are ordinary text. Where the file splits texts as byte-level BPE does, no piece goes across a
     space or a single line feed before a word, nor from a letter to a punctuation mark, so each
-    distinct stretch between such places is encoded once and kept, until there are more than memo of
-    them; that changes no result. For other files texts are encoded whole."""
+    distinct stretch between such places is encoded once and kept; once there are more than memo of
+    them, those that no second call has used are forgotten. That changes no result. For other files
+    texts are encoded whole."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
@@ -229,29 +235,38 @@ class Encoder:
             named = self.plain.get_vocab(with_added_tokens=True)
             self.spaced = np.zeros(max(named.values()) + 1, bool)
             self.spaced[[i for t, i in named.items() if t.startswith("\u0120")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         # a name that starts with a space stands for what follows it, any other for itself with a
-        # space before it
-        self.words = Index()
+        # space before it; used: how many calls had it since names were last forgotten
+        self.words = pa.array([], pa.large_string())
         self.word_ids = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.used = np.empty(0, np.int32)
 
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
         """Ids of each text."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        if not self.parts or not len(texts):
-            return [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        names, at = coded.dictionary, coded.indices.to_numpy()
+        pieces = list(_pieces(texts))
+        if not self.parts or not pieces:
+            return [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for p in pieces for t in p.to_pylist()]
+        # stretches are numbered in each piece, and the distinct ones of the pieces together
+        coded, firsts = [], []
+        for piece in pieces:
+            lists = pc.split_pattern(pc.replace_substring(piece, "\n", " \n"), " ")
+            firsts.append(lists.offsets.to_numpy() - lists.offsets[0].as_py())
+            coded.append(lists.flatten().dictionary_encode())
+        names = pa.concat_arrays([c.dictionary for c in coded]).dictionary_encode()
+        own_names = np.split(names.indices.to_numpy(), np.cumsum([len(c.dictionary) for c in coded])[:-1])
+        places = [own[c.indices.to_numpy()] for own, c in zip(own_names, coded)]
+        names = names.dictionary
+        del coded, lists
         feed = pc.starts_with(names, "\n")  # no space stands before it
         body = pc.if_else(feed, pc.utf8_slice_codeunits(names, 1), names)
         # a stretch starts with what is no space: other texts are cut in a slower way
-        loose = pc.or_(pc.equal(pc.binary_length(body), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(body, 0, 1))).to_numpy(zero_copy_only=False)[at]
-        loose[first[:-1]] = False
-        slow = np.flatnonzero(np.add.reduceat(loose, first[:-1], dtype=np.int64))
+        loose = pc.or_(pc.equal(pc.binary_length(body), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(body, 0, 1))).to_numpy(zero_copy_only=False)
+        parts = {}  # by piece and text
+        for k, (at, first) in enumerate(zip(places, firsts)):
+            is_loose = loose[at]
+            is_loose[first[:-1]] = False
+            for i in np.flatnonzero(np.add.reduceat(is_loose, first[:-1], dtype=np.int64)).tolist():
+                parts[k, i] = self._slow(pieces[k][i].as_py())
         # a stretch is up to three words: a line feed, what it says, and the marks at its end
         stem = pc.utf8_rtrim(body, characters=_MARKS)
         cut = pc.and_(pc.less(pc.binary_length(stem), pc.binary_length(body)), pc.match_substring_regex(stem, _LETTER))
@@ -259,62 +274,80 @@ class Encoder:
         stem = pc.if_else(feed, _spaced(stem), stem)
         has_marks = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
         marks = pc.struct_field(pc.extract_regex(body.take(pa.array(has_marks)), _END_MARKS), "marks")
-        keys = pa.concat_arrays([stem, _spaced(marks)]).dictionary_encode()
-        word = self.words.__getitem__
-        number = np.fromiter(map(word, keys.dictionary.to_pylist()), np.int64, len(keys.dictionary))[keys.indices.to_numpy()]
-        three = np.full((len(names), 3), -1, np.int64)
-        three[feed.to_numpy(zero_copy_only=False), 0] = word(" \n")
-        three[:, 1] = number[:len(names)]
-        three[has_marks, 2] = number[len(names):]
         # what starts a text has no space before it, and nothing is cut off it
-        heads = at[first[:-1]]
-        own = np.fromiter((word(" " + x) for x in names.take(pa.array(heads)).to_pylist()), np.int64, len(heads))
-        parts = {i: np.fromiter((word(x) for x in self._slow(texts[i].as_py())), np.int64) for i in slow.tolist()}
-        self._learn()
+        heads = names.take(pa.array(np.concatenate([at[first[:-1]] for at, first in zip(places, firsts)])))
+        kind = pa.large_string()
+        number = self._numbers(pa.concat_arrays([
+            stem, _spaced(marks), _spaced(heads), pa.array([" \n"], kind), pa.array([x for p in parts.values() for x in p], kind)]))
+        stems, marked, own, line, rest = np.split(number, np.cumsum([len(names), len(has_marks), len(heads), 1]))
+        three = np.full((len(names) + len(heads), 3), -1, np.int64)
+        three[np.flatnonzero(feed.to_numpy(zero_copy_only=False)), 0] = line
+        three[:, 1] = np.concatenate([stems, own])
+        three[has_marks, 2] = marked
         # ids of the stretches, and of the texts
         used = three.reshape(-1)
         ids, size = _gather(*self.word_ids, used[used >= 0])
         per = np.zeros(len(used), np.int64)
         per[used >= 0] = size
         stretch_ids = ids, np.concatenate([[0], np.cumsum(per.reshape(-1, 3).sum(1))])
+        bounds = np.cumsum([0, *map(len, parts.values())]).tolist()
+        slow = {key: rest[a:z] for key, a, z in zip(parts, bounds, bounds[1:])}
         out = []
-        for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            if i in parts:
-                out.append(_gather(*self.word_ids, parts[i])[0])
-            else:
-                low, high = self.word_ids[1][own[i]:own[i] + 2]
-                out.append(np.concatenate([self.word_ids[0][low:high], _gather(*stretch_ids, at[a + 1:z])[0]]))
-        if len(self.words) > self.memo:
-            self._forget()
+        for k, (at, first) in enumerate(zip(places, firsts)):
+            at[first[:-1]] = np.arange(len(names) + len(out), len(names) + len(out) + len(first) - 1)
+            out += [_gather(*self.word_ids, slow[k, i])[0] if (k, i) in slow else _gather(*stretch_ids, at[a:z])[0]
+                    for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
+        self._trim()
         return out
 
+    def _numbers(self, names: pa.Array) -> np.ndarray:
+        """Numbers of the names; new ones are learned."""
+        names = names.dictionary_encode()
+        number = pc.index_in(names.dictionary, value_set=self.words)
+        fresh = names.dictionary.filter(number.is_null())
+        number = number.fill_null(-1).to_numpy().astype(np.int64)
+        number[number < 0] = np.arange(len(self.words), len(self.words) + len(fresh))
+        self._learn(fresh)
+        self.used[number] += 1
+        return number[names.indices.to_numpy()]
+
+    def _trim(self) -> None:
+        if len(self.words) > self.memo:
+            need = 2
+            while np.count_nonzero(self.used >= need) > self.memo // 2:
+                need += 1
+            kept = np.flatnonzero(self.used >= need)
+            self.words = self.words.take(pa.array(kept))
+            ids, sizes = _gather(*self.word_ids, kept)
+            self.word_ids = ids, np.concatenate([[0], np.cumsum(sizes)])
+            self.used = np.ones(len(kept), np.int32)
+
     def _slow(self, text: str) -> list[str]:
         """Names of the stretches of a text with white space beside white space."""
         head, *parts = _CUT.split(text)
         return [" " + head, *parts]
 
-    def _learn(self) -> None:
-        """Ids of the words that are new."""
-        known = len(self.word_ids[1]) - 1
-        fresh = list(islice(self.words, known, None))
-        if not fresh:
+    def _learn(self, fresh: pa.Array) -> None:
+        """Ids of names that are new."""
+        if not len(fresh):
             return
-        plain = [w.isalpha() for w in fresh]
-        letters, others = list(compress(fresh, plain)), [w for w, p in zip(fresh, plain) if not p]
+        odd = pc.or_(pc.equal(pc.binary_length(fresh), 0), pc.match_substring_regex(fresh, _SPACES))
+        plain, others = fresh.filter(pc.invert(odd)), fresh.filter(odd).to_pylist()
         ids, sizes = _in_parts(self._encode, [w[1:] if w[:1] == " " else " " + w for w in others])
-        more, more_sizes = _in_parts(self._encode_letters, letters)
-        # numbers follow the order in which the words came
-        order = np.argsort(~np.array(plain), kind="stable")
+        more, more_sizes = _in_parts(self._encode_plain, plain)
+        # numbers follow the order in which the names came
         sizes = np.concatenate([more_sizes, sizes])
         back = np.empty(len(fresh), np.int64)
-        back[order] = np.arange(len(fresh))
+        back[np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(fresh))
         starts = np.concatenate([[0], np.cumsum(sizes)])
         self.word_ids = _joined(self.word_ids, *_gather(np.concatenate([more, ids]), starts, back))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
 
-    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of letters alone, each with a space before it, and how many each has: every
+    def _encode_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space, each with a space before it, and how many each has: every
         space begins a word, and the id that holds it is the word's first."""
-        text = " " + " ".join(words)
+        text = " ".join(["", *words.to_pylist()])
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
 
@@ -334,7 +367,19 @@ class Encoder:
         return ids, sizes
 
 
-def _in_parts(encode: Callable, words: list[str], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """Runs of texts of PIECE_BYTES or one text; a null text is empty."""
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        chunk = chunk.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(chunk).to_numpy())
+        low = 0
+        while low < len(chunk):
+            high = max(low + 1, int(np.searchsorted(ends, PIECE_BYTES + (ends[low - 1] if low else 0), "right")))
+            yield chunk.slice(low, high - low)
+            low = high
+
+
+def _in_parts(encode: Callable, words: list[str] | pa.Array, size: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids and sizes of words, encoded some at a time: the library holds much about each id."""
     parts = [encode(words[k:k + size]) for k in range(0, len(words), size)]
     ids, sizes = zip(*parts) if parts else ((np.empty(0, np.uint32),), (np.empty(0, np.int64),))
@@ -401,8 +446,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held[0])], pa.int64()), pa.array([total], pa.int64())],
                                               ["file", "docs", "ids"])
 
-        for batch in batches:
-            for d, own in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text"))):
+        for doc_ids, texts in _grouped(batches):
+            for d, own in zip(doc_ids, ids_of(texts)):
                 ids = np.append(own, np.uint32(end_id))
                 for x, y in zip(held, (d, len(ids), ids)):
                     x.append(y)
@@ -410,6 +455,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
                 if total >= FILE_IDS:
                     yield close()
                     held, total, number = ([], [], []), 0, number + 1
+            release()
         if held[0]:
             yield close()
         release()
@@ -421,6 +467,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.ChunkedArray]]:
+    """Document ids and texts of some batches at a time: each call of the encoder looks through all it knows."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        doc_ids += batch.column("doc_id").to_pylist()
+        texts.append(batch.column("text"))
+        size += batch.nbytes
+        if size >= CALL_BYTES:
+            yield doc_ids, pa.chunked_array(texts)
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, pa.chunked_array(texts)
+
+
 def read(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("token_ids",)) -> DataFrame:
     """(doc_id, start, n_tokens) of each document in folder, and token_ids, its ids as little-endian
     unsigned 32-bit integers, if it is in columns. start: how many ids stand before it in all files."""
@@ -435,8 +495,7 @@ def read(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("token_id
                 n = len(f.doc_ids)
                 cols = [pa.array([os.path.basename(path)] * n), pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1]), pa.array(np.diff(f.starts))]
                 if ids:
-                    flat = f.ids().astype("<u4")
-                    cols.append(pa.array([flat[a:b].tobytes() for a, b in zip(f.starts[:-1].tolist(), f.starts[1:].tolist())], pa.binary()))
+                    cols.append(_slices(f.ids().astype("<u4"), f.starts))
                 yield pa.RecordBatch.from_arrays(cols, ["file", "doc_id", "at", "n_tokens", "token_ids"][:len(cols)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids8b").load(folder).select("path", "content")
@@ -445,6 +504,12 @@ def read(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("token_id
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", *(["token_ids"] if ids else []))
 
 
+def _slices(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of ids between each start and the next."""
+    offsets = pa.py_buffer((starts * ids.itemsize).astype(np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def _uri(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
 

@@ -50,6 +50,40 @@ def test_encoder_equals_the_library():
             assert got.tolist() == own.plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_texts_in_pieces(monkeypatch):
+    """Chunks, pieces of them, null and loose texts anywhere: each text has its own ids."""
+    monkeypatch.setattr(K, "PIECE_BYTES", 40)
+    random.seed(4)
+    signs = [" ", "  ", "\n", "word", "Other", "...", "é", "12", "\t"]
+    texts = [None if random.random() < 0.1 else "".join(random.choices(signs, k=random.randint(0, 30))) for _ in range(300)]
+    own = K.Encoder(tokenizer())
+    for chunks in ([texts], [[], texts[:7], texts[7:7], texts[7:]]):
+        got = own(pa.chunked_array([pa.array(c, pa.string()) for c in chunks], pa.string()))
+        assert [g.tolist() for g in got] == [own.plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own(pa.chunked_array([], pa.string())) == []
+
+
+def test_words_that_come_again_are_encoded_once():
+    """A full memo forgets what came once, not the words of every text."""
+    class Counted:
+        def __init__(self, of):
+            self.of, self.words = of, []
+
+        def encode_batch_fast(self, texts, **kind):
+            self.words += [w for t in texts for w in t.split()]
+            return self.of.encode_batch_fast(texts, **kind)
+
+    own = K.Encoder(tokenizer(), memo=300)
+    plain, own.plain, own.divided = own.plain, Counted(own.plain), Counted(own.divided)
+    common = [f"often{'a' * k}x" for k in range(100)]
+    for k in range(20):
+        rare = [f"rare{k}n{i}" for i in range(150)]
+        text = "start " + " ".join(common + rare)
+        assert own(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(w.startswith("often") for w in own.plain.words) == len(common)
+    assert len(own.words) <= 300 + 250
+
+
 def test_other_vocabularies_are_encoded_whole():
     import public_tokenizers
     own = K.Encoder(public_tokenizers.path("word_bpe_49k.json"))
