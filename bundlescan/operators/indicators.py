@@ -14,10 +14,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import prefilter, rules
 from ..functions.dialect import to_java
 from ..functions.linear import form
-from ..functions.prefilter import any_of, folded, may_match
+from ..functions.prefilter import any_held, any_of, folded, lowered, may_match
 from ..functions.prefilter import gated as _gated
 
 KEEP = ["bundle_id", "path"]
@@ -31,16 +31,23 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Column | None = None) -> Column:
+def extract_set(text: Column, pattern: str, ignore_case: bool = False, fold: Column | None = None, held: Column | None = None) -> Column:
     """Sorted distinct matches; the regex runs only on texts holding a required literal."""
     search = form(pattern, ignore_case)
     found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(search.java), F.lit(search.match))))
-    gate = may_match(text, fold, pattern, ignore_case)
+    gate = may_match(text, fold, pattern, ignore_case, held)
     if pattern in rules.ROUGH:
-        gate = gate & text.rlike(to_java(rules.ROUGH[pattern]))
+        gate = gate & _rough(text, pattern, held)
     return _gated(text, gate, found, _empty())
 
 
+def _rough(text: Column, pattern: str, held: Column | None) -> Column:
+    """Whether a text holds what every match of a rule in rules.ROUGH does."""
+    there = text.rlike(to_java(rules.ROUGH[pattern]))
+    taken = prefilter.ROUGH_HELD.get(pattern)
+    return there if held is None or taken is None else held.rlike(taken) & there
+
+
 def is_script(suffix: Column) -> Column:
     return F.coalesce(suffix.isin(*rules.SCRIPT_EXTENSIONS), F.lit(False))
 
@@ -77,10 +84,10 @@ def secret_counts(text: Column) -> Column:
 _NONPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 
 
-def base64_entries(text: Column) -> Column:
+def base64_entries(text: Column, held: Column | None = None) -> Column:
     """array<struct<encoded, decoded>>: strict decode, < 15 % U+FFFD, printable or
     multi-line; the whole decoded text, redacted."""
-    cands = extract_set(text, rules.BASE64)
+    cands = extract_set(text, rules.BASE64, held=held)
 
     def decode(c):
         s = F.make_valid_utf8(F.try_to_binary(c, F.lit("base64")).cast("string"))
@@ -120,27 +127,28 @@ def base58check_sql(c: str) -> str:
             f"AND left(sha2(unhex(sha2(unhex(left(right(h, 50), 42)), 256)), 256), 8) = lower(right(h, 8))))")
 
 
-def crypto_wallets(text: Column, btc_col: str = "_btc") -> Column:
+def crypto_wallets(text: Column, btc_col: str = "_btc", held: Column | None = None) -> Column:
     """eth addresses + bc1 addresses + legacy addresses passing Base58Check. ``btc_col``
     names a column holding :func:`btc_candidates` (SQL lambdas need a named input)."""
-    eth = extract_set(text, rules.ETH_WALLET)
+    eth = extract_set(text, rules.ETH_WALLET, held=held)
     btc_ok = F.expr(f"filter({btc_col}, a -> startswith(a, 'bc1') OR {base58check_sql('a')})")
     return F.sort_array(F.array_union(F.array_distinct(eth), btc_ok))
 
 
-def btc_candidates(text: Column) -> Column:
+def btc_candidates(text: Column, held: Column | None = None) -> Column:
     found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, _j(rules.BTC_WALLET), F.lit(0))))
-    return _gated(text, text.contains("bc1") | text.rlike(to_java(rules.ROUGH[rules.BTC_WALLET])), found, _empty())
+    bech = text.contains(prefilter.BECH32) if held is None else any_held(held, [prefilter.BECH32])
+    return _gated(text, bech | _rough(text, rules.BTC_WALLET, held), found, _empty())
 
 
 # ------------------------------------------------------------------ presence (§2.7)
 
-def shell_commands(text: Column, low: Column | None = None) -> Column:
+def shell_commands(text: Column, low: Column | None = None, held: Column | None = None) -> Column:
     """Rule names found in the lower-cased text (``low``: a column holding ``lower(text)``);
     each rule's regex runs only when its required literal occurs."""
     low = F.lower(text) if low is None else low
     return F.sort_array(F.array_compact(F.array(*[
-        F.when(may_match(low, None, p) & low.rlike(to_java(p)), F.lit(n)) for p, n in rules.SHELL_COMMANDS])))
+        F.when(may_match(low, None, p, held=held) & low.rlike(to_java(p)), F.lit(n)) for p, n in rules.SHELL_COMMANDS])))
 
 
 def guarded(literal: str, before: list[str], after: list[str]) -> str:
@@ -150,24 +158,25 @@ def guarded(literal: str, before: list[str], after: list[str]) -> str:
     return found + "".join(f"(?<!{x}{found})" for x in before) + "".join(f"(?!{x})" for x in after)
 
 
-def sensitive_file_paths(text: Column) -> Column:
+def sensitive_file_paths(text: Column, held: Column | None = None) -> Column:
     """Paths of the catalogue that the text names, within their guards. A path without guards
     needs no pattern."""
     guards = {path: (before, after) for path, before, after in rules.SENSITIVE_PATH_GUARDS}
 
     def there(path: str) -> Column:
-        holds = text.contains(path)
+        holds = text.contains(path) if held is None else any_held(held, [path]) & text.contains(path)
         return holds & text.rlike(to_java(guarded(path, *guards[path]))) if path in guards else holds
 
     found = F.sort_array(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in rules.SENSITIVE_PATHS])))
-    return F.when(any_of(text, rules.SENSITIVE_PATH_PARTS), found).otherwise(_empty())
+    parts = any_of(text, rules.SENSITIVE_PATH_PARTS) if held is None else any_held(held, rules.SENSITIVE_PATH_PARTS)
+    return F.when(parts, found).otherwise(_empty())
 
 
-def suspicious_imports(text: Column, fold: Column | None = None) -> Column:
+def suspicious_imports(text: Column, fold: Column | None = None, held: Column | None = None) -> Column:
     found = F.sort_array(F.array_distinct(F.concat(*[
-        F.when(may_match(text, fold, p, ic), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(_empty())
+        F.when(may_match(text, fold, p, ic, held), F.regexp_extract_all(text, _j(p, ic), F.lit(0))).otherwise(_empty())
         for p, ic in rules.SUSPICIOUS_IMPORTS])))
-    words = any_of(folded(text) if fold is None else fold, rules.SUSPICIOUS_WORDS)
+    words = any_of(folded(text) if fold is None else fold, rules.SUSPICIOUS_WORDS) if held is None else any_held(held, rules.SUSPICIOUS_WORDS)
     return _gated(text, words, found, _empty())
 
 
@@ -176,12 +185,12 @@ def suspicious_imports(text: Column, fold: Column | None = None) -> Column:
 _ENV_NAMES = r"\b(?:" + "|".join(rules.SENSITIVE_ENV_NAMES) + r")\b"
 
 
-def env_occurrences(text: Column) -> Column:
+def env_occurrences(text: Column, held: Column | None = None) -> Column:
     """Every sensitive name occurrence, with its assignment follower when it has one
     (one regex pass; the follower is an optional greedy group), in texts that hold the end of a name."""
     found = F.array_distinct(F.regexp_extract_all(text, _j(_ENV_NAMES + "(?:" + rules.ENV_ASSIGN_FOLLOW + ")?"), F.lit(0)))
-    ends = sorted({"_" + name.rsplit("_", 1)[1] for name in rules.SENSITIVE_ENV_NAMES})
-    return _gated(text, any_of(text, ends), found, _empty())
+    ends = any_of(text, prefilter.ENV_ENDS)
+    return _gated(text, ends if held is None else any_held(held, prefilter.ENV_ENDS) & ends, found, _empty())
 
 
 def _env_name(m: Column) -> Column:
@@ -198,28 +207,29 @@ def env_assignments(occ: Column) -> Column:
 
 # ------------------------------------------------------------------ all keys of one file
 
-def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ", fold_col: str = "_fold") -> dict[str, Column]:
+def key_arrays(t: Column, btc_col: str = "_btc", occ_col: str = "_env_occ", fold_col: str = "_fold",
+               held: Column | None = None) -> dict[str, Column]:
     """Per-file array expression of every set / presence key (unrouted names). ``btc_col``
     and ``occ_col`` name columns holding :func:`btc_candidates` and :func:`env_occurrences`
-    of the same text (computed one projection earlier)."""
+    of the same text (computed one projection earlier); ``held``: what the text holds of all rules' literals."""
     occ, fold = F.col(occ_col), F.col(fold_col)
     return {
-        "urls": extract_set(t, rules.URL),
-        "data_uris": extract_set(t, rules.DATA_URI),
-        "javascript_uris": extract_set(t, rules.JAVASCRIPT_URI, True, fold),
-        "ips": extract_set(t, rules.IPV4),
-        "base64_strings": base64_entries(t),
-        "encoded_urls": extract_set(t, rules.ENCODED_URL),
-        "emails": extract_set(t, rules.EMAIL),
-        "env_var_references": extract_set(t, rules.ENV_VAR),
-        "shell_commands": shell_commands(t, F.col("_low")),
-        "sensitive_file_paths": sensitive_file_paths(t),
-        "suspicious_imports": suspicious_imports(t, fold),
-        "private_ips": extract_set(t, rules.PRIVATE_IP),
-        "crypto_wallets": crypto_wallets(t, btc_col),
+        "urls": extract_set(t, rules.URL, held=held),
+        "data_uris": extract_set(t, rules.DATA_URI, held=held),
+        "javascript_uris": extract_set(t, rules.JAVASCRIPT_URI, True, fold, held),
+        "ips": extract_set(t, rules.IPV4, held=held),
+        "base64_strings": base64_entries(t, held),
+        "encoded_urls": extract_set(t, rules.ENCODED_URL, held=held),
+        "emails": extract_set(t, rules.EMAIL, held=held),
+        "env_var_references": extract_set(t, rules.ENV_VAR, held=held),
+        "shell_commands": shell_commands(t, F.col("_low"), held),
+        "sensitive_file_paths": sensitive_file_paths(t, held),
+        "suspicious_imports": suspicious_imports(t, fold, held),
+        "private_ips": extract_set(t, rules.PRIVATE_IP, held=held),
+        "crypto_wallets": crypto_wallets(t, btc_col, held),
         "_env_reads": F.sort_array(env_reads(occ)),
         "_env_assigns": F.sort_array(env_assignments(occ)),
-        "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True, fold),
+        "paste_service_urls": extract_set(t, rules.PASTE_SERVICE, True, fold, held),
     }
 
 
@@ -229,6 +239,14 @@ def with_text_helpers(df: DataFrame, keep: list[str]) -> DataFrame:
                      folded(t).alias("_fold"), F.lower(t).alias("_low"))
 
 
+def with_held_literals(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The same columns and ``_held``, all rules' literals that the text holds, for a scan with every rule."""
+    t, fold, held = F.col("text"), F.col("_fold"), F.col("_held")
+    df = df.select(*keep, folded(t).alias("_fold"))
+    df = df.select(*keep, "_fold", lowered(t, fold).alias("_low"), prefilter.held(fold).alias("_held"))
+    return df.select(*keep, "_fold", "_low", "_held", btc_candidates(t, held).alias("_btc"), env_occurrences(t, held).alias("_env_occ"))
+
+
 def file_indicators(df: DataFrame, keep=None) -> DataFrame:
     """One row per file with one array column per set/presence key (unrouted names)
     plus ``is_script``. Files without text give null arrays (hence no rows in :func:`indicator_rows`)."""

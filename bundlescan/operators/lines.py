@@ -43,17 +43,21 @@ def finding(key: Column, value: Column, **more: Column) -> Column:
 
 def line_findings(text: Column, fired: Column, inv: Column, dns: Column, detectors=None) -> Column:
     """All line-grain findings of a file as one array: rules, invisible characters, DNS lookups.
-    Files whose gates did not fire never split into lines."""
+    Files whose gates did not fire never split into lines, and only rules that fired go over the lines:
+    rule by rule, their findings then put in the order of lines."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     split = F.split(text, "\n", -1)
     pat = to_java(rules.INVISIBLE_UNICODE)
+    hit = f"struct<line:int,rule:int,found:{FOUND}>"
 
-    def by_rule(line, i):
-        return F.array_compact(F.array(*[
-            F.when(fired_at(fired, k) & matches(line, d.pattern, d.ignore_case),
-                   finding(F.lit("security_patterns"), first_match(line, d.pattern, d.ignore_case), line=i + 1,
-                           category=F.lit(d.category), pattern_name=F.lit(d.name), description=F.lit(d.description)))
-            for k, d in enumerate(detectors)]))
+    def of_rule(k, d):
+        found = F.transform(split, lambda line, i: F.when(may_match(line, None, d.pattern, d.ignore_case) & matches(line, d.pattern, d.ignore_case), F.struct(
+            (i + 1).alias("line"), F.lit(k).alias("rule"),
+            finding(F.lit("security_patterns"), first_match(line, d.pattern, d.ignore_case), line=i + 1,
+                    category=F.lit(d.category), pattern_name=F.lit(d.name), description=F.lit(d.description)).alias("found"))))
+        return F.when(fired_at(fired, k), F.array_compact(found)).otherwise(F.array().cast(f"array<{hit}>"))
+
+    by_rule = F.transform(F.sort_array(F.concat(*[of_rule(k, d) for k, d in enumerate(detectors)])), lambda x: x["found"])
 
     def by_char(line, i):
         found = F.transform(F.split(line, "", -1), lambda ch, at: F.when(
@@ -64,8 +68,8 @@ def line_findings(text: Column, fired: Column, inv: Column, dns: Column, detecto
         return F.when(matches(line, rules.DNS_EXFIL, True),
                       F.array(finding(F.lit("dns_exfil_patterns"), first_match(line, rules.DNS_EXFIL, True), line=i + 1))).otherwise(_none())
 
-    return F.concat(*[F.when(gate, F.flatten(F.transform(split, each))).otherwise(_none())
-                      for gate, each in ((any_fired(fired), by_rule), (inv, by_char), (dns, by_lookup))])
+    return F.concat(F.when(any_fired(fired), by_rule).otherwise(_none()), *[
+        F.when(gate, F.flatten(F.transform(split, each))).otherwise(_none()) for gate, each in ((inv, by_char), (dns, by_lookup))])
 
 
 def _none() -> Column:
@@ -119,16 +123,16 @@ def _lines(df: DataFrame, keep: list[str], extra: list[str], when: Column) -> Da
 
 
 def detector_gate(text: Column, suffix: Column, detectors=None, whole_file_gate: bool = True,
-                  fold: Column | None = None) -> Column:
+                  fold: Column | None = None, held: Column | None = None) -> Column:
     """STRING of one flag per detector ('1' = its suffix gate passed and it matches
     anywhere in the text). A flag string, unlike an ``array_compact``-ed id list, is plain
     string code, so the gate stays inside whole-stage codegen. Each regex runs only when the
     text holds one of the rule's required literals (``fold`` = the folded text column for
-    case-insensitive rules)."""
+    case-insensitive rules, ``held`` = a column of all rules' literals in the text)."""
     detectors = list(rules.DETECTORS if detectors is None else detectors)
     fold = folded(text) if fold is None else fold
     return F.concat(*[
-        F.when(_gate(d, suffix) & ((may_match(text, fold, d.pattern, d.ignore_case)
+        F.when(_gate(d, suffix) & ((may_match(text, fold, d.pattern, d.ignore_case, held)
                                     & matches(text, d.pattern, d.ignore_case, multiline=True))
                                    if whole_file_gate else text.isNotNull()), F.lit("1")).otherwise(F.lit("0"))
         for d in detectors
@@ -147,8 +151,8 @@ def invisible_gate(text: Column) -> Column:
     return F.coalesce((F.octet_length(text) != F.length(text)) & any_of(text, rules.INVISIBLE_CHARS), F.lit(False))
 
 
-def dns_gate(text: Column, fold: Column | None = None) -> Column:
-    return F.coalesce(may_match(text, fold, rules.DNS_EXFIL, True)
+def dns_gate(text: Column, fold: Column | None = None, held: Column | None = None) -> Column:
+    return F.coalesce(may_match(text, fold, rules.DNS_EXFIL, True, held)
                       & matches(text, rules.DNS_EXFIL, ignore_case=True, multiline=True), F.lit(False))
 
 
